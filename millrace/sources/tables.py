@@ -39,7 +39,7 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_sources(spark: SparkSession, root: str, pattern: str = "*.java") -> DataFrame:
     """All files below root that match, as (path, content); kept as they are, in no order."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return raw.select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return raw.select("path", F.decode("content", "UTF-8").alias("content"))
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
