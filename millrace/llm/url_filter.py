@@ -45,18 +45,18 @@ def keys_of(url: Column) -> Column:
 
 
 def intervals(changes: DataFrame) -> DataFrame:
-    """(kind, key, verdict, at) -> (kind, key, verdict, valid_from, valid_to).
+    """(kind, key, verdict, changed_at) -> (kind, key, verdict, valid_from, valid_to).
 
     `verdict` is allow, block or remove. Of changes of one entry at one time the last of remove,
     block, allow holds. Changes without a kind, key, verdict or time are no changes.
     """
-    rows = changes.select("kind", F.lower("key").alias("key_lower"), "key", "verdict", "at").dropna()
+    rows = changes.select("kind", F.lower("key").alias("key_lower"), "key", "verdict", "changed_at").dropna()
     rows = rows.withColumn("key", F.when(F.col("kind") == "prefix", F.concat(F.lower(F.substring_index("key", "/", 1)), F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)"))).otherwise(F.col("key_lower"))).drop("key_lower")
     order = F.when(F.col("verdict") == "remove", 0).when(F.col("verdict") == "block", 1).otherwise(2)
-    last = rows.groupBy("kind", "key", "at").agg(F.max_by("verdict", order).alias("verdict"))
-    ends = F.lead("at").over(Window.partitionBy("kind", "key").orderBy("at"))
+    last = rows.groupBy("kind", "key", "changed_at").agg(F.max_by("verdict", order).alias("verdict"))
+    ends = F.lead("changed_at").over(Window.partitionBy("kind", "key").orderBy("changed_at"))
     held = last.withColumn("valid_to", F.coalesce(ends, F.lit(OPEN_END).cast("timestamp"))).where("verdict <> 'remove'")
-    return held.select("kind", "key", "verdict", F.col("at").alias("valid_from"), "valid_to")
+    return held.select("kind", "key", "verdict", F.col("changed_at").alias("valid_from"), "valid_to")
 
 
 def evaluate(captures: DataFrame, lists: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
@@ -88,7 +88,7 @@ def evaluate(captures: DataFrame, lists: DataFrame, url: str = "url", fetched_at
 #: The query's lists: for hosts whose digest is divisible by 5, blocked, cleared and blocked again; for
 #: digests divisible by 7, an allowed section; and one domain blocked for a month.
 CHANGES_SQL = """
-SELECT 'host' AS kind, host AS key, 'block' AS verdict, TIMESTAMP '2024-01-01 00:00:00' + make_days(h % 200) AS at FROM hosts WHERE h % 5 = 0
+SELECT 'host' AS kind, host AS key, 'block' AS verdict, TIMESTAMP '2024-01-01 00:00:00' + make_days(h % 200) AS changed_at FROM hosts WHERE h % 5 = 0
 UNION ALL SELECT 'host', host, 'remove', TIMESTAMP '2024-01-01 00:00:00' + make_days(h % 200 + 40 + h % 90) FROM hosts WHERE h % 5 = 0
 UNION ALL SELECT 'host', host, 'block', TIMESTAMP '2024-01-01 00:00:00' + make_days(h % 200 + 140) FROM hosts WHERE h % 5 = 0
 UNION ALL SELECT 'prefix', concat(host, '/en'), 'allow', TIMESTAMP '2024-01-01 00:00:00' + make_days(h % 100) FROM hosts WHERE h % 7 = 0
@@ -116,7 +116,7 @@ WITH pages_at AS (
 hosts AS (SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS INTEGER) AS h FROM (SELECT DISTINCT host FROM pages_at WHERE host IS NOT NULL)),
 changes AS (SELECT DISTINCT * FROM (""" + CHANGES_SQL.replace("make_days(", "to_days(") + r""")),
 lists AS (
-  SELECT kind, key, verdict, at AS valid_from, coalesce(lead(at) OVER (PARTITION BY kind, key ORDER BY at), TIMESTAMP '9999-12-31 00:00:00') AS valid_to FROM changes),
+  SELECT kind, key, verdict, changed_at AS valid_from, coalesce(lead(changed_at) OVER (PARTITION BY kind, key ORDER BY changed_at), TIMESTAMP '9999-12-31 00:00:00') AS valid_to FROM changes),
 met AS (
   SELECT p.page_id, l.*, row_number() OVER (PARTITION BY p.page_id ORDER BY CASE l.kind WHEN 'domain' THEN 1 WHEN 'host' THEN 2 ELSE 3 END DESC, length(l.key) DESC) AS r
   FROM pages_at p JOIN lists l ON l.verdict <> 'remove' AND l.valid_from <= p.fetched_at AND p.fetched_at < l.valid_to AND (

@@ -502,7 +502,7 @@ def test_page_links_and_tree():
 
 def test_op10_cases(spark):
     entries = [("host", "bad.example.com", "block", "2024-02-01"), ("host", "bad.example.com", "remove", "2024-03-01"), ("host", "bad.example.com", "block", "2024-04-01"), ("prefix", "bad.example.com/ok", "allow", "2024-01-01"), ("domain", "example.org", "block", "2024-01-15"), ("host", "sub.example.org", "allow", "2024-01-20"), ("host", None, "block", "2024-01-01")]
-    lists = url_filter.intervals(spark.createDataFrame(entries, "kind string, key string, verdict string, at string").withColumn("at", F.to_timestamp("at")))
+    lists = url_filter.intervals(spark.createDataFrame(entries, "kind string, key string, verdict string, changed_at string").withColumn("changed_at", F.to_timestamp("changed_at")))
     cases = [
         ("http://bad.example.com/x", "2024-01-31", "none"), ("http://bad.example.com/x", "2024-02-01", "block"), ("http://BAD.example.com:80/x", "2024-03-01", "none"), ("http://u:p@bad.example.com./x", "2024-12-01", "block"),
         ("http://bad.example.com/ok/deep?q", "2024-12-01", "allow"), ("http://bad.example.com/okay", "2024-12-01", "block"), ("http://a.b.example.org", "2024-02-01", "block"), ("http://sub.example.org/", "2024-02-01", "allow"),
