@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, functions as F
 
+from ..shared import saved
+
 #: Walk patterns in the order of their priority.
 PATTERNS = ("own_surface", "producers", "inherited_api", "supertype", "ctor_args", "implementations", "subclasses", "results", "used_privately")
 CONCRETE = ("class", "enum", "record")
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """df through the shared folder, so that a round's plan doesn't hold those before it."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = Path(tempfile.mkdtemp(prefix="millrace-shared-")).as_uri()
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(src, dst) -> (src, dst, depth): everything reachable, nearest depth, without src itself.
 
@@ -32,13 +18,13 @@ def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     a pair is kept, so diamonds don't multiply and cycles end. It stops when nothing new or nearer
     comes, or after `rounds` rounds.
     """
-    reach = _saved(edges.where("src <> dst").select("src", "dst").distinct().withColumn("depth", F.lit(1)))
+    reach = saved(edges.where("src <> dst").select("src", "dst").distinct().withColumn("depth", F.lit(1)), "closure")
     n = reach.agg(F.count("*"), F.sum("depth")).first()
     while rounds is None or rounds > 0:
         rounds = None if rounds is None else rounds - 1
         far = reach.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("depth").alias("more"))
         longer = reach.join(far, F.col("dst") == F.col("mid")).select("src", F.col("end").alias("dst"), (F.col("depth") + F.col("more")).alias("depth")).where("src <> dst")
-        reach = _saved(reach.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")))
+        reach = saved(reach.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")), "closure")
         now = reach.agg(F.count("*"), F.sum("depth")).first()
         if now == n:
             break
