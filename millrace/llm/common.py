@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import saved, shared_dir  # noqa: F401
+
 #: Upper bound of one Arrow batch handed to Python; one row larger than this travels alone.
 ARROW_BATCH_BYTES = 16 << 20
 
@@ -32,31 +33,6 @@ def prepare(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that driver and executors share.
-
-    The cluster names that folder in spark.checkpoint.dir; only where it is unset (tests on one
-    machine) a temporary folder stands in and is set for the session's later calls.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = Path(tempfile.mkdtemp(prefix="millrace-shared-")).as_uri()
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, on all executors' disk."""
-    spark = df.sparkSession
-    path = shared_dir(spark, tag)
-    schema = df.schema
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that don't clash with df's own, in any letter case."""
     taken, out = {c.lower() for c in df.columns}, []
