@@ -31,7 +31,7 @@ def vectorized(schema: str):
 
 
 _TOKEN = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"""(?:\\.|.)*?(?:"""|\Z)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
-_BREAKS = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+_BREAKS = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 _METHOD = re.compile(r"\bvoid\s+(\w+)\s*\(|\b(\w+)\s*\([^()]*\)\s*(?:throws\s+[\w.,\s]+)?\{")
 SPAN = "array<struct<name:string,start:int,end:int>>"
 

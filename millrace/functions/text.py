@@ -22,7 +22,7 @@ SPACE_END, SPACE_START = r"(?U)\s+\z", r"(?U)\A\s+"
 
 def lines(x: Column) -> Column:
     """Lines without their ends; a final line break ends the last line."""
-    flat = F.regexp_replace(x, r"\r\n?|[\x0b\x0c\x1c-\x1e\x85  ]", "\n")
+    flat = F.regexp_replace(x, r"\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n")
     return F.when(x == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(F.regexp_replace(flat, r"\n\z", ""), "\n", -1))
 
 
