@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 
 #: The characters with the Unicode property White_Space.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{SPACES}]"
 SEGMENT = re.compile(f" ?[^{SPACES}]+|{SPACE}+(?![^{SPACES}])|{SPACE}+")
 _AFTER_SPACE = [" " + c for c in SPACES] + ["\x00"]

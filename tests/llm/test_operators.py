@@ -70,7 +70,7 @@ def test_tree_bpe_equals_the_library(tiktoken_encoding):
     library, ranks, pattern = tiktoken_encoding
     trees = [tree_bpe.TreeBpe(ranks, pattern), tree_bpe.TreeBpe(ranks, pattern, leaf_chars=7, leaf_bytes=2, memory=40)]
     rng = random.Random(5)
-    parts = ["a", "b", " ", "  ", "\n", "'s", "'", "é", "the", "ing", "aa", "1", "²", "\t", "\x1c", "\xa0", "!", "..", "日", "_", "'LL", "　", "e"]
+    parts = ["a", "b", " ", "  ", "\n", "'s", "'", "é", "the", "ing", "aa", "1", "²", "\t", "\x1c", "\xa0", "!", "..", "日", "_", "'LL", "\u3000", "e"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     texts += ["".join(rng.choice("abeinrst") for _ in range(rng.randint(0, 300))) for _ in range(300)] + [t or "" for _, t, *_ in ODD] + ["a" * 5000]
     for t in texts:
