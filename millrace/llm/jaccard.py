@@ -14,10 +14,12 @@ at that coordinate isn't zero, and only trees of two or more texts are built:
 1. All texts: the set's size and digest, and counts of all shingles in 2 ** SKETCH_BITS slots, which
    order the shingles (any order gives the same links; frequent ones last gives small trees).
 2. The root shingles of each distinct set; those of one set alone go after one shuffle.
-3. Each set joins the page of the least set it shares a root with. An R-tree over each page gives
-   links; components are formed.
-4. Trees with sets of more than one component remain. Each distinct one is joined in full; pairs in
-   one component already need no test. Large trees are dealt to blocks, each pair of blocks a page.
+3. Each set joins the page of the least set it shares a root with. An R-tree over each page's points
+   tells which texts have a partner within the bound; only their sets are fetched, the trees joined
+   again with them and the surviving pairs verified. Components are formed from the links.
+4. Trees with sets of more than one component remain. Each distinct one is joined in the same way;
+   pairs in one component already need no test. Large trees are dealt to blocks, each pair of blocks
+   a page.
 
 Links within a page are reported as a forest: a pair already joined by other links of its page is
 passed over, so a page of m near copies gives m - 1 links after about m tests.
@@ -43,6 +45,8 @@ SKETCH_BITS, PIECE = 18, 1024
 FILTER_BITS = 24
 #: Groups of a count vector, points in a leaf, texts in a page (block pairs hold twice as many).
 GROUPS, LEAF, PAGE = 64, 16, 256
+#: Pairs that a page names for each of its points; with more it names the points.
+PAIRS_A_POINT = 16
 #: Parts among which the rows of a frequent root are dealt.
 SALTS = 64
 
@@ -56,6 +60,11 @@ def root_count(n: int) -> int:
     return n - -(-LEAST * n // 100) + 1
 
 
+def point(s: np.ndarray) -> np.ndarray:
+    """A set's count vector."""
+    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
+
+
 class RTree:
     """A tree over count vectors, packed by halving along the coordinate of widest spread."""
 
@@ -120,7 +129,7 @@ def page_links(sets: list[np.ndarray], labels: list, sides: list[int]) -> Iterat
     for i, label in enumerate(labels):
         parent[i] = first.setdefault(label, i)
     sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+    points = np.stack([point(s) for s in sets]).astype(np.int64)
     for x, y in RTree(points, sizes).pairs():
         for i, j in zip(x.tolist(), y.tolist()):
             if sides[i] and sides[i] == sides[j] or (p := find(i)) == (q := find(j)):
@@ -133,6 +142,26 @@ def page_links(sets: list[np.ndarray], labels: list, sides: list[int]) -> Iterat
                 yield i, j
 
 
+def near_pairs(points: np.ndarray, labels: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a page's points of different labels that may share enough, and which points are in any.
+
+    Beyond PAIRS_A_POINT pairs for each point the pairs are given up; the points in them are told all the same.
+    """
+    near, left, right, n = np.zeros(len(points), bool), [], [], 0
+    for x, y in RTree(points, points.sum(1)).pairs():
+        open_ = (labels[x] != labels[y]) & ((sides[x] == 0) | (sides[x] != sides[y]))
+        x, y = x[open_], y[open_]
+        near[x] = near[y] = True
+        n += len(x)
+        if n <= PAIRS_A_POINT * len(points):
+            left.append(x)
+            right.append(y)
+    if n > PAIRS_A_POINT * len(points):
+        left = right = []
+    whole = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+    return whole(left), whole(right), near
+
+
 def _summed(pieces: DataFrame, dtype: str, bits: bool = False) -> np.ndarray:
     """(slot, data): arrays by slot, added up (or or-ed), as one array on the driver; its length is fixed."""
     wide = "uint8" if bits else "uint64"
@@ -160,23 +189,23 @@ def _texts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[tupl
 
 
 def _profiles(source: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Step 1: (doc_id, n, key) of every row, and the sketch of shingle counts."""
-    schema = "doc_id long, n long, key long, slot int, data binary"
+    """Step 1: (doc_id, n, key, point) of every row, and the sketch of shingle counts."""
+    schema = "doc_id long, n long, key long, point binary, slot int, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "n", "key", "slot", "data"]
+        names = ["doc_id", "n", "key", "point", "slot", "data"]
         some = False
         for ids, texts in _texts(batches):
             sets = list(shingle_sets(texts))
             some = True
             counts += np.bincount((np.concatenate(sets) & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
             none = pa.nulls(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() if len(s) else None for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         if some:
             slots = [k for k in range(len(counts) // PIECE) if counts[k * PIECE : (k + 1) * PIECE].any()]
             none = pa.nulls(len(slots)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(slots, pa.int32()), pa.array([counts[k * PIECE : (k + 1) * PIECE].tobytes() for k in slots], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none.cast(pa.string()).cast(pa.binary()), pa.array(slots, pa.int32()), pa.array([counts[k * PIECE : (k + 1) * PIECE].tobytes() for k in slots], pa.binary())], names=names)
 
     rows = common.saved(source.mapInArrow(run, schema), "profiles")
     pieces = rows.where("slot IS NOT NULL").select("slot", "data")
@@ -184,7 +213,7 @@ def _profiles(source: DataFrame) -> tuple[DataFrame, np.ndarray]:
     found = pieces.select("slot").distinct().orderBy("slot").collect()  # at most 2 ** SKETCH_BITS / PIECE
     for r, part in zip(found, _summed(pieces, "<u4").reshape(-1, PIECE)):
         sketch[r["slot"] * PIECE : (r["slot"] + 1) * PIECE] = part
-    return rows.where("slot IS NULL").select("doc_id", "n", "key"), sketch
+    return rows.where("slot IS NULL").select("doc_id", "n", "key", "point"), sketch
 
 
 def _roots(source: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -242,15 +271,16 @@ def _roots(source: DataFrame, sketch: np.ndarray) -> DataFrame:
     return common.saved(rows.mapInArrow(shared, "token long, key long"), "roots").distinct()
 
 
-def _needed_sets(source: DataFrame, needed: DataFrame) -> DataFrame:
-    """(key, set) for the keys in needed (key, doc_id: the least document with that set)."""
+def _sets_of(source: DataFrame, needed: DataFrame) -> DataFrame:
+    """(key, set) for at least the documents in needed (doc_id), by a scan that a filter of fixed size cuts down.
+
+    What the filter lets through beyond them has keys that no later join meets.
+    """
     mask = (1 << FILTER_BITS) - 1
     piece = 1 << 16
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = []
-        for batch in batches:
-            at.append(np.unique(_spread(batch.column(0).to_numpy()) & np.uint64(mask)))
+        at = [np.unique(_spread(batch.column(0).to_numpy()) & np.uint64(mask)) for batch in batches if batch.num_rows]
         if at:
             at = np.unique(np.concatenate(at)).astype(np.int64)
             for slot in np.unique(at // (8 * piece)):
@@ -269,14 +299,12 @@ def _needed_sets(source: DataFrame, needed: DataFrame) -> DataFrame:
         for ids, texts in _texts(batches):
             at = (_spread(np.array([i if i is not None else 0 for i in ids], np.int64)) & np.uint64(mask)).astype(np.int64)
             hit = wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
-            chosen = [(i, t) for i, t, h in zip(ids, texts, hit.tolist()) if h and i is not None]
+            chosen = [t for i, t, h in zip(ids, texts, hit.tolist()) if h and i is not None]
             for lo in range(0, len(chosen), 128):
-                some = chosen[lo : lo + 128]
-                sets = list(shingle_sets([t for _, t in some]))
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["d", "k", "set"])
+                sets = list(shingle_sets(chosen[lo : lo + 128]))
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])
 
-    sets = source.mapInArrow(emit, "d long, k long, set binary")
-    return common.saved(sets.join(needed, (F.col("d") == F.col("doc_id")) & (F.col("k") == F.col("key"))).select("key", "set").dropDuplicates(["key"]), "sets")
+    return source.mapInArrow(emit, "key long, set binary")
 
 
 def _spread(ids: np.ndarray) -> np.ndarray:
@@ -284,8 +312,22 @@ def _spread(ids: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def _joined_pages(pages: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pages (page, side, key, label) -> links (a, b) between keys, by an R-tree for each page."""
+def _joined_pages(pages: DataFrame, points: DataFrame, source: DataFrame, tag: str) -> DataFrame:
+    """Pages (page, side, key, label) -> links (a, b) between keys, by an R-tree for each page.
+
+    points: (key, doc_id, point). First the trees over the points alone say whose sets are needed.
+    """
+
+    columns = ["page", "side", "key", "label", "doc_id"]
+    names = [*columns, "key_b", "label_b", "doc_b"]
+
+    def near(table: pa.Table) -> pa.Table:
+        vectors = np.stack([np.frombuffer(x, "<u4") for x in table.column("point").to_pylist()]).astype(np.int64)
+        x, y, some = near_pairs(vectors, table.column("label").to_numpy(), table.column("side").to_numpy())
+        if len(x):
+            return pa.table([*table.select(columns).take(pa.array(x)).columns, *table.select(columns[2:]).take(pa.array(y)).columns], names=names)
+        own = table.select(columns).filter(pa.array(some))
+        return pa.table([*own.columns, *[pa.nulls(own.num_rows, pa.int64())] * 3], names=names)
 
     def join(table: pa.Table) -> pa.Table:
         rows = list(dict(zip(zip(table.column("key").to_pylist(), table.column("side").to_pylist()), zip(table.column("label").to_pylist(), table.column("set").to_pylist()))).items())
@@ -293,8 +335,15 @@ def _joined_pages(pages: DataFrame, sets: DataFrame) -> DataFrame:
         found = list(page_links([np.frombuffer(s, np.uint64) for _, (_, s) in rows], [x for _, (x, _) in rows], [side for (_, side), _ in rows])) if len(rows) > 1 else []
         return pa.table({"a": pa.array([keys[i] for i, _ in found], pa.int64()), "b": pa.array([keys[j] for _, j in found], pa.int64())})
 
-    full = pages.join(sets, "key").select("page", "side", "key", "label", "set")
-    return full.groupBy("page").applyInArrow(join, "a long, b long")
+    with_points = pages.join(points, "key").select("page", "side", "key", "label", "doc_id", "point")
+    met = common.saved(with_points.groupBy("page").applyInArrow(near, "page long, side int, key long, label long, doc_id long, key_b long, label_b long, doc_b long"), f"near-{tag}")
+    # a pair that several pages met is verified in one of them; pages that gave up pairs keep all their points
+    once = met.where("key_b IS NOT NULL").groupBy(F.least("key", "key_b").alias("low"), F.greatest("key", "key_b").alias("high")).agg(F.min(F.struct("page", "key", "label", "doc_id", "key_b", "label_b", "doc_b")).alias("r"))
+    member = lambda *c: once.select("r.page", F.lit(0).alias("side"), *[F.col(f"r.{x}") for x in c]).toDF(*columns)
+    rest = met.where("key_b IS NULL").select(columns).union(member("key", "label", "doc_id")).union(member("key_b", "label_b", "doc_b")).distinct()
+    rest = common.saved(rest, f"members-{tag}")
+    full = rest.join(_sets_of(source, rest), "key").select("page", "side", "key", "label", "set")
+    return common.saved(full.groupBy("page").applyInArrow(join, "a long, b long"), f"links-{tag}")
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -304,8 +353,8 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     profiles, sketch = _profiles(source)
     roots = common.saved(_roots(source, sketch), "trees")
     classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).dropna()
-    needed = common.saved(roots.select("key").distinct().join(classes, "key"), "needed")
-    sets = _needed_sets(source, needed)
+    needed = roots.select(F.col("key").alias("k")).distinct().join(classes.select(F.col("key").alias("k"), F.col("doc_id").alias("d")), "k")
+    points = common.saved(profiles.join(needed, (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k"))).select("key", "doc_id", "point"), "points")
 
     # Step 3: the page of the least set met in any tree.
     least = roots.groupBy(F.col("token").alias("t")).agg(F.min("key").alias("hub"))
@@ -316,7 +365,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     members = hubs.where("key <> hub").join(many, F.col("hub") == F.col("h")).select(page(F.col("hub"), F.pmod(F.xxhash64("key"), F.col("blocks"))).alias("page"), "key")
     centres = many.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(page(F.col("h"), F.col("b")).alias("page"), F.col("h").alias("key"))
     pages = members.union(centres).select("page", F.lit(0).alias("side"), "key", F.col("key").alias("label"))
-    found = common.saved(_joined_pages(pages, sets), "links-1")
+    found = _joined_pages(pages, points, source, "1")
 
     # Step 4: trees with sets of several components.
     root_of = components(found)
@@ -330,7 +379,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     with_other = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     pages = with_other.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("page"), side.alias("side"), "key", "label")
-    more = common.saved(_joined_pages(pages, sets), "links-2")
+    more = _joined_pages(pages, points, source, "2")
     roots_of = root_of.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
     return profiles, roots_of.union(more)
 
