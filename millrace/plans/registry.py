@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scoring, text
-from ..operators import attribution, audit, graph, reports, routing, stats
+from ..operators import attribution, audit, graph, logs, reports, routing, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -420,3 +420,49 @@ def q_all_or_nothing(spark, sf):
     spans = wanted.distinct().where("name >= 100").select("suite", "name", F.col("name").alias("start"), F.col("name").alias("end"))
     out = attribution.by_name_or_none(wanted, spans)
     return out.select("suite", (F.col("ranges")[0]["start"] - F.element_at("ranges", -1)["start"]).alias("width"))
+
+
+@query("""SELECT user_id, event_id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent_total FROM events""")
+def q_running_totals(spark, sf):
+    """What a run has spent so far."""
+    rows = table(spark, sf, "events", "user_id", "event_id", "ts", "value").withColumn("spent", F.floor("value"))
+    return logs.running_totals(rows, ["user_id"], ["ts", "event_id"], "spent").select("user_id", "event_id", F.col("spent_total").cast("long"))
+
+
+@query("""WITH c AS (SELECT role, turn % 3 AS g, len(text) AS n, len(string_split(text, ' ')) AS w FROM conversations)
+SELECT g, count(*) AS n_calls, CAST(sum(n) AS BIGINT) AS tokens_in, CAST(sum(w) AS BIGINT) AS tokens_out, round(CAST(sum(CASE WHEN role = 'user' THEN n ELSE 0 END) AS DOUBLE) / greatest(sum(n), 1), 6) AS thinking_share,
+round(CAST(sum(w) AS DOUBLE) / greatest(sum(n) * 1000000 / 1e9, 1.0), 6) AS tokens_a_second, count(*) FILTER (role = 'system') AS n_retries, count(*) FILTER (role = 'user') AS n_empty FROM c GROUP BY 1""")
+def q_call_figures(spark, sf):
+    """Figures of model calls by group."""
+    n, user = F.length("text"), F.col("role") == "user"
+    calls = table(spark, sf, "conversations").select(
+        (F.col("turn") % 3).alias("g"), n.alias("input_tokens"), F.size(F.split("text", " ", -1)).alias("output_tokens"), F.when(user, n).otherwise(0).alias("thinking_chars"), F.when(user, 0).otherwise(n).alias("answer_chars"),
+        (n.cast("long") * 1000000).alias("eval_duration"), F.when(F.col("role") == "system", "a:no_thinking_retry").otherwise("a").alias("node_name"), F.lit(0).alias("n_tool_calls"),
+    )
+    return logs.call_figures(calls, ["g"])
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS path, CAST(line AS INT) AS line, CAST(coalesce(sum(strlen(s) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM l""")
+def q_line_index(spark, sf):
+    """The byte at which each line begins."""
+    files = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return logs.line_starts(files).select("path", "line", F.col("start").cast("long"))
+
+
+@query("""WITH t AS (SELECT CAST(l_orderkey AS VARCHAR) AS class_key, CASE l_returnflag WHEN 'N' THEN 'self' WHEN 'A' THEN 'harness' ELSE 'model_best' END AS kind, l_linenumber AS n_tests FROM lineitem), s AS (SELECT count(*) AS classes, count(*) FILTER (EXISTS (SELECT 1 FROM t WHERE t.class_key = CAST(o_orderkey AS VARCHAR) AND kind = 'self')) AS self_served FROM orders)
+SELECT classes, self_served, classes - self_served AS fall_through, round(100.0 * (classes - self_served) / classes, 6) AS harness_usage_pct, (SELECT count(*) FROM t) AS targets, (SELECT count(*) FROM t WHERE kind = 'harness') AS rescued, (SELECT median(CAST(n_tests AS DOUBLE)) FROM t) AS median_target_tests FROM s""")
+def q_round_summary(spark, sf):
+    """The summary of a round."""
+    targets = table(spark, sf, "lineitem").selectExpr("cast(l_orderkey AS string) AS class_key", "CASE l_returnflag WHEN 'N' THEN 'self' WHEN 'A' THEN 'harness' ELSE 'model_best' END AS kind", "l_linenumber AS n_tests")
+    return logs.round_summary(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("class_key")), targets)
+
+
+@query("""WITH c AS (SELECT source AS cut, lang AS pattern, n_chars AS chars, doc_id % 3 = 0 AS needed FROM documents), e AS (SELECT cut, pattern, count(*) AS n, count(*) FILTER (needed) AS n_needed, sum(chars) AS chars FROM c GROUP BY 1, 2),
+g AS (SELECT * FROM (SELECT DISTINCT source AS cut FROM documents), (SELECT unnest(['en', 'fr', 'de', 'xx']) AS pattern))
+SELECT pattern, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n, CAST(sum(coalesce(n_needed, 0)) AS BIGINT) AS n_needed, CAST(sum(coalesce(chars, 0)) AS BIGINT) AS chars, median(CAST(coalesce(chars, 0) AS DOUBLE)) AS median_chars FROM g LEFT JOIN e USING (cut, pattern) GROUP BY 1""")
+def q_pattern_stats(spark, sf):
+    """Figures of retrieval patterns, with zeros for classes they don't reach."""
+    d = table(spark, sf, "documents", "doc_id", "source", "lang", "n_chars")
+    candidates = d.select(F.col("source").alias("cut"), F.col("lang").alias("pattern"), F.col("n_chars").alias("chars"), (F.col("doc_id") % 3 == 0).alias("needed"))
+    return audit.pattern_stats(candidates, candidates.select("cut").distinct(), ["en", "fr", "de", "xx"])
