@@ -2,7 +2,8 @@
 
 Shingles are hashed into groups; a text's point counts its shingles by group. Two texts share at
 most the sum over groups of the smaller count, and two boxes of points at most that of their upper
-corners: pairs of boxes, then of points, that cannot share enough are cut off, the rest is verified
+corners (a longer text has more groups, up to a bound, so that its counts stay small and tell much;
+a point of twice as many groups is folded where it meets one of fewer): pairs of boxes, then of points, that cannot share enough are cut off, the rest is verified
 on the sets.
 
 One tree over all texts cannot prune: points of unrelated texts of one length lie closer together
@@ -40,11 +41,12 @@ from .shingles import shingle_sets
 
 #: Similarity in hundredths.
 LEAST = 80
-SKETCH_BITS, PIECE = 18, 1024
+SKETCH_BITS, PIECE = 20, 4096
 #: Bits of the filter that tells which sets are needed; beyond, more sets than needed are shuffled.
 FILTER_BITS = 24
-#: Groups of a count vector, points in a leaf, texts in a page (block pairs hold twice as many).
-GROUPS, LEAF, PAGE = 64, 16, 256
+#: Fewest and most groups of a count vector and the mean count of a group between them, points in a
+#: leaf, texts in a page (block pairs hold twice as many).
+FEWEST, MOST, MEAN, LEAF, PAGE = 64, 1024, 8, 16, 256
 #: Pairs that a page names for each of its points; with more it names the points.
 PAIRS_A_POINT = 16
 #: Parts among which the rows of a frequent root are dealt.
@@ -60,9 +62,23 @@ def root_count(n: int) -> int:
     return n - -(-LEAST * n // 100) + 1
 
 
+def groups(n: int) -> int:
+    """The number of groups for a set of n elements: a power of two."""
+    g = FEWEST
+    while g < MOST and g * MEAN < n:
+        g *= 2
+    return g
+
+
 def point(s: np.ndarray) -> np.ndarray:
     """A set's count vector."""
-    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
+    g = groups(len(s))
+    counts = np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g)
+    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4")
+
+
+def read_point(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * groups(n) else "<u4").astype(np.int64)
 
 
 class RTree:
@@ -112,6 +128,24 @@ class RTree:
                 yield x[i], y[j]
 
 
+def bounded_pairs(points: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a page's texts that may share enough, by a tree for each number of groups.
+
+    Each tree holds the points of so many groups and, folded, those of twice as many; pairs of two
+    folded ones are left to their own tree. Sizes further apart than that can't be similar.
+    """
+    own = np.array([len(p) for p in points])
+    for g in np.unique(own).tolist():
+        at = np.flatnonzero((own == g) | (own == 2 * g))
+        if len(at) < 2:
+            continue
+        folded = np.stack([points[i] if own[i] == g else points[i][:g] + points[i][g:] for i in at.tolist()])
+        for x, y in RTree(folded, sizes[at]).pairs():
+            x, y = at[x], at[y]
+            mine = (own[x] == g) | (own[y] == g)
+            yield x[mine], y[mine]
+
+
 def page_links(sets: list[np.ndarray], labels: list, sides: list[int]) -> Iterator[tuple[int, int]]:
     """Links that join a page's texts: a forest, given that texts of equal label are joined already.
 
@@ -129,8 +163,7 @@ def page_links(sets: list[np.ndarray], labels: list, sides: list[int]) -> Iterat
     for i, label in enumerate(labels):
         parent[i] = first.setdefault(label, i)
     sizes = np.array([len(s) for s in sets])
-    points = np.stack([point(s) for s in sets]).astype(np.int64)
-    for x, y in RTree(points, sizes).pairs():
+    for x, y in bounded_pairs([point(s).astype(np.int64) for s in sets], sizes):
         for i, j in zip(x.tolist(), y.tolist()):
             if sides[i] and sides[i] == sides[j] or (p := find(i)) == (q := find(j)):
                 continue
@@ -142,13 +175,13 @@ def page_links(sets: list[np.ndarray], labels: list, sides: list[int]) -> Iterat
                 yield i, j
 
 
-def near_pairs(points: np.ndarray, labels: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(points: list[np.ndarray], labels: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a page's points of different labels that may share enough, and which points are in any.
 
     Beyond PAIRS_A_POINT pairs for each point the pairs are given up; the points in them are told all the same.
     """
     near, left, right, n = np.zeros(len(points), bool), [], [], 0
-    for x, y in RTree(points, points.sum(1)).pairs():
+    for x, y in bounded_pairs(points, np.array([p.sum() for p in points])):
         open_ = (labels[x] != labels[y]) & ((sides[x] == 0) | (sides[x] != sides[y]))
         x, y = x[open_], y[open_]
         near[x] = near[y] = True
@@ -315,14 +348,14 @@ def _spread(ids: np.ndarray) -> np.ndarray:
 def _joined_pages(pages: DataFrame, points: DataFrame, source: DataFrame, tag: str) -> DataFrame:
     """Pages (page, side, key, label) -> links (a, b) between keys, by an R-tree for each page.
 
-    points: (key, doc_id, point). First the trees over the points alone say whose sets are needed.
+    points: (key, doc_id, n, point). First the trees over the points alone say whose sets are needed.
     """
 
     columns = ["page", "side", "key", "label", "doc_id"]
     names = [*columns, "key_b", "label_b", "doc_b"]
 
     def near(table: pa.Table) -> pa.Table:
-        vectors = np.stack([np.frombuffer(x, "<u4") for x in table.column("point").to_pylist()]).astype(np.int64)
+        vectors = [read_point(x, n) for x, n in zip(table.column("point").to_pylist(), table.column("n").to_pylist())]
         x, y, some = near_pairs(vectors, table.column("label").to_numpy(), table.column("side").to_numpy())
         if len(x):
             return pa.table([*table.select(columns).take(pa.array(x)).columns, *table.select(columns[2:]).take(pa.array(y)).columns], names=names)
@@ -335,7 +368,7 @@ def _joined_pages(pages: DataFrame, points: DataFrame, source: DataFrame, tag: s
         found = list(page_links([np.frombuffer(s, np.uint64) for _, (_, s) in rows], [x for _, (x, _) in rows], [side for (_, side), _ in rows])) if len(rows) > 1 else []
         return pa.table({"a": pa.array([keys[i] for i, _ in found], pa.int64()), "b": pa.array([keys[j] for _, j in found], pa.int64())})
 
-    with_points = pages.join(points, "key").select("page", "side", "key", "label", "doc_id", "point")
+    with_points = pages.join(points, "key").select("page", "side", "key", "label", "doc_id", "n", "point")
     met = common.saved(with_points.groupBy("page").applyInArrow(near, "page long, side int, key long, label long, doc_id long, key_b long, label_b long, doc_b long"), f"near-{tag}")
     # a pair that several pages met is verified in one of them; pages that gave up pairs keep all their points
     once = met.where("key_b IS NOT NULL").groupBy(F.least("key", "key_b").alias("low"), F.greatest("key", "key_b").alias("high")).agg(F.min(F.struct("page", "key", "label", "doc_id", "key_b", "label_b", "doc_b")).alias("r"))
@@ -354,7 +387,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     roots = common.saved(_roots(source, sketch), "trees")
     classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).dropna()
     needed = roots.select(F.col("key").alias("k")).distinct().join(classes.select(F.col("key").alias("k"), F.col("doc_id").alias("d")), "k")
-    points = common.saved(profiles.join(needed, (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k"))).select("key", "doc_id", "point"), "points")
+    points = common.saved(profiles.join(needed, (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k"))).select("key", "doc_id", "n", "point"), "points")
 
     # Step 3: the page of the least set met in any tree.
     least = roots.groupBy(F.col("token").alias("t")).agg(F.min("key").alias("hub"))

@@ -487,11 +487,10 @@ def test_op9(spark, odd, empty, monkeypatch, page):
 
 def test_page_links_and_tree():
     rng = np.random.default_rng(4)
-    base = np.unique(rng.integers(0, 1 << 62, 400, dtype=np.uint64))
-    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(200, 400)], rng.integers(0, 1 << 62, rng.integers(0, 60), dtype=np.uint64)])) for _ in range(70)]
+    base = np.unique(rng.integers(0, 1 << 62, 600, dtype=np.uint64))  # sizes on both sides of a change of groups
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(300, 600)], rng.integers(0, 1 << 62, rng.integers(0, 90), dtype=np.uint64)])) for _ in range(70)]
     linked = {(i, j) for i in range(70) for j in range(i) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - k)}
-    points = np.stack([np.bincount((s & np.uint64(63)).astype(int), minlength=64) for s in sets])
-    met = [{*p} for x, y in jaccard.RTree(points, np.array([len(s) for s in sets])).pairs() for p in zip(x.tolist(), y.tolist())]
+    met = [{*p} for x, y in jaccard.bounded_pairs([jaccard.point(s).astype(int) for s in sets], np.array([len(s) for s in sets])) for p in zip(x.tolist(), y.tolist())]
     assert all({i, j} in met for i, j in linked) and len(met) == len({frozenset(m) for m in met})
     forest = list(jaccard.page_links(sets, list(range(70)), [0] * 70))
     assert all((max(p), min(p)) in linked for p in forest)
