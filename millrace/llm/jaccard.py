@@ -44,9 +44,10 @@ LEAST = 80
 SKETCH_BITS, PIECE = 20, 4096
 #: Bits of the filter that tells which sets are needed; beyond, more sets than needed are shuffled.
 FILTER_BITS = 24
-#: Fewest and most groups of a count vector and the mean count of a group between them, points in a
+#: Fewest and most groups of a count vector and the greatest mean count of a group between them (by
+#: chance, unrelated texts share two fifths of their bound at a mean of 1, four fifths at 8), points in a
 #: leaf, texts in a page (block pairs hold twice as many).
-FEWEST, MOST, MEAN, LEAF, PAGE = 64, 1024, 8, 16, 256
+FEWEST, MOST, MEAN, LEAF, PAGE = 64, 1 << 14, 1, 16, 256
 #: Pairs that a page names for each of its points; with more it names the points.
 PAIRS_A_POINT = 16
 #: Parts among which the rows of a frequent root are dealt.
@@ -74,11 +75,12 @@ def point(s: np.ndarray) -> np.ndarray:
     """A set's count vector."""
     g = groups(len(s))
     counts = np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g)
-    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4")
+    top = int(counts.max())
+    return counts.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4")
 
 
 def read_point(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * groups(n) else "<u4").astype(np.int64)
+    return np.frombuffer(data, f"<u{len(data) // groups(n)}").astype(np.int32)
 
 
 class RTree:
@@ -163,7 +165,7 @@ def page_links(sets: list[np.ndarray], labels: list, sides: list[int]) -> Iterat
     for i, label in enumerate(labels):
         parent[i] = first.setdefault(label, i)
     sizes = np.array([len(s) for s in sets])
-    for x, y in bounded_pairs([point(s).astype(np.int64) for s in sets], sizes):
+    for x, y in bounded_pairs([point(s).astype(np.int32) for s in sets], sizes):
         for i, j in zip(x.tolist(), y.tolist()):
             if sides[i] and sides[i] == sides[j] or (p := find(i)) == (q := find(j)):
                 continue
