@@ -79,7 +79,9 @@ def plan(sized: DataFrame, most: int = MOST_COPIES, weights: tuple = WEIGHTS) ->
         # the boundary's own fine bucket comes in if that ends nearer to the budget
         (F.col("b") * width + (F.col("bucket") + F.when(F.col("upto") - F.col("budget") < F.col("budget") - F.col("before"), 1).otherwise(0)) * fine_width).alias("threshold"),
     )
-    return goals.join(second, F.col("s").eqNullSafe(F.col("s2")), "left").select(F.col("s").alias("source"), "source_size", "target", "copies", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    rows = goals.join(second, F.col("s").eqNullSafe(F.col("s2")), "left").select(F.col("s").alias("source"), "source_size", "target", "copies", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    # written, so that Spark knows its size and sends it to the rows instead of dealing these by source
+    return common.saved(rows, "mix-plan")
 
 
 def sized_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
