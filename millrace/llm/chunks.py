@@ -136,24 +136,28 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = PASSAGE_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Runs of repeated chunks without a gap, of at least min_words words.
+    """Runs of repeated chunks without a gap, of at least min_words words, parted where first places and repeats meet.
 
     doc_id, start, stop (code points), n_words, n_chunks, first_doc_id (the least of the chunks' first
-    documents; doc_id itself where the run is the first of its kind), max_places and is_first.
+    documents), max_places and is_first: whether the chunks' first places are these very ones. Each
+    chunk's first place is in a span with is_first or in none. min_words holds for the whole run; a
+    part of it may have fewer.
     """
     rows = repeated_chunks(docs, doc_id, text).distinct()
-    order = Window.partitionBy("doc_id").orderBy("start")
-    rows = rows.withColumn("gap", F.coalesce((F.col("start") > F.lag("stop").over(order)).cast("int"), F.lit(0)))
-    rows = rows.withColumn("run", F.sum("gap").over(order))
-    spans = rows.groupBy("doc_id", "run").agg(
+    order = Window.partitionBy("doc_id").orderBy("start", "stop", "first_doc_id", "first_start")
+    rows = rows.withColumn("own", (F.col("first_doc_id") == F.col("doc_id")) & (F.col("first_start") == F.col("start")))
+    rows = rows.withColumn("gap", F.coalesce(F.col("start") > F.lag("stop").over(order), F.lit(False))).withColumn("turn", F.coalesce(F.col("own") != F.lag("own").over(order), F.lit(False)))
+    rows = rows.withColumn("run", F.sum(F.col("gap").cast("int")).over(order)).withColumn("part", F.sum((F.col("gap") | F.col("turn")).cast("int")).over(order))
+    spans = rows.groupBy("doc_id", "run", "part").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"),
-        F.min("first_doc_id").alias("first_doc_id"), F.max("n_places").alias("max_places"), F.bool_and(F.col("first_doc_id") == F.col("doc_id")).alias("is_first"),
+        F.min("first_doc_id").alias("first_doc_id"), F.max("n_places").alias("max_places"), F.bool_and("own").alias("is_first"),
     )
-    return spans.where(F.col("n_words") >= min_words).drop("run")
+    spans = spans.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
+    return spans.where(F.col("run_words") >= min_words).drop("run", "part", "run_words")
 
 
 def dedup(docs: DataFrame, min_words: int = PASSAGE_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs (one row for each doc_id) without the repeated spans that are not the first of their kind."""
+    """docs (one row for each doc_id) without the repeated spans that are not the first of their kind; each chunk stays at its first place."""
     cut = repeated_spans(docs, min_words, doc_id, text).where(~F.col("is_first"))
     (own,) = common.fresh(docs, "spans")
     cut = cut.groupBy(F.col("doc_id").alias(f"{own}_id")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(own))  # of one document

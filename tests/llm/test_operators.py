@@ -552,5 +552,19 @@ def test_op1(spark, empty, odd):
 # all of them
 
 
+def test_dedup_keeps_each_chunk_once(spark):
+    rng = random.Random(11)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    a, b, edit = sentence(150), sentence(150), sentence(40)
+    texts = {1: f"{a} {b}", 2: f"{a} {edit} {b}", 3: f"{a} {edit} {b}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in chunks.dedup(docs).collect()}
+    for t in texts.values():
+        cuts = [0, *chunks.ends(np.frombuffer(t.encode(), np.uint8))]
+        assert all(any(t[i:j] in c for c in clean.values()) for i, j in zip(cuts, cuts[1:]))
+    assert clean[1] == texts[1] and edit in clean[2] and len(clean[2]) < 2 * len(edit) + 512 and clean[3] == ""
+    assert sum(r["n_words"] for r in chunks.repeated_spans(docs).where("doc_id = 3").collect()) == len(texts[3].split())
+
+
 def test_common(spark, tmp_path):
     assert common.fresh(spark.createDataFrame([(1,)], "Tag int"), "tag", "tag") == ["_tag", "__tag"]
