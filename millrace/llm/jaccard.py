@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import common
 from .components import components
@@ -307,9 +307,10 @@ def _roots(source: DataFrame, sketch: np.ndarray) -> DataFrame:
 
 
 def _sets_of(source: DataFrame, needed: DataFrame) -> DataFrame:
-    """(key, set) for at least the documents in needed (doc_id), by a scan that a filter of fixed size cuts down.
+    """(key, set) for at least the documents in needed (doc_id, key), by a scan that a filter of fixed size cuts down.
 
-    What the filter lets through beyond them has keys that no later join meets.
+    A document is asked for by its doc_id or, without one, by its set's key, and rows without a doc_id
+    give each set once a task. What the filter lets through beyond them has keys that no later join meets.
     """
     mask = (1 << FILTER_BITS) - 1
     piece = 1 << 16
@@ -323,25 +324,41 @@ def _sets_of(source: DataFrame, needed: DataFrame) -> DataFrame:
                 own[at[at // (8 * piece) == slot] % (8 * piece)] = 1
                 yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([np.packbits(own).tobytes()])], names=["slot", "data"])
 
-    pieces = common.saved(needed.select("doc_id").mapInArrow(bits, "slot int, data binary"), "filter")
+    pieces = common.saved(needed.select(F.coalesce("doc_id", "key")).mapInArrow(bits, "slot int, data binary"), "filter")
     found = [r["slot"] for r in pieces.select("slot").distinct().orderBy("slot").collect()]
     table = np.zeros((mask + 1) // 8, np.uint8)
     for slot, part in zip(found, _summed(pieces, "u1", bits=True).reshape(-1, piece)):
         table[slot * piece : (slot + 1) * piece] = part
     wanted = source.sparkSession.sparkContext.broadcast(table)  # 2 ** FILTER_BITS bits
 
+    def asked(ids: list[int]) -> list[int]:
+        at = (_spread(np.array(ids, np.int64)) & np.uint64(mask)).astype(np.int64)
+        return (wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).tolist()
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for ids, texts in _texts(batches):
-            at = (_spread(np.array([i if i is not None else 0 for i in ids], np.int64)) & np.uint64(mask)).astype(np.int64)
-            hit = wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
-            chosen = [t for i, t, h in zip(ids, texts, hit.tolist()) if h and i is not None]
+            named = [(i, t) for i, t in zip(ids, texts) if i is not None]
+            chosen = [t for (_, t), h in zip(named, asked([i for i, _ in named])) if h]
             for lo in range(0, len(chosen), 128):
                 sets = list(shingle_sets(chosen[lo : lo + 128]))
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])
+                yield _key_sets([_digest(s) for s in sets], sets)
+            unnamed = [t for i, t in zip(ids, texts) if i is None]
+            for lo in range(0, len(unnamed), 128):
+                found = {_digest(s): s for s in shingle_sets(unnamed[lo : lo + 128]) if len(s)}
+                keys = [k for k, h in zip(found, asked(list(found))) if h and k not in seen]
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.update(keys)
+                yield _key_sets(keys, [found[k] for k in keys])
 
     return source.mapInArrow(emit, "key long, set binary")
 
 
+def _key_sets(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])
+
+
 def _spread(ids: np.ndarray) -> np.ndarray:
     x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ x >> np.uint64(29)
@@ -387,9 +404,12 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
     profiles, sketch = _profiles(source)
     roots = common.saved(_roots(source, sketch), "trees")
-    classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).dropna()
+    classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     needed = roots.select(F.col("key").alias("k")).distinct().join(classes.select(F.col("key").alias("k"), F.col("doc_id").alias("d")), "k")
-    points = common.saved(profiles.join(needed, (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k"))).select("key", "doc_id", "n", "point"), "points")
+    # a set that only rows without a doc_id have is one point, however many they are
+    unnamed = profiles.where("doc_id IS NULL AND n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+    each = profiles.where("doc_id IS NOT NULL").unionByName(unnamed.withColumn("doc_id", F.lit(None).cast("long")))
+    points = common.saved(each.join(needed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("key", "doc_id", "n", "point"), "points")
 
     # Step 3: the page of the least set met in any tree.
     least = roots.groupBy(F.col("token").alias("t")).agg(F.min("key").alias("hub"))
@@ -419,6 +439,21 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     return profiles, roots_of.union(more)
 
 
+def _components(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, key) of every row, and each distinct set's k, its component's root and component_id."""
+    profiles, forest = links(docs, doc_id, text)
+    root_of = components(forest)
+    classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
+    named = common.saved(classes.join(root_of, F.col("key") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("root", "key").alias("root"), "first"), "classes")
+    names = named.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
+    return profiles, common.saved(named.join(names, F.col("root") == F.col("r")).select("k", "root", "component_id"), "named")
+
+
+def _grouped(profiles: DataFrame, named: DataFrame) -> DataFrame:
+    rows = profiles.join(named, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's doc_id, n_shingles and component_id, the least doc_id reachable by links.
 
@@ -427,22 +462,41 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     be a link's end but not a component's name; alone with others like it, its component is null. An
     empty table gives no rows.
     """
-    profiles, forest = links(docs, doc_id, text)
-    root_of = components(forest)
-    classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
-    named = common.saved(classes.join(root_of, F.col("key") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("root", "key").alias("root"), "first"), "classes")
-    names = named.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
-    named = common.saved(named.join(names, F.col("root") == F.col("r")).select("k", "component_id"), "named")
-    rows = profiles.join(named, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return _grouped(*_components(docs, doc_id, text))
+
+
+def _with_keys(docs: DataFrame, text: str, own: str) -> DataFrame:
+    """docs with the key of each text's set, null for an empty set, as column `own`."""
+    (whole,) = common.fresh(docs, "whole_text")
+    schema = T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())])
+    n = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                keys = pa.array([_digest(s) if len(s) else None for s in shingle_sets(part.column(n).to_pylist())], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], keys], names=schema.names)
+
+    return docs.withColumn(whole, F.col(f"`{text}`").cast("binary")).mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows of a component other than its first document's."""
-    groups = similar_groups(docs, doc_id, text)
-    (own,) = common.fresh(docs, "kept_id")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col(own)), "left_semi")
+    """docs without the rows of a component other than its first document's.
+
+    Of a component of rows without a doc_id one row is kept; those in a component with a name go.
+    """
+    profiles, named = _components(docs, doc_id, text)
+    own, root, row = common.fresh(docs, "kept_id", "kept_root", "kept_row")
+    kept = _grouped(profiles, named).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(own)).distinct()
+    with_id = docs.join(kept, F.col(f"`{doc_id}`") == F.col(own), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    unnamed = common.saved(_with_keys(docs.where(F.col(f"`{doc_id}`").isNull()), text, own), "unnamed")
+    alone = named.where("component_id IS NULL").select(F.col("k").alias(f"{own}_k"), F.col("root").alias(root))
+    hashed = [c for c, f in zip(columns, docs.schema.fields) if "map<" not in f.dataType.simpleString()]
+    order = F.struct(own, F.xxhash64(*hashed))
+    one = unnamed.join(alone, F.col(own) == F.col(f"{own}_k")).groupBy(root).agg(F.min_by(F.struct(*columns), order).alias(row))
+    return with_id.unionByName(unnamed.where(F.col(own).isNull()).select(*columns)).unionByName(one.select(*[F.col(row)[c].alias(c) for c in docs.columns]))
 
 
 def op9_count_vector_rtree(spark, sf_dir: str) -> DataFrame:

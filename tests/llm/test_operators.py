@@ -485,6 +485,23 @@ def test_op9(spark, odd, empty, monkeypatch, page):
     assert jaccard.similar_groups(empty).count() == 0 and jaccard.keep_one(odd).columns == odd.columns
 
 
+def test_rows_without_doc_id_are_linked(spark):
+    w = [f"v{i}" for i in range(400)]
+    change = lambda t, at: " ".join("z" if i in at else x for i, x in enumerate(t))
+    a, b = w[:200], w[200:]
+    # 1 and 2 are joined by the row between them alone; the second half has no doc_id at all
+    rows = [(1, change(a, set())), (None, change(a, {20, 60, 100})), (2, change(a, {20, 60, 80, 100, 140, 180}))]
+    rows += [(None, change(b, set())), (None, change(b, {50})), (None, change(b, {50})), (None, ""), (None, None), (3, "quite another text of some words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components_by_force(rows)
+    assert sum(1 for d, _, c in want.elements() if d == 2 and c == 1) == 1
+    assert components_by_force([r for r in rows if r[0] is not None])[(2, len(shingle_set(rows[2][1])), 2)] == 1
+    assert Counter(map(tuple, jaccard.similar_groups(docs).collect())) == want
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect())
+    assert sum(n for (d, t), n in kept.items() if d is None and t) == 1 and all(t in (None, "", rows[3][1], rows[4][1]) for d, t in kept if d is None)
+    assert {d for d, _ in kept if d is not None} == {1, 3} and kept[(None, "")] == kept[(None, None)] == 1
+
+
 def test_page_links_and_tree():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 1 << 62, 600, dtype=np.uint64))  # sizes on both sides of a change of groups
