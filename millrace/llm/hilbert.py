@@ -95,16 +95,18 @@ def placed(rows: DataFrame, shards: int, cell: str = "cell", key: str = "key") -
     return rows.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("rank") - start).cast("long")).drop("rank")
 
 
-def metadata(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def metadata(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", whole: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, the dimensions' bins, the curve's cell and a key that tells rows apart.
 
     Size is the text's UTF-8 bytes and 1; a null text has none. Null languages and sources are in bin
-    0, null doc_ids are ordered by their texts. Equal rows get places next to each other.
+    0, null doc_ids are ordered by their texts. Equal rows get places next to each other. If `whole`,
+    the row itself goes along as `document`.
     """
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
         name_bin(F.col(f"`{lang}`").cast("string")).alias("lang_bin"), name_bin(F.col(f"`{source}`").cast("string")).alias("source_bin"), F.xxhash64(F.col(f"`{doc_id}`"), t).alias("key"),
+        *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")] * whole,
     ).withColumn("size_bin", size_bin(F.col("size")))
     return curve_index(rows, [f"{d}_bin" for d in DIMENSIONS], "cell")
 
@@ -132,10 +134,13 @@ def prune(manifest_rows: DataFrame, **wanted: tuple[int, int]) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, n: int, path: str, doc_id: str = "doc_id") -> DataFrame:
-    """Write docs (one row for each doc_id) under `path`, a folder for each shard in curve order; returns the manifest."""
-    rows = common.saved(shards(docs, n, doc_id=doc_id), "shards")
+    """Write docs under `path`, a folder for each shard in curve order; returns the manifest.
+
+    Each row is written once, at its own place, repeated rows and rows without a doc_id too.
+    """
+    rows = common.saved(placed(metadata(docs, doc_id=doc_id, whole=True), n), "shards")
     at, slot = common.fresh(docs, "shard", "slot")
-    placed_docs = docs.join(rows.select(F.col("doc_id").alias(f"{at}_id"), F.col("shard").alias(at), F.col("slot").alias(slot)), F.col(f"`{doc_id}`").eqNullSafe(F.col(f"{at}_id"))).drop(f"{at}_id")
+    placed_docs = rows.select(*[F.col("document")[c].alias(c) for c in docs.columns], F.col("shard").alias(at), F.col("slot").alias(slot))
     placed_docs.repartitionByRange(at, slot).sortWithinPartitions(at, slot).drop(slot).write.partitionBy(at).parquet(path)
     return manifest(rows)
 

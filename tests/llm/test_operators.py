@@ -213,6 +213,14 @@ def test_write_shards(spark, small, tmp_path):
     assert back.count() == len(small) and back.select("shard").distinct().count() == 4
 
 
+def test_write_shards_writes_each_row_once(spark, odd, tmp_path):
+    docs = odd.union(odd.where("doc_id IS NULL OR doc_id = 8")).union(spark.createDataFrame([(None, "other text", "fr", "a", "clash"), (8, "x", "fr", "b", "clash")], odd.schema))
+    listed = {r["shard"]: r["n_rows"] for r in hilbert.write_shards(docs, 4, str(tmp_path / "s")).collect()}
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter(tuple(r) for r in back.select(docs.columns).collect()) == Counter(tuple(r) for r in docs.collect())
+    assert {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()} == listed
+
+
 # operator 5
 
 
