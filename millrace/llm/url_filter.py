@@ -38,8 +38,8 @@ def keys_of(url: Column) -> Column:
     labels = F.split(host, r"\.")
     steps = F.filter(F.split(path, "/"), lambda s: s != "")
     key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: key("domain", F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    prefixes = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1))), lambda i: key("prefix", F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")))))
+    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: key("domain", F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    prefixes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(steps), F.lit(0))), lambda i: key("prefix", F.array_join(F.concat(F.array(host), F.slice(steps, F.lit(1), i)), "/")))
     none = F.expr("cast(array() as array<struct<kind:string,key:string>>)")
     return F.when(host.isNull(), none).otherwise(F.array_distinct(F.concat(F.array(key("host", host)), domains, F.coalesce(prefixes, none))))
 
@@ -48,10 +48,13 @@ def intervals(changes: DataFrame) -> DataFrame:
     """(kind, key, verdict, changed_at) -> (kind, key, verdict, valid_from, valid_to).
 
     `verdict` is allow, block or remove. Of changes of one entry at one time the last of remove,
-    block, allow holds. Changes without a kind, key, verdict or time are no changes.
+    block, allow holds. Empty steps of a prefix don't count, as in keys_of(): `host/` is all of a host.
+    Changes without a kind, key, verdict or time are no changes.
     """
     rows = changes.select("kind", F.lower("key").alias("key_lower"), "key", "verdict", "changed_at").dropna()
-    rows = rows.withColumn("key", F.when(F.col("kind") == "prefix", F.concat(F.lower(F.substring_index("key", "/", 1)), F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)"))).otherwise(F.col("key_lower"))).drop("key_lower")
+    parts = F.split("key", "/")
+    steps = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda s: s != "")
+    rows = rows.withColumn("key", F.when(F.col("kind") == "prefix", F.array_join(F.concat(F.array(F.lower(parts[0])), steps), "/")).otherwise(F.col("key_lower"))).drop("key_lower")
     order = F.when(F.col("verdict") == "remove", 0).when(F.col("verdict") == "block", 1).otherwise(2)
     last = rows.groupBy("kind", "key", "changed_at").agg(F.max_by("verdict", order).alias("verdict"))
     ends = F.lead("changed_at").over(Window.partitionBy("kind", "key").orderBy("changed_at"))

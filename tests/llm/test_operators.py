@@ -538,6 +538,14 @@ def test_op10_cases(spark):
     assert url_filter.evaluate(rows.select("page_id", "url", "fetched_at"), lists.where("false")).where("verdict <> 'none'").count() == 0
 
 
+def test_op10_last_label_and_slashes(spark):
+    entries = [("domain", "ru", "block", "2024-01-01"), ("prefix", "Host.com/en/", "block", "2024-01-01"), ("prefix", "host.com//de//x/", "block", "2024-01-01"), ("prefix", "all.com/", "block", "2024-01-01")]
+    lists = url_filter.intervals(spark.createDataFrame(entries, "kind string, key string, verdict string, changed_at string").withColumn("changed_at", F.to_timestamp("changed_at")))
+    cases = [("http://a.b.ru/", "block"), ("http://ru/", "block"), ("http://a.bru/", "none"), ("http://host.com/en/x", "block"), ("http://host.com/en", "block"), ("http://host.com/end", "none"), ("http://host.com/de/x", "block"), ("http://host.com/de", "none"), ("http://all.com/a", "block"), ("http://all.com", "block")]
+    rows = url_filter.evaluate(spark.createDataFrame([(u, "2024-02-01") for u, _ in cases], "url string, fetched_at string"), lists)
+    assert {r["url"]: r["verdict"] for r in rows.collect()} == dict(cases)
+
+
 # operator 1
 
 
