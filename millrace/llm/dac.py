@@ -18,6 +18,8 @@ All numbers are little-endian.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -192,10 +194,11 @@ class Reader:
             yield None if null else doc, start, held[start - first : end - first]
 
 
-def library_encoder(tokenizer_json: str, memory: int = 1_000_000) -> Callable[[str], bytes]:
+def library_encoder(tokenizer_json: str, memory: int = 1_000_000, added: bool = False) -> Callable[[str], bytes]:
     """Text to packed ids by the tokenizers library, which sees each distinct segment once.
 
-    Strings of special tokens are ordinary text. A word, which the pattern doesn't cut, goes to the
+    Strings of special tokens are ordinary text or, if `added`, the added tokens, as in the library's
+    default call: they cut the text before the pattern does. A word, which the pattern doesn't cut, goes to the
     library's model at once, in the letters that stand for its bytes; any other segment to the whole
     tokenizer.
     """
@@ -210,10 +213,27 @@ def library_encoder(tokenizer_json: str, memory: int = 1_000_000) -> Callable[[s
     word = lambda s: struct.pack(f"<{len(t := tokenize(s.encode().decode('latin-1').translate(letters)))}I", *[x.id for x in t])
     other = lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
     known = by_segment(word, other, memory)
-    return lambda text: b"".join(map(known.__getitem__, segments(text)))
+    ordinary = lambda text: b"".join(map(known.__getitem__, segments(text)))
+    tokens = json.loads(tokenizer_json).get("added_tokens") or []
+    if not added or not tokens:
+        return ordinary
+    if any(t[flag] for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        default = Tokenizer.from_str(tokenizer_json)
+        return lambda text: np.array(default.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    ids = {t["content"]: struct.pack("<I", t["id"]) for t in tokens}
+    cut = re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True))))
 
+    def encode(text: str) -> bytes:
+        out, at = [], 0
+        for m in cut.finditer(text):
+            out += [ordinary(text[at : m.start()]), ids[m[0]]]
+            at = m.end()
+        return b"".join([*out, ordinary(text[at:])])
 
-_encoders: dict[int, Callable[[str], bytes]] = {}
+    return encode
+
+
+_encoders: dict[tuple[int, bool], Callable[[str], bytes]] = {}
 
 
 def _filesystem(uri: str):
@@ -222,11 +242,11 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, added: bool = False) -> DataFrame:
     """Encode every whole text, append end_id, write ids to files under `folder` in ascending doc_id order.
 
     Returns the written files: part, path, n_docs, n_tokens (with end ids), first_token (of all ids
-    before the file). A null or empty text has only its end id. Null doc_ids come first, rows of one
+    before the file). Strings of added tokens in a text are ordinary text unless `added`. A null or empty text has only its end id. Null doc_ids come first, rows of one
     doc_id in order of their texts; repeated rows are each written. An empty table gives no files.
     A file appears under its name only when whole, so a task run again replaces it by the same bytes.
     `folder` must be a file system that Arrow opens and executors share.
@@ -241,9 +261,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _filesystem(folder)
         data = tokenizer.value
-        if (key := zlib.crc32(data)) not in _encoders:
+        if (key := (zlib.crc32(data), added)) not in _encoders:
             _encoders.clear()
-            _encoders[key] = library_encoder(data.decode())
+            _encoders[key] = library_encoder(data.decode(), added=added)
         encode, end = _encoders[key], struct.pack("<I", end_id)
         context = TaskContext.get()
         part = context.partitionId()
@@ -306,4 +326,4 @@ def op2_dac_tokens(spark, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     folder = common.shared_dir(spark, "dac")
-    return read_tokens(write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), folder), folder, with_ids=False)
+    return read_tokens(write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), folder, added=True), folder, with_ids=False)

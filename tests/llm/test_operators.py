@@ -159,6 +159,20 @@ def test_dac_odd_rows(spark, odd, empty, tmp_path):
     assert dac.read_tokens(dac.write_tokens(empty, path, tmp_path.as_uri() + "/b"), tmp_path.as_uri() + "/b").count() == 0
 
 
+def test_op2_added_tokens(spark, tmp_path):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(9)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  \n <|endoftext|><|endoftext|>  y"]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|endof", "|>", " ", "  ", "\n", "the", "a.", "1", "é"]) for _ in range(rng.randint(1, 25))) for _ in range(300)]
+    sf = folder(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tmp_path)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in queries.op2_dac_tokens(spark, sf).collect()}
+    for i, t in enumerate(texts):
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 0]
+        assert got[i] == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
 # operator 3
 
 
