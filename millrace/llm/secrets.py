@@ -29,6 +29,10 @@ VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"
 CLASSES = [
     ("entropy64", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,}", 24, 3.9),
     ("entropy32", r"(?<![A-Z0-9])(?=[A-Z]*[0-9])[A-Z0-9]{24,}", 24, 3.6),
+    # lower-case letters and digits; what is hex alone is of the base kind
+    ("entropy36", r"(?<![A-Za-z0-9])(?![0-9a-f]+(?![A-Za-z0-9]))(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]{24,}", 24, 3.6),
+    # mixed case without a digit: names put together of words stay below this
+    ("entropy52", r"(?<![A-Za-z0-9])(?=[a-z]*[A-Z])(?=[A-Z]*[a-z])[A-Za-z]{24,}", 24, 4.1),
 ]
 #: Candidates that are no secrets: placeholders, and words or paths with a short number at the end.
 ALLOW = [r"(?i)example|sample|placeholder|changeme|redacted|x{6}|0{8}|1234567", r"^[A-Za-z/_-]+[0-9]{1,8}$"]

@@ -438,6 +438,15 @@ def test_redact(spark, odd, empty):
     assert secrets.redact(empty).count() == 0 and secrets.redact(odd).count() == len(ODD)
 
 
+def test_entropy_of_single_classes(spark):
+    found = {"key k3v9q0x7zt5m1w8hj2rp6yn4 end": "entropy36", "key QwErTzUiOpAsDfGhJkLyXcVbNmab end": "entropy52"}
+    clean = ["getUserAccountInformationFromDatabase", "AbstractSingletonProxyFactoryBean", "internationalization2", "donaudampfschifffahrtsgesellschaft", "placeholder0k3v9q0x7zt5m1w8hj2"]
+    docs = spark.createDataFrame([(t,) for t in [*found, *clean]], "text string")
+    got = {r["text"]: [(s["kind"], s["start"], s["end"]) for s in r["found"]] for r in secrets.scan(docs).collect()}
+    assert got == {t: [(k, 4, len(t) - 4)] for t, k in found.items()} | {t: [] for t in clean}
+    assert sum(r["text"] == "key [secret] end" for r in secrets.redact(docs).collect()) == 2
+
+
 # operator 9
 
 
