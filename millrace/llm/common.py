@@ -7,12 +7,12 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..shared import saved, shared_dir  # noqa: F401
 
 #: Upper bound of one Arrow batch handed to Python; one row larger than this travels alone.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 _shipped: set[str] = set()
 
@@ -42,3 +42,47 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Code points in a block of a text that is cut to pieces.
+BLOCK = 4096
+
+
+def blocks(text: Column) -> Column:
+    """A text as an array of blocks of BLOCK code points, the last one shorter; to be a column of its own before cut()."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, stop: Column) -> Column:
+    """The code points [start, stop) of a text given as blocks(), at a cost of its own length and two blocks, wherever it lies."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((stop - 1) / BLOCK).cast("int")
+    at = (start % BLOCK).cast("int") + 1
+    within = F.substring(F.element_at(parts, first + 1), at, (stop - start).cast("int"))
+    begin = F.substring(F.element_at(parts, first + 1), at, F.lit(BLOCK))
+    end = F.substring(F.element_at(parts, last + 1), F.lit(1), ((stop - 1) % BLOCK).cast("int") + 1)
+    across = F.concat(begin, F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), end)
+    return F.when(stop <= start, F.lit("")).when(first == last, within).otherwise(across)
+
+
+#: Elements in a block of running().
+RUN = 128
+
+
+def running(numbers: Column, add=lambda a, b: a + b) -> Column:
+    """For each of an array's non-negative numbers what those before it add up to (0 for the first).
+
+    Folds grow an array, which copies it, so they go over blocks: within each, then over the blocks'
+    totals. For n numbers about n * RUN / 2 + (n / RUN) ** 2 / 2 numbers are copied. Give `numbers` as
+    a column of its own.
+    """
+    count = F.ceil(F.size(numbers) / RUN).cast("int")
+    zero = F.lit(0).cast("long")
+
+    def fold(values: Column) -> Column:
+        begin = F.struct(zero.alias("at"), F.expr("cast(array() as array<bigint>)").alias("before"))
+        return F.aggregate(values, begin, lambda a, x: F.struct(add(a["at"], x.cast("long")).alias("at"), F.concat(a["before"], F.array(a["at"])).alias("before")))
+
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: fold(F.slice(numbers, i * RUN + 1, F.lit(RUN))))
+    # both arrays are made once and bound to names by a fold over one element
+    bound = F.transform(F.array(parts), lambda p: F.flatten(F.zip_with(p, fold(F.transform(p, lambda x: x["at"]))["before"], lambda x, y: F.transform(x["before"], lambda b: add(b, y)))))
+    return F.when(F.size(numbers) > 0, bound[0]).otherwise(F.expr("cast(array() as array<bigint>)"))
