@@ -1,25 +1,33 @@
 """Byte-level BPE as a monoid: encode halves, join neighbours, decode up the same tree (operator 4).
 
-A node of the tree is a stretch of text with its segments and their ids. Two neighbouring nodes are
-joined by cutting the text anew in a window around their border. The window grows until one of its
-cuts meets a cut of the right node: what follows a cut depends only on the text behind it, so all
-later segments stand, and those of the left node that ended before its border stand as well.
-
-Inside a long segment the same holds for tokens. A sequence of tokens is the encoding of its bytes
-exactly if each two neighbours are: their bytes, encoded together, give the two again. A join
-encodes a window around the border anew and takes it if its first and last token go with the tokens
-beyond; else it widens the window.
+Every text is halved until a part has at most LEAF_CHARS characters, and once at least. A node is a
+stretch of text: where its segments (see segments.py) begin, and the ids of each. Two neighbours are
+joined by encoding a window around their border anew: from the last segment of the left node that
+nothing behind the border can change, segment by segment, until one begins where a segment of the
+right node does. What follows such a cut depends on the text behind it alone, so from there on the
+right node's ids stand, and so do those of the left node before the window. If the window ends
+before, it is made four times as wide. The segments at a node's rims are left open until a join, or
+the text's end, closes them.
+
+Inside a segment longer than LEAF_BYTES the same holds for tokens. A sequence of tokens is the
+encoding of its bytes exactly if each two neighbours are: their bytes, encoded together, give the two
+again. (Merges go on within a token as they did alone as long as no merge crosses its borders, and
+the first that did would do so with its two tokens alone.) A join encodes a window around the border
+anew and takes it if its first and last token go with the tokens beyond; else it doubles the window.
+
+Both joins are associative, as either result is the one encoding of the bytes joined. Segments that
+were encoded before are remembered below the leaves.
 """
 
 from __future__ import annotations
 
 import base64
 import struct
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -28,8 +36,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import common
 from .segments import SEGMENT, by_segment, segments
 
-#: Texts up to this many characters, and pieces up to this many bytes, are leaves.
-LEAF_CHARS, LEAF_BYTES = 16_384, 32
+#: Parts of a text up to this many characters, and pieces of a segment up to this many bytes, are leaves.
+LEAF_CHARS, LEAF_BYTES = 256, 32
+#: Characters behind a border that a join looks at first, and ids that decoding looks up at once.
+WINDOW, DECODED = 64, 256
 #: Remembered segments and pieces in one Python worker; about 200 bytes each.
 MEMORY = 1_000_000
 #: The largest vocabulary file that is broadcast.
@@ -46,6 +56,7 @@ class TreeBpe:
         word = lambda s: pack(self.encode_bytes(s.encode()))
         self.known = by_segment(word, lambda s: b"".join(map(word, self.find(s))), memory)
         self.goes_with = lru_cache(1 << 17)(self._goes_with)
+        self.joins = 0  # of nodes of texts, so far
 
     # bytes of one piece
 
@@ -122,50 +133,60 @@ class TreeBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, each as four bytes, lowest first."""
-        if len(text) <= self.leaf_chars:
-            return b"".join(map(self.known.__getitem__, segments(text)))
-        level = [(i, self.leaf(text, i, min(i + self.leaf_chars, len(text)))) for i in range(0, len(text), self.leaf_chars)]
-        ends = [min(i + self.leaf_chars, len(text)) for i, _ in level]
-        level = [(start, end, cuts) for (start, cuts), end in zip(level, ends)]
-        while len(level) > 1:
-            level = [self.join_text(text, level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        cuts = level[0][2] + [len(text)]
-        return b"".join([self.known[text[a:b]] for a, b in zip(cuts, cuts[1:])])
-
-    @staticmethod
-    def leaf(text: str, start: int, end: int) -> list[int]:
-        return [m.start() for m in SEGMENT.finditer(text, start, end)]
-
-    @staticmethod
-    def join_text(text: str, left: tuple, right: tuple) -> tuple[int, int, list[int]]:
-        (start, border, a), (_, end, b) = left, right
+        n = len(text)
+        if n < 2:
+            return self.known[text]
+        cuts, ids = self.join(text, self.tree(text, 0, n >> 1), n >> 1, self.tree(text, n >> 1, n), n)
+        if None in ids:
+            ends = [*cuts[1:], n]
+            ids = [self.known[text[a:b]] if x is None else x for a, b, x in zip(cuts, ends, ids)]
+        return b"".join(ids)
+
+    def tree(self, text: str, start: int, end: int) -> tuple[list[int], list[bytes | None]]:
+        """A node: where its segments begin and the ids of each, None for open ones at its rims."""
+        if end - start > self.leaf_chars:
+            middle = start + end >> 1
+            return self.join(text, self.tree(text, start, middle), middle, self.tree(text, middle, end), end)
+        parts, known = segments(text[start:end]), self.known
+        if not parts[0]:
+            del parts[0]
+        ids = [known[x] for x in parts[1:-1]]
+        cuts = list(accumulate(map(len, parts[:-1]), initial=start))
+        first = [known[parts[0]] if not start and len(parts) > 1 else None]
+        return cuts, first + ids + [None] if len(parts) > 1 else first
+
+    def join(self, text: str, left: tuple, border: int, right: tuple, end: int) -> tuple[list[int], list[bytes | None]]:
+        (a, x), (b, y), known = left, right, self.known
+        self.joins += 1
         # The last segment of the left node ends at its border and may go on; all before stand,
         # but for one of white space, whose end depends on the character behind it.
         keep = len(a) - 1
         while keep > 0 and a[keep] >= border - 1:
             keep -= 1
         keep = max(keep - 1, 0)
-        known, width = set(b), 64
+        width = WINDOW
         while True:
-            stop = min(border + width, end)
-            fresh = []
-            for m in SEGMENT.finditer(text, a[keep], stop):
-                at = m.start()
-                if at in known:
-                    i = bisect_left(b, at)
-                    return start, end, a[:keep] + fresh + b[i:]
-                if m.end() >= stop - 1 and stop < end:
+            stop, at, j = min(border + width, end), a[keep], 0
+            cuts, ids = [], []
+            for part in SEGMENT.findall(text, at, stop):
+                while j < len(b) and b[j] < at:
+                    j += 1
+                if j < len(b) and b[j] == at:
+                    return a[:keep] + cuts + b[j:], x[:keep] + ids + y[j:]
+                after = at + len(part)
+                if after >= stop - 1 and stop < end:
                     break  # more text behind it could change this one
-                fresh.append(at)
+                cuts.append(at)
+                ids.append(known[part] if after < end else None)
+                at = after
             else:
-                if stop == end:
-                    return start, end, a[:keep] + fresh
+                return a[:keep] + cuts, x[:keep] + ids
             width *= 4
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of the tokens, joined pairwise up the tree; joins don't look at what they join."""
         numbers = memoryview(ids).cast("I") if struct.pack("=I", 1) == struct.pack("<I", 1) else struct.unpack(f"<{len(ids) // 4}I", ids)
-        get, step = self.vocabulary.__getitem__, 1 << 16
+        get, step = self.vocabulary.__getitem__, DECODED
         level = [b"".join(map(get, numbers[i : i + step])) for i in range(0, len(numbers), step)] or [b""]
         while len(level) > 1:
             level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
