@@ -39,41 +39,60 @@ ALLOW = [r"(?i)example|sample|placeholder|changeme|redacted|x{6}|0{8}|1234567",
 KINDS = [k for k, _ in BASE] + [k for k, *_ in CLASSES]
 
 _SPAN = "array<struct<start:int,end:int,kind:int,match:string>>"
+_NONE = f"cast(array() as {_SPAN})"
+#: A run that every candidate of the entropy scan and every hex match has: one look for all of them.
+LONG_RUN = "[A-Za-z0-9+/_-]{24}"
+
+
+def _spans(matches: Column, sizes: Column, starts: Column, kind: int) -> Column:
+    return F.zip_with(matches, F.zip_with(sizes, starts, lambda n, s: F.struct(s.alias("s"), n.alias("n"))), lambda m, x: F.struct((x["s"] + x["n"]["gap"]).cast("int").alias("start"), (x["s"] + x["n"]["gap"] + x["n"]["size"]).cast("int").alias("end"), F.lit(kind).alias("kind"), m.alias("match")))
 
 
 def spans_of(text: Column, pattern: str, kind: int) -> Column:
-    """All leftmost, non-overlapping matches of a pattern that never matches an empty string."""
+    """All leftmost, non-overlapping matches of a pattern that never matches an empty string.
+
+    Linear in the text and nearly so in the matches, see common.running().
+    """
+    # each array is bound to a name by a lambda over one element, so that it is made once
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("match")))
-    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("spans"))
+    sizes = lambda m: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), m, lambda g, x: F.struct(F.length(g).alias("gap"), F.length(x).alias("size")))
+    starts = lambda n: common.running(F.transform(n, lambda x: (x["gap"] + x["size"]).cast("long")))
+    with_starts = lambda m, n: F.transform(F.array(starts(n)), lambda s: _spans(m, n, s, kind))[0]
+    with_sizes = lambda m: F.transform(F.array(sizes(m)), lambda n: with_starts(m, n))[0]
+    return F.when(text.rlike(pattern), F.transform(F.array(matches), with_sizes)[0]).otherwise(F.expr(_NONE))
 
-    def step(a: Column, s: Column) -> Column:
-        start = a["at"] + s["gap"]
-        end = start + s["size"]
-        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), s["match"].alias("match")))).alias("spans"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, begin, step, lambda a: a["spans"])).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+#: What a count of 0 is written as; a window's counts are kept as a string, a sign for each character.
+_ZERO = 48
 
 
 def most_entropy(candidate: Column, width: int) -> Column:
-    """The highest entropy, in bits a character, of a window of `width` characters (or of all, if fewer)."""
-    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
-    # The character that leaves as another enters: `width` places before it, null at first.
-    leaves = F.concat(F.array_repeat(F.lit(None).cast("int"), width), codes)
-    steps = F.zip_with(codes, F.slice(leaves, F.lit(1), F.length(candidate)), lambda c, d: F.struct(c.alias("enters"), d.alias("leaves")))
+    """The highest entropy, in bits a character, of a window of `width` ASCII characters (or of all, if fewer).
+
+    The counts of the window's characters are signs of one string: a step reads and replaces the
+    entering character's and the leaving one's, whatever the width.
+    """
     term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    begin = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("held"), F.least(F.length(candidate), F.lit(width)).alias("n"), F.lit(1e9).alias("least"))
+    count = lambda counts, code: F.ascii(F.substring(counts, code + 1, F.lit(1))) - _ZERO
+    put = lambda counts, code, n: F.overlay(counts, F.char(n + _ZERO), code + 1, F.lit(1))
+    begin = F.struct(F.lit(chr(_ZERO) * 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("held"), F.least(F.length(candidate), F.lit(width)).alias("n"), F.lit(1e9).alias("least"))
 
     def step(a: Column, s: Column) -> Column:
-        count = lambda code: F.element_at(a["counts"], code + 1)
-        same = F.coalesce(s["leaves"] == s["enters"], F.lit(False))
-        left = F.when(s["leaves"].isNull() | same, F.lit(0.0)).otherwise(term(count(s["leaves"]) - 1) - term(count(s["leaves"])))
-        entered = F.when(same, F.lit(0.0)).otherwise(term(count(s["enters"]) + 1) - term(count(s["enters"])))
-        counts = F.transform(a["counts"], lambda c, i: c + F.when(i == s["enters"], 1).otherwise(0) - F.when(i == s["leaves"], 1).otherwise(0))
+        enters, leaves = s["enters"], s["leaves"]
+        same = F.coalesce(leaves == enters, F.lit(False))
+        stays = leaves.isNull() | same
+        c_in, c_out = count(a["counts"], enters), count(a["counts"], leaves)
+        left = F.when(stays, F.lit(0.0)).otherwise(term(c_out - 1) - term(c_out))
+        entered = F.when(same, F.lit(0.0)).otherwise(term(c_in + 1) - term(c_in))
+        without = F.when(stays, a["counts"]).otherwise(put(a["counts"], leaves, c_out - 1))
+        counts = F.when(same, a["counts"]).otherwise(put(without, enters, c_in + 1))
         total, held = a["sum"] + left + entered, a["held"] + 1
         return F.struct(counts.alias("counts"), total.alias("sum"), held.alias("held"), a["n"].alias("n"), F.when(held >= a["n"], F.least(a["least"], total)).otherwise(a["least"]).alias("least"))
 
+    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
+    # The character that leaves as another enters: `width` places before it, null at first.
+    leaves = F.concat(F.array_repeat(F.lit(None).cast("int"), width), codes)
+    steps = F.zip_with(codes, F.slice(leaves, F.lit(1), F.length(candidate)), lambda c, d: F.struct(c.alias("enters"), d.alias("leaves")))
     # entropy = log2(n) - sum / n, so the highest entropy has the least sum
     return F.aggregate(steps, begin, step, lambda a: F.log2(a["n"]) - a["least"] / a["n"])
 
@@ -110,7 +129,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     out, whole = common.fresh(docs, "found_spans", "whole_text")
     df = docs.withColumn(whole, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     t = F.col(whole)
-    every = [base_spans(t, k) for k in range(len(BASE))] + [entropy_spans(t, k) for k in range(len(BASE), len(KINDS))]
+    kinds = [base_spans(t, k) for k in range(len(BASE))] + [entropy_spans(t, k) for k in range(len(BASE), len(KINDS))]
+    long_run = t.rlike(LONG_RUN)
+    every = [x if name in ("assign", "access") else F.when(long_run, x).otherwise(F.expr(_NONE)) for name, x in zip(KINDS, kinds)]
     names = F.array(*map(F.lit, KINDS))
     found = F.transform(F.array_sort(F.concat(*[F.transform(x, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))) for x in every])), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("kind")))
     df = df.withColumn(out, found).drop(whole)
@@ -124,19 +145,21 @@ def joined(found: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with every span of `text` replaced by `mark`; overlapping or touching spans become one.
 
-    Texts without spans, null ones too, stay as they are.
+    Texts without spans, null ones too, stay as they are, and so do columns of any other name.
     """
-    rows = scan(docs, text)
-    t = F.col(f"`{text}`")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        between = F.substring(t, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        new = (s["start"] > a["at"]) | (a["at"] == 0)
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(new, F.concat(a["out"], between, F.lit(mark))).otherwise(a["out"]).alias("out"))
-
-    clean = F.aggregate(F.col("found"), begin, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.greatest(F.length(t) - a["at"], F.lit(0)))))
-    return rows.withColumn(text, F.when(F.size("found") > 0, clean).otherwise(t))
+    out, parts, ends = common.fresh(docs, "found_spans", "cut_blocks", "upto")
+    held = [c for c in docs.columns if c.lower() == "found"]
+    (spare,) = common.fresh(docs, "held_found")
+    rows = scan(docs.withColumnsRenamed({c: spare for c in held}), spare if text in held else text).withColumnRenamed("found", out)
+    t, s = F.col(f"`{spare if text in held else text}`"), F.col(out)
+    some = F.size(s) > 0
+    # what is kept before a span begins where all spans before it have ended
+    rows = rows.withColumn(parts, F.when(some, common.blocks(t))).withColumn(ends, F.when(some, common.running(F.transform(s, lambda x: x["end"].cast("long")), F.greatest)))
+    kept = F.zip_with(s, F.col(ends), lambda x, e: F.when((x["start"] > e) | (e == 0), F.concat(common.cut(F.col(parts), e, x["start"].cast("long")), F.lit(mark))).otherwise(F.lit("")))
+    last = F.greatest(F.element_at(ends, -1), F.element_at(s, -1)["end"].cast("long"))
+    clean = F.concat(F.array_join(kept, ""), common.cut(F.col(parts), last, F.length(t).cast("long")))
+    rows = rows.withColumn(spare if text in held else text, F.when(some, clean).otherwise(t)).drop(out, parts, ends)
+    return rows.withColumnsRenamed({spare: c for c in held}).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
