@@ -7,7 +7,9 @@ parses, spans are those of methods annotated @Test; broken source gives the span
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import wraps
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -46,35 +48,185 @@ def lines_of(source: str) -> list[str]:
     return parts[:-1] if parts and parts[-1] == "" else parts
 
 
+_TEST, _STOP, _BRACE = re.compile(r"@Test\b"), re.compile(r"[;}]"), re.compile(r"[{}]")
+
+
+def _block_end(code: str, open_: int) -> int:
+    """Where the block that begins at a brace ends, or -1 if it doesn't."""
+    depth = 0
+    for m in _BRACE.finditer(code, open_):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            return m.start()
+    return -1
+
+
 def spans_of(source: str) -> list[tuple[str, int, int]]:
     """(name, first line, last line) of methods with @Test, annotations before it included, lines from 1."""
     code, out, at = masked(source), [], 0
-    line = lambda i: code.count("\n", 0, i) + 1
-    while m := re.compile(r"@Test\b").search(code, at):
+    rows = code.split("\n")
+    starts = list(accumulate((len(r) + 1 for r in rows), initial=0))
+    line = lambda i: bisect_right(starts, i)
+    while m := _TEST.search(code, at):
         at = m.end()
         head = _METHOD.search(code, at)
         if not head:
             break
         open_ = code.find("{", head.end() - 1)
-        stop = re.compile(r"[;}]").search(code, at)
+        stop = _STOP.search(code, at)
         if open_ < 0 or (stop and stop.start() < head.start()):
             continue
-        depth, i = 0, open_
-        for i in range(open_, len(code)):
-            depth += (code[i] == "{") - (code[i] == "}")
-            if not depth:
-                break
-        else:
+        end = _block_end(code, open_)
+        if end < 0:
             break
         first = line(m.start())
-        rows = code.split("\n")
         while first > 1 and rows[first - 2].strip().startswith("@"):
             first -= 1
-        out.append((head[1] or head[2], first, line(i)))
-        at = i
+        out.append((head[1] or head[2], first, line(end)))
+        at = end
     return out
 
 
+_DECLARED = re.compile(r"(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^<>{};]*>\s+)?(?:([\w.$]+(?:\s*<[^{};()]*>)?(?:\[\])*)\s+)?([A-Za-z_$][\w$]*)\s*\(([^(){};]*)\)\s*(?:throws\s+[\w.$,\s]+)?\{")
+_NOT_METHODS = {"if", "for", "while", "switch", "catch", "synchronized", "try", "return", "new", "else", "do"}
+_ANNOTATED = re.compile(r"(?:@[\w.]+(?:\([^()]*\))?\s*)+\Z")
+
+
+def methods_of(source: str) -> list[tuple[str, str, int, int]]:
+    """(kind, name, start, end) of methods and constructors with a body, annotations included, as offsets in the source."""
+    code, out, at = masked(source), [], 0
+    while m := _DECLARED.search(code, at):
+        at = m.end()
+        if m[2] in _NOT_METHODS or m[1] in _NOT_METHODS:
+            continue
+        end = _block_end(code, m.end() - 1)
+        if end < 0:
+            continue
+        before = _ANNOTATED.search(code, max(0, m.start() - 2000), m.start())
+        out.append(("method" if m[1] else "constructor", m[2], before.start() if before else m.start(), end + 1))
+        at = end + 1
+    return out
+
+
+@vectorized("array<struct<kind:string,name:string,source:string,line:int>>")
+def methods(source: pd.Series) -> pd.Series:
+    """Methods and constructors with a body, in order, with their first lines (from 1)."""
+    each = lambda s: [{"kind": k, "name": n, "source": s[a:b], "line": s.count("\n", 0, a) + 1} for k, n, a, b in methods_of(s)]
+    return source.map(lambda s: each(s) if s else [])
+
+
+@vectorized("string")
+def compacted(source: pd.Series, user: pd.Series) -> pd.Series:
+    """The methods of a source whose names a using class's text holds, with dots between; null if there are none."""
+
+    def one(s, u):
+        parts = [s[a:b] for _, n, a, b in methods_of(s or "") if u and n in u]
+        return "\n...\n".join(parts) if parts else None
+
+    return pd.Series([one(s, u) for s, u in zip(source, user)])
+
+
+_ANY_TEST = re.compile(r"@\s*(?:[\w.]+\.)?(?:Test|ParameterizedTest|RepeatedTest|TestFactory|TestTemplate)\b")
+
+
+def plain_code(code: str) -> str:
+    """Without comments and white space."""
+    return re.sub(r"\s+", "", re.sub(r"//[^\n]*", "", re.sub(r"/\*.*?\*/", "", code, flags=re.S)))
+
+
+@vectorized("struct<tests:array<struct<name:string,body:string>>,other:string>")
+def suite_members(source: pd.Series) -> pd.DataFrame:
+    """A suite's tests in order, their bodies without comments and white space, and what is left beside them, likewise."""
+
+    def one(s):
+        s = s or ""
+        found = [(n, a, b) for _, n, a, b in methods_of(s) if _ANY_TEST.search(s[a:b]) or n.startswith("test")]
+        rest, at = [], 0
+        for _, a, b in found:
+            rest.append(s[at:a])
+            at = b
+        return [{"name": n, "body": plain_code(s[a:b])} for n, a, b in found], plain_code("".join([*rest, s[at:]]))
+
+    return pd.DataFrame([one(s) for s in source], columns=["tests", "other"])
+
+
+def context_range(source: str, first: int, last: int) -> tuple[int, int]:
+    """The UTF-8 byte range of lines first to last (from 1) and what belongs to them above: blank lines, then annotations and comments."""
+    lines = source.splitlines(keepends=True)
+    start = first - 1
+    while start > 0 and not lines[start - 1].strip():
+        start -= 1
+    while start > 0 and lines[start - 1].strip().startswith(("@", "*", "/*", "//")):
+        start -= 1
+    size = [len(x.encode()) for x in lines]
+    return sum(size[:start]), sum(size[: min(last, len(lines))])
+
+
+def without_ranges(source: str, ranges) -> str:
+    """The source without byte ranges that don't overlap."""
+    data, out, at = source.encode(), [], 0
+    for a, b in sorted(ranges):
+        out.append(data[at:a])
+        at = max(at, b)
+    return b"".join([*out, data[at:]]).decode()
+
+
+@vectorized("string")
+def without_tests(source: pd.Series, names: pd.Series) -> pd.Series:
+    """The source without the named tests and the blank lines, annotations and comments above them."""
+
+    def one(s, wanted):
+        if s is None:
+            return None
+        wanted = set(wanted if wanted is not None else [])
+        return without_ranges(s, [context_range(s, a, b) for n, a, b in spans_of(s) if n in wanted])
+
+    return pd.Series([one(s, n) for s, n in zip(source, names)])
+
+
+def first_break(source: str) -> int | None:
+    """The line at which braces and parentheses stop fitting: of a closing one too many or of another kind, or the last line if any stays open."""
+    held = []
+    code = masked(source)
+    for m in re.finditer(r"[{}()\[\]]", code):
+        if m[0] in "{([":
+            held.append(m[0])
+        elif not held or held.pop() + m[0] not in ("{}", "()", "[]"):
+            return code.count("\n", 0, m.start()) + 1
+    return len(source.split("\n")) if held else None
+
+
+MOST_SHOWN = 40
+
+
+@vectorized("string")
+def syntax_feedback(before: pd.Series, after: pd.Series, edits: pd.Series) -> pd.Series:
+    """Why edits (array of (range, text)) broke a class: the place of the break with two lines around it,
+    and for each edit the lines it removed and both sides' braces where they differ. Null if nothing broke."""
+
+    def one(old, new, some):
+        at = first_break(new or "")
+        if at is None:
+            return None
+        lines, edited_lines, parts = (old or "").split("\n"), (new or "").split("\n"), ["The edited class no longer parses; nothing was applied."]
+        show = lambda rows, a, b: "\n".join(f"{i} | {rows[i - 1]}" for i in range(a, b + 1))
+        parts.append(f"It first breaks near line {at} of the edited class:\n{show(edited_lines, max(1, at - 2), min(len(edited_lines), at + 2))}")
+        for e in some if some is not None else []:
+            m = _RANGE.match(e["range"] or "")
+            a, b = (int(m[1]), int(m[2] or m[1])) if m else (0, 0)
+            if not 1 <= a <= b <= len(lines):
+                continue
+            last = min(b, a + MOST_SHOWN - 1)
+            note = f"Lines {a}-{b} were replaced:\n{show(lines, a, last)}" + (f"\n... ({b - last} more lines)" if b > last else "")
+            was, now = "\n".join(lines[a - 1 : b]), e["text"] or ""
+            if (was.count("{"), was.count("}")) != (now.count("{"), now.count("}")):
+                note += f"\nThey hold {was.count('{')} '{{' and {was.count('}')} '}}'; the new text holds {now.count('{')} and {now.count('}')}."
+            parts.append(note)
+        return "\n\n".join(parts)
+
+    return pd.Series([one(*x) for x in zip(before, after, edits)])
+
+
 @vectorized(SPAN)
 def test_spans(source: pd.Series) -> pd.Series:
     return source.map(lambda s: [dict(zip(("name", "start", "end"), x)) for x in spans_of(s)] if s else [])

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 FENCE = "```"
-#: Names of assertions.
+#: Names of assertions, in the order in which they are listed there.
 ASSERTIONS = (
     "assertAll", "assertArrayEquals", "assertDoesNotThrow", "assertEquals", "assertFalse", "assertInstanceOf", "assertIterableEquals", "assertLinesMatch",
-    "assertNotEquals", "assertNotNull", "assertNotSame", "assertNull", "assertSame", "assertThat", "assertThrows", "assertThrowsExactly",
+    "assertNotNull", "assertNotSame", "assertNotEquals", "assertNull", "assertSame", "assertThat", "assertThrows", "assertThrowsExactly",
     "assertTimeout", "assertTimeoutPreemptively", "assertTrue", "fail",
 )
-#: Patterns of declarations, of compiler errors and of links in comments.
-PACKAGE = r"(?m)^\s*package\s+([\w.]+)\s*;"
+#: Patterns of declarations, of compiler errors and of links in comments, of test annotations.
+PACKAGE = r"(?m)^\s*package\s+([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\s*;"
+TEST_ANNOTATION = r"@\s*(?:[\w.]+\.)?(?:Test|ParameterizedTest|RepeatedTest|TestFactory|TestTemplate)\b"
 DECLARATION = r"(?m)^[ \t]*(?:@(?!interface\b)[A-Za-z_$][\w$]*(?:\s*\([^)]*\))?\s*)*(?:(?:public|protected|private|abstract|final|static|strictfp|sealed|non-sealed)\s+)*(?:@interface|class|interface|enum|record)\s+([A-Za-z_$][\w$]*)\b"
 CONCRETE = r"(?:public|protected|private)\s*(?:final\s+)?(?!abstract\s+)class\s+(\w+)"
 COMPILER_ERROR = r"\[ERROR\]\s+(\S+\.java):\[(\d+),(\d+)\]\s*(.*)"
-DOC_LINK = r"(?:\{@link(?:plain)?\s+|@see\s+)([\w.]+)"
+DOC_LINK = r"(?:\{@link(?:plain)?\s+|@see\s+)([A-Z]\w*)"
 SPACE_END, SPACE_START = r"(?U)\s+\z", r"(?U)\A\s+"
 
 
@@ -256,12 +257,74 @@ def misused_types(output: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(ls, about), lambda t: t != "")))
 
 
+#: A compiler stops after so many errors.
+ERROR_CAP = 100
+
+
 def javac_errors(output: Column) -> Column:
     """Errors of a compiler's output: array of (file, row, col, message), each once, in order."""
     rows = F.transform(F.filter(lines(output), lambda s: s.rlike(COMPILER_ERROR)), lambda s: F.struct(F.regexp_extract(s, COMPILER_ERROR, 1).alias("file"), F.regexp_extract(s, COMPILER_ERROR, 2).cast("int").alias("row"), F.regexp_extract(s, COMPILER_ERROR, 3).cast("int").alias("col"), F.regexp_extract(s, COMPILER_ERROR, 4).alias("message")))
     return F.array_distinct(rows)
 
 
+def own_errors(output: Column, file_name: Column) -> Column:
+    """(errors, truncated): the errors in files of one name, and whether the compiler stopped at its cap."""
+    errors = javac_errors(output)
+    told = F.regexp_extract(output, r"(?m)^\[INFO\]\s+(\d+) errors?\s*$", 1)
+    return F.struct(F.filter(errors, lambda e: F.regexp_extract(e["file"], r"([^/\\\\]+)$", 1) == file_name).alias("errors"), F.coalesce(F.try_to_number(told, F.lit("999999")) >= ERROR_CAP, F.lit(False)).alias("truncated"))
+
+
+def is_test_method(source: Column, name: Column) -> Column:
+    """Whether a method is a test: by one of five annotations, or by its name."""
+    return source.rlike(TEST_ANNOTATION) | name.startswith("test")
+
+
+def declares(kind: str, content: Column, name: Column) -> Column:
+    """Whether a source declares a type of that name: kind is enum, interface, abstract class."""
+    return F.regexp_like(content, F.concat(F.lit(rf"\b{kind} \Q"), name, F.lit(r"\E\b")))
+
+
+def article(name: Column) -> Column:
+    """The name behind `a` or `an`."""
+    return F.concat(F.when(F.substring(name, 1, 1).isin("A", "E", "I", "O"), "an ").otherwise("a "), name)
+
+
+def call_of(name: Column, params: Column) -> Column:
+    """name(Simple, Simple), parameter types by their simple names, brackets and dots kept."""
+    simple = lambda p: F.concat(F.regexp_extract(F.regexp_replace(F.trim(F.regexp_replace(p, "<.*>", "")), r"((?:\[\]|\.\.\.)+)$", ""), r"([^.$]*)$", 1), F.regexp_extract(p, r"((?:\[\]|\.\.\.)+)\s*$", 1))
+    return F.concat(name, F.lit("("), F.array_join(F.transform(params, simple), ", "), F.lit(")"))
+
+
+def test_path(path: Column) -> Column:
+    """Where the test of a source below src/main/java is written; null for other paths."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when(p.rlike(r"(?:^|/)src/main/java/.*\.java$"), F.regexp_replace(F.regexp_replace(p, r"(^|/)src/main/java/", "$1src/test/java/"), r"\.java$", "Test.java"))
+
+
+def thrown_types(source: Column) -> Column:
+    """The sorted set of types in throws clauses of methods that aren't private."""
+    clean = without_literals(F.regexp_replace(source, r"(?s)/\*.*?\*/", ""))
+    heads = F.regexp_extract_all(clean, F.lit(r"([\w<>\[\], ?.@$]*)\([^(){};]*\)\s*throws\s+([\w.$,\s]+?)\s*[{;]"), F.lit(0))
+    open_ = F.filter(heads, lambda h: ~h.rlike(r"\bprivate\b[^(]*\("))
+    names = F.flatten(F.transform(open_, lambda h: F.split(F.regexp_extract(h, r"throws\s+([\w.$,\s]+?)\s*[{;]", 1), r"\s*,\s*")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda n: F.regexp_extract(n, r"([\w]+)$", 1)), lambda n: n != "")))
+
+
+def compiler_feedback(ok: Column, green: Column, path: Column, output: Column) -> Column:
+    """A build's result as a text; the log is compacted unless the suite is green."""
+    status = F.when(~ok, "failed").when(green, "passed").otherwise("succeeded, but tests fail")
+    log = F.when(ok & green, strip(output)).otherwise(compact_failure(output))
+    return strip(F.concat(F.lit("Compiler node result: Maven test compilation "), status, F.lit(".\nGenerated test file: "), path, F.lit("\n\nRelevant Maven output:\n"), log))
+
+
+def mutation_feedback(ok: Column, previous: Column, current: Column, delta: Column, threshold: Column, details: Column) -> Column:
+    """A mutation run's result as a text: scores and what was found, or the log of a run that failed."""
+    figure = lambda label, x: F.concat(F.lit(f"Mutation score {label}: "), F.format_string("%.2f", x.cast("double")), F.lit("%\n"))
+    head = F.concat(F.lit("Mutation validator result: PIT mutation report generation "), F.when(ok, "succeeded.\n").otherwise("failed.\n"), figure("previous", previous), figure("current", current), figure("delta", delta))
+    rest = F.concat(F.format_string("Significant improvement threshold: %.2f%%\n\n", threshold.cast("double")), F.when(ok, "Mutation details for the class under test:\n").otherwise("Maven output:\n"))
+    return strip(F.concat(head, rest, strip(details)))
+
+
 def content_text(x: Column) -> Column:
     """The text of a message's content: itself, or the joined texts of a JSON array of parts."""
     parts = F.from_json(x, "array<struct<type:string,text:string>>")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import stats
+
 #: The largest set of needles that is sent to every task, by the sizes of their texts.
 NEEDLE_BYTES = 8 << 20
 ANCHOR = 16
@@ -55,17 +57,74 @@ def agreement(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return both.select(key, (F.col("a") == F.col("b")).alias("equal"), F.array_except("a", "b").alias("only_a"), F.array_except("b", "a").alias("only_b"))
 
 
-def retrieval_class(used: Column, internal: Column, kind: Column, deprecated: Column, size: Column, large: int = 8_000) -> Column:
-    """Why a retrieved file was of use or not, the first rule that holds."""
-    return F.when(used, "needed").when(internal, "internal").when(deprecated, "unref:deprecated").when(kind == "interface", "unref:interface").when(size > large, "unref:large").otherwise("unref:other")
+#: What a retrieved file is to a class, in the order of the tests.
+RETRIEVAL_CLASSES = (
+    "unref: the class under test itself", "needed", "internal", "unref: not named by the CUT (implementer, producer, 2nd hop)",
+    "unref: same name, different type", "unref: comment or string only", "unref: substring of a longer name",
+)
+
+
+def retrieval_class(is_self: Column, needed: Column, internal: Column, simple: Column, code: Column, names: Column) -> Column:
+    """What a retrieved file is to the class it was retrieved for, the first of RETRIEVAL_CLASSES that holds.
+
+    simple: the file's simple name; code: the class's source; names: the array of names in its code,
+    without comments and literals.
+    """
+    word = F.regexp_like(code, F.concat(F.lit(r"\b\Q"), simple, F.lit(r"\E\b")))
+    tests = (is_self, needed, internal, ~code.contains(simple), F.array_contains(names, simple), word)
+    out = F.lit(RETRIEVAL_CLASSES[-1])
+    for test, name in reversed(list(zip(tests, RETRIEVAL_CLASSES))):
+        out = F.when(test, name).otherwise(out)
+    return out
+
+
+def hit_rates(files: DataFrame, reason: str = "reason") -> DataFrame:
+    """By reason of retrieval: files, needed ones, characters and those of needed files."""
+    needed = F.col("class") == "needed"
+    return files.groupBy(reason).agg(F.count("*").alias("n"), F.count_if(needed).alias("n_needed"), F.sum("chars").alias("chars"), F.coalesce(F.sum(F.when(needed, F.col("chars"))), F.lit(0)).alias("useful_chars"))
+
 
+def most_common(rows: DataFrame, value: str, seq: str, n: int) -> DataFrame:
+    """The n most frequent values with their counts; of equals the one seen first."""
+    return rows.groupBy(value).agg(F.count("*").alias("count"), F.min(seq).alias("first_seq")).orderBy(F.desc("count"), "first_seq").limit(n)
 
-def engagement(errors: DataFrame, used: DataFrame, prompt: DataFrame, key: list[str], own: str = "cut") -> DataFrame:
-    """Types that errors or uses are about, by class: in the prompt, not in it, or the class itself, with counts."""
+
+def noisiest(files: DataFrame, n: int = 8) -> DataFrame:
+    """The n classes with most characters of unreferenced files: (cut, chars, n_files)."""
+    unref = F.col("class").startswith("unref")
+    sums = files.groupBy("cut").agg(F.coalesce(F.sum(F.when(unref, F.col("chars"))), F.lit(0)).alias("chars"), F.count_if(unref).alias("n_files"))
+    return sums.orderBy(F.desc("chars"), "cut").limit(n)
+
+
+def retrieval_summary(files: DataFrame, cuts: DataFrame) -> DataFrame:
+    """One row of fourteen figures over an audit.
+
+    files (cut, class, chars), cuts (cut, cut_chars, has_suites, n_api, n_missing_api, n_used,
+    n_missing_used, n_gaps). Recalls are percents of what was needed; the middle and the ninth tenth of
+    characters per class are taken by index, over one row for each class.
+    """
+    f, c = F.col, lambda x: F.coalesce(F.sum(x), F.lit(0))
+    pct = lambda a, b: F.round(F.try_divide(100.0 * a, b), 1)
+    n, chars = F.count("*"), c("chars")
+    unref = f("class").startswith("unref")
+    one = files.agg(n.alias("files"), pct(F.count_if(f("class") == "needed"), n).alias("needed_pct"), pct(F.count_if(f("class") == "internal"), n).alias("internal_pct"), pct(F.count_if(unref), n).alias("unreferenced_pct"), chars.alias("chars"), pct(c(F.when(unref, f("chars"))), chars).alias("unreferenced_chars_pct"))
+    suites = f("has_suites")
+    two = cuts.agg(
+        pct(c(f("n_api") - f("n_missing_api")), c("n_api")).alias("api_recall_pct"), pct(c(F.when(suites, f("n_used") - f("n_missing_used"))), c(F.when(suites, f("n_used")))).alias("used_recall_pct"),
+        F.count_if((f("n_missing_api") > 0) | (f("n_missing_used") > 0)).alias("classes_with_a_miss"), c("n_gaps").alias("called_members_cut"), c(f("n_used") - f("n_missing_used")).alias("used_pairs"), c("cut_chars").alias("cut_chars"),
+    )
+    each = cuts.select("cut").join(files.groupBy("cut").agg(F.sum("chars").alias("per_class")), "cut", "left").select(F.coalesce("per_class", F.lit(0)).alias("per_class"))
+    three = stats.at_share(each, "per_class", None, out="median_chars").join(stats.at_share(each, "per_class", 0.9, out="p90_chars")).join(each.agg(F.max("per_class").alias("max_chars")))  # one row each
+    return one.join(two).join(three).withColumn("context_ratio", F.round(F.try_divide(f("chars"), f("cut_chars")), 2))
+
+
+def engagement(errors: DataFrame, used: DataFrame, prompt: DataFrame, key: list[str], own: str = "cut", by: tuple[str, ...] = ()) -> DataFrame:
+    """Types that errors or uses are about, by class (and by columns of the key): in the prompt, not in it, or the class itself, with counts."""
     each = errors.select(*key, "type", F.lit(1).alias("e"), F.lit(0).alias("u")).union(used.select(*key, "type", F.lit(0), F.lit(1))).groupBy(*key, "type").agg(F.max("e").alias("error"), F.max("u").alias("used"))
     rows = each.join(prompt.select(*key, "type", F.lit(True).alias("shown")).distinct(), [*key, "type"], "left")
-    place = F.when(F.col("type") == F.col(own), "self").when(F.coalesce("shown", F.lit(False)), "in prompt").otherwise("NOT in prompt")
-    return rows.groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.sum("error").alias("n_error"), F.sum("used").alias("n_used"), F.round(F.avg("error"), 6).alias("error_rate"))
+    place = F.when(F.col("type") == F.col(own), "class under test").when(F.coalesce("shown", F.lit(False)), "in prompt").otherwise("NOT in prompt")
+    never = F.when((F.col("error") == 1) & (F.col("used") == 0), 1)
+    return rows.groupBy(*by, place.alias("place")).agg(F.count("*").alias("n"), F.sum("error").alias("n_error"), F.sum("used").alias("n_used"), F.count(never).alias("n_never_fixed"), F.round(F.avg("error"), 6).alias("error_rate"))
 
 
 def pattern_stats(candidates: DataFrame, cuts: DataFrame, patterns: list[str]) -> DataFrame:
@@ -92,3 +151,10 @@ def suite_difference(before: DataFrame, after: DataFrame, key: list[str]) -> Dat
     rows = rows.withColumn("kind", kind)
     last = rows.groupBy(*key).agg(F.max(F.when(F.col("kind").isin("unchanged", "modified"), F.col("pos"))).alias("last_kept"))
     return rows.join(last, key).select(*key, "name", "kind", ((F.col("kind") == "added") & F.coalesce(F.col("pos") < F.col("last_kept"), F.lit(False))).alias("interleaved"))
+
+
+def difference_totals(differences: DataFrame, key: list[str]) -> DataFrame:
+    """One row over suite_difference(): suites, those that were only added to, tests of each kind, and suites with an interleaved test."""
+    each = differences.groupBy(*key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("added", "removed", "modified", "unchanged")], F.bool_or("interleaved").alias("mixed"))
+    only = (F.col("added") > 0) & (F.col("removed") == 0) & (F.col("modified") == 0)
+    return each.agg(F.count("*").alias("n_suites"), F.count_if(only).alias("only_added"), F.count_if("mixed").alias("n_interleaved"), *[F.sum(k).alias(k) for k in ("added", "removed", "modified", "unchanged")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..shared import saved
 
@@ -14,21 +14,22 @@ CONCRETE = ("class", "enum", "record")
 def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(src, dst) -> (src, dst, depth): everything reachable, nearest depth, without src itself.
 
-    Paths double in length each round: two paths are joined at their middle and the nearest depth of
-    a pair is kept, so diamonds don't multiply and cycles end. It stops when nothing new or nearer
-    comes, or after `rounds` rounds.
+    Known are all pairs up to a depth of 2 ** k. A shortest path up to twice as long passes a node at
+    a depth of just 2 ** k, so only the pairs of that depth are joined with the known ones, and only
+    new pairs are written; diamonds don't multiply and cycles end. It stops when nothing new comes,
+    or after `rounds` rounds.
     """
     reach = saved(edges.where("src <> dst").select("src", "dst").distinct().withColumn("depth", F.lit(1)), "closure")
-    n = reach.agg(F.count("*"), F.sum("depth")).first()
-    while rounds is None or rounds > 0:
-        rounds = None if rounds is None else rounds - 1
-        far = reach.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("depth").alias("more"))
-        longer = reach.join(far, F.col("dst") == F.col("mid")).select("src", F.col("end").alias("dst"), (F.col("depth") + F.col("more")).alias("depth")).where("src <> dst")
-        reach = saved(reach.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")), "closure")
-        now = reach.agg(F.count("*"), F.sum("depth")).first()
-        if now == n:
+    k = 0
+    while rounds is None or k < rounds:
+        heads = reach.where(F.col("depth") == 1 << k).select("src", F.col("dst").alias("mid"))
+        tails = reach.select(F.col("src").alias("mid"), "dst", F.col("depth").alias("more"))
+        longer = heads.join(tails, "mid").where("src <> dst").groupBy("src", "dst").agg((F.min("more") + (1 << k)).alias("depth"))
+        new = saved(longer.join(reach.select("src", "dst"), ["src", "dst"], "left_anti"), "closure")
+        if new.isEmpty():
             break
-        n = now
+        reach = reach.unionByName(new)
+        k += 1
     return reach
 
 
@@ -55,6 +56,53 @@ def inversions(index: DataFrame, ancestors: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.expr("cast(array() as array<string>)")) for c in ("implemented_by", "extended_by")} | ({"referenced_by_count": F.coalesce("referenced_by_count", F.lit(0))} if referenced is not None else {}))
 
 
+def binary_ancestors(types: DataFrame) -> DataFrame:
+    """types (name, extends, implements; binary names such as a.B$C, type arguments allowed) -> (src, dst, depth).
+
+    Supertypes are followed through nested classes, whether or not they are in the table.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    each = types.select(F.col("name").alias("src"), F.explode(F.concat(F.coalesce("extends", none), F.coalesce("implements", none))).alias("s"))
+    return closure(each.select("src", F.substring_index("s", "<", 1).alias("dst")))
+
+
+def inaccessible(members: DataFrame, reach: DataFrame, packages: DataFrame, names: DataFrame) -> DataFrame:
+    """(src, dst, names): members a class uses of an ancestor that a test in the class's package can't.
+
+    members (class, name, kind, visibility, declared_in), reach (src, dst) of binary names, packages
+    (class, package), names (class, name) that the class's code holds. Such members are protected or
+    package-private ones of another package that the class doesn't declare anew; constructors never are.
+    """
+    outer, nested = F.substring_index("dst", "$", 1), F.when(F.instr("dst", "$") > 0, F.regexp_extract("dst", r"\$(.*)", 1)).otherwise("")
+    own = packages.select(F.col("class").alias("src"), F.col("package").alias("own_package"))
+    theirs = packages.select(F.col("class").alias("outer"), F.col("package").alias("its_package"))
+    far = reach.select("src", "dst", outer.alias("outer"), nested.alias("nested")).join(own, "src").join(theirs, "outer").where("own_package <> its_package")
+    open_ = members.where(F.col("visibility").isin("protected", "package") & (F.col("kind") != "ctor")).select(F.col("class").alias("outer"), "name", F.coalesce("declared_in", F.lit("")).alias("nested"))
+    used = far.join(open_, ["outer", "nested"]).join(names.select(F.col("class").alias("src"), "name"), ["src", "name"], "left_semi")
+    declared = members.where(F.coalesce("declared_in", F.lit("")) == "").select(F.col("class").alias("src"), "name")
+    return used.join(declared, ["src", "name"], "left_anti").groupBy("src", F.replace("dst", F.lit("$"), F.lit(".")).alias("dst")).agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def implementer(candidates: DataFrame) -> DataFrame:
+    """For each (cut, of) the class that stands for an open type: candidates (cut, of, class, package, of_package, deprecated, size).
+
+    Deprecated ones only if all are; one of the type's own package if there is any; the shortest file
+    of these, ties by name. By one aggregate, not by sorting.
+    """
+    order = F.struct(F.col("deprecated").cast("int").alias("d"), (F.col("package") != F.col("of_package")).cast("int").alias("p"), "size", "class")
+    return candidates.groupBy("cut", "of").agg(F.min_by("class", order).alias("pick"), F.count("*").alias("n_candidates"))
+
+
+def by_simple_name(uses: DataFrame, classes: DataFrame) -> DataFrame:
+    """uses (…, name) with fqn: the class of that name, else that of its outer name, else the only one of that simple name."""
+    known = classes.select(F.col("class").alias("known")).distinct()
+    simple = known.groupBy(F.regexp_extract("known", r"([^.$]*)$", 1).alias("simple")).agg(F.min("known").alias("only"), F.count("*").alias("n")).where("n = 1")
+    rows = uses.withColumns({"outer_": F.substring_index("name", "$", 1), "simple_": F.regexp_extract("name", r"([^.$]*)$", 1)})
+    rows = rows.join(known.select(F.col("known").alias("name"), F.col("known").alias("k1")), "name", "left").join(known.select(F.col("known").alias("outer_"), F.col("known").alias("k2")), "outer_", "left")
+    rows = rows.join(simple.select(F.col("simple").alias("simple_"), "only"), "simple_", "left")
+    return rows.withColumn("fqn", F.coalesce("k1", "k2", "only")).drop("k1", "k2", "only", "outer_", "simple_")
+
+
 def inherited_api(index: DataFrame, ancestors: DataFrame, parts: tuple = ("method_params", "returns", "throws", "fields")) -> DataFrame:
     """By class, for each part, the sorted union over its ancestors without the class itself."""
     api = index.select(F.col("class").alias("dst"), *parts)
@@ -108,7 +156,9 @@ def producers(news: DataFrame, calls: DataFrame, members: DataFrame, lineage: Da
     steps = steps.join(lineage.select("class", F.col("of").alias("caller")), ["class", "caller"], "left_semi")
     public = members.where("visibility = 'public'").select(F.col("class").alias("caller"), F.col("member").alias("by"), "decl")
     entries = own.union(steps.join(public, ["caller", "by"]).select("target", "class", "decl"))
-    return entries.groupBy("target", "class").agg(F.slice(F.array_sort(F.collect_set("decl")), 1, most).alias("entries"))
+    place = F.row_number().over(Window.partitionBy("target", "class").orderBy("decl"))
+    first = entries.distinct().withColumn("place", place).where(F.col("place") <= most)
+    return first.groupBy("target", "class").agg(F.array_sort(F.collect_list("decl")).alias("entries"))
 
 
 def walk(steps: dict[str, tuple[DataFrame, int]], known: DataFrame) -> DataFrame:

@@ -10,31 +10,34 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.round(F.try_divide(100.0 * part, whole), digits)
 
 
-def rollout_stats(rows: DataFrame, by: list[str] | None = None, prompt: str = "class_key", quality: str = "quality", digits: int = 6) -> DataFrame:
+def rollout_stats(rows: DataFrame, by: list[str] | None = None, prompt: str = "class_key", quality: str = "quality", digits: int | None = None) -> DataFrame:
     """Fourteen figures over rollouts (usable, compiled, is_green, terminated, n_tests, line and mutation
     percentages, quality), for each group of `by`.
 
     Two levels: sums by prompt carry the spread of quality within a prompt (population deviation, of
     prompts with two or more rollouts) and its distinct values; the others are taken over all rows.
-    Only usable rows count, but for the number of rollouts. A null quality counts as 0.
+    Only usable rows count, but for the number of rollouts. A null quality counts as 0. Percents are
+    rounded to 1 digit, medians and distinct values to 2, means to 4, or all to `digits`.
     """
     by = by or []
+    places = lambda n: n if digits is None else digits
+    middle = lambda x: F.round(F.median(x), places(2))
     q = F.coalesce(F.col(quality).cast("double"), F.lit(0.0))
     u = F.col("usable")
     when = lambda c: F.count(F.when(c, 1))
     some = lambda c, x: F.when(c, x)
     all_rows = rows.groupBy(*by).agg(
         F.count("*").alias("rollouts"), when(u).alias("usable"),
-        percent(when(u & F.col("compiled")), when(u), digits).alias("compiled_pct"), percent(when(u & F.col("is_green")), when(u), digits).alias("green_pct"),
-        percent(when(u & F.col("terminated")), when(u), digits).alias("terminated_pct"),
-        F.median(some(u, F.col("n_tests"))).alias("median_tests"), F.median(some(u & F.col("compiled"), F.col("line_coverage_pct"))).alias("median_line_coverage_compiling"),
-        F.median(some(u & F.col("compiled") & F.col("is_green"), F.col("mutation_score_pct"))).alias("median_mutation_green"),
-        F.round(F.avg(some(u, q)), digits).alias("mean_quality"),
+        percent(when(u & F.col("compiled")), when(u), places(1)).alias("compiled_pct"), percent(when(u & F.col("is_green")), when(u), places(1)).alias("green_pct"),
+        percent(when(u & F.col("terminated")), when(u), places(1)).alias("terminated_pct"),
+        middle(some(u, F.col("n_tests"))).alias("median_tests"), middle(some(u & F.col("compiled"), F.col("line_coverage_pct"))).alias("median_line_coverage_compiling"),
+        middle(some(u & F.col("compiled") & F.col("is_green"), F.col("mutation_score_pct"))).alias("median_mutation_green"),
+        F.round(F.avg(some(u, q)), places(4)).alias("mean_quality"),
     )
     prompts = rows.where(u).groupBy(*by, F.col(prompt)).agg(F.count("*").alias("n"), F.bool_or("compiled").alias("c"), F.bool_or("is_green").alias("g"), F.stddev_pop(q).alias("spread"), F.count_distinct(q).alias("values"))
     two = prompts.groupBy(*by).agg(
         F.count("*").alias("prompts"), F.count_if("c").alias("prompts_any_compile"), F.count_if("g").alias("prompts_any_green"),
-        F.round(F.avg(F.when(F.col("n") > 1, F.col("spread"))), digits).alias("within_prompt_stdev"), F.round(F.avg("values"), digits).alias("distinct_values_per_prompt"),
+        F.round(F.avg(F.when(F.col("n") > 1, F.col("spread"))), places(4)).alias("within_prompt_stdev"), F.round(F.avg("values"), places(2)).alias("distinct_values_per_prompt"),
     )
     return _beside(all_rows, two, by)
 

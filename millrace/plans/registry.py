@@ -7,6 +7,7 @@ reads its whole tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,6 +37,13 @@ def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def sql_table(spark: SparkSession, sf: str, sql: str) -> DataFrame:
+    """A table made by SQL that both engines read alike, over the tables of sf."""
+    names = sorted(set(re.findall(r"\b(?:FROM|JOIN) (part|orders|lineitem|supplier|customer|nation|events|documents|conversations|labels|pages|benchmark)\b", sql)))
+    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(names)})\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))
+    return spark.sql(text, **{n: table(spark, sf, n) for n in names})
+
+
 # Lines as rollouts: what a score row has, told from a line's columns.
 ROLLOUTS = {
     "class_key": "l_orderkey", "status": "CASE l_returnflag WHEN 'R' THEN 'INFRA_ERROR' WHEN 'A' THEN 'COMPILE_FAIL' ELSE 'OK' END", "compiled": "l_returnflag <> 'A'",
@@ -84,7 +92,7 @@ SELECT one.*, two.* EXCLUDE (status) FROM one LEFT JOIN two USING (status)""")
 def q_rollout_stats(spark, sf):
     """Fourteen figures over rollouts by status: the summary of a sampling round."""
     rows = rollouts(spark, sf).withColumn("quality", F.round(scoring.quality(graded=True), 9))
-    out = stats.rollout_stats(rows, ["status"])
+    out = stats.rollout_stats(rows, ["status"], digits=6)
     return out.select("status", "rollouts", "usable", "compiled_pct", "green_pct", "terminated_pct", "median_tests", "median_line_coverage_compiling", "median_mutation_green", "mean_quality", "prompts", "prompts_any_compile", "prompts_any_green", "within_prompt_stdev", "distinct_values_per_prompt")
 
 
@@ -466,3 +474,6 @@ def q_pattern_stats(spark, sf):
     d = table(spark, sf, "documents", "doc_id", "source", "lang", "n_chars")
     candidates = d.select(F.col("source").alias("cut"), F.col("lang").alias("pattern"), F.col("n_chars").alias("chars"), (F.col("doc_id") % 3 == 0).alias("needed"))
     return audit.pattern_stats(candidates, candidates.select("cut").distinct(), ["en", "fr", "de", "xx"])
+
+
+from . import classes, suites  # noqa: E402, F401  # they register their queries

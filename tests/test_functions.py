@@ -66,7 +66,7 @@ def test_counts(spark):
     assert one(spark, "ab\n\n// c\nd", text.prompt_chars) == 5
     assert one(spark, "a /* b */ c // d\n e", text.normalized) == "ace"
     assert one(spark, "a\nb", text.numbered) == "1 | a\n2 | b"
-    assert one(spark, "{@link A} and @see b.C and {@link A}", text.doc_links) == ["A", "b.C"]
+    assert one(spark, "{@link A} and @see b.C and {@link A}", text.doc_links) == ["A"]
     assert one(spark, "x" * 20, lambda c: text.tail(c, 5)) == "xxxxx"
     assert one(spark, '[{"type":"text","text":"a"},{"type":"text","text":"b"}]', text.content_text) == "ab"
 
