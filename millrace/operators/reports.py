@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Mutants that say nothing about a suite, and those that can be acted upon.
 NO_MUTANTS = ("NON_VIABLE", "MEMORY_ERROR", "RUN_ERROR")
@@ -43,11 +43,22 @@ def test_counts(suites: DataFrame, by: list[str], harness: bool = False) -> Data
     return suites.groupBy(*by).agg(run.alias("run"), passed.alias("passed"), f.alias("failed"))
 
 
+def _first(rows: DataFrame, by: list[str], order: list[str], value: str, most: int, out: str) -> DataFrame:
+    """By key the first `most` values in order and how many there are; only those are ever collected."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    first = rows.withColumn("place", place).where(F.col("place") <= most).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", value))), lambda x: x[value]).alias(out))
+    return first.join(rows.groupBy(*by).agg(F.count("*").alias("n")), by)
+
+
+def mutant_line() -> Column:
+    """A mutant as a line of text; what it doesn't tell is <unknown> or ?."""
+    return F.concat_ws(" ", F.col("status"), F.coalesce("mutated_method", F.lit("<unknown>")), F.coalesce(F.col("line_number").cast("string"), F.lit("?")), F.coalesce("description", F.lit("")))
+
+
 def actionable(mutations: DataFrame, by: list[str], most: int = 20) -> DataFrame:
     """By class the mutants to act upon: the first `most` as lines, and how many more there are."""
-    line = F.concat_ws(" ", F.col("status"), F.coalesce("mutated_method", F.lit("<unknown>")), F.coalesce(F.col("line_number").cast("string"), F.lit("?")), F.coalesce("description", F.lit("")))
-    rows = mutations.where(F.col("status").isin(*ACTIONABLE))
-    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("line_number"), line.alias("line")))).alias("all")).select(*by, F.transform(F.slice("all", 1, most), lambda x: x["line"]).alias("lines"), F.greatest(F.size("all") - most, F.lit(0)).alias("n_omitted"))
+    rows = mutations.where(F.col("status").isin(*ACTIONABLE)).withColumn("line", mutant_line())
+    return _first(rows, by, ["line_number", "line"], "line", most, "lines").select(*by, "lines", F.greatest(F.col("n") - most, F.lit(0)).alias("n_omitted"))
 
 
 def status_counts(mutations: DataFrame, by: list[str]) -> DataFrame:
@@ -55,10 +66,18 @@ def status_counts(mutations: DataFrame, by: list[str]) -> DataFrame:
 
 
 def uncovered(lines: DataFrame, by: list[str], most: int = 40) -> DataFrame:
-    """Lines never run, and lines run with branches missed, `most` of each."""
-    kind = F.when(F.col("ci") == 0, "never").when((F.col("mb") > 0) & (F.col("cb") > 0), "partial")
-    pick = lambda k: F.slice(F.array_sort(F.collect_list(F.when(kind == k, F.col("nr")))), 1, most)
-    return lines.groupBy(*by).agg(pick("never").alias("never_run"), pick("partial").alias("partial"))
+    """Lines never run, and lines run with branches missed, `most` of each; only sources that have some."""
+    kind = F.when(F.col("ci") == 0, "never_run").when((F.col("mb") > 0) & (F.col("cb") > 0), "partial")
+    rows = lines.withColumn("kind", kind).where("kind IS NOT NULL")
+    first = _first(rows, [*by, "kind"], ["nr"], "nr", most, "lines")
+    pick = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("lines"))), F.expr("cast(array() as array<int>)")).alias(k)
+    return first.groupBy(*by).agg(pick("never_run"), pick("partial"))
+
+
+def source_lines(lines: DataFrame, by: list[str], most: int = 30) -> DataFrame:
+    """By source the first `most` lines that miss something, as a text `nr: missed/all`, and how many more there are."""
+    rows = lines.where((F.col("mi") > 0) | (F.col("mb") > 0)).withColumn("line", F.concat(F.col("nr").cast("string"), F.lit(": "), F.col("mi").cast("string"), F.lit("/"), (F.col("mi") + F.col("ci")).cast("string")))
+    return _first(rows, by, ["nr"], "line", most, "lines").select(*by, F.array_join("lines", ", ").alias("lines"), F.greatest(F.col("n") - most, F.lit(0)).alias("n_omitted"))
 
 
 def summary(counters: DataFrame, methods: DataFrame, by: list[str], most: int = 30) -> DataFrame:

@@ -6,7 +6,9 @@ error at run time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from .tables import newest
 
 COUNTER = "counter array<struct<_type:string,_missed:long,_covered:long>>"
 COVERAGE = (
@@ -17,6 +19,21 @@ MUTATIONS = "struct<mutation:array<struct<_status:string,mutatedClass:string,mut
 SUITE = "struct<_name:string,_tests:int,_failures:int,_errors:int,_skipped:int,testcase:array<struct<_name:string,_classname:string,failure:array<struct<_message:string>>,error:array<struct<_message:string>>>>>"
 
 
+#: Where the builds' tools leave their reports, below a module.
+PLACES = {COVERAGE: "target/site/jacoco/jacoco.xml", MUTATIONS: "mutations.xml", SUITE: "TEST-*.xml"}
+
+
+def discovered(spark: SparkSession, root: str, schema: str, newest_only: bool = False) -> DataFrame:
+    """(path, content, modificationTime) of the reports of one kind below root, in no order.
+
+    newest_only: those of the latest modification time alone, as mutation reports of earlier runs stay beside them.
+    """
+    place = PLACES[schema]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", place.rsplit("/", 1)[-1]).load(root)
+    rows = raw.where(F.col("path").endswith(f"/{place}")) if "/" in place else raw
+    return (newest(rows) if newest_only else rows).select("path", F.decode("content", "UTF-8").alias("content"), "modificationTime")
+
+
 def _body(content: Column) -> Column:
     """Without the document type, which names a file that isn't there, and with empty elements that
     have children's type kept as they are."""
@@ -42,6 +59,16 @@ def counters(reports: DataFrame, strict: bool = False) -> DataFrame:
     return own.union(classes).select("path", F.replace("class", F.lit("/"), F.lit(".")).alias("class"), F.col("c._type").alias("type"), F.col("c._missed").alias("missed"), F.col("c._covered").alias("covered"))
 
 
+def first_class(reports: DataFrame, fqn: Column | str, strict: bool = False) -> DataFrame:
+    """(path, class, missed_branches, covered_branches): each report's first class of a name, nulls where there is none."""
+    name = F.lit(fqn) if isinstance(fqn, str) else fqn
+    rows = parsed(reports, COVERAGE, strict)
+    every = F.flatten(F.transform("x.package", lambda p: p["class"]))
+    rows = rows.withColumn("k", F.get(F.filter(every, lambda k: F.replace(k["_name"], F.lit("/"), F.lit(".")) == name), F.lit(0)))
+    branch = F.get(F.filter("k.counter", lambda c: c["_type"] == "BRANCH"), F.lit(0))
+    return rows.select("path", F.replace("k._name", F.lit("/"), F.lit(".")).alias("class"), branch["_missed"].alias("missed_branches"), branch["_covered"].alias("covered_branches"))
+
+
 def lines(reports: DataFrame, strict: bool = False) -> DataFrame:
     """(path, package, sourcefile, nr, mi, ci, mb, cb)."""
     rows = parsed(reports, COVERAGE, strict).select("path", F.explode("x.package").alias("p")).select("path", F.col("p._name").alias("package"), F.explode("p.sourcefile").alias("s"))
