@@ -125,3 +125,8 @@ def next_step(compiled: Column, suite_green: Column, repairs: Column, mutation:
 def result_line(*columns: str) -> Column:
     """name=value for each column, a null as --."""
     return F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("--"))) for c in columns])
+
+
+def number_or_null(x: Column) -> Column:
+    """A number out of a text; null for what isn't one, such as None."""
+    return F.try_to_number(F.when(x.rlike(r"^-?[0-9]{1,15}(\.[0-9]{1,6})?$"), x), F.lit("S999999999999999.999999")).cast("double")

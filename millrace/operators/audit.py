@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import text
 from . import stats
 
 #: The largest set of needles that is sent to every task, by the sizes of their texts.
@@ -23,16 +24,16 @@ def set_difference(pairs: DataFrame, before: str, after: str) -> DataFrame:
     return pairs.withColumns(sets).withColumns({f"n_{k}": F.size(k) for k in sets})
 
 
-def containing_texts(docs: DataFrame, needles: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def containing_texts(docs: DataFrame, needles: DataFrame, key: str, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
     """(key, doc_id) for each needle that a document contains, exactly.
 
     Needles of at most NEEDLE_BYTES in all are sent to every task. More of them are first met by
     pieces: an occurrence holds each piece of the needle, so the hashes of a needle's first ANCHOR
     characters are joined with those of all places in the documents.
     """
-    size = needles.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    n = needles.where(F.col(text).isNotNull()).select(F.col(key).alias(key), F.col(text).alias("needle"))
-    d = docs.select(doc_id, F.col(text).alias("hay"))
+    size = needles.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    n = needles.where(F.col(column).isNotNull()).select(F.col(key).alias(key), F.col(column).alias("needle"))
+    d = docs.select(doc_id, F.col(column).alias("hay"))
     if size <= NEEDLE_BYTES:
         return d.join(F.broadcast(n), F.col("hay").contains(F.col("needle"))).select(key, doc_id)
     short = n.where(F.length("needle") < ANCHOR)
@@ -158,3 +159,22 @@ def difference_totals(differences: DataFrame, key: list[str]) -> DataFrame:
     each = differences.groupBy(*key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("added", "removed", "modified", "unchanged")], F.bool_or("interleaved").alias("mixed"))
     only = (F.col("added") > 0) & (F.col("removed") == 0) & (F.col("modified") == 0)
     return each.agg(F.count("*").alias("n_suites"), F.count_if(only).alias("only_added"), F.count_if("mixed").alias("n_interleaved"), *[F.sum(k).alias(k) for k in ("added", "removed", "modified", "unchanged")])
+
+
+def complete_pairs(rows: DataFrame, key: str, arm: str, arms: list[str]) -> DataFrame:
+    """The rows of keys that have every arm; the other keys' rows are left out."""
+    whole = rows.where(F.col(arm).isin(*arms)).groupBy(key).agg(F.count_distinct(arm).alias("n")).where(F.col("n") == len(arms)).select(key)
+    return rows.where(F.col(arm).isin(*arms)).join(whole, key, "left_semi")
+
+
+def recipes(members: DataFrame, most: int = 3) -> DataFrame:
+    """(class, recipes): how to build each type. members (class, kind, name, params, accessible, seq).
+
+    Of accessible constructors, then of factories (kind method), the `most` with fewest parameters,
+    those of equally many in their order.
+    """
+    simple = F.regexp_extract("class", r"([^.]*)$", 1)
+    call = F.when(F.col("kind") == "ctor", F.concat(F.lit("new "), text.call_of(simple, F.col("params")))).otherwise(F.concat(simple, F.lit("."), text.call_of(F.col("name"), F.col("params"))))
+    order = Window.partitionBy("class", "kind").orderBy(F.size("params"), "seq")
+    first = members.where("accessible").withColumn("call", call).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return first.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "place", "call"))), lambda x: x["call"]).alias("recipes"))

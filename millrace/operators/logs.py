@@ -114,3 +114,25 @@ def prompt_summary(prompts: DataFrame) -> DataFrame:
     """One row: prompts, excluded ones, the median of tokens of the kept."""
     kept = ~F.coalesce(F.col("excluded"), F.lit(False))
     return prompts.agg(F.count("*").alias("rows"), F.count_if(~kept).alias("excluded"), F.median(F.when(kept, F.col("prompt_tokens"))).alias("median_tokens"))
+
+
+#: A class's metrics at its start.
+START_VALUES = {
+    "test_class": "", "compiler_success": False, "compiler_feedback": "", "test_file_path": "", "last_compilable_test_class": "", "last_compilable_test_file_path": "",
+    "coverage_previous": 0.0, "coverage_current": 0.0, "coverage_delta": 0.0, "coverage_improved_significantly": False, "coverage_feedback": "",
+    "mutation_previous": 0.0, "mutation_current": 0.0, "mutation_delta": 0.0, "mutation_improved_significantly": False, "mutation_feedback": "",
+    "active_validation_phase": "coverage", "repair_attempts": 0, "coverage_iterations": 0, "mutation_iterations": 0,
+}
+
+
+def with_start_values(rows: DataFrame) -> DataFrame:
+    """rows with all metrics: null ones, and those that aren't there, as at a class's start."""
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v) for c, v in START_VALUES.items()})
+
+
+def epoch_millis(at: Column) -> Column:
+    return F.unix_millis(at.cast("timestamp"))
+
+
+def elapsed_minutes(start: Column, end: Column) -> Column:
+    return F.round((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 6e7, 1)

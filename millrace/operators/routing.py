@@ -113,3 +113,34 @@ def rotation(classes: DataFrame, arms: list[str], index: str = "idx") -> DataFra
     """For each class the arms in an order turned by its index: arm and turn."""
     each = classes.select("*", F.posexplode(F.array(*map(F.lit, arms))).alias("arm_idx", "arm"))
     return each.withColumn("turn", F.pmod(F.col("arm_idx") - F.col(index), F.lit(len(arms)))).drop("arm_idx")
+
+
+def over_limit(tokens: Column, most: int) -> Column:
+    """Whether a prompt is longer than the limit; just as long is not."""
+    return tokens > most
+
+
+def mode(file: Column, name: Column) -> Column:
+    """A run's mode: of a rollout's file, of a single class, or of all classes."""
+    return F.when(file.isNotNull(), "rollout").when(name.isNotNull(), "single").otherwise("batch")
+
+
+def upto_round(rows: DataFrame, last: int, column: str = "round") -> DataFrame:
+    """The rows of all rounds up to one; of a table partitioned by round the others aren't read."""
+    return rows.where(F.col(column) <= last)
+
+
+def trimmed_deltas(rows: DataFrame, key: str, seq: str, value: str, trimmed: str, least: float) -> DataFrame:
+    """deltas() that begin anew with each suite trimmed to green: its own delta is null, as its score is absolute."""
+    order = Window.partitionBy(key).orderBy(seq)
+    part = F.sum(F.col(trimmed).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    within = Window.partitionBy(key, "part_").orderBy(seq)
+    held = rows.withColumn("part_", part).withColumn("held", F.last(value, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    delta = F.when(~F.col(trimmed), F.round(F.col("held") - F.lag("held").over(within), 6))
+    return held.withColumn("delta", delta).withColumn("improved", F.coalesce(F.col("delta") >= least, F.lit(False))).drop("part_")
+
+
+def updated_map(rows: DataFrame, key: str, seq: str, name: str, value: str, out: str = "map") -> DataFrame:
+    """By key a map of names to the values set last."""
+    last = rows.groupBy(key, name).agg(F.max_by(value, seq).alias("v"))
+    return last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(name, "v"))).alias(out))

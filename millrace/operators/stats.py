@@ -110,3 +110,21 @@ def error_tally(rows: DataFrame, errors: Column, kind, run: str = "run_id") -> D
     """Errors by run and kind; `errors` is an array of a row's messages, each counted once for a row."""
     each = rows.select(run, F.explode(F.array_distinct(errors)).alias("m"))
     return each.groupBy(run, kind(F.col("m")).alias("kind")).count()
+
+
+def run_figures(calls: DataFrame, errors: DataFrame, run: str = "run_id") -> DataFrame:
+    """By run: calls, tokens in and out, retries, and a map of errors by kind. errors (run, kind)."""
+    c = calls.groupBy(run).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("tokens_in"), F.sum("output_tokens").alias("tokens_out"), F.count_if(F.col("node_name").endswith(":no_thinking_retry")).alias("retries"))
+    kinds = errors.groupBy(run, "kind").agg(F.count("*").alias("n")).groupBy(run).agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("errors"))  # a few kinds
+    return c.join(kinds, run, "left")
+
+
+def prefix_medians(sizes: DataFrame, curve: DataFrame, cut: str, pattern: str, size: str) -> DataFrame:
+    """(place, median_size): for each prefix of patterns, best first, the median over all classes of what the prefix gives them.
+
+    Classes a prefix gives nothing count as 0. The grid has a row for each class and pattern; patterns
+    are few.
+    """
+    grid = sizes.select(cut).distinct().join(F.broadcast(curve.select(pattern, "place").limit(4096)))
+    rows = grid.join(sizes, [cut, pattern], "left").withColumn("upto", F.sum(F.coalesce(F.col(size), F.lit(0))).over(Window.partitionBy(cut).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("place").agg(F.median("upto").alias("median_size"))

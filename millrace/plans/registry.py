@@ -476,4 +476,4 @@ def q_pattern_stats(spark, sf):
     return audit.pattern_stats(candidates, candidates.select("cut").distinct(), ["en", "fr", "de", "xx"])
 
 
-from . import classes, reports as report_plans, suites  # noqa: E402, F401  # they register their queries
+from . import audits, classes, reports as report_plans, suites, texts  # noqa: E402, F401  # they register their queries

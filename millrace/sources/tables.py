@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.text import is_implementation
+from ..shared import saved
 from . import schemas
 
 
@@ -42,6 +44,64 @@ def read_sources(spark: SparkSession, root: str, pattern: str = "*.java") -> Dat
     return raw.select("path", F.decode("content", "UTF-8").alias("content"))
 
 
+def doubled(content: Column) -> Column:
+    """A source as lines joined with their own ends kept: every line end twice, but for the last line's."""
+    return F.regexp_replace(content, r"\n(?!\z)", "\n\n")
+
+
+def in_path_order(files: DataFrame) -> DataFrame:
+    """files with `place` from 0 in path order. Paths alone are ranked: by partial sums over ranges of paths, no task orders them all."""
+    # written, as ranges found anew could be others
+    paths = saved(files.select("path").repartitionByRange("path").withColumn("part_", F.spark_partition_id()), "paths")
+    first = Window.partitionBy("part_").orderBy("path")
+    ranked = paths.withColumn("place_", F.row_number().over(first))
+    counts = ranked.groupBy("part_").agg(F.count("*").alias("n_"))  # a row for each range
+    before = counts.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
+    places = ranked.join(before, "part_").select("path", (F.col("before_") + F.col("place_") - 1).cast("int").alias("place"))
+    return files.join(places, "path")
+
+
+def read_implementation(spark: SparkSession, root: str) -> DataFrame:
+    """Implementation sources below root: paths with a folder src and none of tests, (path, content)."""
+    return read_sources(spark, root).where(is_implementation(F.col("path")))
+
+
+def write_index(rows: DataFrame, path: str, source_hash: str, project: str) -> None:
+    """A class index as JSON lines under path/records and its header under path/header, which tells what it was built from."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").json(f"{path}/records")
+    spark.createDataFrame([(project, source_hash)], "project string, source_hash string").coalesce(1).write.mode("overwrite").json(f"{path}/header")
+
+
+def read_index(spark: SparkSession, path: str, schema: str, source_hash: str | None = None) -> DataFrame | None:
+    """An index as write_index() wrote it; None if there is none or, where a hash is given, it was built from something else."""
+    if not exists(spark, f"{path}/header"):
+        return None
+    header = spark.read.schema("project string, source_hash string").json(f"{path}/header").first()
+    if header is None or source_hash is not None and header["source_hash"] != source_hash:
+        return None
+    return spark.read.schema(schema).json(f"{path}/records")
+
+
+def write_checkpoint(row: DataFrame, path: str) -> None:
+    """The checkpoint's one row, in place of the last one."""
+    row.limit(1).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_summary(row: DataFrame, path: str) -> None:
+    """A summary of one row as one JSON file."""
+    row.limit(1).coalesce(1).write.mode("overwrite").json(path)
+
+
+def clear_reports(spark: SparkSession, paths: list[str]) -> int:
+    """Delete reports of earlier runs, which would count into the next one's figures; how many were there."""
+    gone = 0
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return gone
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
     """One digest of a tree of files: of the sorted digests of (path, content), 16 hex digits."""
     each = files.select(F.sha2(F.concat_ws("\n", "path", F.sha2("content", 256)), 256).alias("d"))
