@@ -12,7 +12,9 @@ from functools import wraps
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession, functions as F
+
+from ..shared import ship
 
 
 def vectorized(schema: str):
@@ -25,6 +27,7 @@ def vectorized(schema: str):
         def call(*columns):
             if not made:
                 made.append(F.pandas_udf(f, returnType=schema))
+            ship(SparkSession.active())
             return made[0](*columns)
 
         return call

@@ -368,3 +368,19 @@ def fill(template: Column | str, **slots: Column) -> Column:
 def list_section(items: Column, nothing: str) -> Column:
     """Numbered items, or a sentence where there are none."""
     return F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n")).otherwise(nothing)
+
+
+def signature(name: Column, params: Column) -> Column:
+    """A member's name and the simple names of its parameters' types: what tells overloads apart in source and byte code alike."""
+    return call_of(name, params)
+
+
+def nested_body(source: Column, names: Column) -> Column:
+    """From the declaration of a type on: names are those of its outer types and its own, outermost first; null where one isn't declared.
+
+    Each name is looked for behind the declaration of the one before.
+    """
+    begin = F.when(source.isNotNull(), source)
+    head = lambda n: F.concat(F.lit(r"\b(?:class|interface|enum|record|@interface)\s+\Q"), n, F.lit(r"\E\b"))
+    step = lambda a, n: F.when(F.regexp_like(a, head(n)), F.substring(a, F.regexp_instr(a, head(n)), F.length(a)))
+    return F.aggregate(names, begin, step)

@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text
 from . import stats
 
-#: The largest set of needles that is sent to every task, by the sizes of their texts.
+#: About so many bytes of needles are sent to every task at a time.
 NEEDLE_BYTES = 8 << 20
-ANCHOR = 16
 
 
 def successive(rows: DataFrame, key: str, seq: str, value: str) -> DataFrame:
@@ -24,25 +23,59 @@ def set_difference(pairs: DataFrame, before: str, after: str) -> DataFrame:
     return pairs.withColumns(sets).withColumns({f"n_{k}": F.size(k) for k in sets})
 
 
-def containing_texts(docs: DataFrame, needles: DataFrame, key: str, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
-    """(key, doc_id) for each needle that a document contains, exactly.
+def containing_texts(docs: DataFrame, needles: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, doc_id) for each needle that a document contains, exactly; once for each row of docs.
 
-    Needles of at most NEEDLE_BYTES in all are sent to every task. More of them are first met by
-    pieces: an occurrence holds each piece of the needle, so the hashes of a needle's first ANCHOR
-    characters are joined with those of all places in the documents.
+    All needles are looked for at once, by an automaton that reads each text one time. Needles are
+    dealt by their keys to blocks of about NEEDLE_BYTES, each sent to every task for one pass over the
+    documents; so time grows with the needles, but nothing is exploded or shuffled. Null needles are
+    in no text, an empty one is in every text.
     """
-    size = needles.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
-    n = needles.where(F.col(column).isNotNull()).select(F.col(key).alias(key), F.col(column).alias("needle"))
-    d = docs.select(doc_id, F.col(column).alias("hay"))
-    if size <= NEEDLE_BYTES:
-        return d.join(F.broadcast(n), F.col("hay").contains(F.col("needle"))).select(key, doc_id)
-    short = n.where(F.length("needle") < ANCHOR)
-    heads = n.where(F.length("needle") >= ANCHOR).withColumn("h", F.xxhash64(F.substring("needle", 1, ANCHOR)))
-    places = d.select(doc_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay") - (ANCHOR - 1), F.lit(1))), lambda i: F.xxhash64(F.substr("hay", i, F.lit(ANCHOR)))))).alias("h"))
-    met = places.join(heads.select(key, "h"), "h").select(key, doc_id).distinct()
-    long = met.join(d, doc_id).join(n, key).where(F.col("hay").contains(F.col("needle"))).select(key, doc_id)
-    few = short.agg(F.coalesce(F.sum(F.octet_length("needle")), F.lit(0))).first()[0]
-    return long if not few else long.union(d.join(F.broadcast(short) if few <= NEEDLE_BYTES else short, F.col("hay").contains(F.col("needle"))).select(key, doc_id))
+    from pyspark.sql import types as T
+
+    size = needles.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    blocks = -(-size // NEEDLE_BYTES) or 1
+    rows = needles.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("needle"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
+    schema = T.StructType([T.StructField(key, needles.schema[key].dataType), T.StructField(doc_id, docs.schema[doc_id].dataType)])
+    source, out = docs.select(doc_id, text), docs.sparkSession.createDataFrame([], schema)
+    for block in range(blocks):
+        found = rows.where(F.col("block") == block).collect()  # about NEEDLE_BYTES
+        if found:
+            out = out.union(source.mapInArrow(_finder([(r["k"], r["needle"]) for r in found], schema), schema))
+    return out
+
+
+def _finder(needles: list[tuple], schema):
+    """A function over batches of (doc_id, text) that gives (key, doc_id) for the needles found."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    wanted = to_arrow_schema(schema)
+    by_text: dict[str, list] = {}
+    for k, needle in needles:
+        by_text.setdefault(needle, []).append(k)
+
+    def run(batches):
+        import ahocorasick
+
+        tree = ahocorasick.Automaton()
+        for needle, keys in by_text.items():
+            if needle:
+                tree.add_word(needle, needle)
+        everywhere = by_text.get("", [])
+        if len(tree):
+            tree.make_automaton()
+        for batch in batches:
+            keys, docs = [], []
+            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if x is None:
+                    continue
+                met = [*everywhere, *[k for needle in ({v for _, v in tree.iter(x)} if len(tree) else ()) for k in by_text[needle]]]
+                keys += met
+                docs += [d] * len(met)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, wanted.field(0).type), pa.array(docs, wanted.field(1).type)], schema=wanted)
+
+    return run
 
 
 def paired(rows: DataFrame, key: str, arm: str, arms: list[str], value: Column) -> DataFrame:
@@ -178,3 +211,19 @@ def recipes(members: DataFrame, most: int = 3) -> DataFrame:
     order = Window.partitionBy("class", "kind").orderBy(F.size("params"), "seq")
     first = members.where("accessible").withColumn("call", call).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     return first.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "place", "call"))), lambda x: x["call"]).alias("recipes"))
+
+
+def rendered(members: DataFrame, classes: DataFrame, most: int = 40) -> DataFrame:
+    """(class, view): a type as a text, its head and the kept members' declarations in their order, `most` of them at most.
+
+    members (class, decl, seq, kept), classes (class, package, kind). What is left out is told as a
+    number; a type without kept members has an empty body.
+    """
+    kept = members.where("kept").withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("seq", "decl")))
+    first = kept.where(F.col("place") <= most).groupBy("class").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "decl"))), lambda x: F.concat(F.lit("    "), x["decl"], F.lit(";\n"))), "").alias("body"))
+    rest = members.groupBy("class").agg((F.count("*") - F.least(F.count_if("kept"), F.lit(most))).alias("n_left"))
+    rows = classes.join(first, "class", "left").join(rest, "class", "left")
+    note = F.when(F.coalesce("n_left", F.lit(0)) > 0, F.concat(F.lit("    // "), F.col("n_left").cast("string"), F.lit(" more\n"))).otherwise("")
+    simple = F.regexp_extract("class", r"([^.]*)$", 1)
+    kind = F.when(F.col("kind") == "abstract", "abstract class").otherwise(F.col("kind"))
+    return rows.select("class", F.concat(F.lit("package "), "package", F.lit(";\n"), kind, F.lit(" "), simple, F.lit(" {\n"), F.coalesce("body", F.lit("")), note, F.lit("}\n")).alias("view"))

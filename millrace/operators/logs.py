@@ -136,3 +136,14 @@ def epoch_millis(at: Column) -> Column:
 
 def elapsed_minutes(start: Column, end: Column) -> Column:
     return F.round((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 6e7, 1)
+
+
+def first_prompts(calls: DataFrame, key: str, seq: str, node: str = "initial_test_write_node") -> DataFrame:
+    """By class the first initial prompt: (key, prompt). Calls of other nodes, and their retries, don't count."""
+    own = calls.where(F.col("node_name") == node)
+    return own.groupBy(key).agg(F.min_by("prompt", seq).alias("prompt"))
+
+
+def run_report(results: DataFrame, summaries: DataFrame, calls: DataFrame, run: str = "run_id") -> DataFrame:
+    """results (run, arm, class, status, minutes) with what each run's log and calls tell; runs without either keep nulls."""
+    return results.withColumn("ok", F.col("status") == "finished").join(summaries, run, "left").join(calls, run, "left")

@@ -144,3 +144,22 @@ def updated_map(rows: DataFrame, key: str, seq: str, name: str, value: str, out:
     """By key a map of names to the values set last."""
     last = rows.groupBy(key, name).agg(F.max_by(value, seq).alias("v"))
     return last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(name, "v"))).alias(out))
+
+
+def checked_join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """The inner join of left with right by key; a row of left without a partner is an error at run time."""
+    rows = left.join(right.withColumn("found_", F.lit(True)), key, "left")
+    told = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in key])
+    return rows.where(F.when(F.col("found_"), True).otherwise(F.raise_error(F.concat(F.lit("nothing for "), told)).cast("boolean"))).drop("found_")
+
+
+def single(rows: DataFrame, path: str, column: str = "path") -> DataFrame:
+    """The rows of one path, or an error at run time if there are none."""
+    found = rows.where(F.col(column) == path)
+    n = found.agg(F.count("*").alias("n_")).select(F.when(F.col("n_") > 0, F.col("n_")).otherwise(F.raise_error(F.lit(f"{path} isn't there"))).alias("n_"))
+    return found.join(F.broadcast(n)).where("n_ > 0").drop("n_")  # one row
+
+
+def timeouts(attempts: Column, first: int = 60, step: int = 60, most: int = 600) -> Column:
+    """The seconds that a call may take at its n-th try, from 1: longer each time, up to a most."""
+    return F.least(F.lit(first) + (attempts - 1) * step, F.lit(most))

@@ -253,3 +253,58 @@ def q_elapsed(spark, sf):
     """Times as milliseconds and elapsed minutes."""
     x = table(spark, sf, "events", "user_id", "ts").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     return x.select("user_id", logs.epoch_millis(F.col("a")).alias("first_ms"), logs.elapsed_minutes(F.col("a"), F.col("b")).alias("minutes"))
+
+
+@query("SELECT conv_id, text AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user') WHERE r = 1")
+def q_first_prompts(spark, sf):
+    """The first initial prompt of each class."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "initial_test_write_node").otherwise("other").alias("node_name"), F.col("text").alias("prompt"))
+    return logs.first_prompts(c, "conv_id", "turn")
+
+
+@query("""WITH r AS (SELECT c_custkey AS run_id, CASE WHEN c_custkey % 4 = 0 THEN 'failed' ELSE 'finished' END AS status, c_mktsegment AS arm FROM customer), s AS (SELECT o_custkey AS run_id, count(*) AS compiles, count(*) FILTER (o_orderstatus = 'F') AS compile_failures FROM orders GROUP BY 1)
+SELECT run_id, arm, status = 'finished' AS ok, compiles, compile_failures, CAST(CASE WHEN compiles IS NOT NULL AND run_id % 2 = 0 THEN compiles * 3 END AS BIGINT) AS tokens_in FROM r LEFT JOIN s USING (run_id)""")
+def q_run_report(spark, sf):
+    """Results of runs with their logs and calls."""
+    results = table(spark, sf, "customer").select(F.col("c_custkey").alias("run_id"), F.when(F.col("c_custkey") % 4 == 0, "failed").otherwise("finished").alias("status"), F.col("c_mktsegment").alias("arm"))
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("seq"), (F.col("o_orderstatus") != "F").alias("compiler_success"), F.lit(False).alias("suite_green"), F.lit(0.0).alias("mutation"))
+    calls = rows.where("run_id % 2 = 0").select("run_id", F.lit("x").alias("node_name"), F.lit(3).alias("input_tokens"), F.lit(0).alias("output_tokens"))
+    figures = stats.run_figures(calls, rows.select("run_id", F.lit("other").alias("kind")))
+    return logs.run_report(results, stats.run_summary(rows), figures).select("run_id", "arm", "ok", "compiles", "compile_failures", "tokens_in")
+
+
+@query("SELECT o_orderkey AS k, o_totalprice, c_mktsegment AS segment, CAST(least(60 + (o_custkey % 15) * 60, 600) AS INT) AS timeout FROM orders JOIN customer ON c_custkey = o_custkey")
+def q_checked_join(spark, sf):
+    """A join whose left rows must all have a partner, and how long a call may take at each try."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer", "c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").withColumnRenamed("o_custkey", "key")
+    rows = routing.checked_join(o, table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment")), ["key"])
+    return rows.select(F.col("o_orderkey").alias("k"), "o_totalprice", "segment", routing.timeouts((F.col("key") % 15 + 1).cast("int")).alias("timeout"))
+
+
+@query("SELECT min(doc_id) AS doc_id, max(n_chars) AS n_chars FROM documents WHERE source = (SELECT min(source) FROM documents)")
+def q_single(spark, sf):
+    """The rows of one path, which must be there."""
+    d = table(spark, sf, "documents", "doc_id", "source", "n_chars")
+    return routing.single(d, d.agg(F.min("source")).first()[0], "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"))
+
+
+_MEMBERS = "SELECT 'a.b.C' || l_suppkey AS class, l_returnflag || ' m' || l_partkey || '(' || l_linenumber || ')' AS decl, l_partkey * 10 + l_linenumber AS seq, l_linestatus = 'O' AS kept FROM lineitem WHERE l_partkey % 20 < 7"
+
+
+@query(f"""WITH m AS ({_MEMBERS}), k AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY seq, decl) AS place FROM m WHERE kept), b AS (SELECT class, string_agg('    ' || decl || ';' || chr(10), '' ORDER BY place) AS body FROM k WHERE place <= 5 GROUP BY 1), r AS (SELECT class, count(*) - least(count(*) FILTER (kept), 5) AS n_left FROM m GROUP BY 1)
+SELECT 'a.b.C' || s_suppkey AS class, 'package a.b;' || chr(10) || CASE WHEN s_suppkey % 2 = 0 THEN 'interface' ELSE 'abstract class' END || ' C' || s_suppkey || ' {{' || chr(10) || coalesce(body, '') || CASE WHEN n_left > 0 THEN '    // ' || n_left || ' more' || chr(10) ELSE '' END || '}}' || chr(10) AS view FROM supplier LEFT JOIN b ON b.class = 'a.b.C' || s_suppkey LEFT JOIN r ON r.class = 'a.b.C' || s_suppkey""".replace("{{", "{").replace("}}", "}"))
+def q_rendered(spark, sf):
+    """Types as texts: their heads and the members kept of them."""
+    classes = table(spark, sf, "supplier").select(F.concat(F.lit("a.b.C"), F.col("s_suppkey").cast("string")).alias("class"), F.lit("a.b").alias("package"), F.when(F.col("s_suppkey") % 2 == 0, "interface").otherwise("abstract").alias("kind"))
+    return audit.rendered(sql_table(spark, sf, _MEMBERS), classes, 5)
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 'class In' || p_size || ' { int x' || p_partkey || '; } }' END AS body, 'm' || p_partkey || '(In, String[], T...)' AS signature FROM part")
+def q_nested_types(spark, sf):
+    """The declaration of a nested type within its file, and members' signatures by simple names."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    n = lambda c: F.col(c).cast("string")
+    source = F.concat(F.lit("package a;\nclass In"), n("s"), F.lit("0 { }\nclass Out { class In"), n("s"), F.lit(" { int x"), n("k"), F.lit("; } }"))
+    names = F.when(F.col("s") % 2 == 0, F.array(F.lit("Out"), F.concat(F.lit("In"), n("s")))).otherwise(F.array(F.lit("Out"), F.lit("Gone")))
+    params = F.array(F.lit("a.Out$In"), F.lit("java.lang.String[]"), F.lit("b.T..."))
+    return p.select("k", text.nested_body(source, names).alias("body"), text.signature(F.concat(F.lit("m"), n("k")), params).alias("signature"))

@@ -2,28 +2,83 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
+#: Paths of tables that this process has written and not dropped.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The cluster names that folder in spark.checkpoint.dir; only where it is unset (tests on one
-    machine) a temporary folder stands in and is set for the session's later calls.
+    The cluster names that folder in spark.checkpoint.dir. Only on one machine, as in tests, does a
+    temporary folder stand in where it is unset, and is set for the session's later calls; elsewhere
+    that is an error, as executors couldn't see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
         base = Path(tempfile.mkdtemp(prefix="millrace-shared-")).as_uri()
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, and no executor alone holds it."""
     path = shared_dir(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that saved() gave, once nothing is read from it any more."""
+    _delete(table.sparkSession, table._saved_at)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete all tables and folders that this process has made in the shared folder and not dropped; how many.
+
+    To be called when the results that were told from them have been written: a query's DataFrame
+    reads them when it runs.
+    """
+    paths = list(_written)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)

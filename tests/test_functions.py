@@ -249,7 +249,7 @@ def test_routing(spark):
 def test_audit(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "nothing of the kind"), (3, None)], "doc_id int, text string")
     needles = spark.createDataFrame([(7, "quick brown fox jumps"), (8, "kind"), (9, "absent words are here")], "item_id int, text string")
-    for limit in (1 << 20, 0):
+    for limit in (1 << 20, 16):
         monkeypatch.setattr(audit, "NEEDLE_BYTES", limit)
         assert sorted(map(tuple, audit.containing_texts(docs, needles, "item_id").collect())) == [(7, 1), (8, 2)]
     t = lambda *r: spark.createDataFrame([("s", *x) for x in r], "suite string, name string, body string, pos int")
@@ -291,4 +291,100 @@ def test_ingest_once(spark, tmp_path):
     for n in range(2):
         (src / f"{n}.json").write_text("".join(json.dumps({"k": i, "v": n}) + "\n" for i in range(3 + n)))
         ingest.ingest(spark, str(src), "k long, v long", out, ["k"], f"{tmp_path}/check").awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [(0, 0), (1, 0), (2, 0), (3, 1)]
+    assert sorted(map(tuple, ingest.read_ingested(spark, out).collect())) == [(0, 0), (1, 0), (2, 0), (3, 1)]
+    again = spark.createDataFrame([(3, 9), (4, 9), (4, 8)], "k long, v long")
+    for _ in range(2):  # a batch that runs again replaces its own rows
+        ingest.append_new(again, out, ["k"], 7)
+    ingest.append_new(again, out, ["k"])
+    assert sorted(map(tuple, ingest.read_ingested(spark, out).collect())) == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 8)]
+
+
+def test_index_with_header(spark, tmp_path):
+    rows, path = spark.createDataFrame([("a.B", 1)], "class string, n int"), f"{tmp_path}/index"
+    assert tables.read_index(spark, path, "class string, n int") is None
+    tables.write_index(rows, path, "abc", "proj")
+    assert tables.read_index(spark, path, "class string, n int", "abc").collect() == rows.collect() == tables.read_index(spark, path, "class string, n int").collect()
+    assert tables.read_index(spark, path, "class string, n int", "other") is None
+
+
+def test_sources_reports_and_checkpoints(spark, tmp_path):
+    from millrace.sources import reports as report_files
+
+    for p, t in (("m/src/main/java/A.java", "class A {\n}\n"), ("m/src/test/java/ATest.java", "class ATest {}"), ("m/lib/B.java", "class B {}"), ("m/target/site/jacoco/jacoco.xml", "<report name='x'/>"), ("n/jacoco.xml", "<report/>"), ("m/TEST-p.ATest.xml", "<testsuite/>")):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t)
+    files = tables.read_implementation(spark, str(tmp_path))
+    assert [r["path"].rsplit("/", 1)[-1] for r in files.collect()] == ["A.java"]
+    assert files.select(tables.doubled(F.col("content"))).first()[0] == "class A {\n\n}\n"
+    assert [r["place"] for r in sorted(tables.in_path_order(tables.read_sources(spark, str(tmp_path))).collect(), key=lambda r: r["path"])] == [0, 1, 2]
+    assert report_files.discovered(spark, str(tmp_path), report_files.COVERAGE).count() == 1 and report_files.discovered(spark, str(tmp_path), report_files.SUITE, newest_only=True).count() == 1
+    assert tables.clear_reports(spark, [f"{tmp_path}/m/target/site/jacoco", f"{tmp_path}/none"]) == 1 and not (tmp_path / "m/target/site/jacoco").exists()
+    start = tables.read_checkpoint(spark, f"{tmp_path}/check")
+    tables.write_checkpoint(start.withColumn(start.columns[0], F.lit(4)), f"{tmp_path}/check")
+    assert tables.read_checkpoint(spark, f"{tmp_path}/check").first()[0] == 4
+
+
+def test_java_structure(spark):
+    from millrace.functions import java
+
+    src = 'package a;\nclass Q {\n  Q(int a) { x(a); }\n\n  // note\n  @Deprecated\n  @Test(expected = E.class)\n  void t1() throws A {\n    if (f > 1) { g("}"); }\n  }\n  static <T> List<T> h(Map<K, V> m) { return null; }\n  void testTwo() { }\n}\n'
+    assert [(k, n) for k, n, *_ in java.methods_of(src)] == [("constructor", "Q"), ("method", "t1"), ("method", "h"), ("method", "testTwo")]
+    name, first, last = java.spans_of(src)[0]
+    left = java.without_ranges(src, [java.context_range(src, first, last)])
+    assert (name, first, last) == ("t1", 6, 10) and "note" not in left and left.splitlines()[3:5] == ["", "  static <T> List<T> h(Map<K, V> m) { return null; }"]
+    assert java.first_break(src) is None and java.first_break(src + "}") == 14 and java.first_break("a(b]") == 1 and java.first_break('f("}");') is None
+    df = spark.createDataFrame([(src, "uses h and t1 only")], "s string, u string")
+    row = df.select(java.compacted(F.col("s"), F.col("u")).alias("c"), java.suite_members(F.col("s")).alias("m")).first()
+    assert row["c"].count("\n...\n") == 1 and [t["name"] for t in row["m"]["tests"]] == ["t1", "testTwo"] and "voidt1" not in row["m"]["other"]
+    long = "class A {\n" + "".join(f"  @Test\n  void t{i}() {{ x(); }}\n" for i in range(4000)) + "}\n"
+    import time
+
+    began = time.perf_counter()
+    assert len(java.spans_of(long)) == 4000 and time.perf_counter() - began < 3
+
+
+def test_rollout_stats_rounds_as_reported(spark):
+    cols = "class_key string, usable boolean, compiled boolean, is_green boolean, terminated boolean, n_tests int, line_coverage_pct double, mutation_score_pct double, quality double"
+    rows = spark.createDataFrame([("a", True, True, True, True, 3, 33.333, 1.005, 0.123456), ("a", True, True, False, True, 4, 66.667, None, 0.3), ("b", True, False, False, False, 9, None, None, None)], cols)
+    r = stats.rollout_stats(rows).first()
+    assert (r["compiled_pct"], r["green_pct"], r["median_line_coverage_compiling"], r["mean_quality"], r["distinct_values_per_prompt"]) == (66.7, 33.3, 50.0, 0.1412, 1.5)
+
+
+def test_shared_folder(spark, monkeypatch):
+    from millrace import shared
+
+    t = shared.saved(spark.range(3).toDF("x"), "t")
+    shared.drop(t)
+    with pytest.raises(Exception, match="(?i)not.exist|no such file"):
+        t.count()
+    u = shared.saved(spark.range(3).toDF("x"), "u")
+    assert u.count() == 3 and shared.clean(spark) >= 1 and shared.clean(spark) == 0
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: None)
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared.shared_dir(spark, "x")
+
+
+def test_config_and_command(spark, tmp_path, capsys):
+    from millrace.__main__ import main
+    from millrace.sources import config
+
+    (tmp_path / "env").write_text('# settings\nA=3\n B = "2.5"\n\nC=-1\nD=x\n')
+    got = config.layered(spark, str(tmp_path / "env"), {"A": "4"})
+    assert config.get_int(got, "A") == 4 and config.get_float(got, "B") == 2.5
+    for name, why in (("C", "negative"), ("D", "integer"), ("E", "not set")):
+        with pytest.raises(ValueError, match=why):
+            config.get_int(got, name)
+    assert main([]) == 0 and "q_rollout_stats" in capsys.readouterr().out and main(["q_none", "x"]) == 2
+    assert main(["q_rotation", "/root/testdata/sf0.001", "2"]) == 0 and "arm" in capsys.readouterr().out
+
+
+def test_joins_that_must_hold(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(1, "p")], "k int, w string")
+    assert routing.checked_join(a.where("k = 1"), b, ["k"]).count() == 1
+    with pytest.raises(Exception, match="nothing for k=2"):
+        routing.checked_join(a, b, ["k"]).collect()
+    assert routing.single(a, "x", "v").count() == 1
+    with pytest.raises(Exception, match="isn't there"):
+        routing.single(a, "z", "v").collect()
