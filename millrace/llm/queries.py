@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, url_filter
+from . import jaccard, rules, url_filter
 from .chunks import op1_gear_chunks
 from .dac import op2_dac_tokens
 from .hilbert import op3_hilbert_shards
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_count_vector_rtree": jaccard.ORACLE, "op10_temporal_url_filter": url_filter.ORACLE}
+    return {"op5_rule_ledger": rules.ORACLE, "op9_count_vector_rtree": jaccard.ORACLE, "op10_temporal_url_filter": url_filter.ORACLE}

@@ -34,12 +34,20 @@ RULES = [
 ]
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 
-#: Versioned policies: the rules that a document must not fail.
+#: The policies that come with the package: by version, the rules that a document must not fail. Callers
+#: give their own in the same form, or as a table of (version, mask).
 POLICIES = {
     1: BIT["few_words"] | BIT["repeated_windows"],
     2: sum(BIT.values()),
 }
 CURRENT = 2
+#: The most policies that judged() takes at once.
+MOST_POLICIES = 1024
+
+
+def policy(*names: str) -> int:
+    """The mask of a policy of the named rules."""
+    return sum(BIT[name] for name in set(names))
 
 
 def measure(data: bytes) -> tuple[int, ...]:
@@ -93,27 +101,43 @@ def ledger(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Data
     return source.mapInArrow(run, schema).withColumn("failed", bits.cast("long"))
 
 
-def passes(policy: int | None = None, failed: str = "failed"):
-    """Whether a ledger row passes a policy (a version of POLICIES)."""
-    return F.col(failed).bitwiseAND(F.lit(POLICIES[CURRENT if policy is None else policy])) == 0
+def passes(mask: int = POLICIES[CURRENT], failed: str = "failed"):
+    """Whether a ledger row passes a policy, given as its mask."""
+    return F.col(failed).bitwiseAND(F.lit(mask)) == 0
+
 
+def judged(rows: DataFrame, policies: DataFrame) -> DataFrame:
+    """Ledger rows under each of the policies (version, mask), a table of MOST_POLICIES rows at most: with version and kept.
 
-def passing(docs: DataFrame, policy: int | None = None, text: str = "text") -> DataFrame:
+    Texts aren't read again. A null mask is no policy.
+    """
+    few = policies.select("version", "mask").dropna(subset=["mask"]).limit(MOST_POLICIES + 1).collect()
+    if len(few) > MOST_POLICIES:
+        raise ValueError(f"more than {MOST_POLICIES} policies at once")
+    version = policies.schema["version"].dataType
+    each = F.array(*[F.struct(F.lit(r["version"]).cast(version).alias("version"), F.lit(r["mask"]).cast("long").alias("mask")) for r in few])
+    if not few:
+        each = F.array().cast(T.ArrayType(T.StructType([T.StructField("version", version), T.StructField("mask", T.LongType())])))
+    kept = [c for c in rows.columns if c.lower() not in ("version", "kept")]
+    (own,) = common.fresh(rows, "policy")
+    return rows.select(*[F.col(f"`{c}`") for c in kept], F.explode(each).alias(own)).select(*[F.col(f"`{c}`") for c in kept], F.col(own)["version"].alias("version"), (F.col("failed").bitwiseAND(F.col(own)["mask"]) == 0).alias("kept"))
+
+
+def passing(docs: DataFrame, mask: int = POLICIES[CURRENT], text: str = "text") -> DataFrame:
     """docs without the rows that fail a policy, in one pass and without a shuffle; for a stage that
     reads each text but once. Columns keep their names, those of the ledger's names too."""
     names = [c for c in docs.columns if c.lower() in {*MEASURES, "failed"}]
     held = common.fresh(docs, *[f"held_{i}" for i in range(len(names))])
-    rows = ledger(docs.withColumnsRenamed(dict(zip(names, held))), text, keep_text=True).where(passes(policy))
+    rows = ledger(docs.withColumnsRenamed(dict(zip(names, held))), text, keep_text=True).where(passes(mask))
     return rows.drop(*MEASURES, "failed").withColumnsRenamed(dict(zip(held, names))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def ablations(rows: DataFrame, policy: int | None = None, by: list[str] | None = None) -> DataFrame:
+def ablations(rows: DataFrame, mask: int = POLICIES[CURRENT], by: list[str] | None = None) -> DataFrame:
     """For each rule of a policy: documents that fail it, that fail only it, and that would pass without it.
 
     One pass over the ledger: counts by mask first (at most 2 ** rules rows for each group), then the
     rules over the masks. An empty ledger gives no rows.
     """
-    mask = POLICIES[CURRENT if policy is None else policy]
     by = by or []
     masks = rows.groupBy(*by, F.col("failed").bitwiseAND(F.lit(mask)).alias("mask")).agg(F.count("*").alias("n"))
     rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(BIT[name]).cast("long").alias("bit")) for name, _ in RULES if BIT[name] & mask])
@@ -129,5 +153,18 @@ def ablations(rows: DataFrame, policy: int | None = None, by: list[str] | None =
 def op5_rule_ledger(spark, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and verdict of every document under the current policy."""
     rows = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    base = F.col("failed").bitwiseAND(F.lit(POLICIES[1])) != 0
-    return rows.select("doc_id", *MEASURES[:5], base.alias("base_failed"), passes().alias("kept"), "failed")
+    return rows.select("doc_id", *MEASURES[:5], (~passes(POLICIES[1])).alias("base_failed"), passes().alias("kept"), "failed")
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM d),
+windows AS (SELECT doc_id, i, w[i:i + 2] AS three FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM again) GROUP BY 1),
+m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN covered c USING (doc_id)),
+f AS (SELECT *, CAST({" + ".join(f"CASE WHEN {fails} THEN {BIT[name]} ELSE 0 END" for name, fails in RULES)} AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {POLICIES[1]} <> 0 AS base_failed, failed & {POLICIES[CURRENT]} = 0 AS kept, failed FROM f
+"""
