@@ -161,18 +161,24 @@ def producers(news: DataFrame, calls: DataFrame, members: DataFrame, lineage: Da
     return first.groupBy("target", "class").agg(F.array_sort(F.collect_list("decl")).alias("entries"))
 
 
+def walked(steps: DataFrame, known: DataFrame) -> DataFrame:
+    """steps (cut, fqn, pattern, hops) -> one row for each pair: patterns by priority, the first of them
+    and the fewest hops. Types that aren't known and the class itself are left out."""
+    prio = F.array_position(F.array(*map(F.lit, PATTERNS)), F.col("pattern"))
+    rows = steps.where("cut <> fqn").join(known.select(F.col("class").alias("fqn")), "fqn", "left_semi")
+    met = rows.groupBy("cut", "fqn").agg(F.array_sort(F.collect_set(F.struct(prio.alias("prio"), "pattern", "hops"))).alias("steps"))
+    return met.select("cut", "fqn", F.transform("steps", lambda s: s["pattern"]).alias("patterns"), F.col("steps")[0]["pattern"].alias("pattern"), F.array_min(F.transform("steps", lambda s: s["hops"])).alias("hops"))
+
+
 def walk(steps: dict[str, tuple[DataFrame, int]], known: DataFrame) -> DataFrame:
-    """(cut, fqn) pairs of each pattern, with its hops -> one row for each pair: patterns by priority,
-    the first of them and the fewest hops. Types that aren't known and the class itself are left out."""
+    """walked() over the (cut, fqn) pairs of each pattern, given with its hops."""
     out = None
     for name in PATTERNS:
         if name in steps:
             df, hops = steps[name]
-            df = df.select("cut", "fqn", F.struct(F.lit(PATTERNS.index(name)).alias("prio"), F.lit(name).alias("pattern"), F.lit(hops).alias("hops")).alias("step"))
+            df = df.select("cut", "fqn", F.lit(name).alias("pattern"), F.lit(hops).alias("hops"))
             out = df if out is None else out.unionByName(df)
-    out = out.where("cut <> fqn").join(known.select(F.col("class").alias("fqn")), "fqn", "left_semi")
-    met = out.groupBy("cut", "fqn").agg(F.array_sort(F.collect_set("step")).alias("steps"))
-    return met.select("cut", "fqn", F.transform("steps", lambda s: s["pattern"]).alias("patterns"), F.col("steps")[0]["pattern"].alias("pattern"), F.array_min(F.transform("steps", lambda s: s["hops"])).alias("hops"))
+    return walked(out, known)
 
 
 def class_walk(index: DataFrame, ancestors: DataFrame, inverse: DataFrame, api: DataFrame, built: DataFrame | None = None) -> DataFrame:

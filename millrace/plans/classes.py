@@ -1,8 +1,9 @@
 """Queries over a graph of classes made from parts and order lines, and their SQL.
 
 Part p is class C<p>; it extends C<p/2> and implements C<p/3>. An order line says of its part's class
-what role its supplier's class plays in it, by the line's number: constructor and method parameter,
-return type, exception, field, call or construction.
+what role class C<order> plays in it, by the line's number: constructor and method parameter, return
+type, exception, field, call or construction. Most orders are no parts, so most such types are none of
+the project's classes.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..shared import saved
 from .registry import query, sql_table
 
 _ROLES = ("ctor_params", "method_params", "returns", "throws", "fields", "calls", "instantiates")
 CLASSES = "SELECT 'C' || p_partkey AS class, 'p' || (p_partkey % 5) AS package, CASE p_size % 4 WHEN 0 THEN 'interface' WHEN 1 THEN 'abstract' WHEN 2 THEN 'enum' ELSE 'class' END AS kind, p_partkey AS k FROM part WHERE p_partkey > 0"
-EDGES = "SELECT DISTINCT 'C' || l_partkey AS class, 'C' || l_suppkey AS t, l_linenumber AS n FROM lineitem WHERE l_partkey > 0 AND l_suppkey > 0"
+EDGES = "SELECT DISTINCT 'C' || l_partkey AS class, 'C' || l_orderkey AS t, l_linenumber AS n FROM lineitem WHERE l_partkey > 0 AND l_orderkey > 0"
 EXTENDS = "SELECT 'C' || p_partkey AS src, 'C' || CAST(floor(p_partkey / 2) AS BIGINT) AS dst FROM part WHERE p_partkey > 1 AND p_partkey % 3 <> 0"
 IMPLEMENTS = "SELECT 'C' || p_partkey AS src, 'C' || CAST(floor(p_partkey / 3) AS BIGINT) AS dst FROM part WHERE p_partkey > 2 AND p_partkey % 2 = 0"
 # one member for each part and line number, seen as the least of its lines' flags says
@@ -75,7 +77,7 @@ def q_inherited_api(spark, sf):
 
 _API = "api AS (SELECT src AS class, t, n FROM anc JOIN e ON e.class = dst WHERE t <> src), params AS (SELECT class AS cut, t AS via FROM e WHERE n IN (1, 2) UNION SELECT class, t FROM api WHERE n = 2), rets AS (SELECT class AS cut, t AS via FROM e WHERE n = 3 UNION SELECT class, t FROM api WHERE n = 3)"
 _CONCRETE = "kind IN ('class', 'enum', 'record')"
-_PRODUCERS = """news AS (SELECT DISTINCT 'C' || l_partkey AS class, 'm' || l_linenumber AS member, 'C' || l_suppkey AS target FROM lineitem WHERE l_partkey > 0 AND l_suppkey > 0),
+_PRODUCERS = """news AS (SELECT DISTINCT 'C' || l_partkey AS class, 'm' || l_linenumber AS member, 'C' || l_orderkey AS target FROM lineitem WHERE l_partkey > 0 AND l_orderkey > 0),
 calls AS (SELECT DISTINCT 'C' || l_partkey AS caller, 'm' || l_linenumber AS member, 'C' || CAST(floor(l_partkey / 2) AS BIGINT) AS owner, 'm' || (l_linenumber % 7 + 1) AS name FROM lineitem WHERE l_partkey > 1),
 lineage AS (SELECT src AS class, dst AS "of" FROM anc UNION SELECT class, class FROM classes),
 entries AS (SELECT n.target, n.class, m.decl FROM news n JOIN mem m ON m.class = n.class AND m.name = n.member WHERE m.visibility = 'public' AND n.class <> n.target
@@ -86,7 +88,7 @@ _MEM = "mem AS (SELECT *, visibility || ' ' || class || '.' || name AS decl FROM
 
 def _producers(spark, sf, reach):
     members = sql_table(spark, sf, MEMBERS).select("class", F.col("name").alias("member"), "visibility", F.concat("visibility", F.lit(" "), "class", F.lit("."), "name").alias("decl"))
-    news = sql_table(spark, sf, "SELECT DISTINCT 'C' || l_partkey AS class, 'm' || l_linenumber AS member, 'C' || l_suppkey AS target FROM lineitem WHERE l_partkey > 0 AND l_suppkey > 0")
+    news = sql_table(spark, sf, "SELECT DISTINCT 'C' || l_partkey AS class, 'm' || l_linenumber AS member, 'C' || l_orderkey AS target FROM lineitem WHERE l_partkey > 0 AND l_orderkey > 0")
     calls = sql_table(spark, sf, "SELECT DISTINCT 'C' || l_partkey AS caller, 'm' || l_linenumber AS member, 'C' || CAST(floor(l_partkey / 2) AS BIGINT) AS owner, 'm' || (l_linenumber % 7 + 1) AS name FROM lineitem WHERE l_partkey > 1")
     classes = sql_table(spark, sf, CLASSES)
     lineage = reach.select(F.col("src").alias("class"), F.col("dst").alias("of")).union(classes.select("class", "class"))
@@ -114,8 +116,10 @@ ok AS (SELECT * FROM steps WHERE cut <> fqn AND fqn IN (SELECT class FROM classe
 SELECT cut, fqn, CAST(min(prio) AS INT) AS prio, CAST(min(hops) AS INT) AS hops, string_agg(DISTINCT CAST(prio AS VARCHAR), '' ORDER BY CAST(prio AS VARCHAR)) AS patterns FROM ok GROUP BY 1, 2""")
 def q_class_walk(spark, sf):
     """Candidates of the walk over all nine patterns: patterns met, the first of them, fewest hops."""
-    idx, reach = index(spark, sf), ancestors(spark, sf)
-    rows = graph.class_walk(idx, reach, graph.inversions(idx, reach), graph.inherited_api(idx, reach), _producers(spark, sf, reach))
+    idx = saved(index(spark, sf), "class-index")
+    reach = graph.closure(graph.supertypes(idx))
+    inverse, api = saved(graph.inversions(idx, reach), "class-inverse"), saved(graph.inherited_api(idx, reach), "class-api")
+    rows = graph.class_walk(idx, reach, inverse, api, _producers(spark, sf, reach))
     prio = F.create_map(*[F.lit(x) for i, p in enumerate(graph.PATTERNS) for x in (p, str(i))])
     rows = rows.join(idx.select(F.col("class").alias("cut")), "cut", "left_semi")
     return rows.select("cut", "fqn", prio[F.col("pattern")].cast("int").alias("prio"), "hops", F.array_join(F.transform("patterns", lambda p: prio[p]), "").alias("patterns"))

@@ -347,8 +347,9 @@ SELECT cut, fqn, arg_min(pattern, prio) AS pattern, min(hops) AS hops, count(*)
 def q_walk(spark, sf):
     """Candidates of a walk over patterns, the first pattern by priority."""
     ol = table(spark, sf, "orders", "o_orderkey", "o_custkey").join(table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    to = lambda e: ol.selectExpr("o_custkey AS cut", f"{e} AS fqn").distinct()
-    out = graph.walk({"own_surface": (to("l_partkey"), 1), "ctor_args": (to("l_suppkey"), 2), "results": (to("l_partkey div 2"), 2)}, table(spark, sf, "part", F.col("p_partkey").alias("class")))
+    step = lambda e, pattern, hops: F.struct(F.expr(e).cast("long").alias("fqn"), F.lit(pattern).alias("pattern"), F.lit(hops).alias("hops"))
+    steps = F.array(step("l_partkey", "own_surface", 1), step("l_suppkey", "ctor_args", 2), step("l_partkey div 2", "results", 2))
+    out = graph.walked(ol.select(F.col("o_custkey").alias("cut"), F.inline(steps)), table(spark, sf, "part", F.col("p_partkey").alias("class")))
     return out.select("cut", "fqn", "pattern", "hops", F.size("patterns").cast("long").alias("n"))
 
 
