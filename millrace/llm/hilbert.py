@@ -1,9 +1,11 @@
 """Sharding along a Hilbert curve over metadata (operator 3).
 
-Size, language and source are quantised to BITS bits each. The cell's index on the Hilbert curve
-through that cube orders the rows, so rows near each other in all dimensions are near each other in
-the order, and a run of it covers few values of each dimension. Runs of equal row counts are cut
-(the law `rows`); each shard's range of every dimension is kept for pruning.
+Size, language and source are quantised to BITS bits each: sizes by their quantiles, names in their
+order, so that a bin is a range of sizes or of names and bins hold about equally many rows. The
+cell's index on the Hilbert curve through that cube orders the rows, so rows near each other in all
+dimensions are near each other in the order, and a run of it covers few values of each dimension.
+Runs of equal row counts are cut (the law `rows`); each shard's range of every dimension is kept for
+pruning by values.
 
 No task sorts all rows: counts by cell (at most 2 ** (3 * BITS)) give each cell's first rank; a cell
 with many rows is split by a hash of its rows into parts, whose counts give the parts' first ranks; only the rows of a part are ordered among themselves.
@@ -19,17 +21,29 @@ DIMENSIONS = ("size", "lang", "source")
 BITS = 4
 #: A cell is split into parts of about this share of a shuffle partition's rows, LEAST_ROWS at least.
 PARTS_PER_PARTITION, LEAST_ROWS = 4, 100
+#: Up to so many names their bins are sent to the rows.
+SENT_NAMES = 1 << 16
 
 
-def size_bin(size: Column) -> Column:
-    """Half powers of two: bin 0 up to 127 bytes, bin 15 from 16,384 bytes on."""
-    top = (1 << BITS) - 1
-    return F.greatest(F.lit(0), F.least(F.lit(top), F.floor(2 * F.log2(size.cast("double"))).cast("int") - 13))
+def size_bins(rows: DataFrame) -> DataFrame:
+    """rows with size_bin: how many of the sizes' 2 ** BITS - 1 quantiles are below the size."""
+    cuts = [i / (1 << BITS) for i in range(1, 1 << BITS)]
+    quantiles = rows.agg(F.percentile_approx("size", cuts, 10_000)).first()[0] or []
+    return rows.withColumn("size_bin", sum((F.when(F.col("size") > q, 1).otherwise(0) for q in sorted(set(quantiles))), F.lit(0)))
 
 
-def name_bin(name: Column) -> Column:
-    """A name's bin by its hash; a null name is in bin 0 like some others."""
-    return F.coalesce(F.pmod(F.xxhash64(name), F.lit(1 << BITS)), F.lit(0)).cast("int")
+def name_bins(rows: DataFrame, column: str) -> DataFrame:
+    """rows with {column}_bin: names in order, null first, in 2 ** BITS ranges of about equally many rows.
+
+    Names, not rows, are ordered in one task; a row each.
+    """
+    order = Window.orderBy(F.asc_nulls_first(column)).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(F.lit(0))
+    counts = rows.groupBy(column).agg(F.count("*").alias("n"))
+    middle = F.coalesce(F.sum("n").over(order), F.lit(0)) + F.col("n") / 2
+    bins = common.saved(counts.select(F.col(column).alias("name"), F.floor(middle * (1 << BITS) / F.sum("n").over(everything)).cast("int").alias(f"{column}_bin")), "shard-names")
+    small = F.broadcast(bins) if bins.count() <= SENT_NAMES else bins
+    return rows.join(small, F.col(column).eqNullSafe(F.col("name"))).drop("name")
 
 
 def curve_index(df: DataFrame, dims: list[str], out: str, bits: int = BITS) -> DataFrame:
@@ -96,18 +110,21 @@ def placed(rows: DataFrame, shards: int, cell: str = "cell", key: str = "key") -
 
 
 def metadata(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", whole: bool = False) -> DataFrame:
-    """doc_id, size, text_crc32, the dimensions' bins, the curve's cell and a key that tells rows apart.
+    """doc_id, size, text_crc32, the dimensions and their bins, the curve's cell and a key that tells rows apart.
 
-    Size is the text's UTF-8 bytes and 1; a null text has none. Null languages and sources are in bin
-    0, null doc_ids are ordered by their texts. Equal rows get places next to each other. If `whole`,
-    the row itself goes along as `document`.
+    Size is the text's UTF-8 bytes and 1; a null text has none. Null languages and sources come before
+    all names, null doc_ids are ordered by their texts. Equal rows get places next to each other. If
+    `whole`, the row itself goes along as `document`.
     """
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
-        name_bin(F.col(f"`{lang}`").cast("string")).alias("lang_bin"), name_bin(F.col(f"`{source}`").cast("string")).alias("source_bin"), F.xxhash64(F.col(f"`{doc_id}`"), t).alias("key"),
+        F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{source}`").cast("string").alias("source"), F.xxhash64(F.col(f"`{doc_id}`"), t).alias("key"),
         *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")] * whole,
-    ).withColumn("size_bin", size_bin(F.col("size")))
+    )
+    rows = size_bins(common.saved(rows, "shard-metadata"))
+    for name in DIMENSIONS[1:]:
+        rows = name_bins(rows, name)
     return curve_index(rows, [f"{d}_bin" for d in DIMENSIONS], "cell")
 
 
@@ -121,20 +138,21 @@ def shards(docs: DataFrame, n: int, **columns: str) -> DataFrame:
 
 
 def manifest(rows: DataFrame) -> DataFrame:
-    """For each shard its rows, bytes and range of each dimension, for pruning."""
-    ranges = [f(f"{d}_bin").alias(f"{d}_{n}") for d in DIMENSIONS for n, f in (("min", F.min), ("max", F.max))]
+    """For each shard its rows, bytes, and of each dimension the least and greatest value and how many are null, for pruning."""
+    ranges = [x for d in DIMENSIONS for x in (F.min(d).alias(f"{d}_min"), F.max(d).alias(f"{d}_max"), F.count_if(F.col(d).isNull()).alias(f"{d}_nulls"))]
     return rows.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"), *ranges)
 
 
-def prune(manifest_rows: DataFrame, **wanted: tuple[int, int]) -> DataFrame:
-    """The shards that can hold rows whose bins lie in the given ranges, e.g. prune(m, size=(3, 5), lang=(2, 2))."""
+def prune(manifest_rows: DataFrame, **wanted: tuple) -> DataFrame:
+    """The shards that can hold rows with values in the given ranges, e.g. prune(m, size=(1000, 5000), lang=("de", "en")); (None, None) asks for nulls."""
     for d, (lo, hi) in wanted.items():
-        manifest_rows = manifest_rows.where((F.col(f"{d}_min") <= hi) & (F.col(f"{d}_max") >= lo))
+        some = F.col(f"{d}_nulls") > 0 if lo is None and hi is None else (F.col(f"{d}_min") <= hi) & (F.col(f"{d}_max") >= lo)
+        manifest_rows = manifest_rows.where(some)
     return manifest_rows.select("shard")
 
 
 def write_shards(docs: DataFrame, n: int, path: str, doc_id: str = "doc_id") -> DataFrame:
-    """Write docs under `path`, a folder for each shard in curve order; returns the manifest.
+    """Write docs under `path`, a folder for each shard in curve order, and the manifest beside them; returns the manifest.
 
     Each row is written once, at its own place, repeated rows and rows without a doc_id too.
     """
@@ -142,7 +160,9 @@ def write_shards(docs: DataFrame, n: int, path: str, doc_id: str = "doc_id") ->
     at, slot = common.fresh(docs, "shard", "slot")
     placed_docs = rows.select(*[F.col("document")[c].alias(c) for c in docs.columns], F.col("shard").alias(at), F.col("slot").alias(slot))
     placed_docs.repartitionByRange(at, slot).sortWithinPartitions(at, slot).drop(slot).write.partitionBy(at).parquet(path)
-    return manifest(rows)
+    out = manifest(rows)
+    out.coalesce(1).write.parquet(f"{path}/_manifest")  # a row for each shard; readers of the shards pass over it
+    return docs.sparkSession.read.schema(out.schema).parquet(f"{path}/_manifest")
 
 
 def op3_hilbert_shards(spark, sf_dir: str) -> DataFrame:
