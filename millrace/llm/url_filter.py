@@ -19,6 +19,8 @@ from . import common
 KINDS = ("domain", "host", "prefix")
 #: The end of an interval that hasn't ended.
 OPEN_END = "9999-12-31 00:00:00"
+#: Up to so many bytes the lists' keys are sent to the captures.
+SENT_BYTES = 32 << 20
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -75,8 +77,12 @@ def evaluate(captures: DataFrame, lists: DataFrame, url: str = "url", fetched_at
     asked = captures.select(F.col(f"`{url}`").cast("string").alias(u), F.col(f"`{fetched_at}`").cast("timestamp").alias(t)).dropna().distinct()
     month = lambda c: F.year(c) * 12 + F.month(c)
     points = asked.withColumn("k", F.explode(keys_of(F.col(u)))).select(u, t, "k.kind", "k.key", month(F.col(t)).alias("month"))
+    # keys that no list has go before they are shuffled, if the lists' keys are few enough to be sent to the rows
+    listed = common.saved(lists.select("kind", "key").distinct(), "listed")
+    if (listed.agg(F.coalesce(F.sum(F.octet_length("key") + 32), F.lit(0))).first()[0]) <= SENT_BYTES:
+        points = points.join(F.broadcast(listed), ["kind", "key"], "left_semi")
     # an open end covers no month beyond the last capture
-    last = asked.agg(F.max(t)).first()[0]
+    last = captures.agg(F.max(F.col(f"`{fetched_at}`").cast("timestamp"))).first()[0]
     until = F.least(F.col("valid_to"), F.greatest(F.col("valid_from"), F.lit(last).cast("timestamp")))
     spans = lists.withColumn("month", F.explode(F.sequence(month(F.col("valid_from")), month(until))))
     met = points.join(spans, ["kind", "key", "month"]).where((F.col("valid_from") <= F.col(t)) & (F.col(t) < F.col("valid_to")))
