@@ -99,18 +99,19 @@ def with_copies(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return joined.withColumn("n_copies", (F.col("copies") + F.when(F.col("place") < F.col("threshold"), 1).otherwise(0)).cast("long")).drop("goal_source", "copies", "threshold")
 
 
-def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple = WEIGHTS) -> DataFrame:
-    """The mixed documents: each row of docs (doc_id, text, source, …) as often as the mix takes it.
+def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple = WEIGHTS, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mixed documents: each row of docs as often as the mix takes it.
 
     Null sources are one source, the last; null or empty texts have no words and are taken like
     others of their source. Rows without words in a source without words are never taken. Repeated
     rows are decided alike. An empty table gives no rows. Columns keep their names, whatever they are.
+    Sources, not rows, are ordered in one task; a row each.
     """
-    goals = plan(common.saved(sized_rows(docs), "mix-sizes"), most, weights)
-    place, source, size, target, copies, threshold = common.fresh(docs, "place", "goal_source", "goal_size", "goal_target", "goal_copies", "goal_threshold")
-    g = goals.toDF(source, size, target, copies, threshold)
-    with_place = docs.withColumn(place, F.xxhash64(F.col("doc_id"), F.xxhash64(F.col("text"))).bitwiseAND(F.lit((1 << 32) - 1)))
-    joined = with_place.join(g, F.col("source").cast("string").eqNullSafe(F.col(source)))
+    goals = plan(common.saved(sized_rows(docs, doc_id, text, source), "mix-sizes"), most, weights)
+    place, name, size, target, copies, threshold = common.fresh(docs, "place", "goal_source", "goal_size", "goal_target", "goal_copies", "goal_threshold")
+    g = goals.toDF(name, size, target, copies, threshold)
+    with_place = docs.withColumn(place, F.xxhash64(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))).bitwiseAND(F.lit((1 << 32) - 1)))
+    joined = with_place.join(g, F.col(f"`{source}`").cast("string").eqNullSafe(F.col(name)))
     often = (F.col(copies) + F.when(F.col(place) < F.col(threshold), 1).otherwise(0)).cast("int")
     return joined.withColumn(copies, F.explode(F.array_repeat(F.lit(0), often))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
