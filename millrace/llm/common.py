@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..shared import saved, shared_dir  # noqa: F401
+from ..shared import drop, saved, shared_dir, ship  # noqa: F401
 
 #: Upper bound of one Arrow batch handed to Python; one row larger than this travels alone.
 ARROW_BATCH_BYTES = 4 << 20
 
-_shipped: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> None:
-    """Give executors this package (once per application) and bound the Arrow batches."""
+    """Give executors this package (once per application) and bound the Arrow batches, by a setting of the session that stays."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="millrace-")
-    path = os.path.join(folder, "millrace.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"{root.name}/{f.relative_to(root)}")
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
+    ship(spark)
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

@@ -13,17 +13,18 @@ def components(links: DataFrame) -> DataFrame:
     In each round a node points to the least of its neighbours and itself; pointers are followed to
     their ends by doubling, the ends become nodes and the links between different ones go on. A round
     at least halves the nodes that have links. All rounds are joins and sums with tables written in
-    between; nothing is collected.
+    between; nothing is collected. A table of pointers is deleted when the next one is written.
     """
     edges = common.saved(links.select("a", "b").where("a <> b").distinct(), "links")
     labels = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        up = common.saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")).withColumnRenamed("a", "node"), "pointers")
+        up = table = common.saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")).withColumnRenamed("a", "node"), "pointers")
         while True:
             far = up.select(F.col("node").alias("n"), F.col("up").alias("far"))
             step = common.saved(up.join(far, F.col("up") == F.col("n")).select("node", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved")), "pointers")
-            up = step.select("node", "up")
+            common.drop(table)
+            table, up = step, step.select("node", "up")
             if step.where("moved").isEmpty():
                 break
         if labels is None:

@@ -57,6 +57,26 @@ def words(t):
 # operator 4
 
 
+def test_tree_joins_every_text(spark):
+    """Each text of two characters or more comes through joins of nodes; leaves of any size give the same ids."""
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = tree_bpe.read_ranks(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    plain = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    parts = ["a", "the", " ", "  ", "\n", "\t", "\u3000", "é", "1", "23", ".", "!!", "'s", "'ll", " word", "longword" * 6, "\r\n", "ß", "\U0001f600", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 70))) for _ in range(500)] + [t or "" for _, t, *_ in ODD]
+    for leaf in (1, 2, 5, 16, tree_bpe.LEAF_CHARS):
+        tree = tree_bpe.TreeBpe(ranks, P.PATTERN, leaf_chars=leaf, leaf_bytes=4)
+        for t in texts:
+            before = tree.joins
+            ids = tree.encode(t)
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode_ordinary(t) and tree.decode(ids) == t.encode()
+            leaves = lambda n: 1 if n <= leaf else leaves(n // 2) + leaves(n - n // 2)  # noqa: E731, B023
+            assert tree.joins - before == (0 if len(t) < 2 else max(leaves(len(t)), 2) - 1)
+
+
 @pytest.fixture(scope="module")
 def tiktoken_encoding():
     import public_tokenizers as P
@@ -135,7 +155,6 @@ def tokens_by_library(text):
 
     if not hasattr(tokens_by_library, "t"):
         tokens_by_library.t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-        tokens_by_library.t.encode_special_tokens = True
     return [*tokens_by_library.t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -159,6 +178,40 @@ def test_dac_odd_rows(spark, odd, empty, tmp_path):
     assert dac.read_tokens(dac.write_tokens(empty, path, tmp_path.as_uri() + "/b"), tmp_path.as_uri() + "/b").count() == 0
 
 
+def test_dac_other_tokenizers_see_whole_texts(spark, odd, tmp_path):
+    import json
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    config = json.loads(open(P.path("byte_bpe_50k.json")).read())
+    assert dac.cuts_at_segments(config)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": config["pre_tokenizer"] | {"add_prefix_space": True}}, {"added_tokens": [config["added_tokens"][0] | {"lstrip": True}]}):
+        assert not dac.cuts_at_segments(config | change)
+        (tmp_path / "t.json").write_text(json.dumps(config | change))
+        t = Tokenizer.from_file(str(tmp_path / "t.json"))
+        rows = dac.read_tokens(dac.write_tokens(odd, str(tmp_path / "t.json"), f"{tmp_path.as_uri()}/{len(change)}{[*change][0]}"), f"{tmp_path.as_uri()}/{len(change)}{[*change][0]}").collect()
+        assert Counter((r["doc_id"], r["ids"]) for r in rows) == Counter((d, np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for d, x, *_ in ODD)
+
+
+def test_dac_files_and_readers(spark, small, tmp_path):
+    import public_tokenizers as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    manifest = dac.write_tokens(docs, P.path("byte_bpe_50k.json"), str(tmp_path / "files"))
+    (tmp_path / "files/.part-000009.1").write_bytes(b"left over")
+    manifest = dac.write_tokens(docs, P.path("byte_bpe_50k.json"), str(tmp_path / "files"))
+    files = sorted(f.name for f in (tmp_path / "files").iterdir())
+    assert len(files) == manifest.count() and all(f.startswith("part-") for f in files)
+    rows = dac.read_tokens(manifest, str(tmp_path / "files"))
+    assert rows.rdd.getNumPartitions() == len(files)
+    for r in rows.collect():
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert r["middle_id"] == ids[len(ids) // 2]
+    with pytest.raises(ValueError, match="no file system"):
+        dac.qualified(spark, "http://host/tokens")
+
+
 def test_op2_added_tokens(spark, tmp_path):
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -217,7 +270,19 @@ def test_op3(spark, small, odd, empty):
     check_shards(hilbert.shards(odd, 5).collect(), [r[:2] for r in ODD], 5)
     assert hilbert.shards(empty, 5).count() == 0
     m = hilbert.manifest(hilbert.shards(odd, 5))
-    assert {r["shard"] for r in hilbert.prune(m, size=(0, 15)).collect()} == set(range(5)) and hilbert.prune(m, size=(16, 16)).count() == 0
+    assert {r["shard"] for r in hilbert.prune(m, size=(0, 10**9)).collect()} == set(range(5)) and hilbert.prune(m, size=(10**9, 10**9)).count() == 0
+    held = hilbert.shards(odd, 5).collect()
+    for name in ("lang", "source"):
+        for v in {r[name] for r in held}:
+            assert {r["shard"] for r in hilbert.prune(m, **{name: (v, v)}).collect()} >= {r["shard"] for r in held if r[name] == v}
+
+
+def test_bins_are_ranges(spark):
+    rows = hilbert.shards(spark.read.parquet(f"{SF}/documents.parquet"), 8).collect()
+    for d in hilbert.DIMENSIONS:
+        pairs = sorted({(r[d], r[f"{d}_bin"]) for r in rows})
+        assert [b for _, b in pairs] == sorted(b for _, b in pairs) and 0 <= pairs[0][1] <= pairs[-1][1] < 1 << hilbert.BITS
+    assert max(Counter(r["size_bin"] for r in rows).values()) <= len(rows) / 4 and len({r["source_bin"] for r in rows}) > 8
 
 
 def test_write_shards(spark, small, tmp_path):
@@ -225,6 +290,8 @@ def test_write_shards(spark, small, tmp_path):
     hilbert.write_shards(docs, 4, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == len(small) and back.select("shard").distinct().count() == 4
+    m = spark.read.parquet(str(tmp_path / "s/_manifest")).collect()
+    assert sum(r["n_rows"] for r in m) == len(small) and {r["shard"] for r in m} == set(range(4))
 
 
 def test_write_shards_writes_each_row_once(spark, odd, tmp_path):
@@ -267,6 +334,15 @@ def test_ablations(spark):
         assert (r["n_failed"], r["n_only"], r["n_kept_without"]) == (sum(m & bit > 0 for m in masks), masks.count(bit), sum(not m & ~bit for m in masks))
 
 
+def test_policies(spark, odd):
+    rows = rules.ledger(odd)
+    policies = spark.createDataFrame([("a", rules.policy("few_words")), ("b", 0), ("c", rules.policy("few_words", "signs", "signs")), ("d", None)], "version string, mask long")
+    got = Counter((r["version"], r["doc_id"], r["kept"]) for r in rules.judged(rows, policies).collect())
+    assert got == Counter((v, r["doc_id"], not r["failed"] & m) for r in rows.collect() for v, m in (("a", 1), ("b", 0), ("c", 17)))
+    assert rules.judged(rows, policies.where("false")).count() == 0
+    assert rules.passing(odd, rules.policy("signs")).count() == sum(10 * measured(t)[2] <= 3 * measured(t)[0] for _, t, *_ in ODD)
+
+
 # operator 6
 
 
@@ -302,6 +378,32 @@ def test_op6(spark, small, odd, empty):
     assert syncmers.edited_pairs(odd, 3).count() == len(ODD) and syncmers.edited_pairs(empty, 3).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 7, 40])
+def test_next_of_repeated_and_missing_ids(spark, ranges):
+    """Ids on many rows and rows without an id are cut into ranges too; each row still finds the next one."""
+    rng = random.Random(ranges)
+    rows = [(rng.choice([None, 5, 5, 9, rng.randint(-40, 40), rng.randint(-(1 << 63), (1 << 63) - 1)]), f"t{i} " * 30) for i in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for some in (docs, docs.where("doc_id IS NULL"), docs.where("doc_id = 5")):
+        hashed = some.select("doc_id", "text", F.xxhash64("text").alias("tie")).collect()
+        order = sorted(hashed, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["tie"]))
+        want = {r["text"]: n["text"] for r, n in zip(order, order[1:] + order[:1])}
+        dealt, window = syncmers.with_next(some, ranges)
+        got = dealt.withColumn("next", F.lead("text").over(window)).where("mark = 0").collect()
+        assert {r["text"]: r["next"] for r in got} == want and len(got) == len(hashed)
+        if ranges == 40:
+            assert Counter(r["range"] for r in got).most_common(1)[0][1] <= len(hashed) // 4
+
+
+def test_anchors_in_place(spark):
+    text = [" ".join(f"w{i}x{k}" for i in range(120)) for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    for r in syncmers.edited_pairs(docs, 2).collect():
+        own = {(x["at"], x["anchor"]) for x in syncmers.anchors(docs.where(F.col("doc_id") == r["doc_id"])).collect()}
+        new = {(x["at"], x["anchor"]) for x in syncmers.anchors(spark.createDataFrame([(0, r["edited"])], "doc_id long, text string")).collect()}
+        assert r["n_anchors"] == len(own) and r["n_in_place"] == len(own & new) and len(own) * 0.5 < len(own & new) < len(own)
+
+
 def test_anchors_are_closed_syncmers(spark, odd):
     got = Counter((r["doc_id"], r["at"]) for r in syncmers.anchors(odd.where("doc_id = 1 OR doc_id = 8").withColumn("text", F.substring("text", 1, 2000))).collect())
     hashed = lambda *w: spark.range(1).select(F.xxhash64(*[F.lit(x) for x in w])).first()[0]
@@ -320,7 +422,8 @@ def test_anchors_are_closed_syncmers(spark, odd):
 def test_shifts(spark):
     a = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200)))], "doc_id long, text string")
     b = spark.createDataFrame([(2, " ".join(["new", "words"] + [f"w{i}" for i in range(200)]))], "doc_id long, text string")
-    rows = syncmers.shifts(syncmers.anchors(a), syncmers.anchors(b)).collect()
+    both, others = syncmers.anchors(a.union(b)), spark.createDataFrame([(1, 2)], "left_id long, right_id long")
+    rows = syncmers.shifts(both, both, others).collect()
     assert [r["shift"] for r in rows] == [2] and rows[0]["n_anchors"] > 50
 
 
@@ -447,6 +550,23 @@ def test_entropy_of_single_classes(spark):
     assert sum(r["text"] == "key [secret] end" for r in secrets.redact(docs).collect()) == 2
 
 
+def test_long_texts_of_many_secrets(spark):
+    """Time grows with the text and its matches, not with their product."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"token=abcdef{i} AKIAABCDEFGHIJKL{i:08d} é" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(1)
+        began = time.perf_counter()
+        r = secrets.redact(docs).first()["text"], secrets.scan(docs).select(F.size("found")).first()[0]
+        assert r == (" ".join(["[secret] [secret] é"] * n), 2 * n)
+        return time.perf_counter() - began
+
+    seconds(10)
+    few, many = seconds(2_500), seconds(20_000)  # about 0.1 and 0.9 MB
+    assert many < 8 * few + 8 and many < 40
+
+
 # operator 9
 
 
@@ -544,6 +664,44 @@ def test_page_links_and_tree():
     assert all((max(p), min(p)) in linked for p in forest)
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_trees_lose_no_link(spark, seed, monkeypatch):
+    """Sets around the threshold in size and overlap, of many sizes, with pages too small for their trees."""
+    monkeypatch.setattr(jaccard, "PAGE", 4)
+    rng, rows = random.Random(seed), []
+    for g in range(14):
+        base = [f"g{g}w{i}" for i in range(rng.choice([5, 6, 9, 14, 25, 40, 90]))]
+        for _ in range(rng.randint(2, 9)):
+            w = base[rng.randint(0, max(1, len(base) // 9)) :]
+            w = w[: len(w) - rng.randint(0, max(1, len(base) // 9))] + [f"t{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, len(base) // 8))]
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    got = Counter(map(tuple, jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    want = components_by_force(rows)
+    assert got == want and 20 < len({c for *_, c in want}) < len(rows) - 10
+
+
+def test_root_classes():
+    for n in [*range(1, 400), 9999]:
+        at, up = jaccard.root_classes(n)
+        assert jaccard.CLASSES[at] <= n < jaccard.CLASSES[at + 1] and len(up) == jaccard.root_count(n)
+        largest = 100 * n // jaccard.LEAST
+        assert largest < jaccard.CLASSES[at + 2] and bool(up[0]) == (largest >= jaccard.CLASSES[at + 1])
+        for i, u in enumerate(up):
+            # the largest partner that what is left from root i on suffices for
+            most = max([m for m in range(n, largest + 1) if jaccard.needed_overlap(n, m) <= n - i], default=0) if n < 400 else None
+            assert most is None or u == (most >= jaccard.CLASSES[at + 1])
+
+
+def test_names_that_stand_for_two_sets(spark, monkeypatch):
+    """A name shared by two sets is noticed, and all is done again with another seed."""
+    docs = spark.createDataFrame([(i, f"text {i} of some words that differ {i * i}") for i in range(9)], "doc_id long, text string")
+    profiles, classes, _, seed = jaccard.links(docs)
+    assert seed == 0 and classes.count() == 9
+    monkeypatch.setattr(jaccard, "_profiles", lambda source, seed: (jaccard.F.broadcast(profiles).withColumn("other", F.col("doc_id")).withColumn("key", F.lit(7).cast("long") if seed == 0 else F.col("key")), np.zeros(1 << jaccard.SKETCH_BITS, np.uint64)))
+    assert jaccard.links(docs)[3] == 1 and jaccard.links(docs)[1].count() == 9
+
+
 # operator 10
 
 
@@ -624,3 +782,80 @@ def test_dedup_keeps_each_chunk_once(spark):
 
 def test_common(spark, tmp_path):
     assert common.fresh(spark.createDataFrame([(1,)], "Tag int"), "tag", "tag") == ["_tag", "__tag"]
+
+
+def chunks_by_force(rows, within):
+    """(doc_id, start) of the first place of every chunk (start, stop) of every document that stands at another place too."""
+    places, of = {}, {}
+    for d, t in sorted({(d, t) for d, t in rows if d is not None and t}):
+        data = t.encode()
+        cuts = [0, *chunks.ends(np.frombuffer(data, np.uint8))]
+        for a, b in zip(cuts, cuts[1:]):
+            at = (d, len(data[:a].decode()), len(data[:b].decode()))
+            of[at] = data[a:b]
+            places.setdefault(data[a:b], set()).add(at[:2])
+    return {at: min(places[c]) for at, c in of.items() if (len({d for d, _ in places[c]}) > 1 or within and len(places[c]) > 1)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_op1_by_force(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    stock = [" ".join(rng.choice("abcdefgh") * rng.randint(2, 9) + str(rng.randint(0, 999)) for _ in range(70)) for _ in range(4)]
+    rows = []
+    for d in range(24):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(stock).split()
+            a = rng.randint(0, 30)
+            parts.append(" ".join(w[a : a + rng.randint(5, 70)]))  # overlapping windows of few passages: chains of copies, some within one text
+            parts.append(" ".join(f"é{rng.randint(0, 99999)}" for _ in range(rng.randint(0, 12))))
+        rows.append((d, "\n".join(parts)))
+    rows += [rows[3], (100, rows[5][1]), (None, rows[5][1]), (101, ""), (102, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for within in (True, False):
+        got = {(r["doc_id"], r["start"], r["stop"]): (r["first_doc_id"], r["first_start"]) for r in chunks.repeated_chunks(docs, within=within).collect()}
+        assert got == chunks_by_force(rows, within)
+    # the query itself: runs of the chunks above without a gap, of PASSAGE_WORDS words at least, parted where first and later places meet
+    shared, runs = chunks_by_force(rows, False), []
+    for at in sorted(shared):
+        if runs and runs[-1][-1][0] == at[0] and runs[-1][-1][2] == at[1]:
+            runs[-1].append(at)
+        else:
+            runs.append([at])
+    text, want = dict(rows), set()
+    begun = lambda d, a, b: sum(1 for m in WORD.finditer(text[d]) if a <= m.start() < b)
+    for run in runs:
+        if begun(run[0][0], run[0][1], run[-1][2]) < chunks.PASSAGE_WORDS:
+            continue
+        own = [shared[at] == at[:2] for at in run]
+        k = 0
+        for i in range(1, len(run) + 1):
+            if i == len(run) or own[i] != own[k]:
+                want.add((run[k][0], run[k][1], run[i - 1][2], own[k]))
+                k = i
+    sf = folder(spark, docs, tmp_path)
+    assert {(r["doc_id"], r["start"], r["stop"], r["is_first"]) for r in queries.op1_gear_chunks(spark, sf).collect()} == want and want
+    # each chunk in a span that dedup() cuts stays at its first place, and only there
+    left = {r["doc_id"]: r["text"] for r in chunks.dedup(docs.dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL")).collect()}
+    spans = [(r["doc_id"], r["start"], r["stop"]) for r in chunks.repeated_spans(docs).where("NOT is_first").collect()]
+    for d in {d for d, _ in rows if d is not None}:
+        gone = sorted((a, b) for x, a, b in spans if x == d)
+        keep, at = "", 0
+        for a, b in gone:
+            keep, at = keep + text[d][at:a], b
+        assert left[d] == (keep + text[d][at:] if text[d] is not None else None)
+    for (d, a, b), (f, s) in chunks_by_force(rows, True).items():
+        assert text[d][a:b] in left[f]
+
+
+def test_running_and_cut(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice("ab\n\U0001f600é") for _ in range(3 * common.BLOCK + 17))
+    at = sorted(rng.sample(range(len(text) + 1), 40) + [0, common.BLOCK, 2 * common.BLOCK, len(text)])
+    numbers = [rng.randint(0, 9) for _ in range(3 * common.RUN + 5)]
+    df = spark.createDataFrame([(text, at, numbers, []), ("", [0, 0], [4], [])], "t string, at array<int>, n array<int>, none array<int>").withColumn("b", common.blocks(F.col("t")))
+    pieces = F.zip_with(F.slice("at", F.lit(1), F.size("at") - 1), F.slice("at", F.lit(2), F.size("at") - 1), lambda a, b: common.cut(F.col("b"), a, b))
+    rows = df.select(pieces.alias("p"), common.running(F.col("n")).alias("r"), common.running(F.col("n"), F.greatest).alias("m"), common.running(F.col("none")).alias("none")).collect()
+    assert rows[0]["p"] == [text[a:b] for a, b in zip(at, at[1:])] and rows[1]["p"] == [""]
+    assert rows[0]["r"] == [sum(numbers[:i]) for i in range(len(numbers))] and rows[0]["m"] == [max([0, *numbers[:i]]) for i in range(len(numbers))]
+    assert rows[1]["r"] == [0] and rows[0]["none"] == []
