@@ -308,3 +308,11 @@ def q_nested_types(spark, sf):
     names = F.when(F.col("s") % 2 == 0, F.array(F.lit("Out"), F.concat(F.lit("In"), n("s")))).otherwise(F.array(F.lit("Out"), F.lit("Gone")))
     params = F.array(F.lit("a.Out$In"), F.lit("java.lang.String[]"), F.lit("b.T..."))
     return p.select("k", text.nested_body(source, names).alias("body"), text.signature(F.concat(F.lit("m"), n("k")), params).alias("signature"))
+
+
+@query("SELECT substr(sha256(string_agg('d/' || doc_id || '.txt' || text, '' ORDER BY 'd/' || doc_id || '.txt')), 1, 16) AS fingerprint FROM documents")
+def q_fingerprint(spark, sf):
+    """One digest of a tree of files."""
+    from ..sources import tables
+
+    return tables.fingerprint(table(spark, sf, "documents").select(F.concat(F.lit("r/d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content")), "r")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import is_implementation
@@ -29,12 +32,25 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return read_jsonl(spark, path, schemas.TABLES[name])
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, seq, line) of text files, seq from 0 in each file's order.
+
+    Files are read in blocks: lines are numbered within their block, and a block begins at the sum of
+    the lines of those before it; so no task sees more of a large file than a block.
+    """
+    meta = lambda c: F.col(f"_metadata.{c}")
+    rows = spark.read.text(path).select(meta("file_path").alias("path"), meta("file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    within = F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1
+    sizes = rows.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("within", within).join(sizes.select("path", "block", before.alias("before")), ["path", "block"]).select("path", (F.col("before") + F.col("within")).cast("int").alias("seq"), "line")
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Logs, one file each, whose order of lines counts: rows with the file's path and seq from 0."""
+    """Logs of JSON lines whose order counts: rows with the file's path and seq from 0; blank lines are no rows but count."""
     if not exists(spark, path):
         return spark.createDataFrame([], f"path string, seq int, {schema}")
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", "\n")).alias("seq", "line")).where(F.trim("line") != "")
+    lines = numbered_lines(spark, path).where(F.trim("line") != "")
     return lines.select("path", "seq", F.from_json("line", schema).alias("r")).select("path", "seq", "r.*")
 
 
@@ -102,10 +118,24 @@ def clear_reports(spark: SparkSession, paths: list[str]) -> int:
     return gone
 
 
-def fingerprint(files: DataFrame) -> DataFrame:
-    """One digest of a tree of files: of the sorted digests of (path, content), 16 hex digits."""
-    each = files.select(F.sha2(F.concat_ws("\n", "path", F.sha2("content", 256)), 256).alias("d"))
-    return each.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256), 1, 16).alias("fingerprint"))
+def fingerprint(files: DataFrame, root: str = "") -> DataFrame:
+    """One digest of a tree of files (path, content): sha256 over each path below root and its content, in path order; 16 hex digits.
+
+    Such a digest is told byte by byte in one order, so one task reads all files, one after the
+    other; it holds one at a time. An empty tree has the digest of nothing.
+    """
+    rows = files.select(F.regexp_replace("path", F.lit("^" + re.escape(root) + "/?" if root else "^$"), F.lit("")).alias("path"), F.col("content").cast("binary").alias("content"))
+
+    def digest(batches):
+        total = sha256()
+        for batch in batches:
+            for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total.update(p.encode())
+                total.update(c or b"")
+        yield pa.RecordBatch.from_pydict({"fingerprint": [total.hexdigest()[:16]]})
+
+    told = rows.repartition(1).sortWithinPartitions("path").mapInArrow(digest, "fingerprint string")
+    return told.agg(F.coalesce(F.max("fingerprint"), F.lit(sha256().hexdigest()[:16])).alias("fingerprint"))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:

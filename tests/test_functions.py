@@ -388,3 +388,31 @@ def test_joins_that_must_hold(spark):
     assert routing.single(a, "x", "v").count() == 1
     with pytest.raises(Exception, match="isn't there"):
         routing.single(a, "z", "v").collect()
+
+
+def test_logs_in_blocks(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    for n in (1, 2):
+        (tmp_path / f"logs/{n}.jsonl").write_text("".join(json.dumps({"k": i * n}) + "\n" + "\n" * (i % 50 == 0) for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        rows = tables.read_log(spark, str(tmp_path / "logs"), "k long")
+        assert tables.numbered_lines(spark, str(tmp_path / "logs")).select(F.spark_partition_id()).distinct().count() > 1
+        for n in (1, 2):
+            got = sorted((r["seq"], r["k"]) for r in rows.where(F.col("path").endswith(f"{n}.jsonl")).collect())
+            assert [k for _, k in got] == [i * n for i in range(3000)] and got[1][0] == 2 and got[-1][0] == 3059
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_fingerprint(spark):
+    from hashlib import sha256
+
+    files = [("r/b.class", "two"), ("r/a.class", "one"), ("r/a/c.class", None)]
+    df = spark.createDataFrame(files, "path string, content string")
+    want = sha256(b"".join(p[2:].encode() + (c or "").encode() for p, c in sorted(files))).hexdigest()[:16]
+    assert [r[0] for r in tables.fingerprint(df.repartition(3), "r").collect()] == [want]
+    assert tables.fingerprint(df.where("false"), "r").first()[0] == sha256().hexdigest()[:16]
