@@ -859,3 +859,9 @@ def test_running_and_cut(spark):
     assert rows[0]["p"] == [text[a:b] for a, b in zip(at, at[1:])] and rows[1]["p"] == [""]
     assert rows[0]["r"] == [sum(numbers[:i]) for i in range(len(numbers))] and rows[0]["m"] == [max([0, *numbers[:i]]) for i in range(len(numbers))]
     assert rows[1]["r"] == [0] and rows[0]["none"] == []
+
+
+@pytest.mark.parametrize("name", ["op6_closed_syncmers", "op7_hash_threshold_mix", "op8_secret_scan"])
+def test_native_plans_have_no_python(spark, name):
+    plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|ExistingRDD|CartesianProduct|NestedLoop", plan)
