@@ -21,7 +21,7 @@ from . import common
 from .filters import bit_filter, may_hold
 
 #: Bytes the rolling hash sees, the bits that must be zero at a chunk's end, least and most bytes of a chunk.
-WINDOW, BITS, SHIFT, LEAST, MOST = 16, 5, 11, 16, 256
+WINDOW, BITS, SHIFT, LEAST, MOST = 16, 4, 11, 16, 256
 #: Repeated chunks are reported where they cover at least so many words in a row, as a passage of 50
 #: words does: its rims, up to the first and from the last end within it, lie in chunks of their own.
 PASSAGE_WORDS = 20
