@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Statuses whose results say something about the model, best first.
 USABLE = ("OK", "TEST_FAIL", "COMPILE_FAIL", "UNPARSEABLE")
@@ -130,3 +130,17 @@ def result_line(*columns: str) -> Column:
 def number_or_null(x: Column) -> Column:
     """A number out of a text; null for what isn't one, such as None."""
     return F.try_to_number(F.when(x.rlike(r"^-?[0-9]{1,15}(\.[0-9]{1,6})?$"), x), F.lit("S999999999999999.999999")).cast("double")
+
+
+def record(rows: DataFrame, most: int = 8000) -> DataFrame:
+    """Score rows as they are written: a cut compiler output, and the derived flags, shares and scores beside their columns."""
+    derived = {
+        "compiler_output": F.substring("compiler_output", 1, most), "usable_for_training": usable(), "is_green": green(F.col("compiled"), F.col("tests_run"), F.col("tests_failed")), "compiled_fraction": F.round(fraction(), 6),
+        "quality_binary": F.round(quality(graded=False), 6), "quality_graded": F.round(quality(graded=True), 6), "quality_v2": quality_2(),
+    }
+    return rows.withColumns(derived)
+
+
+def flag() -> Column:
+    """What is shown of a score: GREEN, compiled, or its status."""
+    return F.when(green(F.col("compiled"), F.col("tests_run"), F.col("tests_failed")), "GREEN").when(F.col("compiled"), "compiled").otherwise(F.col("status"))

@@ -163,3 +163,14 @@ def single(rows: DataFrame, path: str, column: str = "path") -> DataFrame:
 def timeouts(attempts: Column, first: int = 60, step: int = 60, most: int = 600) -> Column:
     """The seconds that a call may take at its n-th try, from 1: longer each time, up to a most."""
     return F.least(F.lit(first) + (attempts - 1) * step, F.lit(most))
+
+
+def class_states(rows: DataFrame, key: str, order: list[Column | str], failed: Column, done: Column, value: str) -> DataFrame:
+    """rows with the state after each: class_index (classes done before), attempts (failures of this class
+    so far) and last_good (the greatest value of a row of this class that didn't fail)."""
+    w = Window.partitionBy(key).orderBy(*order)
+    marked = rows.withColumns({"failed_": failed, "done_": done})
+    indexed = marked.withColumn("class_index", F.coalesce(F.sum(F.col("done_").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = Window.partitionBy(key, "class_index").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    state = {"attempts": F.sum(F.col("failed_").cast("int")).over(own), "last_good": F.max(F.when(~F.col("failed_"), F.col(value))).over(own)}
+    return indexed.withColumns(state).drop("failed_", "done_")
