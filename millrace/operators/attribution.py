@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def containing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, pick: Column, keep: list[str], columns: list[str]) -> DataFrame:
+def containing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, pick: Column, keep: list[str], columns: list[str], cell: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each point with the span of its key that holds it (start <= at <= end), null where none does.
 
     `pick` orders the spans that hold a point, the least is taken; `keep` tells points apart. The join
-    is by key with a range condition; the choice is a partial aggregate.
+    is by key with a range condition; the choice is a partial aggregate. `cell` cuts a hot key's points
+    to cells: a whole number that never falls as a place grows; a span is met in each cell it touches,
+    so cells should be about as wide as spans are long.
     """
     s = spans.select(F.col(key).alias("k_"), F.col(start).alias("s_"), F.col(end).alias("e_"), *[F.col(c).alias(f"{c}_") for c in columns], pick.alias("p_"))
-    held = points.join(s, (F.col(key) == F.col("k_")) & F.col(at).between(F.col("s_"), F.col("e_")), "left")
+    same = (F.col(key) == F.col("k_")) & F.col(at).between(F.col("s_"), F.col("e_"))
+    if cell:
+        low, high = cell(F.col("s_")).cast("long"), cell(F.col("e_")).cast("long")
+        s = s.where("s_ <= e_").withColumn("c_", F.explode(F.sequence(low, high)))
+        points, same = points.withColumn("at_cell_", cell(F.col(at)).cast("long")), same & (F.col("at_cell_") == F.col("c_"))
+    held = points.join(s, same, "left")
     return held.groupBy(*keep).agg(F.min_by(F.struct(*[F.col(f"{c}_").alias(c) for c in columns]), "p_").alias("r")).select(*keep, "r.*")
 
 
@@ -23,11 +32,12 @@ def attribute_errors(errors: DataFrame, spans: DataFrame) -> DataFrame:
     return held.groupBy("suite").agg(F.array_sort(F.collect_set("name")).alias("broken"), F.count_if(F.col("name").isNull()).alias("n_skeleton_errors"), F.count("*").alias("n_errors"))
 
 
-def smallest_enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
+def smallest_enclosing(points: DataFrame, spans: DataFrame, width: int | None = None) -> DataFrame:
     """points (suite, row), spans (suite, name, kind, start, end, size): a test that holds the point, the
-    first by start, else the smallest declaration; the suite gets null names if any point has none."""
+    first by start, else the smallest declaration; the suite gets null names if any point has none.
+    `width`: rows in a cell, for suites of many rows."""
     order = F.struct(F.when(F.col("kind") == "test", 0).otherwise(1), F.when(F.col("kind") == "test", F.col("start")).otherwise(F.col("size")), F.col("start"), F.col("name"))
-    held = containing(points, spans, "suite", "row", "start", "end", order, ["suite", "row"], ["name"])
+    held = containing(points, spans, "suite", "row", "start", "end", order, ["suite", "row"], ["name"], (lambda c: F.floor(c / width)) if width else None)
     whole = F.min(F.col("name").isNotNull()).over(Window.partitionBy("suite"))
     return held.withColumn("name", F.when(whole, F.col("name")))
 

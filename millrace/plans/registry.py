@@ -195,7 +195,7 @@ def q_interval_attr(spark, sf):
     rows = table(spark, sf, "events", "user_id", "event_id", "ts", "event_type", "value")
     kind = F.col("event_type").isin("purchase", "click")
     spans = rows.where(kind).select("user_id", F.col("event_id").alias("span_id"), F.col("ts").alias("s"), (F.col("ts") + F.make_interval(mins=F.floor("value").cast("int") % 240)).alias("e"))
-    return attribution.containing(rows.where(~kind).select("user_id", "event_id", "ts"), spans, "user_id", "ts", "s", "e", F.struct("s", "span_id"), ["user_id", "event_id"], ["span_id"])
+    return attribution.containing(rows.where(~kind).select("user_id", "event_id", "ts"), spans, "user_id", "ts", "s", "e", F.struct("s", "span_id"), ["user_id", "event_id"], ["span_id"], lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / 7_200_000_000))
 
 
 @query("""WITH o AS (SELECT o_custkey AS suite, CAST(floor(o_totalprice) AS BIGINT) AS a, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'test' ELSE 'other' END AS kind FROM orders),
@@ -207,7 +207,7 @@ def q_smallest_enclosing(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("suite"), F.floor("o_totalprice").alias("a"), "o_orderkey", F.when(F.col("o_orderstatus") == "F", "test").otherwise("other").alias("kind"))
     size = 20000 + F.col("o_orderkey") % 90000
     spans = o.select("suite", F.col("o_orderkey").alias("name"), "kind", F.col("a").alias("start"), (F.col("a") + size).alias("end"), size.alias("size"))
-    return attribution.smallest_enclosing(o.select("suite", (F.col("a") + 7000).alias("row")).distinct(), spans)
+    return attribution.smallest_enclosing(o.select("suite", (F.col("a") + 7000).alias("row")).distinct(), spans, 50_000)
 
 
 @query("""WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS class,
