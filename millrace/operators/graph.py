@@ -164,10 +164,12 @@ def producers(news: DataFrame, calls: DataFrame, members: DataFrame, lineage: Da
 def walked(steps: DataFrame, known: DataFrame) -> DataFrame:
     """steps (cut, fqn, pattern, hops) -> one row for each pair: patterns by priority, the first of them
     and the fewest hops. Types that aren't known and the class itself are left out."""
-    prio = F.array_position(F.array(*map(F.lit, PATTERNS)), F.col("pattern"))
-    rows = steps.where("cut <> fqn").join(known.select(F.col("class").alias("fqn")), "fqn", "left_semi")
-    met = rows.groupBy("cut", "fqn").agg(F.array_sort(F.collect_set(F.struct(prio.alias("prio"), "pattern", "hops"))).alias("steps"))
-    return met.select("cut", "fqn", F.transform("steps", lambda s: s["pattern"]).alias("patterns"), F.col("steps")[0]["pattern"].alias("pattern"), F.array_min(F.transform("steps", lambda s: s["hops"])).alias("hops"))
+    names = F.array(*map(F.lit, PATTERNS))
+    rows = steps.where("cut <> fqn").join(known.select(F.col("class").alias("fqn")), "fqn", "left_semi").withColumn("prio", F.array_position(names, F.col("pattern")).cast("int") - 1)
+    # a bit for each pattern met: sums of bits, no sets
+    met = rows.groupBy("cut", "fqn").agg(F.bit_or(F.expr("shiftleft(1, prio)")).alias("mask"), F.min("hops").alias("hops"), F.min("prio").alias("prio"))
+    patterns = F.filter(names, lambda p, i: F.getbit(F.col("mask"), i) == 1)
+    return met.select("cut", "fqn", patterns.alias("patterns"), F.element_at(names, F.col("prio") + 1).alias("pattern"), "hops")
 
 
 def walk(steps: dict[str, tuple[DataFrame, int]], known: DataFrame) -> DataFrame:
