@@ -50,21 +50,20 @@ def cut(parts: Column, start: Column, stop: Column) -> Column:
 RUN = 128
 
 
-def running(numbers: Column, add=lambda a, b: a + b) -> Column:
-    """For each of an array's non-negative numbers what those before it add up to (0 for the first).
+def running_sql(numbers: str, greatest: bool = False) -> str:
+    """SQL for running() of the numbers that a name stands for. One text instead of many calls keeps large plans quick to build."""
+    add = (lambda x, y: f"greatest({x}, {y})") if greatest else (lambda x, y: f"{x} + {y}")
+    fold = lambda values: f"aggregate({values}, named_struct('at', 0L, 'before', cast(array() as array<bigint>)), (a, x) -> named_struct('at', {add('a.at', 'cast(x as bigint)')}, 'before', concat(a.before, array(a.at))))"
+    parts = f"transform(sequence(0, cast(ceil(size({numbers}) / {RUN}) as int) - 1), i -> {fold(f'slice({numbers}, i * {RUN} + 1, {RUN})')})"
+    # both arrays are made once and bound to names by a fold over one element
+    joined = f"transform(array({parts}), p -> flatten(zip_with(p, {fold('transform(p, y -> y.at)')}.before, (x, y) -> transform(x.before, b -> {add('b', 'y')}))))[0]"
+    return f"CASE WHEN size({numbers}) > 0 THEN {joined} ELSE cast(array() as array<bigint>) END"
 
-    Folds grow an array, which copies it, so they go over blocks: within each, then over the blocks'
-    totals. For n numbers about n * RUN / 2 + (n / RUN) ** 2 / 2 numbers are copied. Give `numbers` as
-    a column of its own.
-    """
-    count = F.ceil(F.size(numbers) / RUN).cast("int")
-    zero = F.lit(0).cast("long")
 
-    def fold(values: Column) -> Column:
-        begin = F.struct(zero.alias("at"), F.expr("cast(array() as array<bigint>)").alias("before"))
-        return F.aggregate(values, begin, lambda a, x: F.struct(add(a["at"], x.cast("long")).alias("at"), F.concat(a["before"], F.array(a["at"])).alias("before")))
+def running(numbers: str, greatest: bool = False) -> Column:
+    """For each of the non-negative numbers in an array column what those before it add up to, or the greatest of them (0 for the first).
 
-    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: fold(F.slice(numbers, i * RUN + 1, F.lit(RUN))))
-    # both arrays are made once and bound to names by a fold over one element
-    bound = F.transform(F.array(parts), lambda p: F.flatten(F.zip_with(p, fold(F.transform(p, lambda x: x["at"]))["before"], lambda x, y: F.transform(x["before"], lambda b: add(b, y)))))
-    return F.when(F.size(numbers) > 0, bound[0]).otherwise(F.expr("cast(array() as array<bigint>)"))
+    Folds grow an array, which copies it, so they go over blocks: within each, then over the blocks'
+    totals. For n numbers about n * RUN / 2 + (n / RUN) ** 2 / 2 numbers are copied.
+    """
+    return F.expr(running_sql(f"`{numbers}`", greatest))

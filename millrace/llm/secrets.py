@@ -40,83 +40,74 @@ KINDS = [k for k, _ in BASE] + [k for k, *_ in CLASSES]
 
 _SPAN = "array<struct<start:int,end:int,kind:int,match:string>>"
 _NONE = f"cast(array() as {_SPAN})"
-#: A run that every candidate of the entropy scan and every hex match has: one look for all of them.
-LONG_RUN = "[A-Za-z0-9+/_-]{24}"
+#: Runs that hold every candidate of the entropy scan and every hex match. What stands beside a run is in
+#: none of the classes, so a pattern is in a text exactly if it is in one of the text's runs.
+LONG_RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
 
 
-def _spans(matches: Column, sizes: Column, starts: Column, kind: int) -> Column:
-    return F.zip_with(matches, F.zip_with(sizes, starts, lambda n, s: F.struct(s.alias("s"), n.alias("n"))), lambda m, x: F.struct((x["s"] + x["n"]["gap"]).cast("int").alias("start"), (x["s"] + x["n"]["gap"] + x["n"]["size"]).cast("int").alias("end"), F.lit(kind).alias("kind"), m.alias("match")))
+def _quoted(pattern: str) -> str:
+    """A pattern as an SQL string."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def spans_of(text: Column, pattern: str, kind: int) -> Column:
-    """All leftmost, non-overlapping matches of a pattern that never matches an empty string.
+def spans_of(text: str, pattern: str, kind: int, within: str | None = None) -> str:
+    """SQL for all leftmost, non-overlapping matches, in the column `text`, of a pattern that never matches an empty string.
 
+    `within`: a shorter text that holds the pattern exactly if `text` does, and is looked at first.
     Linear in the text and nearly so in the matches, see common.running().
     """
+    p = _quoted(pattern)
     # each array is bound to a name by a lambda over one element, so that it is made once
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = lambda m: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), m, lambda g, x: F.struct(F.length(g).alias("gap"), F.length(x).alias("size")))
-    starts = lambda n: common.running(F.transform(n, lambda x: (x["gap"] + x["size"]).cast("long")))
-    with_starts = lambda m, n: F.transform(F.array(starts(n)), lambda s: _spans(m, n, s, kind))[0]
-    with_sizes = lambda m: F.transform(F.array(sizes(m)), lambda n: with_starts(m, n))[0]
-    return F.when(text.rlike(pattern), F.transform(F.array(matches), with_sizes)[0]).otherwise(F.expr(_NONE))
+    bound = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    sizes = f"zip_with(slice(split({text}, {p}, -1), 1, size(m)), m, (g, x) -> named_struct('gap', length(g), 'size', length(x)))"
+    placed = "zip_with(n, s, (x, y) -> named_struct('start', cast(y + x.gap as int), 'end', cast(y + x.gap + x.size as int)))"
+    spans = f"zip_with(m, {placed}, (x, y) -> named_struct('start', y.start, 'end', y.end, 'kind', {kind}, 'match', x))"
+    whole = bound(f"regexp_extract_all({text}, {p}, 0)", "m", bound(sizes, "n", bound("transform(n, x -> cast(x.gap + x.size as bigint))", "w", bound(common.running_sql("w"), "s", spans))))
+    return f"CASE WHEN {within or text} RLIKE {p} THEN {whole} ELSE {_NONE} END"
 
 
 #: What a count of 0 is written as; a window's counts are kept as a string, a sign for each character.
 _ZERO = 48
 
 
-def most_entropy(candidate: Column, width: int) -> Column:
-    """The highest entropy, in bits a character, of a window of `width` ASCII characters (or of all, if fewer).
+def most_entropy(candidate: str, width: int) -> str:
+    """SQL for the highest entropy, in bits a character, of a window of `width` ASCII characters (or of all, if fewer).
 
     The counts of the window's characters are signs of one string: a step reads and replaces the
     entering character's and the leaving one's, whatever the width.
     """
-    term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    count = lambda counts, code: F.ascii(F.substring(counts, code + 1, F.lit(1))) - _ZERO
-    put = lambda counts, code, n: F.overlay(counts, F.char(n + _ZERO), code + 1, F.lit(1))
-    begin = F.struct(F.lit(chr(_ZERO) * 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("held"), F.least(F.length(candidate), F.lit(width)).alias("n"), F.lit(1e9).alias("least"))
-
-    def step(a: Column, s: Column) -> Column:
-        enters, leaves = s["enters"], s["leaves"]
-        same = F.coalesce(leaves == enters, F.lit(False))
-        stays = leaves.isNull() | same
-        c_in, c_out = count(a["counts"], enters), count(a["counts"], leaves)
-        left = F.when(stays, F.lit(0.0)).otherwise(term(c_out - 1) - term(c_out))
-        entered = F.when(same, F.lit(0.0)).otherwise(term(c_in + 1) - term(c_in))
-        without = F.when(stays, a["counts"]).otherwise(put(a["counts"], leaves, c_out - 1))
-        counts = F.when(same, a["counts"]).otherwise(put(without, enters, c_in + 1))
-        total, held = a["sum"] + left + entered, a["held"] + 1
-        return F.struct(counts.alias("counts"), total.alias("sum"), held.alias("held"), a["n"].alias("n"), F.when(held >= a["n"], F.least(a["least"], total)).otherwise(a["least"]).alias("least"))
-
-    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
-    # The character that leaves as another enters: `width` places before it, null at first.
-    leaves = F.concat(F.array_repeat(F.lit(None).cast("int"), width), codes)
-    steps = F.zip_with(codes, F.slice(leaves, F.lit(1), F.length(candidate)), lambda c, d: F.struct(c.alias("enters"), d.alias("leaves")))
+    term = lambda c: f"CASE WHEN {c} > 1 THEN {c} * log2({c}) ELSE 0.0D END"
+    count = lambda code: f"ascii(substring(a.counts, {code} + 1, 1)) - {_ZERO}"
+    put = lambda counts, code, n: f"overlay({counts} PLACING char({n} + {_ZERO}) FROM {code} + 1 FOR 1)"
+    # s: the character that enters, and the one `width` places before it, which leaves, null at first
+    same, stays = "coalesce(s.leaves = s.enters, false)", "(s.leaves IS NULL OR s.leaves = s.enters)"
+    c_in, c_out = f"({count('s.enters')})", f"({count('s.leaves')})"
+    total = f"a.sum + (CASE WHEN {stays} THEN 0.0D ELSE {term(f'({c_out} - 1)')} - {term(c_out)} END) + (CASE WHEN {same} THEN 0.0D ELSE {term(f'({c_in} + 1)')} - {term(c_in)} END)"
+    without = f"CASE WHEN {stays} THEN a.counts ELSE {put('a.counts', 's.leaves', f'{c_out} - 1')} END"
+    counts = f"CASE WHEN {same} THEN a.counts ELSE {put(without, 's.enters', f'{c_in} + 1')} END"
+    least = "CASE WHEN a.held + 1 >= a.n THEN least(a.least, t) ELSE a.least END"
+    step = f"transform(array({total}), t -> named_struct('counts', {counts}, 'sum', t, 'held', a.held + 1, 'n', a.n, 'least', {least}))[0]"
+    begin = f"named_struct('counts', repeat('{chr(_ZERO)}', 128), 'sum', 0.0D, 'held', 0, 'n', least(length({candidate}), {width}), 'least', 1e9D)"
+    codes = f"transform(split({candidate}, ''), c -> ascii(c))"
+    steps = f"zip_with({codes}, slice(concat(array_repeat(cast(null as int), {width}), {codes}), 1, length({candidate})), (c, d) -> named_struct('enters', c, 'leaves', d))"
     # entropy = log2(n) - sum / n, so the highest entropy has the least sum
-    return F.aggregate(steps, begin, step, lambda a: F.log2(a["n"]) - a["least"] / a["n"])
+    return f"aggregate({steps}, {begin}, (a, s) -> {step}, a -> log2(a.n) - a.least / a.n)"
 
 
-def entropy_spans(text: Column, kind: int) -> Column:
+def entropy_spans(text: str, kind: int, runs: str | None = None) -> str:
     _, pattern, width, bits = CLASSES[kind - len(BASE)]
-    allowed = lambda m: F.lit(False) if not ALLOW else _any([m.rlike(p) for p in ALLOW])
-    return F.filter(spans_of(text, pattern, kind), lambda s: ~allowed(s["match"]) & (most_entropy(s["match"], width) >= bits))
+    allowed = " OR ".join(f"z.match RLIKE {_quoted(p)}" for p in ALLOW) or "false"
+    return f"filter({spans_of(text, pattern, kind, runs)}, z -> NOT ({allowed}) AND {most_entropy('z.match', width)} >= {bits})"
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
-def base_spans(text: Column, kind: int) -> Column:
+def base_spans(text: str, kind: int, runs: str | None = None) -> str:
     name, pattern = BASE[kind]
     if name == "assign":
-        return F.filter(spans_of(text, pattern, kind), lambda s: F.length(F.regexp_replace(s["match"], VALUE, "")) >= LEAST[name])
+        signed = f"CASE WHEN contains({text}, ':') OR contains({text}, '=') THEN {text} ELSE '' END"
+        return f"filter({spans_of(text, pattern, kind, signed)}, z -> length(regexp_replace(z.match, {_quoted(VALUE)}, '')) >= {LEAST[name]})"
     # For these, matches of the class that are long enough are the long ones among all its matches.
     longer = {"access": f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", "hex": f"[0-9a-f]{{{LEAST['hex']},}}"}[name]
-    return spans_of(text, longer, kind)
+    return spans_of(text, longer, kind, runs if name == "hex" else None)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -126,15 +117,15 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     Repeated rows get the same spans; columns other than `found` stay, whatever their names. Each
     text is scanned whole, in its own row: nothing is shuffled.
     """
-    out, whole = common.fresh(docs, "found_spans", "whole_text")
+    out, whole, runs = common.fresh(docs, "found_spans", "whole_text", "long_runs")
     df = docs.withColumn(whole, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    t = F.col(whole)
-    kinds = [base_spans(t, k) for k in range(len(BASE))] + [entropy_spans(t, k) for k in range(len(BASE), len(KINDS))]
-    long_run = t.rlike(LONG_RUN)
-    every = [x if name in ("assign", "access") else F.when(long_run, x).otherwise(F.expr(_NONE)) for name, x in zip(KINDS, kinds)]
-    names = F.array(*map(F.lit, KINDS))
-    found = F.transform(F.array_sort(F.concat(*[F.transform(x, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))) for x in every])), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("kind")))
-    df = df.withColumn(out, found).drop(whole)
+    t, r, long = f"`{whole}`", f"`{runs}`", _quoted(LONG_RUN)
+    df = df.withColumn(runs, F.expr(f"CASE WHEN {t} RLIKE {long} THEN array_join(regexp_extract_all({t}, {long}, 0), ' ') ELSE '' END"))
+    every = [base_spans(t, k, r) for k in range(len(BASE))] + [entropy_spans(t, k, r) for k in range(len(BASE), len(KINDS))]
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    ordered = f"array_sort(transform(concat({', '.join(every)}), z -> named_struct('start', z.start, 'kind', z.kind, 'end', z.end)))"
+    found = F.expr(f"transform({ordered}, z -> named_struct('start', z.start, 'end', z.end, 'kind', element_at(array({names}), z.kind + 1)))")
+    df = df.withColumn(out, found).drop(whole, runs)
     return df.drop("found").withColumnRenamed(out, "found")
 
 
@@ -154,7 +145,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
     t, s = F.col(f"`{spare if text in held else text}`"), F.col(out)
     some = F.size(s) > 0
     # what is kept before a span begins where all spans before it have ended
-    rows = rows.withColumn(parts, F.when(some, common.blocks(t))).withColumn(ends, F.when(some, common.running(F.transform(s, lambda x: x["end"].cast("long")), F.greatest)))
+    rows = rows.withColumn(parts, F.when(some, common.blocks(t))).withColumn(ends, F.transform(s, lambda x: x["end"])).withColumn(ends, common.running(ends, greatest=True))
     kept = F.zip_with(s, F.col(ends), lambda x, e: F.when((x["start"] > e) | (e == 0), F.concat(common.cut(F.col(parts), e, x["start"].cast("long")), F.lit(mark))).otherwise(F.lit("")))
     last = F.greatest(F.element_at(ends, -1), F.element_at(s, -1)["end"].cast("long"))
     clean = F.concat(F.array_join(kept, ""), common.cut(F.col(parts), last, F.length(t).cast("long")))

@@ -855,7 +855,7 @@ def test_running_and_cut(spark):
     numbers = [rng.randint(0, 9) for _ in range(3 * common.RUN + 5)]
     df = spark.createDataFrame([(text, at, numbers, []), ("", [0, 0], [4], [])], "t string, at array<int>, n array<int>, none array<int>").withColumn("b", common.blocks(F.col("t")))
     pieces = F.zip_with(F.slice("at", F.lit(1), F.size("at") - 1), F.slice("at", F.lit(2), F.size("at") - 1), lambda a, b: common.cut(F.col("b"), a, b))
-    rows = df.select(pieces.alias("p"), common.running(F.col("n")).alias("r"), common.running(F.col("n"), F.greatest).alias("m"), common.running(F.col("none")).alias("none")).collect()
+    rows = df.select(pieces.alias("p"), common.running("n").alias("r"), common.running("n", greatest=True).alias("m"), common.running("none").alias("none")).collect()
     assert rows[0]["p"] == [text[a:b] for a, b in zip(at, at[1:])] and rows[1]["p"] == [""]
     assert rows[0]["r"] == [sum(numbers[:i]) for i in range(len(numbers))] and rows[0]["m"] == [max([0, *numbers[:i]]) for i in range(len(numbers))]
     assert rows[1]["r"] == [0] and rows[0]["none"] == []
