@@ -204,10 +204,17 @@ def imports(x: Column) -> Column:
     return F.struct(single.alias("single"), wild.alias("wildcard"))
 
 
+#: Words that are no names in source.
+RESERVED = (
+    "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new "
+    "package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null"
+).split()
+
+
 def identifiers(x: Column) -> Column:
-    """The sorted set of names in code, without comments, literals, imports and the package line."""
+    """The sorted set of names in code, without keywords, comments, literals, imports and the package line, by patterns alone; syntax.identifiers() tells them from the source's tokens."""
     clean = F.regexp_replace(F.regexp_replace(without_literals(x), r"(?s)/\*.*?\*/", ""), r"(?m)^\s*(?:import|package)\b[^;]*;", "")
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(clean, F.lit(r"(?U)\b[\p{L}_$][\w$]*"), F.lit(0))))
+    return F.array_sort(F.array_except(F.regexp_extract_all(clean, F.lit(r"(?U)\b[\p{L}_$][\w$]*"), F.lit(0)), F.array(*map(F.lit, RESERVED))))
 
 
 def missing_names(used: Column, shown: Column) -> Column:
@@ -373,14 +380,3 @@ def list_section(items: Column, nothing: str) -> Column:
 def signature(name: Column, params: Column) -> Column:
     """A member's name and the simple names of its parameters' types: what tells overloads apart in source and byte code alike."""
     return call_of(name, params)
-
-
-def nested_body(source: Column, names: Column) -> Column:
-    """From the declaration of a type on: names are those of its outer types and its own, outermost first; null where one isn't declared.
-
-    Each name is looked for behind the declaration of the one before.
-    """
-    begin = F.when(source.isNotNull(), source)
-    head = lambda n: F.concat(F.lit(r"\b(?:class|interface|enum|record|@interface)\s+\Q"), n, F.lit(r"\E\b"))
-    step = lambda a, n: F.when(F.regexp_like(a, head(n)), F.substring(a, F.regexp_instr(a, head(n)), F.length(a)))
-    return F.aggregate(names, begin, step)

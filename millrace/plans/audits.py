@@ -299,17 +299,6 @@ def q_rendered(spark, sf):
     return audit.rendered(sql_table(spark, sf, _MEMBERS), classes, 5)
 
 
-@query("SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 'class In' || p_size || ' { int x' || p_partkey || '; } }' END AS body, 'm' || p_partkey || '(In, String[], T...)' AS signature FROM part")
-def q_nested_types(spark, sf):
-    """The declaration of a nested type within its file, and members' signatures by simple names."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
-    n = lambda c: F.col(c).cast("string")
-    source = F.concat(F.lit("package a;\nclass In"), n("s"), F.lit("0 { }\nclass Out { class In"), n("s"), F.lit(" { int x"), n("k"), F.lit("; } }"))
-    names = F.when(F.col("s") % 2 == 0, F.array(F.lit("Out"), F.concat(F.lit("In"), n("s")))).otherwise(F.array(F.lit("Out"), F.lit("Gone")))
-    params = F.array(F.lit("a.Out$In"), F.lit("java.lang.String[]"), F.lit("b.T..."))
-    return p.select("k", text.nested_body(source, names).alias("body"), text.signature(F.concat(F.lit("m"), n("k")), params).alias("signature"))
-
-
 @query("SELECT substr(sha256(string_agg('d/' || doc_id || '.txt' || text, '' ORDER BY 'd/' || doc_id || '.txt')), 1, 16) AS fingerprint FROM documents")
 def q_fingerprint(spark, sf):
     """One digest of a tree of files."""

@@ -477,4 +477,4 @@ def q_pattern_stats(spark, sf):
     return audit.pattern_stats(candidates, candidates.select("cut").distinct(), ["en", "fr", "de", "xx"])
 
 
-from . import audits, classes, reports as report_plans, stores, suites, texts  # noqa: E402, F401  # they register their queries
+from . import audits, classes, reports as report_plans, sources, stores, suites, texts  # noqa: E402, F401  # they register their queries

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import java, text
+from ..functions import java, syntax, text
 from ..operators import logs
 from .registry import query, sql_table, table
 
@@ -38,11 +38,11 @@ _CODE = r"""SELECT o_orderkey AS k, 'int a' || (o_custkey % 9) || ' = 1; // set
 
 
 @query("""SELECT o_orderkey AS k, 'int a' || (o_custkey % 9) || ' = 1; ' || chr(10) || chr(10) || '#### // kept ' || o_orderstatus || chr(10) || 'foo("x y");   ' AS code, 51 AS n_chars,
-'inta' || (o_custkey % 9) || '=1;####*efoo("xy");' AS plain, 'a' || (o_custkey % 9) || ',e,foo,int' AS names FROM orders""")
+'inta' || (o_custkey % 9) || '=1;####*efoo("xy");' AS plain, 'a' || (o_custkey % 9) || ',e,foo' AS names, 'a' || (o_custkey % 9) || ',e,foo' AS by_patterns FROM orders""")
 def q_code_lines(spark, sf):
     """Code without comment lines but for marked ones, characters of a prompt, code without white space, names in code."""
     t = F.col("t")
-    return sql_table(spark, sf, _CODE).select("k", text.without_comments(t).alias("code"), text.prompt_chars(t).alias("n_chars"), text.normalized(t).alias("plain"), F.array_join(text.identifiers(t), ",").alias("names"))
+    return sql_table(spark, sf, _CODE).select("k", text.without_comments(t).alias("code"), text.prompt_chars(t).alias("n_chars"), text.normalized(t).alias("plain"), F.array_join(syntax.identifiers(syntax.tree(t)), ",").alias("names"), F.array_join(text.identifiers(t), ",").alias("by_patterns"))
 
 
 _NAMES = "SELECT p_partkey AS k, 'a.b' || (p_partkey % 3) || '.' || CASE p_partkey % 4 WHEN 0 THEN 'Array' WHEN 1 THEN 'Unit' ELSE 'Point' END || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '$In' || p_size ELSE '' END AS name, p_size % 4 AS v FROM part"
