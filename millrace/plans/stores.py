@@ -8,7 +8,7 @@ from ..functions import scoring, text
 from ..operators import logs, routing
 from ..shared import shared_dir
 from ..sources import tables
-from ..streaming import ingest
+from ..streaming import ingest, states
 from .registry import _FRACTION, _GREEN, _USABLE, QUALITY_2_SQL, QUALITY_SQL, ROLLOUTS_SQL, query, rollouts, sql_table, table
 
 
@@ -80,3 +80,37 @@ def q_class_states(spark, sf):
     """The state of each run's class after each step: its index, attempts so far and the last suite that was good."""
     e = table(spark, sf, "events", "user_id", "event_id", "ts", "event_type")
     return routing.class_states(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "purchase", "event_id").select("user_id", "event_id", F.col("class_index").cast("long"), F.col("attempts").cast("long"), F.col("last_good"))
+
+
+def _arriving(spark, sf, files: int = 4):
+    """The events as files in the order in which they came: up to half an hour after their time."""
+    path = shared_dir(spark, "events-in")
+    e = table(spark, sf, "events", "user_id", "event_id", "ts", "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
+    came = e.withColumn("came", F.unix_seconds("ts") + F.col("event_id") % 1800)
+    bounds = came.agg(F.min("came").alias("a"), F.max("came").alias("b")).first()
+    part = F.least(F.floor((F.col("came") - bounds["a"]) * files / (bounds["b"] - bounds["a"] + 1)), F.lit(files - 1))
+    for n in range(files):
+        came.where(part == n).drop("came").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _streamed(spark, stream, tag):
+    """What a stream gives until all files there are have been read."""
+    path, at = shared_dir(spark, tag), shared_dir(spark, f"{tag}-check")
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS bad, event_type = 'purchase' AS done FROM events WHERE ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)), p AS (SELECT *, coalesce(sum(CASE WHEN done THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS class_index FROM e)
+SELECT user_id, event_id, CAST(class_index AS BIGINT) AS class_index, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, class_index ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS attempts, max(CASE WHEN NOT bad THEN event_id END) OVER (PARTITION BY user_id, class_index ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_good FROM p""")
+def q_streamed_states(spark, sf):
+    """q_class_states as a stream over files whose rows come out of order: what the watermark has passed."""
+    rows = states.class_states(_arriving(spark, sf), "user_id", "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "purchase")
+    return _streamed(spark, rows, "states").select(F.col("run").alias("user_id"), F.col("id").alias("event_id"), "class_index", "attempts", "last_good")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2")
+def q_streamed_counts(spark, sf):
+    """Counts by window of event time as a stream: the windows that the watermark has closed."""
+    rows = ingest.windowed_counts(_arriving(spark, sf), "ts", ["event_type"], late="1 hour", width="1 hour")
+    return _streamed(spark, rows, "counts").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
