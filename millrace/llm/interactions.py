@@ -21,6 +21,8 @@ from math import factorial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import common
+
 _BLANK = r"[\x20\x09-\x0D]"
 
 #: The filters in the order of their bits.
@@ -64,6 +66,7 @@ def failures(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     each = rows.withColumn("spread", spread).groupBy("id", "spread", *own).agg(F.count("*").alias("n"))
     each = each.join(marks, ["id", "spread"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("good", "toxic")})
     alike = each.groupBy(*own, "good", "toxic").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("n_null"), F.min("id").alias("first"), F.min_by("n", "id").alias("n_first"))
+    alike = common.saved(alike, "failures")
     least = alike.groupBy("digest").agg(F.min("first").alias("least"))
     # of the rows alike, those of the text's least id don't fail E, nor those without an id
     known = alike.join(least, "digest").withColumn("n_kept", F.col("n_null") + F.when(F.col("first") == F.col("least"), F.col("n_first")).otherwise(0))
