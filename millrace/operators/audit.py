@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text
 from . import stats
 
-#: About so many bytes of needles are sent to every task at a time.
-NEEDLE_BYTES = 8 << 20
-
 
 def successive(rows: DataFrame, key: str, seq: str, value: str) -> DataFrame:
     """Each row's value with that of the next place of its key (seq + 1), as before and after."""
@@ -23,61 +20,6 @@ def set_difference(pairs: DataFrame, before: str, after: str) -> DataFrame:
     return pairs.withColumns(sets).withColumns({f"n_{k}": F.size(k) for k in sets})
 
 
-def containing_texts(docs: DataFrame, needles: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, doc_id) for each needle that a document contains, exactly; once for each row of docs.
-
-    All needles are looked for at once, by an automaton that reads each text one time. Needles are
-    dealt by their keys to blocks of about NEEDLE_BYTES, each sent to every task for one pass over the
-    documents; so time grows with the needles, but nothing is exploded or shuffled. Null needles are
-    in no text, an empty one is in every text.
-    """
-    from pyspark.sql import types as T
-
-    size = needles.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    blocks = -(-size // NEEDLE_BYTES) or 1
-    rows = needles.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("needle"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    schema = T.StructType([T.StructField(key, needles.schema[key].dataType), T.StructField(doc_id, docs.schema[doc_id].dataType)])
-    source, out = docs.select(doc_id, text), docs.sparkSession.createDataFrame([], schema)
-    for block in range(blocks):
-        found = rows.where(F.col("block") == block).collect()  # about NEEDLE_BYTES
-        if found:
-            out = out.union(source.mapInArrow(_finder([(r["k"], r["needle"]) for r in found], schema), schema))
-    return out
-
-
-def _finder(needles: list[tuple], schema):
-    """A function over batches of (doc_id, text) that gives (key, doc_id) for the needles found."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    wanted = to_arrow_schema(schema)
-    by_text: dict[str, list] = {}
-    for k, needle in needles:
-        by_text.setdefault(needle, []).append(k)
-
-    def run(batches):
-        import ahocorasick
-
-        tree = ahocorasick.Automaton()
-        for needle, keys in by_text.items():
-            if needle:
-                tree.add_word(needle, needle)
-        everywhere = by_text.get("", [])
-        if len(tree):
-            tree.make_automaton()
-        for batch in batches:
-            keys, docs = [], []
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if x is None:
-                    continue
-                met = [*everywhere, *[k for needle in ({v for _, v in tree.iter(x)} if len(tree) else ()) for k in by_text[needle]]]
-                keys += met
-                docs += [d] * len(met)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, wanted.field(0).type), pa.array(docs, wanted.field(1).type)], schema=wanted)
-
-    return run
-
-
 def paired(rows: DataFrame, key: str, arm: str, arms: list[str], value: Column) -> DataFrame:
     """By key one column for each arm; keys that lack an arm have a null there."""
     return rows.where(F.col(arm).isin(*arms)).groupBy(key).pivot(arm, arms).agg(value)

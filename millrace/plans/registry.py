@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scoring, text
-from ..operators import attribution, audit, graph, logs, reports, routing, stats
+from ..operators import attribution, audit, graph, logs, reports, routing, search, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -324,7 +324,7 @@ def q_set_diff(spark, sf):
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def q_substring_theta(spark, sf):
     """Texts that contain another text."""
-    return audit.containing_texts(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "benchmark"), "item_id")
+    return search.containing_texts(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "benchmark"), "item_id")
 
 
 @query("SELECT o_custkey AS value, array_to_string(list_sort(list(DISTINCT o_orderkey)), ',') AS keys FROM orders GROUP BY 1")
