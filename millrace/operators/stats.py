@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..shared import drop, saved
+
+#: Different values of a group that one task orders, at most, and buckets that a wider range is cut to at a time.
+ORDERED, BUCKETS = 1 << 16, 1 << 12
+
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     """100 * part / whole, null where whole is 0."""
@@ -21,7 +28,6 @@ def rollout_stats(rows: DataFrame, by: list[str] | None = None, prompt: str = "c
     """
     by = by or []
     places = lambda n: n if digits is None else digits
-    middle = lambda x: F.round(F.median(x), places(2))
     q = F.coalesce(F.col(quality).cast("double"), F.lit(0.0))
     u = F.col("usable")
     when = lambda c: F.count(F.when(c, 1))
@@ -30,8 +36,6 @@ def rollout_stats(rows: DataFrame, by: list[str] | None = None, prompt: str = "c
         F.count("*").alias("rollouts"), when(u).alias("usable"),
         percent(when(u & F.col("compiled")), when(u), places(1)).alias("compiled_pct"), percent(when(u & F.col("is_green")), when(u), places(1)).alias("green_pct"),
         percent(when(u & F.col("terminated")), when(u), places(1)).alias("terminated_pct"),
-        middle(some(u, F.col("n_tests"))).alias("median_tests"), middle(some(u & F.col("compiled"), F.col("line_coverage_pct"))).alias("median_line_coverage_compiling"),
-        middle(some(u & F.col("compiled") & F.col("is_green"), F.col("mutation_score_pct"))).alias("median_mutation_green"),
         F.round(F.avg(some(u, q)), places(4)).alias("mean_quality"),
     )
     prompts = rows.where(u).groupBy(*by, F.col(prompt)).agg(F.count("*").alias("n"), F.bool_or("compiled").alias("c"), F.bool_or("is_green").alias("g"), F.stddev_pop(q).alias("spread"), F.count_distinct(q).alias("values"))
@@ -39,7 +43,9 @@ def rollout_stats(rows: DataFrame, by: list[str] | None = None, prompt: str = "c
         F.count("*").alias("prompts"), F.count_if("c").alias("prompts_any_compile"), F.count_if("g").alias("prompts_any_green"),
         F.round(F.avg(F.when(F.col("n") > 1, F.col("spread"))), places(4)).alias("within_prompt_stdev"), F.round(F.avg("values"), places(2)).alias("distinct_values_per_prompt"),
     )
-    return _beside(all_rows, two, by)
+    middle = medians(rows, {"median_tests": some(u, F.col("n_tests")), "median_line_coverage_compiling": some(u & F.col("compiled"), F.col("line_coverage_pct")), "median_mutation_green": some(u & F.col("compiled") & F.col("is_green"), F.col("mutation_score_pct"))}, by)
+    middle = middle.withColumns({c: F.round(c, places(2)) for c in middle.columns if c not in by})
+    return _beside(_beside(all_rows, middle, by), two, by)
 
 
 def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
@@ -52,18 +58,48 @@ def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     return a.join(right, same, "left").drop(*[f"{c}__b" for c in by])
 
 
-def at_share(rows: DataFrame, value: str, share: float | None, by: list[str] | None = None, out: str = "value") -> DataFrame:
-    """The value at index floor(n * share) of the ascending order (the upper middle for None), by group.
+def at_ranks(rows: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: list[str] | None = None) -> DataFrame:
+    """For each group the values at ranks (from 0) of the ascending order, exactly: columns of by, and one for each rank, told from the group's size.
 
-    Distinct values are counted first, so a group's order holds one row for each value, not for each row.
+    Equal values are counted first. While a rank lies among more than ORDERED different values, their range
+    is cut to BUCKETS, which are counted in a shuffle of their own, and the bucket that holds the rank is
+    the new range, from its least to its greatest value; so no task orders more than ORDERED values or holds
+    a group. Null values don't count, NaN is the greatest; a group without values gives no row.
     """
     by = by or []
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*by).orderBy(value)
-    w = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
-    at = F.floor(F.col("total") / 2) if share is None else F.floor(F.col("total") * F.lit(share))
-    at = F.least(at, F.col("total") - 1)
-    return w.where((F.col("upto") - F.col("n") <= at) & (at < F.col("upto"))).select(*by, F.col(value).alias(out))
+    g = F.struct(F.lit(1).alias("_"), *by).alias("g")
+    counts = saved(rows.where(F.col(value).isNotNull()).select(g, F.col(value).alias("v")).groupBy("g", "v").agg(F.count("*").alias("n")), "value-counts")
+    whole = counts.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("values"), F.min("v").alias("low"), F.max("v").alias("high"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), rank(F.col("total")).cast("long").alias("rank")) for k, rank in ranks.items()])).alias("r")
+    state = saved(whole.select("g", "values", "low", "high", wanted).select("g", "r.name", "r.rank", "values", "low", "high"), "ranks")
+    while not (wide := state.where(F.col("values") > ORDERED)).isEmpty():
+        v, low, high = (F.col(c).cast("double") for c in ("v", "low", "high"))
+        at = F.when(F.col("v") == F.col("low"), 0).when(F.col("v") == F.col("high"), BUCKETS + 1).otherwise(1 + F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor((v - low) / (high - low) * BUCKETS))))
+        held = counts.join(wide.drop("values"), "g").where(F.col("v").between(F.col("low"), F.col("high")))
+        sums = held.groupBy("g", "name", "rank", at.cast("int").alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("values"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy("g", "name").orderBy("bucket"))  # over BUCKETS + 2 rows
+        one = sums.withColumn("before", upto - F.col("n")).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+        narrower = saved(state.where(F.col("values") <= ORDERED).unionByName(one.select("g", "name", (F.col("rank") - F.col("before")).alias("rank"), "values", "low", "high")), "ranks")
+        drop(state)
+        state = narrower
+    held = counts.join(state, "g").where(F.col("v").between(F.col("low"), F.col("high")))
+    upto = F.sum("n").over(Window.partitionBy("g", "name").orderBy("v"))
+    found = held.withColumn("upto", upto).where((F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+    return found.groupBy("g").agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ranks]).select(*[F.col("g")[c].alias(c) for c in by], *ranks)
+
+
+def medians(rows: DataFrame, values: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """The exact medians of several columns by group, as doubles: of an even number of values the mean of the middle two, null where there is none."""
+    by = by or []
+    each = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("_name"), x.cast("double").alias("_value")) for k, x in values.items()])).alias("_r")).select(*by, "_r.*")
+    two = at_ranks(each, "_value", {"_a": lambda n: F.floor((n - 1) / 2), "_b": lambda n: F.floor(n / 2)}, [*by, "_name"])
+    found = two.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == k, (F.col("_a") + F.col("_b")) / 2)).alias(k) for k in values])
+    return found
+
+
+def at_share(rows: DataFrame, value: str, share: float | None, by: list[str] | None = None, out: str = "value") -> DataFrame:
+    """The value at index floor(n * share) of the ascending order (the upper middle for None), by group."""
+    return at_ranks(rows, value, {out: lambda n: F.least(F.floor(n / 2) if share is None else F.floor(n * F.lit(share)), n - 1)}, by)
 
 
 def recall(rows: DataFrame, group: str, hit: Column, miss: Column, total_name: str = "ALL") -> DataFrame:
@@ -122,9 +158,13 @@ def run_figures(calls: DataFrame, errors: DataFrame, run: str = "run_id") -> Dat
 def prefix_medians(sizes: DataFrame, curve: DataFrame, cut: str, pattern: str, size: str) -> DataFrame:
     """(place, median_size): for each prefix of patterns, best first, the median over all classes of what the prefix gives them.
 
-    Classes a prefix gives nothing count as 0. The grid has a row for each class and pattern; patterns
-    are few.
+    Classes a prefix gives nothing count as 0. There is a row for each class and place.
     """
-    grid = sizes.select(cut).distinct().join(F.broadcast(curve.select(pattern, "place").limit(4096)))
-    rows = grid.join(sizes, [cut, pattern], "left").withColumn("upto", F.sum(F.coalesce(F.col(size), F.lit(0))).over(Window.partitionBy(cut).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("place").agg(F.median("upto").alias("median_size"))
+    places = curve.agg(F.max("place")).first()[0]
+    own = sizes.join(curve.select(pattern, "place"), pattern).groupBy(cut, "place").agg(F.sum(size).alias("own"))
+    if places is None:
+        return own.select("place", F.lit(None).cast("double").alias("median_size"))
+    grid = sizes.select(cut).distinct().withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(places))))
+    upto = F.sum(F.coalesce(F.col("own"), F.lit(0))).over(Window.partitionBy(cut).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    rows = grid.join(own, [cut, "place"], "left").withColumn("upto", upto)
+    return medians(rows, {"median_size": F.col("upto")}, ["place"])
