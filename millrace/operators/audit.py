@@ -109,7 +109,8 @@ def pattern_stats(candidates: DataFrame, cuts: DataFrame, patterns: list[str]) -
     each = candidates.groupBy("cut", "pattern").agg(F.count("*").alias("n"), F.count_if("needed").alias("n_needed"), F.sum("chars").alias("chars"))
     grid = cuts.select("cut", F.explode(F.array(*map(F.lit, patterns))).alias("pattern"))
     rows = grid.join(each, ["cut", "pattern"], "left").fillna(0)
-    return rows.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("n_needed").alias("n_needed"), F.sum("chars").alias("chars"), F.median("chars").alias("median_chars"))
+    sums = rows.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("n_needed").alias("n_needed"), F.sum("chars").alias("chars"))
+    return sums.join(stats.medians(rows, {"median_chars": F.col("chars")}, ["pattern"]), "pattern")
 
 
 def exclusive(candidates: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import text
 from ..shared import saved
 
 #: Walk patterns in the order of their priority.
@@ -33,6 +34,29 @@ def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     return reach
 
 
+def discovered(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(src, dst, place: of dst among what src lists) -> (src, dst, depth, label): everything reachable, without src itself, as a
+    breadth-first search finds it.
+
+    A label is the places on the way; of labels of one depth the least is that of the first discovery, as
+    the queue holds nodes in the order of their parents, then in that of the parents' lists. So rounds carry
+    labels and take least ones, and order by depth and label is the order of discovery; nothing is numbered
+    on the way. A round writes only what is newly found.
+    """
+    own = saved(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("place").cast("int").alias("place")), "discovery-edges")
+    reach = frontier = saved(own.select("src", "dst", F.lit(1).alias("depth"), F.array("place").alias("label")), "discovered")
+    depth = 1
+    while rounds is None or depth < rounds:
+        step = frontier.select(F.col("src").alias("from"), F.col("dst").alias("mid"), "label").join(own, F.col("mid") == F.col("src")).where("from <> dst")
+        met = step.groupBy("from", "dst").agg(F.min(F.concat("label", F.array("place"))).alias("label")).withColumnRenamed("from", "src")
+        depth += 1
+        frontier = saved(met.join(reach.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(depth).alias("depth"), "label"), "discovered")
+        if frontier.isEmpty():
+            break
+        reach = reach.unionByName(frontier)
+    return reach
+
+
 def inverted(edges: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """By value the sorted set of its keys."""
     return edges.groupBy(value).agg(F.array_sort(F.collect_set(key)).alias(out))
@@ -44,6 +68,13 @@ def supertypes(index: DataFrame) -> DataFrame:
     return each.join(index.select(F.col("class").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+def listed_supertypes(index: DataFrame) -> DataFrame:
+    """(src, dst, place): supertypes() with their places: what a class extends, then what it implements, as listed."""
+    none = F.expr("cast(array() as array<string>)")
+    each = index.select(F.col("class").alias("src"), F.posexplode(F.concat(F.coalesce("extends", none), F.coalesce("implements", none))).alias("place", "dst"))
+    return each.join(index.select(F.col("class").alias("dst")), "dst", "left_semi").select("src", "dst", "place")
+
+
 def inversions(index: DataFrame, ancestors: DataFrame) -> DataFrame:
     """class with implemented_by (concrete descendants), extended_by (direct) and referenced_by_count."""
     kinds = index.select(F.col("class").alias("src"), "kind")
@@ -121,13 +152,34 @@ def overrides(members: DataFrame, ancestors: DataFrame) -> DataFrame:
     return rows.withColumn("overrides", F.when(method, F.col("overrides"))).drop("c", "n", "p")
 
 
+def _nearest(reach: DataFrame):
+    """The order of a class's ancestors: by discovery, or by depth and name where no labels are known."""
+    return F.struct("depth", "label" if "label" in reach.columns else "dst")
+
+
 def not_overridden(members: DataFrame, reach: DataFrame) -> DataFrame:
-    """By class the inherited methods it doesn't define, the nearest definition of each signature."""
+    """By class the inherited methods it doesn't define, the first definition of each signature in the order of discovered()."""
     theirs = members.select(F.col("class").alias("dst"), "name", "params", F.col("visibility").alias("v")).where("v <> 'private'")
-    met = reach.join(theirs, "dst").groupBy("src", "name", "params").agg(F.min_by("dst", F.struct("depth", "dst")).alias("declared_by"))
+    met = reach.join(theirs, "dst").groupBy("src", "name", "params").agg(F.min_by("dst", _nearest(reach)).alias("declared_by"))
     return met.join(members.select(F.col("class").alias("src"), "name", "params"), ["src", "name", "params"], "left_anti")
 
 
+def passed_on(members: DataFrame, reach: DataFrame, packages: DataFrame) -> DataFrame:
+    """(src, dst, same, signatures): for each class and ancestor whether their package is the same, and the ancestor's methods that
+    the class sees, doesn't define, and doesn't have from an ancestor found before.
+
+    members (class, name, kind, visibility, params), packages (class, package).
+    """
+    own = members.where("kind = 'method'")
+    pack = lambda c, p: packages.select(F.col("class").alias(c), F.col("package").alias(p))
+    pairs = reach.join(pack("src", "p"), "src").join(pack("dst", "q"), "dst").withColumn("same", F.col("p") == F.col("q"))
+    theirs = own.select(F.col("class").alias("dst"), "name", "params", F.col("visibility").alias("v"))
+    seen = pairs.join(theirs, "dst").where("v = 'public' OR (v <> 'private' AND same)")
+    first = seen.groupBy("src", "name", "params").agg(F.min_by("dst", _nearest(reach)).alias("dst")).join(own.select(F.col("class").alias("src"), "name", "params"), ["src", "name", "params"], "left_anti")
+    signatures = first.groupBy("src", "dst").agg(F.array_sort(F.collect_set(text.signature(F.col("name"), F.col("params")))).alias("signatures"))  # of one class's members
+    return pairs.select("src", "dst", "same").join(signatures, ["src", "dst"], "left").withColumn("signatures", F.coalesce("signatures", F.expr("cast(array() as array<string>)")))
+
+
 def resolved(uses: DataFrame, candidates: DataFrame, classes: DataFrame) -> DataFrame:
     """uses (file, name), candidates (file, name, prio, fqn): imports 0, own package 1, wildcards 2 and
     up in order -> fqn or null. A name imported singly is that import or, if it is no class, nothing."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
+from . import stats
 
 #: Fixed value: characters a token where no call says otherwise.
 CHARS_A_TOKEN = 4.27
@@ -104,7 +105,7 @@ def round_summary(prompts: DataFrame, targets: DataFrame) -> DataFrame:
     kind and the median of their tests."""
     served = targets.where("kind = 'self'").select("class_key").distinct().withColumn("served", F.lit(1))
     p = prompts.select("class_key").distinct().join(served, "class_key", "left").agg(F.count("*").alias("classes"), F.count("served").alias("self_served"))
-    t = targets.agg(F.count("*").alias("targets"), F.count_if(F.col("kind") == "harness").alias("rescued"), F.median("n_tests").alias("median_target_tests"))
+    t = targets.agg(F.count("*").alias("targets"), F.count_if(F.col("kind") == "harness").alias("rescued")).join(stats.medians(targets, {"m": F.col("n_tests")}).agg(F.max("m").alias("median_target_tests")))
     both = p.join(t)  # one row each
     fall = F.col("classes") - F.col("self_served")
     return both.withColumn("fall_through", fall).withColumn("harness_usage_pct", F.round(F.try_divide(100.0 * fall, F.col("classes")), 6))
@@ -113,7 +114,8 @@ def round_summary(prompts: DataFrame, targets: DataFrame) -> DataFrame:
 def prompt_summary(prompts: DataFrame) -> DataFrame:
     """One row: prompts, excluded ones, the median of tokens of the kept."""
     kept = ~F.coalesce(F.col("excluded"), F.lit(False))
-    return prompts.agg(F.count("*").alias("rows"), F.count_if(~kept).alias("excluded"), F.median(F.when(kept, F.col("prompt_tokens"))).alias("median_tokens"))
+    middle = stats.medians(prompts, {"m": F.when(kept, F.col("prompt_tokens"))}).agg(F.max("m").alias("median_tokens"))
+    return prompts.agg(F.count("*").alias("rows"), F.count_if(~kept).alias("excluded")).join(middle)  # one row each
 
 
 #: A class's metrics at its start.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import stats
+
 
 def resume(todo: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """The rows whose key isn't done yet."""
@@ -59,7 +61,7 @@ def caps(prompts: DataFrame, references: DataFrame, key: str, most: int, spare:
 
     Prompts without a reference take the median of all references (whole), or `default` without any.
     """
-    middle = references.agg(F.coalesce(F.floor(F.median("tokens")), F.lit(default)).alias("middle"))
+    middle = stats.medians(references, {"m": F.col("tokens")}).agg(F.coalesce(F.floor(F.max("m")), F.lit(default)).alias("middle"))
     rows = prompts.join(references.select(key, "tokens"), key, "left").join(F.broadcast(middle))  # one row
     cap = 2 * F.coalesce("tokens", "middle") + 64
     return rows.withColumn("max_tokens", F.least(cap, most - F.col("prompt_tokens") - spare)).drop("tokens", "middle")

@@ -8,8 +8,9 @@ the project's classes.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from ..functions import syntax
 from ..operators import graph
 from ..shared import saved
 from .registry import query, sql_table
@@ -26,6 +27,9 @@ _GRAPH = f"""WITH RECURSIVE classes AS ({CLASSES}), e AS ({EDGES}), ext AS ({EXT
 sup AS (SELECT DISTINCT src, dst FROM (SELECT * FROM ext UNION ALL SELECT * FROM imp) WHERE src <> dst AND src IN (SELECT class FROM classes) AND dst IN (SELECT class FROM classes)),
 reach AS (SELECT src, dst, 1 AS depth FROM sup UNION SELECT reach.src, sup.dst, depth + 1 FROM reach JOIN sup ON reach.dst = sup.src WHERE reach.src <> sup.dst),
 anc AS (SELECT src, dst, min(depth) AS depth FROM reach GROUP BY 1, 2)"""
+# the ways to each ancestor by places in lists; of the shortest ones the least is the first discovery
+_FOUND = """, listed AS (SELECT * FROM (SELECT *, 0 AS place FROM ext UNION ALL SELECT *, 1 AS place FROM imp) JOIN sup USING (src, dst)), ways AS (SELECT src, dst, [place] AS way FROM listed UNION SELECT ways.src, listed.dst, list_append(way, listed.place) FROM ways JOIN listed ON ways.dst = listed.src),
+found AS (SELECT src, dst, min((len(way), way)) AS label FROM ways GROUP BY 1, 2)"""
 
 
 def index(spark, sf):
@@ -135,11 +139,36 @@ def q_overrides(spark, sf):
     return graph.overrides(_members(spark, sf), ancestors(spark, sf)).select("class", "name", "overrides")
 
 
-@query(f"""{_GRAPH}, theirs AS (SELECT src, name, param, arg_min(dst, (depth, dst)) AS declared_by FROM anc JOIN members m ON m.class = dst WHERE visibility <> 'private' GROUP BY 1, 2, 3)
+@query(f"""{_GRAPH}{_FOUND}, theirs AS (SELECT src, name, param, arg_min(dst, label) AS declared_by FROM found JOIN members m ON m.class = dst WHERE visibility <> 'private' GROUP BY 1, 2, 3)
 SELECT src, name, declared_by FROM theirs t WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.class = t.src AND m.name = t.name AND m.param = t.param)""")
 def q_not_overridden(spark, sf):
-    """Inherited members that a class doesn't define, from the nearest ancestor."""
-    return graph.not_overridden(_members(spark, sf), ancestors(spark, sf)).select("src", "name", "declared_by")
+    """Inherited members that a class doesn't define, from the ancestor that a breadth-first search finds first."""
+    reach = graph.discovered(graph.listed_supertypes(index(spark, sf)))
+    return graph.not_overridden(_members(spark, sf), reach).select("src", "name", "declared_by")
+
+
+@query(f"{_GRAPH}{_FOUND} SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY label) AS INTEGER) AS position FROM found")
+def q_discovery(spark, sf):
+    """Each class's ancestors in the order in which a breadth-first search finds them."""
+    reach = graph.discovered(graph.listed_supertypes(index(spark, sf)))
+    return reach.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy("depth", "label")).alias("position"))
+
+
+_LINE = "'    ' || CASE visibility WHEN 'package' THEN '' ELSE visibility || ' ' END || CASE WHEN kind = 'ctor' THEN '' ELSE 'void ' END || CASE WHEN kind = 'ctor' THEN m.class ELSE m.name END || '(' || m.param || ' a) { '"
+
+
+@query(f"""{_GRAPH}{_FOUND}, seen AS (SELECT src, f.dst, name, param, label FROM found f JOIN classes a ON a.class = src JOIN classes b ON b.class = f.dst JOIN members m ON m.class = f.dst WHERE m.kind = 'method' AND (visibility = 'public' OR (visibility <> 'private' AND a.package = b.package))),
+firsts AS (SELECT src, name, param, arg_min(dst, label) AS dst FROM seen s WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.class = s.src AND m.name = s.name AND m.param = s.param AND m.kind = 'method') GROUP BY 1, 2, 3)
+SELECT src, dst, 'class ' || dst || ' {{' || chr(10) || string_agg({_LINE} || CASE WHEN m.name IN ('m1', 'm2') THEN '' ELSE '/* body omitted */ ' END || '}}', chr(10) ORDER BY m.name) || chr(10) || '}}' AS view FROM firsts f JOIN members m ON m.class = f.dst AND m.name = f.name AND m.param = f.param GROUP BY 1, 2""".replace("{{", "{").replace("}}", "}"))
+def q_supertype_views(spark, sf):
+    """What each class has from its ancestors and doesn't define, as texts rendered from the ancestors' sources."""
+    reach = graph.discovered(graph.listed_supertypes(index(spark, sf)))
+    lines = sql_table(spark, sf, f"SELECT class, name, {_LINE} || '}}' AS line FROM ({MEMBERS}) m".replace("}}", "}"))
+    sources = lines.groupBy("class").agg(F.concat(F.lit("class "), F.col("class"), F.lit(" {\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "line"))), lambda x: x["line"]), "\n"), F.lit("\n}")).alias("source"))
+    trees = saved(sources.select(F.col("class").alias("dst"), "source", syntax.tree(F.col("source")).alias("tree")), "trees")  # each source is read once, however many inherit from it
+    rows = graph.passed_on(_members(spark, sf), reach, sql_table(spark, sf, CLASSES).select("class", "package")).join(trees, "dst")
+    view = syntax.supertype_view(F.col("source"), F.col("tree"), F.col("same"), F.array(F.lit("m1"), F.lit("m2")), F.col("signatures"))
+    return rows.select("src", "dst", view.alias("view")).where("view IS NOT NULL")
 
 
 _NAMES = "SELECT DISTINCT 'C' || l_partkey AS class, 'm' || (l_suppkey % 8) AS name FROM lineitem WHERE l_partkey > 0"

@@ -87,3 +87,29 @@ def test_views_take_any_condition(spark):
         "@Deprecated public abstract class Outer<T extends Base> extends Sup<Arg> implements I1, I2<K> {", "    private class Inner {", "        int deep() { return 1; }", "    }",
         "    enum Kind {", "        ONE, TWO(2), @Old THREE;", "        private final int v = 1;", "        Kind() { /* body omitted */ }", "        Kind(int v) { /* body omitted */ }", "    }", "}", "", "class Second {", "    void m() { /* body omitted */ }", "}",
     ]
+
+
+def test_discovery_is_breadth_first(spark):
+    from collections import deque
+    import random
+
+    from millrace.operators import graph
+
+    r = random.Random(8)
+    lists = {f"n{i}": r.sample([f"n{j}" for j in range(40)], r.randrange(0, 4)) for i in range(40)}
+
+    def found(src):
+        order, todo = [], deque(lists[src])
+        while todo:
+            a = todo.popleft()
+            if a not in order and a != src:
+                order.append(a)
+                todo.extend(lists[a])
+        return order
+
+    edges = spark.createDataFrame([(a, b, i) for a, x in lists.items() for i, b in enumerate(x)], "src string, dst string, place int")
+    got = {}
+    for x in sorted(graph.discovered(edges).collect(), key=lambda x: (x.src, x.depth, x.label)):
+        got.setdefault(x.src, []).append(x.dst)
+    assert got == {a: found(a) for a in lists if found(a)}
+    assert graph.discovered(edges.where("false")).count() == 0 and {x.depth for x in graph.discovered(edges, 2).collect()} == {1, 2}
