@@ -281,12 +281,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", doc_id: s
     common.prepare(docs.sparkSession)
     texts = _texts(docs, doc_id, text)
     table = common.saved(runs(texts.select("id", "digest", "data"), length), "runs")
-    named = table.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # small sides of joins are written first: Spark splits a hot key's rows only where both sides come from exchanges of their own
+    named = common.saved(table.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated-grams")
     again = common.saved(table.join(named, "gram"), "repeated-runs")
     common.drop(table)
+    common.drop(named)
     strings = again.groupBy("gram", "t1", "t2").agg(F.count("*").alias("n"), F.min(F.struct("id", "digest", "begin", "end")).alias("place"))
     strings = common.saved(strings.select("gram", "t1", "t2", "n", "place.*"), "strings")
-    kinds = strings.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = common.saved(strings.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     unlike = strings.join(kinds, "gram")
     wanted = unlike.groupBy("id", "digest").agg(F.collect_list(F.struct("gram", "t1", "t2", "begin", "end", "kinds")).alias("wanted"))  # as many as a text has runs
 
@@ -314,6 +316,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", doc_id: s
     every = F.when(F.col("n") > 1, F.array(F.lit(0), F.col("end") - F.col("begin"))).otherwise(F.array().cast("array<int>"))
     none = F.array().cast("array<int>")
     known = strings.join(flags, ["t1", "t2"], "left").select("t1", "t2", F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("begin").alias("_begin"), F.coalesce("earlier", none).alias("earlier"), F.concat(every, F.coalesce("again", none)).alias("again")).where("size(again) > 0")
+    known = common.saved(known, "known")
     key = ["digest"] if keep == "none" else ["id", "digest"]
     places = again.select(*key, "begin", "end", "t1", "t2").distinct().join(known, ["t1", "t2"])
     if keep == "none":
@@ -322,7 +325,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", doc_id: s
         first = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")) & (F.col("begin") == F.col("_begin"))
         spans = F.when(first, F.col("earlier")).otherwise(F.array(F.lit(0), F.col("end") - F.col("begin")))
     found = places.select(*key, F.struct("begin", spans.alias("spans")).alias("one")).where("size(one.spans) > 0")
-    return found.groupBy(*key).agg(F.collect_list("one").alias("found"))
+    return common.saved(found.groupBy(*key).agg(F.collect_list("one").alias("found")), "found")
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
