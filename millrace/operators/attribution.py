@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def containing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, pick: Column, keep: list[str], columns: list[str], cell: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Each point with the span of its key that holds it (start <= at <= end), null where none does.
+def level_of(start: Column, end: Column) -> Column:
+    """The level of the smallest bin that holds a span of whole numbers: a bin of level n is 2 ** n wide and begins at a multiple of that."""
+    differ = start.cast("long").bitwiseXOR(end.cast("long"))
+    return F.when(differ == 0, 0).otherwise(F.length(F.bin(differ)))
+
+
+def bin_of(at: Column, level: Column) -> Column:
+    """The bin of a level that holds a place; one bin of level 64 holds all."""
+    return F.when(level >= 64, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", at.cast("long"), level))
+
+
+def whole(rows: DataFrame, name: str) -> Column:
+    """A column of whole numbers, or of times as microseconds, as longs that rise with it."""
+    kind, c = rows.schema[name].dataType.typeName(), F.col(name)
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind == "timestamp_ntz":  # told from its parts: a time zone's jumps would turn times round
+        return F.unix_date(c.cast("date")) * F.lit(86_400_000_000) + ((F.hour(c) * 60 + F.minute(c)).cast("long") * F.lit(60_000_000) + (F.date_part(F.lit("SECOND"), c) * 1_000_000)).cast("long")
+    return c.cast("long")
+
+
+def containing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, pick: Column, keep: list[str], columns: list[str]) -> DataFrame:
+    """Each point with the span of its key that holds it (start <= at <= end, whole numbers or times), null where none does.
 
-    `pick` orders the spans that hold a point, the least is taken; `keep` tells points apart. The join
-    is by key with a range condition; the choice is a partial aggregate. `cell` cuts a hot key's points
-    to cells: a whole number that never falls as a place grows; a span is met in each cell it touches,
-    so cells should be about as wide as spans are long.
+    `pick` orders the spans that hold a point, the least is taken; `keep` tells points apart. Bins are
+    hierarchical: each span lies in the one smallest bin that holds it, whatever its length, and each point
+    asks one bin of every level that has spans (65 at most). So the join is by key, level and bin: a hot
+    key's spans and points meet bin by bin, and a span is one row. The choice is a partial aggregate. A
+    span without a start or an end, or that ends before it starts, holds nothing.
     """
-    s = spans.select(F.col(key).alias("k_"), F.col(start).alias("s_"), F.col(end).alias("e_"), *[F.col(c).alias(f"{c}_") for c in columns], pick.alias("p_"))
-    same = (F.col(key) == F.col("k_")) & F.col(at).between(F.col("s_"), F.col("e_"))
-    if cell:
-        low, high = cell(F.col("s_")).cast("long"), cell(F.col("e_")).cast("long")
-        s = s.where("s_ <= e_").withColumn("c_", F.explode(F.sequence(low, high)))
-        points, same = points.withColumn("at_cell_", cell(F.col(at)).cast("long")), same & (F.col("at_cell_") == F.col("c_"))
-    held = points.join(s, same, "left")
+    s = spans.select(F.col(key).alias("k_"), whole(spans, start).alias("s_"), whole(spans, end).alias("e_"), *[F.col(c).alias(f"{c}_") for c in columns], pick.alias("p_"))
+    s = s.where("s_ <= e_").withColumn("l_", level_of(F.col("s_"), F.col("e_"))).withColumn("c_", bin_of(F.col("s_"), F.col("l_")))
+    levels = [r["l_"] for r in s.select("l_").distinct().collect()]  # at most 65
+    asked = points.withColumn("at_", whole(points, at)).withColumn("at_level_", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("at_bin_", bin_of(F.col("at_"), F.col("at_level_")))
+    same = (F.col(key) == F.col("k_")) & (F.col("at_level_") == F.col("l_")) & (F.col("at_bin_") == F.col("c_")) & F.col("at_").between(F.col("s_"), F.col("e_"))
+    held = asked.join(s, same, "left")
     return held.groupBy(*keep).agg(F.min_by(F.struct(*[F.col(f"{c}_").alias(c) for c in columns]), "p_").alias("r")).select(*keep, "r.*")
 
 
@@ -32,12 +51,11 @@ def attribute_errors(errors: DataFrame, spans: DataFrame) -> DataFrame:
     return held.groupBy("suite").agg(F.array_sort(F.collect_set("name")).alias("broken"), F.count_if(F.col("name").isNull()).alias("n_skeleton_errors"), F.count("*").alias("n_errors"))
 
 
-def smallest_enclosing(points: DataFrame, spans: DataFrame, width: int | None = None) -> DataFrame:
+def smallest_enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points (suite, row), spans (suite, name, kind, start, end, size): a test that holds the point, the
-    first by start, else the smallest declaration; the suite gets null names if any point has none.
-    `width`: rows in a cell, for suites of many rows."""
+    first by start, else the smallest declaration; the suite gets null names if any point has none."""
     order = F.struct(F.when(F.col("kind") == "test", 0).otherwise(1), F.when(F.col("kind") == "test", F.col("start")).otherwise(F.col("size")), F.col("start"), F.col("name"))
-    held = containing(points, spans, "suite", "row", "start", "end", order, ["suite", "row"], ["name"], (lambda c: F.floor(c / width)) if width else None)
+    held = containing(points, spans, "suite", "row", "start", "end", order, ["suite", "row"], ["name"])
     whole = F.min(F.col("name").isNotNull()).over(Window.partitionBy("suite"))
     return held.withColumn("name", F.when(whole, F.col("name")))
 
