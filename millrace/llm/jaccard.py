@@ -57,6 +57,8 @@ SKETCH_BITS, PIECE = 20, 4096
 #: chance, unrelated texts share two fifths of their bound at a mean of 1, four fifths at 8), points in a
 #: leaf, texts in a page (block pairs hold twice as many).
 FEWEST, MOST, MEAN, LEAF, PAGE = 64, 1 << 14, 2, 16, 256
+#: Shingles (of 8 bytes) for which a set weighs one more in a page, so sets of a page have about PAGE * 8 * HEAVY bytes, 64 MB, at most, or one set more.
+HEAVY = 1 << 15
 #: Pairs that a page names for each of its points; with more it names the points, so it never makes more
 #: rows than it has points. Either way all pairs within the bound are verified.
 PAIRS_A_POINT = 1
@@ -383,8 +385,12 @@ def _sets_of(source: DataFrame, needed: DataFrame, seed: int) -> DataFrame:
             named = [(i, t) for i, t in zip(ids, texts) if i is not None]
             chosen = [t for (_, t), h in zip(named, asked([i for i, _ in named])) if h]
             for lo in range(0, len(chosen), 128):
-                sets = list(shingle_sets(chosen[lo : lo + 128]))
-                yield _key_sets([_digest(s, seed)[0] for s in sets], sets)
+                # repeated rows of a doc_id give their set once a task
+                found = {k: s for s in shingle_sets(chosen[lo : lo + 128]) if (k := _digest(s, seed)[0]) not in seen}
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.update(found)
+                yield _key_sets(list(found), list(found.values()))
             unnamed = [t for i, t in zip(ids, texts) if i is None]
             for lo in range(0, len(unnamed), 128):
                 found = {_digest(s, seed)[0]: s for s in shingle_sets(unnamed[lo : lo + 128]) if len(s)}
@@ -431,7 +437,8 @@ def _joined_pages(pages: DataFrame, points: DataFrame, source: DataFrame, seed:
     member = lambda *c: once.select("r.page", F.lit(0).alias("side"), *[F.col(f"r.{x}") for x in c]).toDF(*columns)
     rest = met.where("key_b IS NULL").select(columns).union(member("key", "label", "doc_id")).union(member("key_b", "label_b", "doc_b")).distinct()
     rest = common.saved(rest, f"members-{tag}")
-    full = rest.join(_sets_of(source, rest, seed), "key").select("page", "side", "key", "label", "set")
+    sets = common.saved(_sets_of(source, rest, seed).groupBy("key").agg(F.first("set").alias("set")), f"sets-{tag}")  # each once, whatever rows repeat
+    full = rest.join(sets, "key").select("page", "side", "key", "label", "set")
     return common.saved(full.groupBy("page").applyInArrow(join, "a long, b long"), f"links-{tag}")
 
 
@@ -451,12 +458,17 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     # a set that only rows without a doc_id have is one point, however many they are
     unnamed = profiles.where("doc_id IS NULL AND n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("point").alias("point"))
     each = profiles.where("doc_id IS NOT NULL").unionByName(unnamed.withColumn("doc_id", F.lit(None).cast("long")))
-    points = common.saved(each.join(needed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("key", "doc_id", "n", "point"), "points")
+    points = each.join(needed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    # rows repeated with one doc_id are one point
+    points = common.saved(points.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")), "points")
+    # a page holds PAGE sets, or fewer of many shingles: a set weighs 1 and 1 more for each HEAVY shingles
+    heavy = points.where(F.col("n") >= HEAVY).select(F.col("key").alias("heavy"), F.floor(F.col("n") / HEAVY).alias("more"))
+    weighed = lambda rows: rows.join(heavy, F.col("key") == F.col("heavy"), "left").withColumn("weight", 1 + F.coalesce("more", F.lit(0))).drop("heavy", "more")
 
     # Step 3: the page of the least set met in any tree.
     least = roots.groupBy(F.col("token").alias("t")).agg(F.min("key").alias("hub"))
     hubs = common.saved(roots.join(least, F.col("token") == F.col("t")).groupBy("key").agg(F.min("hub").alias("hub")), "hubs")
-    many = hubs.groupBy(F.col("hub").alias("h")).agg(F.ceil(F.count("*") / PAGE).alias("blocks"))
+    many = weighed(hubs).groupBy(F.col("hub").alias("h")).agg(F.ceil(F.sum("weight") / PAGE).alias("blocks"))
     many = common.saved(many, "hub-blocks")
     page = lambda p, b: F.xxhash64(p, b)
     members = hubs.where("key <> hub").join(many, F.col("hub") == F.col("h")).select(page(F.col("hub"), F.pmod(F.xxhash64("key"), F.col("blocks"))).alias("page"), "key")
@@ -467,13 +479,13 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     # Step 4: trees with sets of several components.
     root_of = components(found)
     labelled = roots.join(root_of, F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("root", "key").alias("label"))
-    labelled = common.saved(labelled, "labelled")
-    trees = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
-    open_trees = trees.where("low <> high").groupBy("n", "x", "y").agg(F.min("token").alias("t"))
-    open_trees = common.saved(open_trees.select("t", "n"), "open-trees")
+    labelled = common.saved(weighed(labelled), "labelled")
+    trees = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("weight").alias("w"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    open_trees = trees.where("low <> high").groupBy("n", "w", "x", "y").agg(F.min("token").alias("t"))
+    open_trees = common.saved(open_trees.select("t", F.col("w").alias("n")), "open-trees")
     rest = common.saved(labelled.join(open_trees, F.col("token") == F.col("t")).drop("t"), "open-members")
     # of a large tree the members of its largest component don't meet each other, only those outside it
-    sums = rest.where(F.col("n") > PAGE).groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "label")).alias("m"))
+    sums = rest.where(F.col("n") > PAGE).groupBy("token", "label").agg(F.sum("weight").alias("n")).groupBy("token").agg(F.max(F.struct("n", "label")).alias("m"))
     rest = rest.join(sums.select(F.col("token").alias("t"), F.col("m.label").alias("main"), F.col("m.n").alias("n_main")), F.col("token") == F.col("t"), "left")
     rest = rest.withColumn("in_main", F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
     rest = rest.withColumn("main_blocks", F.coalesce(F.ceil(F.col("n_main") / PAGE), F.lit(0))).withColumn("blocks", F.ceil((F.col("n") - F.coalesce("n_main", F.lit(0))) / PAGE))
