@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..operators import logs, routing
 from ..shared import shared_dir
-from ..sources import tables
+from ..sources import merkle, tables
 from ..streaming import ingest, states
 from .registry import _FRACTION, _GREEN, _USABLE, QUALITY_2_SQL, QUALITY_SQL, ROLLOUTS_SQL, query, rollouts, sql_table, table
 
@@ -114,3 +114,22 @@ def q_streamed_counts(spark, sf):
     """Counts by window of event time as a stream: the windows that the watermark has closed."""
     rows = ingest.windowed_counts(_arriving(spark, sf), "ts", ["event_type"], late="1 hour", width="1 hour")
     return _streamed(spark, rows, "counts").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+_FILES = "SELECT 'd/' || doc_id % 7 || '/' || doc_id || '.txt' AS path, text AS content FROM documents"
+_LATER = "SELECT 'd/' || doc_id % 7 || '/' || (CASE WHEN doc_id % 83 = 0 THEN 'new' ELSE '' END) || doc_id || '.txt' AS path, CASE WHEN doc_id % 50 = 0 THEN text || '.' ELSE text END AS content FROM documents WHERE doc_id % 77 <> 5"
+
+
+@query(f"""WITH l AS (SELECT path, sha256(path) AS place, sha256(sha256(path) || sha256(coalesce(content, ''))) AS digest FROM ({_FILES})), n3 AS (SELECT substr(place, 1, 3) AS place, sha256(string_agg(digest, '' ORDER BY path)) AS digest FROM l GROUP BY 1),
+n2 AS (SELECT substr(place, 1, 2) AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM n3 GROUP BY 1), n1 AS (SELECT substr(place, 1, 1) AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM n2 GROUP BY 1)
+SELECT substr(sha256(string_agg(digest, '' ORDER BY place)), 1, 16) AS fingerprint, (SELECT count(*) FROM l) AS n FROM n1""")
+def q_tree_digest(spark, sf):
+    """A digest of a tree of files by a hash tree of three levels."""
+    return merkle.tree_digest(merkle.nodes(merkle.leaves(sql_table(spark, sf, _FILES)), 3))
+
+
+@query(f"WITH a AS ({_FILES}), b AS ({_LATER}) SELECT path, CASE WHEN a.content IS NULL THEN 'added' WHEN b.content IS NULL THEN 'removed' ELSE 'changed' END AS kind FROM (SELECT path, coalesce(content, '') AS content FROM a) a FULL JOIN (SELECT path, coalesce(content, '') AS content FROM b) b USING (path) WHERE a.content IS DISTINCT FROM b.content")
+def q_tree_changes(spark, sf):
+    """Files added, removed and changed between two trees, told from their hash trees."""
+    a, b = (merkle.leaves(sql_table(spark, sf, x)) for x in (_FILES, _LATER))
+    return merkle.changed(a, b, merkle.nodes(a, 3), merkle.nodes(b, 3))
