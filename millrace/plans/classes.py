@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import syntax
-from ..operators import graph
+from ..operators import graph, strategies
 from ..shared import saved
 from .registry import query, sql_table
 
@@ -105,7 +105,7 @@ def q_producers(spark, sf):
     return _producers(spark, sf, ancestors(spark, sf)).select("target", "class", F.array_join("entries", ",").alias("entries"))
 
 
-@query(f"""{_GRAPH}, {_MEM}, {_PRODUCERS}, {_API},
+_WALK = f"""{_GRAPH}, {_MEM}, {_PRODUCERS}, {_API},
 impl AS (SELECT dst AS class, src AS t FROM anc JOIN classes k ON k.class = src WHERE {_CONCRETE}),
 steps AS (SELECT class AS cut, t AS fqn, 0 AS prio, 1 AS hops FROM e WHERE n <= 5
  UNION SELECT target, class, 1, 1 FROM entries
@@ -116,7 +116,10 @@ steps AS (SELECT class AS cut, t AS fqn, 0 AS prio, 1 AS hops FROM e WHERE n <=
  UNION SELECT c.class, s.t, 6, 1 FROM classes c JOIN (SELECT * FROM impl UNION SELECT dst, src FROM ext) s ON s.class = c.class JOIN classes k ON k.class = s.t AND k.{_CONCRETE} WHERE c.kind IN ('interface', 'abstract') OR c.class IN (SELECT dst FROM ext)
  UNION SELECT r.cut, x.t, 7, 2 FROM rets r JOIN e x ON x.class = r.via AND x.n = 3
  UNION SELECT class, t, 8, 1 FROM e WHERE n IN (5, 6, 7)),
-ok AS (SELECT * FROM steps WHERE cut <> fqn AND fqn IN (SELECT class FROM classes) AND cut IN (SELECT class FROM classes))
+ok AS (SELECT * FROM steps WHERE cut <> fqn AND fqn IN (SELECT class FROM classes) AND cut IN (SELECT class FROM classes))"""
+
+
+@query(f"""{_WALK}
 SELECT cut, fqn, CAST(min(prio) AS INT) AS prio, CAST(min(hops) AS INT) AS hops, string_agg(DISTINCT CAST(prio AS VARCHAR), '' ORDER BY CAST(prio AS VARCHAR)) AS patterns FROM ok GROUP BY 1, 2""")
 def q_class_walk(spark, sf):
     """Candidates of the walk over all nine patterns: patterns met, the first of them, fewest hops."""
@@ -221,3 +224,22 @@ def q_call_sites(spark, sf):
     """Calls with the called member's own row."""
     calls = sql_table(spark, sf, "SELECT DISTINCT 'C' || l_partkey AS caller, 'C' || l_suppkey AS owner, 'm' || l_linenumber AS name FROM lineitem WHERE l_partkey > 0")
     return graph.call_sites(calls, sql_table(spark, sf, MEMBERS).withColumn("decl", F.col("name"))).select("caller", "owner", "name", "visibility")
+
+
+# a class's source names some types in its code, some in a comment
+def _project(spark, sf):
+    idx = saved(index(spark, sf), "class-index")
+    reach = graph.closure(graph.supertypes(idx))
+    texts = sql_table(spark, sf, EDGES).groupBy("class").agg(*[F.array_join(F.transform(F.array_sort(F.collect_set(F.when(c, F.struct("n", "t")))), f), "") for c, f in ((F.col("n") <= 5, lambda x: F.concat(F.lit(" "), x["t"], F.lit(" a"), x["n"].cast("string"), F.lit(";"))), (F.col("n") == 6, lambda x: F.concat(F.lit(" see "), x["t"])))])
+    sources = texts.toDF("class", "code", "said").join(idx.select("class"), "class", "left_semi").select("class", F.concat(F.lit("class "), F.col("class"), F.lit(" {"), F.col("code"), F.lit(" } //"), F.col("said")).alias("source"))
+    return strategies.Project(sources, idx, reach, saved(graph.inversions(idx, reach), "class-inverse"), saved(graph.inherited_api(idx, reach), "class-api"), _producers(spark, sf, reach))
+
+
+@query(f"""{_WALK}, texts AS (SELECT class, 'class ' || class || ' {{' || coalesce(string_agg(' ' || t || ' a' || n || ';', '') FILTER (n <= 5), '') || ' }} //' || coalesce(string_agg(' see ' || t, '') FILTER (n = 6), '') AS source FROM e WHERE class IN (SELECT class FROM classes) GROUP BY 1),
+r AS (SELECT 'v1' AS strategy, x.class AS cut, k.class AS fqn FROM texts x JOIN classes k ON contains(x.source, k.class) WHERE x.class <> k.class UNION SELECT 'v2', e.class, t FROM e JOIN classes k ON k.class = t JOIN texts x ON x.class = e.class WHERE n <= 5 AND e.class <> t UNION SELECT 'v4', cut, fqn FROM ok WHERE cut IN (SELECT class FROM texts)),
+needed AS (SELECT DISTINCT class AS cut, t AS fqn FROM e WHERE n IN (3, 6)), m AS (SELECT cut, count(*) AS n_needed FROM needed GROUP BY 1)
+SELECT strategy, r.cut, count(*) AS n, count(d.fqn) AS n_hit, coalesce(any_value(n_needed), 0) AS n_needed FROM r LEFT JOIN needed d ON d.cut = r.cut AND d.fqn = r.fqn LEFT JOIN m ON m.cut = r.cut GROUP BY 1, 2""".replace("{{", "{").replace("}}", "}"))
+def q_strategies(spark, sf):
+    """Three strategies of retrieval by name: candidates of each class and how many of them were needed."""
+    needed = sql_table(spark, sf, EDGES).where("n IN (3, 6)").select(F.col("class").alias("cut"), F.col("t").alias("fqn"))
+    return strategies.compared(strategies.retrieved(_project(spark, sf), "v1", "v2", "v4"), needed)

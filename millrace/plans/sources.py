@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import syntax, text
+from ..functions import syntax, table_functions, text
 from .registry import query, sql_table
 
 _LONG = ", ".join(str(i) for i in range(100, 150))
@@ -69,3 +69,14 @@ def q_nested_types(spark, sf):
     body = lambda *names: syntax.nested_body(src, t, F.array(*names))
     own = F.array_join(F.transform(F.filter(t["decls"], lambda d: d["kind"].isin("method", "constructor")), syntax.source_signature), " ")
     return _sources(spark, sf).select("k", body(outer, F.concat(F.lit("In"), n("s"))).alias("body"), body(outer, F.lit("Gone")).alias("gone"), body(F.lit("Other")).alias("other"), text.signature(F.concat(F.lit("m"), n("k")), params).alias("signature"), own.alias("own"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part), d AS (SELECT k, unnest([{'kind': 'class', 'name': 'C' || k, 'depth': 0, 'visibility': 'public', 'first': 4, 'returns': NULL}, {'kind': 'field', 'name': 'T', 'depth': 1, 'visibility': 'private', 'first': 5, 'returns': 'String'}, {'kind': 'field', 'name': 'dep', 'depth': 1, 'visibility': 'protected', 'first': 6, 'returns': 'Dep' || (s % 7)}, {'kind': 'constructor', 'name': 'C' || k, 'depth': 1, 'visibility': 'public', 'first': 7, 'returns': NULL},
+{'kind': CASE WHEN k % 2 = 0 THEN 'method' END, 'name': 'size' || s, 'depth': 1, 'visibility': 'public', 'first': 8, 'returns': 'int'}, {'kind': 'method', 'name': 'go', 'depth': 1, 'visibility': 'package', 'first': 9 - k % 2, 'returns': 'void'}, {'kind': 'method', 'name': 'hid', 'depth': 1, 'visibility': 'private', 'first': 10 - k % 2, 'returns': 'int'}, {'kind': 'class', 'name': 'In' || s, 'depth': 1, 'visibility': 'package', 'first': 11 - k % 2, 'returns': NULL},
+{'kind': 'method', 'name': 'get', 'depth': 2, 'visibility': 'public', 'first': 11 - k % 2, 'returns': 'Num'}, {'kind': 'method', 'name': 'no', 'depth': 2, 'visibility': 'private', 'first': 11 - k % 2, 'returns': 'Own'}, {'kind': 'enum', 'name': 'Kind', 'depth': 1, 'visibility': 'package', 'first': 12 - k % 2, 'returns': NULL}, {'kind': 'constant', 'name': 'ONE', 'depth': 2, 'visibility': 'package', 'first': 12 - k % 2, 'returns': NULL},
+{'kind': 'constant', 'name': 'TWO' || s, 'depth': 2, 'visibility': 'package', 'first': 12 - k % 2, 'returns': NULL}, {'kind': 'constant', 'name': 'THREE', 'depth': 2, 'visibility': 'package', 'first': 12 - k % 2, 'returns': NULL}, {'kind': 'field', 'name': 'v', 'depth': 2, 'visibility': 'package', 'first': 12 - k % 2, 'returns': 'int'}, {'kind': 'field', 'name': 'many', 'depth': 1, 'visibility': 'package', 'first': 13 - k % 2, 'returns': 'int[]'}, {'kind': 'class', 'name': 'Other', 'depth': 0, 'visibility': 'package', 'first': 15 - k % 2, 'returns': NULL}]) AS d FROM p)
+SELECT k, d.kind, d.name, CAST(d.depth AS INTEGER) AS depth, d.visibility, CAST(d."first" AS INTEGER) AS first_line, d.returns FROM d WHERE d.kind IS NOT NULL""")
+def q_declarations(spark, sf):
+    """Every declaration of every source, by a table function."""
+    table_functions.register(spark)
+    return spark.sql("SELECT k, d.kind, d.name, d.depth, d.visibility, d.first AS first_line, d.returns FROM {s}, LATERAL java_declarations(source) d", s=sql_table(spark, sf, _SOURCES))

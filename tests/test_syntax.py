@@ -113,3 +113,26 @@ def test_discovery_is_breadth_first(spark):
         got.setdefault(x.src, []).append(x.dst)
     assert got == {a: found(a) for a in lists if found(a)}
     assert graph.discovered(edges.where("false")).count() == 0 and {x.depth for x in graph.discovered(edges, 2).collect()} == {1, 2}
+
+
+def test_table_functions(spark):
+    from millrace.functions import table_functions
+
+    assert table_functions.register(spark) == list(table_functions.TYPES)
+    rows = spark.createDataFrame([(1, "class A {\n  @Test\n  void t() { B b; }\n}"), (2, None), (3, "")], "k int, s string")
+    got = spark.sql("SELECT k, d.name, d.first, d.last FROM {r}, LATERAL java_declarations(s) d", r=rows).collect()
+    assert sorted(map(tuple, got)) == [(1, "A", 1, 4), (1, "t", 2, 3)]
+    assert [tuple(r) for r in spark.sql("SELECT k, t.* FROM {r}, LATERAL java_tests(s) t", r=rows).collect()] == [(1, "t", 2, 3)]
+    assert {tuple(r) for r in spark.sql("SELECT n.name, n.kind, n.line FROM {r}, LATERAL java_names(s) n WHERE k = 1", r=rows).collect()} >= {("B", "type", 3), ("b", "name", 3)}
+    assert spark.sql("SELECT m.name FROM {r}, LATERAL java_members(s) m", r=rows.where("k > 1")).count() == 0
+    assert spark.sql("SELECT k, d.name FROM {r} LEFT JOIN LATERAL java_declarations(s) d ON true", r=rows).count() == 4
+
+
+def test_strategies_by_name(spark):
+    import pytest
+
+    from millrace.operators import strategies
+
+    with pytest.raises(ValueError, match="v9"):
+        strategies.retrieved(None, "v9")
+    assert set(strategies.STRATEGIES) == {"v1", "v2", "v4", "v5", "v6"} and strategies.DEFAULT in strategies.STRATEGIES
