@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import java, syntax, text
-from ..operators import logs
+from ..operators import logs, tokens
 from .registry import query, sql_table, table
 
 _FENCES = r"""SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'intro\n```java\npackage p;\nw' || turn || '\n```\nend' WHEN 1 THEN '```java\nw' || turn WHEN 2 THEN 'w' || turn WHEN 3 THEN '```\nclass A' || turn || ' { }\n```' WHEN 4 THEN '```\nx\n``` mid ```\nlonger w' || turn || '\n```' ELSE '' END AS t FROM conversations"""
@@ -167,3 +167,11 @@ def q_nearby(spark, sf):
     """Other tests below the same root, those of the same folder first."""
     files = sql_table(spark, sf, "SELECT CAST(o_custkey % 50 AS STRING) AS root, '/w/r' || (o_custkey % 50) || '/d' || (o_orderkey % 3) || '/T' || o_orderkey || '.java' AS path, o_orderkey AS k FROM orders")
     return logs.nearby(files, files.where("k % 20 = 0")).select("root", "target", "path", "place")
+
+
+@query()
+def q_exact_tokens(spark, sf):
+    """Exact token counts of all documents in a byte-level BPE; SQL has none, tests hold it against the library."""
+    import public_tokenizers
+
+    return tokens.token_counts(table(spark, sf, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_tokens")

@@ -13,8 +13,12 @@ def test_query(spark, name):
     assert difference(spark, SF, registry.QUERIES[name], registry.ORACLES[name]) == ""
 
 
+#: Queries that SQL can't express; tests of their own hold them against a library.
+WITHOUT_SQL = {"q_exact_tokens"}
+
+
 def test_all_have_sql():
-    assert set(registry.QUERIES) == set(registry.ORACLES) and registry.FLAGSHIP in registry.QUERIES
+    assert set(registry.QUERIES) - WITHOUT_SQL == set(registry.ORACLES) and registry.FLAGSHIP in registry.QUERIES
 
 
 def test_entry(spark):
