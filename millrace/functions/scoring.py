@@ -122,6 +122,11 @@ def next_step(compiled: Column, suite_green: Column, repairs: Column, mutation:
     )
 
 
+def after_class(index: Column, n_classes: Column) -> Column:
+    """The step that follows a finished class: the next one's first, or the end of the run after the last."""
+    return F.when(F.coalesce(index, F.lit(0)) >= F.coalesce(n_classes, F.lit(0)), "end").otherwise("initial_test_write_node")
+
+
 def result_line(*columns: str) -> Column:
     """name=value for each column, a null as --."""
     return F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("--"))) for c in columns])

@@ -134,6 +134,30 @@ def by_simple_name(uses: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.withColumn("fqn", F.coalesce("k1", "k2", "only")).drop("k1", "k2", "only", "outer_", "simple_")
 
 
+def resolved_files(uses: DataFrame, classes: DataFrame, files: DataFrame) -> DataFrame:
+    """(cut, paths): for each class the files of all names it uses, each once, sorted, without its own.
+
+    uses (cut, names: array), classes as for by_simple_name(), files (class: outer name, path).
+    """
+    each = uses.select("cut", F.explode(F.array_distinct("names")).alias("name"))
+    found = by_simple_name(each, classes).where("fqn IS NOT NULL").select("cut", F.substring_index("fqn", "$", 1).alias("class")).distinct()
+    theirs = found.join(files.select("class", "path"), "class").join(files.select(F.substring_index("class", "$", 1).alias("cut"), F.col("path").alias("own")), "cut", "left")
+    return theirs.where(~F.col("path").eqNullSafe(F.col("own"))).groupBy("cut").agg(F.array_sort(F.collect_set("path")).alias("paths"))  # of one source's names
+
+
+def modules(files: DataFrame, root: str = "") -> DataFrame:
+    """files (path) with `module`: the nearest folder at or above each, not above root, that holds a pom.xml; null without one or outside of root."""
+    base = root.rstrip("/")
+    folder = lambda c: F.regexp_replace(c, r"/[^/]*$", "")
+    poms = files.where(F.col("path").endswith("/pom.xml")).select(folder("path").alias("at")).distinct()
+    parts = F.split(F.substring("path", len(base) + 2, 1 << 30), "/")
+    # folders from root down to the file's own
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.concat(F.lit(base), F.array_join(F.transform(F.slice(parts, F.lit(1), n), lambda p: F.concat(F.lit("/"), p)), "")))
+    inside = files.select("path").distinct().where(F.startswith("path", F.lit(base + "/"))).select("path", F.explode(above).alias("at"))
+    nearest = inside.join(poms, "at").groupBy("path").agg(F.max_by("at", F.length("at")).alias("module"))
+    return files.join(nearest, "path", "left")
+
+
 def inherited_api(index: DataFrame, ancestors: DataFrame, parts: tuple = ("method_params", "returns", "throws", "fields")) -> DataFrame:
     """By class, for each part, the sorted union over its ancestors without the class itself."""
     api = index.select(F.col("class").alias("dst"), *parts)

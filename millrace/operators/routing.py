@@ -69,8 +69,17 @@ def caps(prompts: DataFrame, references: DataFrame, key: str, most: int, spare:
 
 def dataset(targets: DataFrame, prompts: DataFrame, key: str, cutoff: int) -> DataFrame:
     """Pairs of instruction and output that fit the cutoff together, with the tokens of both."""
-    rows = targets.join(prompts, key).withColumn("tokens", F.col("prompt_tokens") + F.col("output_tokens"))
-    return rows.where(F.col("tokens") <= cutoff)
+    return _with_tokens(targets, prompts, key).where(F.col("tokens") <= cutoff)
+
+
+def _with_tokens(targets: DataFrame, prompts: DataFrame, key: str) -> DataFrame:
+    return targets.join(prompts, key).withColumn("tokens", F.col("prompt_tokens") + F.col("output_tokens"))
+
+
+def dataset_counts(targets: DataFrame, prompts: DataFrame, key: str, cutoff: int, by: list[str] | None = None) -> DataFrame:
+    """How many pairs dataset() keeps and how many it drops as too long, in all or by group."""
+    long = F.col("tokens") > cutoff
+    return _with_tokens(targets, prompts, key).groupBy(*by or []).agg(F.count_if(~long).alias("n_kept"), F.count_if(long).alias("n_dropped"))
 
 
 def deltas(rows: DataFrame, key: str, seq: str, value: str, least: float) -> DataFrame:

@@ -238,14 +238,13 @@ def q_metric_defaults(spark, sf):
     return logs.with_start_values(rows).select("k", "coverage_current", F.col("repair_attempts").cast("long"), "active_validation_phase")
 
 
-@query("""SELECT 'docs/' || doc_id || '.txt' AS path, string_split(text, chr(10))[1] AS first_line, len(string_split(text, chr(10))) AS n_lines, CAST(row_number() OVER (ORDER BY 'docs/' || doc_id || '.txt') - 1 AS INT) AS place FROM documents WHERE doc_id % 4 <> 0""")
+@query("""SELECT 'docs/' || doc_id || '.txt' AS path, string_split(text, chr(10))[1] AS first_line, len(string_split(text, chr(10))) AS n_lines, CAST(row_number() OVER (ORDER BY 'docs/' || doc_id || '.txt') - 1 AS INT) AS place, sha256(CASE WHEN text LIKE '%' || chr(10) THEN replace(substr(text, 1, length(text) - 1), chr(10), chr(10) || chr(10)) || chr(10) ELSE replace(text, chr(10), chr(10) || chr(10)) END) AS doubled FROM documents""")
 def q_ordered_sources(spark, sf):
     """Sources in path order, with and without doubled line ends."""
     from ..sources import tables
 
-    files = table(spark, sf, "documents", "doc_id", "text").where("doc_id % 4 <> 0").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    rows = tables.in_path_order(files).withColumn("two", tables.doubled(F.col("content")))
-    return rows.select("path", F.substring_index("content", "\n", 1).alias("first_line"), F.size(F.filter(F.split("two", "\n", -1), lambda s: F.lit(True))).cast("long").alias("n2"), F.size(F.split("content", "\n", -1)).cast("long").alias("n_lines"), "place").drop("n2")
+    files = table(spark, sf, "documents", "doc_id", "text").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    return tables.in_path_order(files).select("path", F.substring_index("content", "\n", 1).alias("first_line"), F.size(F.split("content", "\n", -1)).cast("long").alias("n_lines"), "place", F.sha2(tables.doubled(F.col("content")), 256).alias("doubled"))
 
 
 @query("""WITH d AS (SELECT user_id, event_id, ts, value FROM events), x AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM d GROUP BY 1) SELECT user_id, epoch_us(a) // 1000 AS first_ms, round((epoch(b) - epoch(a)) / 60, 1) AS minutes FROM x""")

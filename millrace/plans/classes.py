@@ -208,6 +208,18 @@ def q_by_simple_name(spark, sf):
     return graph.by_simple_name(sql_table(spark, sf, _BULK), known).select("name", "k", "fqn")
 
 
+@query(f"""WITH uses AS (SELECT 'q' || (p_partkey % 4) || '.N' || (p_partkey % 50) AS cut, unnest(['q1.N' || (p_size % 50), 'N' || (p_size % 60), 'q' || (p_partkey % 4) || '.N' || (p_partkey % 50) || '$In', 'Gone']) AS name FROM part), k AS ({_KNOWN} UNION SELECT 'z.N' || (p_partkey % 60) FROM part WHERE p_partkey % 60 > 45), s AS (SELECT regexp_extract(class, '([^.$]*)$', 1) AS simple, min(class) AS one_class FROM k GROUP BY 1 HAVING count(*) = 1),
+r AS (SELECT DISTINCT cut, split_part(coalesce(a.class, b.class, s.one_class), '$', 1) AS fqn FROM uses u LEFT JOIN k a ON a.class = u.name LEFT JOIN k b ON b.class = split_part(u.name, '$', 1) LEFT JOIN s ON s.simple = regexp_extract(u.name, '([^.$]*)$', 1))
+SELECT cut, string_agg('/src/' || fqn || '.java', ',' ORDER BY '/src/' || fqn || '.java') AS paths FROM r WHERE fqn IS NOT NULL AND fqn <> cut AND fqn IN (SELECT class FROM k) GROUP BY 1""")
+def q_resolved_files(spark, sf):
+    """The files of all names that a class uses, without its own."""
+    uses = sql_table(spark, sf, "SELECT 'q' || (p_partkey % 4) || '.N' || (p_partkey % 50) AS cut, array('q1.N' || (p_size % 50), 'N' || (p_size % 60), 'q' || (p_partkey % 4) || '.N' || (p_partkey % 50) || '$In', 'Gone') AS names FROM part")
+    known = sql_table(spark, sf, f"{_KNOWN} UNION SELECT 'z.N' || (p_partkey % 60) FROM part WHERE p_partkey % 60 > 45")
+    files = known.select("class", F.concat(F.lit("/src/"), F.col("class"), F.lit(".java")).alias("path"))
+    merged = uses.select("cut", F.explode("names").alias("n")).groupBy("cut").agg(F.collect_set("n").alias("names"))
+    return graph.resolved_files(merged, known, files).select("cut", F.array_join("paths", ",").alias("paths"))
+
+
 _OPTIONS = "SELECT DISTINCT 'C' || l_suppkey AS cut, 'C' || (l_partkey % 40) AS of, 'C' || l_partkey AS class, 'p' || (l_partkey % 5) AS package, 'p' || (l_partkey % 40 % 5) AS of_package, l_partkey % 3 = 0 AS deprecated, l_partkey % 11 AS size FROM lineitem"
 
 

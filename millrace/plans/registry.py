@@ -389,6 +389,23 @@ def q_router(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", step.alias("next"))
 
 
+@query("""SELECT u.conv_id % 10 AS part, count(*) FILTER (n <= 120) AS n_kept, count(*) FILTER (n > 120) AS n_dropped FROM (SELECT u.conv_id, len(string_split(u.text, ' ')) + len(string_split(a.text, ' ')) AS n FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant') u GROUP BY 1""")
+def q_dataset_counts(spark, sf):
+    """How many training pairs fit the cutoff and how many are dropped."""
+    c = table(spark, sf, "conversations").withColumn("n", F.size(F.split("text", " ", -1)))
+    prompts = c.where("role = 'user'").select("conv_id", "turn", F.col("n").alias("prompt_tokens"))
+    targets = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("n").alias("output_tokens"), (F.col("conv_id") % 10).alias("part"))
+    return routing.dataset_counts(targets, prompts, ["conv_id", "turn"], 120, ["part"])
+
+
+@query("SELECT l_orderkey AS run, l_linenumber AS at, l_partkey AS class, CASE WHEN l_linenumber >= count(*) OVER (PARTITION BY l_orderkey) THEN 'end' ELSE 'initial_test_write_node' END AS next FROM lineitem")
+def q_end_of_run(spark, sf):
+    """What follows each class of a run that is done: the next class, or the end after the last."""
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
+    n = li.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return li.join(n, "l_orderkey").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("at"), F.col("l_partkey").alias("class"), scoring.after_class(F.col("l_linenumber"), F.col("n")).alias("next"))
+
+
 @query("""SELECT u.conv_id, u.turn, u.text AS instruction, '```java' || chr(10) || rtrim(a.text) || chr(10) || '```' AS output, len(string_split(u.text, ' ')) + len(string_split(a.text, ' ')) AS tokens
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant' AND len(string_split(u.text, ' ')) + len(string_split(a.text, ' ')) <= 120""")
 def q_dataset_rows(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import java, syntax, text
-from ..operators import logs, tokens
+from ..operators import graph, logs, tokens
 from .registry import query, sql_table, table
 
 _FENCES = r"""SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'intro\n```java\npackage p;\nw' || turn || '\n```\nend' WHEN 1 THEN '```java\nw' || turn WHEN 2 THEN 'w' || turn WHEN 3 THEN '```\nclass A' || turn || ' { }\n```' WHEN 4 THEN '```\nx\n``` mid ```\nlonger w' || turn || '\n```' ELSE '' END AS t FROM conversations"""
@@ -169,6 +169,22 @@ def q_nearby(spark, sf):
     return logs.nearby(files, files.where("k % 20 = 0")).select("root", "target", "path", "place")
 
 
+_TREE = "SELECT '/w' || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '/m' || (p_partkey % 5) || CASE WHEN p_partkey % 3 = 0 THEN '/sub' ELSE '' END END || '/src/main/java/C' || p_partkey || '.java' AS path FROM part UNION ALL SELECT '/w/m' || (s_suppkey % 4) || CASE WHEN s_suppkey % 8 = 3 THEN '/sub' ELSE '' END || '/pom.xml' FROM supplier WHERE s_suppkey < 9 UNION ALL SELECT '/else/' || p_partkey || '.java' FROM part"
+
+
+@query(f"""WITH f AS ({_TREE}), p AS (SELECT DISTINCT regexp_replace(path, '/pom.xml$', '') AS m FROM f WHERE path LIKE '%/pom.xml') SELECT f.path, arg_max(m, length(m)) AS module FROM (SELECT DISTINCT path FROM f) f LEFT JOIN p ON starts_with(f.path, m || '/') AND starts_with(f.path, '/w/') GROUP BY 1""")
+def q_modules(spark, sf):
+    """The module of each file: the nearest folder above it with a pom."""
+    return graph.modules(sql_table(spark, sf, _TREE).distinct(), "/w")
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'int load(int n) { return n; }' || chr(10) || '...' || chr(10) || 'void save' || p_size || '() { }' WHEN p_partkey % 3 = 1 THEN 'void save' || p_size || '() { }' END AS compact FROM part")
+def q_compacted(spark, sf):
+    """The methods of a source that a class names, with dots between."""
+    rows = sql_table(spark, sf, "SELECT p_partkey AS k, 'class A { int load(int n) { return n; } /* void gone() { } */ void save' || p_size || '() { } void other() { } }' AS source, CASE p_partkey % 3 WHEN 0 THEN 'a.load(1); a.save' || p_size || '();' WHEN 1 THEN 'a.save' || p_size || '();' ELSE 'nothing' END AS user FROM part")
+    return rows.select("k", java.compacted(F.col("source"), F.col("user")).alias("compact"))
+
+
 @query()
 def q_exact_tokens(spark, sf):
     """Exact token counts of all documents in a byte-level BPE; SQL has none, tests hold it against the library."""
