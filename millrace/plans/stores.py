@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..operators import logs, routing
 from ..shared import shared_dir
-from ..sources import merkle, tables
+from ..sources import config, merkle, reports, tables
 from ..streaming import ingest, states
 from .registry import _FRACTION, _GREEN, _USABLE, QUALITY_2_SQL, QUALITY_SQL, ROLLOUTS_SQL, query, rollouts, sql_table, table
 
@@ -133,3 +133,98 @@ def q_tree_changes(spark, sf):
     """Files added, removed and changed between two trees, told from their hash trees."""
     a, b = (merkle.leaves(sql_table(spark, sf, x)) for x in (_FILES, _LATER))
     return merkle.changed(a, b, merkle.nodes(a, 3), merkle.nodes(b, 3))
+
+
+_RECORDS = "SELECT 'q.C' || p_partkey AS class, 'p' || (p_size % 5) AS package, array('q.C' || (p_partkey % 10)) AS extends FROM part"
+
+
+@query("SELECT 'q.C' || p_partkey AS class, 'p' || (p_size % 5) AS package, 'q.C' || (p_partkey % 10) AS up, 'proj' AS project, true AS stale_is_none, (SELECT count(*) FROM part) AS records FROM part")
+def q_index_file(spark, sf):
+    """An index of one file with its header: read again by its hash, and not where it was built from something else."""
+    path = shared_dir(spark, "index-file")
+    tables.write_index_file(sql_table(spark, sf, _RECORDS), path, "h1", "proj")
+    header, stale = tables.index_header(spark, path), tables.read_index_file(spark, path, "class string", "h2") is None
+    rows = tables.read_index_file(spark, path, "class string, package string, extends array<string>", "h1")
+    return rows.select("class", "package", F.col("extends")[0].alias("up"), F.lit(header["project"]).alias("project"), F.lit(stale).alias("stale_is_none"), F.lit(header["records"]).alias("records"))
+
+
+@query("SELECT 'q.C' || p_partkey AS class, 'p' || (p_size % 5) AS package, true AS stale_is_none FROM part")
+def q_index_folder(spark, sf):
+    """An index of many files with its header beside them."""
+    path = shared_dir(spark, "index-folder")
+    tables.write_index(sql_table(spark, sf, _RECORDS), path, "h1", "proj")
+    stale = tables.read_index(spark, path, "class string", "h2") is None
+    return tables.read_index(spark, path, "class string, package string", "h1").withColumn("stale_is_none", F.lit(stale))
+
+
+@query("""WITH f AS (SELECT p_size % 8 AS n, string_agg('class C' || p_partkey || ' { }', chr(10) ORDER BY p_partkey) || chr(10) AS content FROM part GROUP BY 1) SELECT n, length(content) AS n_chars, sha256(content) AS digest FROM f WHERE n < 4""")
+def q_source_files(spark, sf):
+    """Implementation sources of a tree of files, as they are; tests and other folders left out."""
+    root = shared_dir(spark, "tree")
+    lines = sql_table(spark, sf, "SELECT p_size % 8 AS n, p_partkey, 'class C' || p_partkey || ' { }' AS value FROM part")
+    for n in range(8):  # one file for each, four of them below a folder src of no tests
+        lines.where(F.col("n") == n).coalesce(1).sortWithinPartitions("p_partkey").select("value").write.text(f"{root}/{'src/main/java' if n < 4 else 'src/test/java' if n < 6 else 'docs'}/n={n}")
+    files = tables.read_sources(spark, root, "*.txt").where(text.is_implementation(F.replace(F.col("path"), F.lit(".txt"), F.lit(".java"))))
+    return files.select(F.regexp_extract("path", r"n=(\d+)", 1).cast("long").alias("n"), F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("digest"))
+
+
+@query("SELECT o_custkey % 7 AS class_index, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total, 0 AS before, 1 AS gone FROM orders WHERE o_custkey % 7 = (SELECT max(o_custkey % 7) FROM orders) GROUP BY 1")
+def q_checkpoint_summary(spark, sf):
+    """A checkpoint's start, the checkpoint and a summary written and read again, and old reports cleared."""
+    at, said, old = (shared_dir(spark, x) for x in ("checkpoint", "summary", "old-reports"))
+    begin = tables.read_checkpoint(spark, at)
+    first = begin.first()["class_index"]
+    o = table(spark, sf, "orders", "o_custkey", "o_orderkey")
+    last = o.agg(F.max(F.col("o_custkey") % 7).cast("int").alias("class_index"))
+    tables.write_checkpoint(last.join(begin.drop("class_index")), at)  # one row each
+    tables.write_summary(o.join(last, F.col("o_custkey") % 7 == F.col("class_index")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total")), said)
+    tables.write_summary(last, old)
+    gone = tables.clear_reports(spark, [old, f"{old}-none"])
+    summary = spark.read.schema("n long, total long").json(said)
+    return tables.read_checkpoint(spark, at).join(summary).select(F.col("class_index").cast("long").alias("class_index"), "n", "total", F.lit(first).alias("before"), F.lit(gone).alias("gone"))
+
+
+@query("WITH f AS (SELECT s_suppkey % 5 AS m, string_agg('<testcase name=\"t' || s_suppkey || '\" classname=\"C\"/>', '' ORDER BY s_suppkey) AS c, count(*) AS n FROM supplier GROUP BY 1) SELECT m, n FROM f")
+def q_found_reports(spark, sf):
+    """Test reports found by their places below a root, and their cases."""
+    root = shared_dir(spark, "reports")
+    rows = sql_table(spark, sf, "SELECT s_suppkey % 5 AS m, s_suppkey FROM supplier").groupBy("m").agg(F.array_sort(F.collect_list("s_suppkey")).alias("k"))
+    body = F.concat(F.lit('<testsuite name="S" tests="1">'), F.array_join(F.transform("k", lambda k: F.concat(F.lit('<testcase name="t'), k.cast("string"), F.lit('" classname="C"/>'))), ""), F.lit("</testsuite>"))
+    for m in range(5):
+        part, name = f"{root}/m{m}/parts", f"{root}/m{m}/TEST-{m}.xml"
+        rows.where(F.col("m") == m).coalesce(1).select(body.alias("value")).write.text(part)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(part).getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(hadoop(part)):
+            if f.getPath().getName().startswith("part-"):
+                fs.rename(f.getPath(), hadoop(name))
+    found = reports.parsed(reports.discovered(spark, root, reports.SUITE), reports.SUITE)
+    return found.select(F.regexp_extract("path", r"/m(\d+)/", 1).cast("long").alias("m"), F.size("x.testcase").cast("long").alias("n"))
+
+
+@query("SELECT n_nationkey AS k, n_regionkey + 1 AS v, CASE WHEN n_nationkey % 2 = 0 THEN 7 ELSE n_regionkey END AS layered FROM nation")
+def q_settings(spark, sf):
+    """Settings of a file with those of an environment over them, as numbers."""
+    path = shared_dir(spark, "settings")
+    n = table(spark, sf, "nation", "n_nationkey", "n_regionkey")
+    lines = n.select(F.concat(F.lit(" A"), F.col("n_nationkey").cast("string"), F.lit(" = '"), F.col("n_regionkey").cast("string"), F.lit("'\n# A0=9\n")).alias("value"))
+    lines.write.text(path)
+    keys = [r["n_nationkey"] for r in n.select("n_nationkey").collect()]  # 25
+    own, over = config.read_env(spark, path), config.layered(spark, path, {f"A{k}": "7" for k in keys if k % 2 == 0})
+    rows = spark.createDataFrame([(k, config.get_int(over, f"A{k}"), config.get_float(own, f"A{k}")) for k in keys], "k int, layered int, own double")
+    return n.join(rows, F.col("n_nationkey") == F.col("k")).select(F.col("n_nationkey").alias("k"), (F.col("own") + 1).cast("long").alias("v"), "layered")
+
+
+_CALLS = "SELECT event_id, user_id, event_type, CAST(floor(value) AS INT) AS v FROM events"
+
+
+@query(f"WITH c AS ({_CALLS}) SELECT 'r' || user_id AS run_id, event_id AS time_stamp, event_type AS node_name, 5 AS prompt_chars, CASE WHEN v % 3 = 0 THEN 0 ELSE v END AS input_tokens, v % 4 AS answer_chars, CASE WHEN v % 2 = 0 THEN 0 ELSE v % 5 END AS thinking_chars, v % 2 AS n_tool_calls FROM c")
+def q_flat_calls(spark, sf):
+    """Nested rows of model calls read from JSON lines as plain figures."""
+    path = shared_dir(spark, "calls")
+    rows = sql_table(spark, sf, _CALLS)
+    usage = F.when(F.col("v") % 3 != 0, F.struct(F.col("v").alias("input_tokens")))
+    data = F.struct(F.repeat(F.lit("x"), F.col("v") % 4).alias("content"), usage.alias("usage_metadata"), F.when(F.col("v") % 2 == 1, F.array(F.struct(F.lit("f").alias("name")))).alias("tool_calls"), F.struct(F.when(F.col("v") % 2 == 1, F.repeat(F.lit("y"), F.col("v") % 5)).alias("reasoning_content")).alias("additional_kwargs"))
+    tables.write_jsonl(rows.select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run_id"), F.col("event_id").alias("time_stamp"), F.col("event_type").alias("node_name"), F.lit("hello").alias("prompt"), F.struct(data.alias("data")).alias("response")), path)
+    flat = logs.flat_calls(tables.read_table(spark, path, "llm_calls"))
+    return flat.select("run_id", "time_stamp", "node_name", *[F.col(c).cast("long") for c in ("prompt_chars", "input_tokens", "answer_chars", "thinking_chars", "n_tool_calls")])

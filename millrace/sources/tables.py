@@ -99,6 +99,53 @@ def read_index(spark: SparkSession, path: str, schema: str, source_hash: str | N
     return spark.read.schema(schema).json(f"{path}/records")
 
 
+#: The header's fields in the first line of an index of one file.
+HEADER = "_header boolean, project string, classes_hash string, records long"
+
+
+def write_index_file(rows: DataFrame, path: str, source_hash: str, project: str) -> None:
+    """A class index as one file of JSON lines, in order of class: a header first, which tells what it was built from.
+
+    One file is one task's work, so this is for the index of a project; write_index() is for larger ones.
+    The file takes the old one's place when it is whole.
+    """
+    spark = rows.sparkSession
+    own = rows.select("class", F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value"))
+    n = own.count()
+    head = spark.createDataFrame([(None, json.dumps({"_header": True, "project": project, "classes_hash": source_hash, "records": n}))], "class string, value string")
+    part = f"{path}.writing"
+    own.unionByName(head).coalesce(1).sortWithinPartitions(F.asc_nulls_first("class")).select("value").write.mode("overwrite").text(part)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = [f.getPath() for f in fs.listStatus(hadoop(part)) if f.getPath().getName().startswith("part-")]
+    fs.delete(hadoop(path), True)
+    fs.rename(whole[0], hadoop(path))
+    fs.delete(hadoop(part), True)
+
+
+def index_header(spark: SparkSession, path: str) -> dict | None:
+    """The header of an index of one file; None if there is no file, or none in its first line."""
+    if not exists(spark, path):
+        return None
+    first = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0).head()
+    row = spark.createDataFrame([(first["value"],)], "v string").select(F.from_json("v", HEADER).alias("h")).first()["h"] if first else None
+    return row.asDict() if row and row["_header"] else None
+
+
+def read_index_file(spark: SparkSession, path: str, schema: str, source_hash: str | None = None) -> DataFrame | None:
+    """The records of an index of one file, read in as many ranges of bytes as Spark cuts it to; None if there is no index or,
+    where a hash is given, it was built from something else, which the header tells before a record is read. A file with
+    fewer or more records than its header says is an error."""
+    header = index_header(spark, path)
+    if header is None or source_hash is not None and header["classes_hash"] != source_hash:
+        return None
+    rows = spark.read.schema(f"_header boolean, {schema}").json(path).where("_header IS NULL").drop("_header")
+    n = rows.agg(F.count("*").alias("n")).first()["n"]
+    if n != header["records"]:
+        raise ValueError(f"{path} holds {n} records, its header tells of {header['records']}")
+    return rows
+
+
 def write_checkpoint(row: DataFrame, path: str) -> None:
     """The checkpoint's one row, in place of the last one."""
     row.limit(1).coalesce(1).write.mode("overwrite").json(path)
