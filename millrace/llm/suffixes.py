@@ -28,86 +28,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import grams
 from . import common
 
 LENGTH = 400
 #: Different strings of one gram that meet in a task, at most, and bytes at which a page of grams is worked through.
 HOT, PAGE_BYTES = 2048, 1 << 20
 #: Window starts looked at in one go.
-PIECE = 1 << 22
-_BASE, _SPREAD = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64(0xFFFFFF)
-
-
-def _spread(x: np.ndarray) -> np.ndarray:
-    x = x * _SPREAD
-    x = (x ^ x >> np.uint64(32)) * _SPREAD
-    return x ^ x >> np.uint64(29)
-
-
-_BYTE = _spread(np.arange(1, 257, dtype=np.uint64))
+PIECE = grams.PIECE
 
 
 def gram_of(length: int) -> int:
     return max(1, length // 4)
 
 
-def grams(data: np.ndarray, k: int) -> np.ndarray:
-    """A polynomial hash of each k bytes, built by doubling."""
-    power = lambda m: np.uint64(pow(_BASE, m, 1 << 64))
-    size, h, done, out = 1, _BYTE[data], 0, None
-    while True:
-        if k & size:
-            n = len(data) - done - size + 1
-            out = h if out is None else out[:n] * power(size) + h[done : done + n]
-            done += size
-        if done == k:
-            return out
-        h = h[:-size] * power(size) + h[size:]
-        size *= 2
-
-
-def least(values: np.ndarray, w: int) -> np.ndarray:
-    """The least of each w values in a row."""
-    n = len(values) - w + 1
-    pad = -len(values) % w
-    rows = np.concatenate([values, np.full(pad, np.iinfo(values.dtype).max, values.dtype)]).reshape(-1, w)
-    ahead = np.minimum.accumulate(rows, 1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
-
-
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts laid end to end -> by pieces: the text's number, first window, end of windows, name of the gram, of each run."""
     k = gram_of(length)
-    w = length - k + 1
-    begins, ends = offsets[:-1], offsets[1:]
     for a in range(0, max(0, len(data) - length + 1), PIECE):
-        b = min(a + PIECE, len(data) - length + 1)
-        edge = np.zeros(b - a + 1, np.int32)
-        stops = np.maximum(begins, ends - length + 1)
-        np.add.at(edge, np.clip(begins, a, b) - a, 1)
-        np.add.at(edge, np.clip(stops, a, b) - a, -1)
-        starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        part = data[a : a + PIECE + length - 1]
+        starts, at, h = grams.window_grams(part, np.clip(offsets - a, 0, len(part)), length, k)
         if not len(starts):
             continue
-        h = grams(data[a : b + length - 1], k)
-        at = (least(_spread(h) & ~_LOW | np.arange(len(h), dtype=np.uint64), w) & _LOW).astype(np.int64)[starts]
-        new = np.concatenate([[True], (starts[1:] != starts[:-1] + 1) | (at[1:] != at[:-1])])
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.concatenate([[True], (starts[1:] != starts[:-1] + 1) | (at[1:] != at[:-1])]))
         last = np.append(first[1:], len(starts)) - 1
         begin = starts[first] + a
-        yield np.searchsorted(offsets, begin, "right") - 1, begin, starts[last] + a + 1, h[at[first]].view(np.int64)
-
-
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A binary column without nulls as its bytes, end to end, and offsets."""
-    wide = column.type in (pa.large_binary(), pa.large_string())
-    n = len(column)
-    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
-    held = column.buffers()[2]
-    data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        yield np.searchsorted(offsets, begin, "right") - 1, begin, starts[last] + a + 1, h[first].view(np.int64)
 
 
 def _digests(pieces: Iterator[bytes]) -> tuple[pa.Array, pa.Array]:
@@ -120,7 +66,7 @@ def runs(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _bytes_of(batch.column(2))
+            data, offsets = grams.bytes_of(batch.column(2))
             view = memoryview(data)
             for text, begin, end, gram in runs_of(data, offsets, length):
                 t1, t2 = _digests(view[b:e] for b, e in zip(begin.tolist(), (end + length - 1).tolist()))

@@ -613,6 +613,21 @@ def near_copies(seed, groups=12, largest=40):
     return rows
 
 
+def test_rows_repeated_often_are_one_point(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(150))
+    few = [(1, base), (2, base + " tail"), (3, base), (None, base + " more"), (4, "other words altogether here now"), (5, "other words altogether here now and then")]
+    many = spark.createDataFrame(few, "doc_id long, text string").union(spark.range(5000).selectExpr("CAST(1 AS LONG) AS doc_id", f"'{base}' AS text"))
+    got = Counter(map(tuple, jaccard.similar_groups(many).collect()))
+    want = components_by_force(few)
+    want[(1, 146, 1)] += 5000
+    assert got == want
+    # however sets are weighed, pages only change what is tested together
+    monkeypatch.setattr(jaccard, "HEAVY", 8)
+    monkeypatch.setattr(jaccard, "PAGE", 12)
+    rows = near_copies(3, 8, 20)
+    assert Counter(map(tuple, jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == components_by_force(rows)
+
+
 def test_shingle_sets():
     texts = [t for _, t, *_ in ODD] + [t for _, t in near_copies(1)]
     got = list(shingles.shingle_sets([None if t is None else t.encode() for t in texts]))
