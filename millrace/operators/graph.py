@@ -248,6 +248,12 @@ def walked(steps: DataFrame, known: DataFrame) -> DataFrame:
     return met.select("cut", "fqn", patterns.alias("patterns"), F.element_at(names, F.col("prio") + 1).alias("pattern"), "hops")
 
 
+def in_walk_order(candidates: DataFrame) -> DataFrame:
+    """Candidates of walked() with `place` from 1 in each class: by the first pattern's priority, then by name; so a class always shows them alike."""
+    prio = F.array_position(F.array(*map(F.lit, PATTERNS)), F.col("pattern"))
+    return candidates.withColumn("place", F.row_number().over(Window.partitionBy("cut").orderBy(prio, "fqn")))
+
+
 def walk(steps: dict[str, tuple[DataFrame, int]], known: DataFrame) -> DataFrame:
     """walked() over the (cut, fqn) pairs of each pattern, given with its hops."""
     out = None

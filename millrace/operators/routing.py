@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..shared import saved
 from . import stats
 
 
@@ -164,6 +165,20 @@ def checked_join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame
     return rows.where(F.when(F.col("found_"), True).otherwise(F.raise_error(F.concat(F.lit("nothing for "), told)).cast("boolean"))).drop("found_")
 
 
+def in_report_order(rows: DataFrame, keys: list[str], out: str = "place") -> DataFrame:
+    """rows with their places from 0 in the order of keys (nulls first), however the work was dealt and whichever task ended first.
+
+    Keys should tell rows apart; equal ones are in any order among themselves. Rows are dealt by ranges and
+    numbered within; a range begins at the sum of those before it, so no task orders them all.
+    """
+    # written, as ranges found anew could be others
+    dealt = saved(rows.repartitionByRange(*keys).withColumn("part_", F.spark_partition_id()), "report-order")
+    within = F.row_number().over(Window.partitionBy("part_").orderBy(*keys))
+    counts = dealt.groupBy("part_").agg(F.count("*").alias("n_"))  # a row for each range
+    before = counts.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    return dealt.withColumn("within_", within).join(before, "part_").withColumn(out, F.col("before_") + F.col("within_") - 1).drop("part_", "within_", "before_")
+
+
 def single(rows: DataFrame, path: str, column: str = "path") -> DataFrame:
     """The rows of one path, or an error at run time if there are none."""
     found = rows.where(F.col(column) == path)

@@ -132,6 +132,14 @@ def q_class_walk(spark, sf):
     return rows.select("cut", "fqn", prio[F.col("pattern")].cast("int").alias("prio"), "hops", F.array_join(F.transform("patterns", lambda p: prio[p]), "").alias("patterns"))
 
 
+@query(f"""{_WALK}, w AS (SELECT cut, fqn, min(prio) AS prio FROM ok GROUP BY 1, 2) SELECT cut, fqn, CAST(row_number() OVER (PARTITION BY cut ORDER BY prio, fqn) AS INTEGER) AS place FROM w""")
+def q_walk_order(spark, sf):
+    """The walk's candidates in the order in which a prompt shows them."""
+    p = _project(spark, sf)
+    rows = graph.class_walk(p.index, p.ancestors, p.inverse, p.api, p.built).join(p.index.select(F.col("class").alias("cut")), "cut", "left_semi")
+    return graph.in_walk_order(rows).select("cut", "fqn", "place")
+
+
 def _members(spark, sf):
     return sql_table(spark, sf, MEMBERS).select("class", "name", "kind", "visibility", F.col("is_static").alias("static"), F.array("param").alias("params"), F.lit("").alias("declared_in"))
 

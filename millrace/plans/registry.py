@@ -389,6 +389,13 @@ def q_router(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", step.alias("next"))
 
 
+@query("SELECT 'p' || l_suppkey % 10 AS project, l_orderkey AS class_key, l_linenumber AS n, l_partkey, row_number() OVER (ORDER BY 'p' || l_suppkey % 10, l_orderkey, l_linenumber, l_partkey) - 1 AS place FROM lineitem")
+def q_report_order(spark, sf):
+    """Rows of a report in the order of project and class, whoever ended first."""
+    rows = sql_table(spark, sf, "SELECT 'p' || l_suppkey % 10 AS project, l_orderkey AS class_key, l_linenumber AS n, l_partkey FROM lineitem")
+    return routing.in_report_order(rows, ["project", "class_key", "n", "l_partkey"])
+
+
 @query("""SELECT u.conv_id % 10 AS part, count(*) FILTER (n <= 120) AS n_kept, count(*) FILTER (n > 120) AS n_dropped FROM (SELECT u.conv_id, len(string_split(u.text, ' ')) + len(string_split(a.text, ' ')) AS n FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant') u GROUP BY 1""")
 def q_dataset_counts(spark, sf):
     """How many training pairs fit the cutoff and how many are dropped."""
