@@ -46,17 +46,23 @@ def least(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def window_grams(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts laid end to end -> windows of `length` bytes of one text: their first places, and the place and hash of the least
-    of each one's grams of k bytes, the leftmost of equals. Equal windows have it at equal places in them. At most PIECE windows at a time."""
+def ordered(data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each k bytes, and what orders them: hashes mixed, then places."""
     h = grams(data, k)
+    return h, spread(h) & ~_LOW | np.arange(len(h), dtype=np.uint64)
+
+
+def window_grams(data: np.ndarray, offsets: np.ndarray, length: int, k: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts laid end to end -> windows of `length` bytes of one text: their first places, and the place and hash of the least
+    of each one's grams of k bytes, the leftmost of equals. Equal windows have it at equal places in them. At most PIECE windows at a time. known: ordered() of the same data."""
+    h, order = known or ordered(data, k)
     edge = np.zeros(len(data) - length + 2, np.int32)
     top = len(edge) - 1
     begins, stops = offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - length + 1)
     np.add.at(edge, np.clip(begins, 0, top), 1)
     np.add.at(edge, np.clip(stops, 0, top), -1)
     starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-    at = (least(spread(h) & ~_LOW | np.arange(len(h), dtype=np.uint64), length - k + 1) & _LOW).astype(np.int64)[starts]
+    at = (least(order, length - k + 1) & _LOW).astype(np.int64)[starts]
     return starts, at, h[at]
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+#: Bits between a level of bins and the next: each bin has 2 ** STEP of the level below, so points ask about 64 / STEP bins at most.
+STEP = 4
+
+
 def level_of(start: Column, end: Column) -> Column:
-    """The level of the smallest bin that holds a span of whole numbers: a bin of level n is 2 ** n wide and begins at a multiple of that."""
+    """The level of the smallest bin that holds a span of whole numbers: a bin of level n is 2 ** n wide and begins at a multiple of that; levels are multiples of STEP."""
     differ = start.cast("long").bitwiseXOR(end.cast("long"))
-    return F.when(differ == 0, 0).otherwise(F.length(F.bin(differ)))
+    return F.when(differ == 0, 0).otherwise(F.ceil(F.length(F.bin(differ)) / STEP).cast("int") * STEP)
 
 
 def bin_of(at: Column, level: Column) -> Column:
@@ -31,13 +35,13 @@ def containing(points: DataFrame, spans: DataFrame, key: str, at: str, start: st
 
     `pick` orders the spans that hold a point, the least is taken; `keep` tells points apart. Bins are
     hierarchical: each span lies in the one smallest bin that holds it, whatever its length, and each point
-    asks one bin of every level that has spans (65 at most). So the join is by key, level and bin: a hot
+    asks one bin of every level that has spans (17 at most). So the join is by key, level and bin: a hot
     key's spans and points meet bin by bin, and a span is one row. The choice is a partial aggregate. A
     span without a start or an end, or that ends before it starts, holds nothing.
     """
     s = spans.select(F.col(key).alias("k_"), whole(spans, start).alias("s_"), whole(spans, end).alias("e_"), *[F.col(c).alias(f"{c}_") for c in columns], pick.alias("p_"))
     s = s.where("s_ <= e_").withColumn("l_", level_of(F.col("s_"), F.col("e_"))).withColumn("c_", bin_of(F.col("s_"), F.col("l_")))
-    levels = [r["l_"] for r in s.select("l_").distinct().collect()]  # at most 65
+    levels = [r["l_"] for r in s.select("l_").distinct().collect()]  # at most 17
     asked = points.withColumn("at_", whole(points, at)).withColumn("at_level_", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("at_bin_", bin_of(F.col("at_"), F.col("at_level_")))
     same = (F.col(key) == F.col("k_")) & (F.col("at_level_") == F.col("l_")) & (F.col("at_bin_") == F.col("c_")) & F.col("at_").between(F.col("s_"), F.col("e_"))
     held = asked.join(s, same, "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions import grams
 from ..shared import saved, ship
 
-#: Bytes of a gram. Needles are looked for by windows of LEAST bytes or twice, four times, ... up to MOST; shorter needles by themselves.
+#: Bytes of a gram. Needles are looked for by windows of LEAST bytes or 4, 16, ... times as many, up to MOST; shorter needles by themselves.
 GRAM, LEAST, MOST = 12, 16, 256
 #: Bits of the filter for each gram of the needles, and at most (16 MB): with more grams it lets more through, which costs time, never a row.
 BITS_A_GRAM, MOST_BITS = 16, 1 << 27
@@ -19,24 +20,34 @@ BITS_A_GRAM, MOST_BITS = 16, 1 << 27
 
 def window_of(length: int) -> int:
     """The bytes of a needle's windows: 0 for an empty one."""
-    return min(MOST, 1 << (length.bit_length() - 1)) if length >= LEAST else length
+    window = LEAST
+    while window < MOST and 4 * window <= length:
+        window *= 4
+    return window if length >= LEAST else length
 
 
 def _gram(window: int) -> int:
     return GRAM if window >= LEAST else window
 
 
-def _places(data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By pieces: number of the text, place in it and hash of each gram that some window of it names."""
+def _places(data: np.ndarray, offsets: np.ndarray, windows: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By pieces, for each window but that of empty needles: number of the text, place in it and hash of each gram that some window of it names."""
     step = grams.PIECE
-    for a in range(0, max(0, len(data) - window + 1), step):
-        part = data[a : a + step + window - 1]
-        _, at, h = grams.window_grams(part, np.clip(offsets - a, 0, len(part)), window, _gram(window))
-        if len(at):
-            new = np.concatenate([[True], at[1:] != at[:-1]])
-            at, h = at[new] + a, h[new]
-            text = np.searchsorted(offsets, at, "right") - 1
-            yield text, at - offsets[text], h.view(np.int64)
+    for a in range(0, len(data), step):
+        known = None
+        for window in windows:
+            part = data[a : a + step + max(windows) - 1]
+            if not window or len(part) < window:
+                continue
+            if window >= LEAST and known is None:  # hashed once for all windows
+                known = grams.ordered(part, GRAM)
+            starts, at, h = grams.window_grams(part, np.clip(offsets - a, 0, len(part)), window, _gram(window), known if window >= LEAST else None)
+            at, h = at[starts < step], h[starts < step]
+            if len(at):
+                new = np.concatenate([[True], at[1:] != at[:-1]])
+                at, h = at[new] + a, h[new]
+                text = np.searchsorted(offsets, at, "right") - 1
+                yield window, text, at - offsets[text], h.view(np.int64)
 
 
 def _named(rows: DataFrame, windows: list[int], table: np.ndarray | None = None) -> DataFrame:
@@ -47,12 +58,13 @@ def _named(rows: DataFrame, windows: list[int], table: np.ndarray | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = grams.bytes_of(batch.column(1))
-            for window in windows:
-                for text, at, h in _places(data, offsets, window) if window else [(np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64))]:
-                    if held is not None:
-                        bit = h & (len(held.value) * 8 - 1)
-                        some = held.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
-                        text, at, h = text[some], at[some], h[some]
+            none = np.zeros(batch.num_rows, np.int64)
+            for window, text, at, h in chain(_places(data, offsets, windows), [(0, np.arange(batch.num_rows), none, none)] if 0 in windows else []):
+                if held is not None:
+                    bit = h & (len(held.value) * 8 - 1)
+                    some = held.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+                    text, at, h = text[some], at[some], h[some]
+                if len(text):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(np.full(len(text), window, np.int32)), pa.array(h), pa.array(at.astype(np.int32))], names=["k", "window", "gram", "at"])
 
     return rows.mapInArrow(run, T.StructType([T.StructField("k", key), T.StructField("window", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("at", T.IntegerType())]))

@@ -15,7 +15,8 @@ def test_each_span_has_one_smallest_bin(spark):
     pairs = [(a, a + r.choice([0, 1, 5, 300, 10**6, 10**12])) for a in [r.randrange(-(10**6), 10**6) for _ in range(300)]] + [(-1, 0), (-(2**63), 2**63 - 1), (7, 7), (1023, 1024)]
     got = spark.createDataFrame(pairs, "s long, e long").withColumn("l", attribution.level_of(F.col("s"), F.col("e"))).withColumn("b", attribution.bin_of(F.col("s"), F.col("l"))).withColumn("c", attribution.bin_of(F.col("e"), F.col("l")))
     for x in got.collect():
-        assert x.b == x.c and (x.l == 0 or x.l == 64 or x.s >> (x.l - 1) != x.e >> (x.l - 1))
+        below = x.l - attribution.STEP
+        assert x.b == x.c and x.l % attribution.STEP == 0 and (x.l == 0 or x.s >> below != x.e >> below)
 
 
 def test_by_force(spark):
