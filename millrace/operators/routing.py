@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..shared import saved
@@ -179,6 +181,38 @@ def in_report_order(rows: DataFrame, keys: list[str], out: str = "place") -> Dat
     return dealt.withColumn("within_", within).join(before, "part_").withColumn(out, F.col("before_") + F.col("within_") - 1).drop("part_", "within_", "before_")
 
 
+def run_graph(rows: DataFrame, route: Column, nodes: dict[str, Callable[[DataFrame], DataFrame]], end: str = "end", most: int = 100, out: str = "steps") -> DataFrame:
+    """rows after a graph of named steps with conditional edges: `route` tells from a row's columns the node that it goes to next, or the
+    end; a node is a function from its rows to the same columns. With the number of steps each row took.
+
+    All rows that stand before a node go through it together, and each round is written, so its cost is that of
+    the rows still under way. A route to no node (or to null) is an error, as are rows still under way after `most` rounds.
+    """
+    names = rows.columns
+    told = F.when((route == end) | route.isin(*nodes), route).otherwise(F.raise_error(F.concat(F.lit("no node "), F.coalesce(route, F.lit("null")))).cast("string"))
+    state, done = saved(rows.withColumns({out: F.lit(0), "next_": told}), "graph"), None
+    for _ in range(most + 1):
+        left = state.where(F.col("next_") == end).select(*names, out)
+        done = left if done is None else done.unionByName(left)
+        if state.where(F.col("next_") != end).isEmpty():
+            return done
+        moved = None
+        for name, node in nodes.items():
+            part = state.where(F.col("next_") == name)
+            branch = node(part.drop("next_")).select(*names, (F.col(out) + 1).alias(out))
+            moved = branch if moved is None else moved.unionByName(branch)
+        state = saved(moved.withColumn("next_", told), "graph")
+    raise RuntimeError(f"rows are under way after {most} rounds")
+
+
+def with_run_ids(runs: DataFrame, key: list[str], out: str = "run_id", fresh: bool = False) -> DataFrame:
+    """runs with an id in the form of a UUID: told from the key, so a run that is written again keeps it, or a fresh one at random each time it is asked for."""
+    hashed = F.md5(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
+    part = lambda a, n: F.substring(hashed, a, n)
+    named = F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-3"), part(14, 3), F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12))
+    return runs.withColumn(out, F.uuid() if fresh else named)
+
+
 def single(rows: DataFrame, path: str, column: str = "path") -> DataFrame:
     """The rows of one path, or an error at run time if there are none."""
     found = rows.where(F.col(column) == path)

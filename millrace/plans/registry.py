@@ -389,6 +389,22 @@ def q_router(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", step.alias("next"))
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey % 8 AS n, 30 * (o_custkey % 3) AS m FROM orders), r AS (SELECT k, n, m, CAST(least(2, ceil(greatest(n - 1, 0) / 2.0)) AS BIGINT) AS repairs, n > 5 AS cleaned, CAST(ceil((100 - m) / 40.0) AS BIGINT) AS rounds FROM o)
+SELECT k, repairs, cleaned, rounds, m + 40 * rounds AS mutation, repairs + CASE WHEN cleaned THEN 1 ELSE 0 END + rounds + 1 AS steps FROM r""")
+def q_graph_of_steps(spark, sf):
+    """Runs through the graph of repair, clean-up, mutation tests and the next class, until each has ended."""
+    o = sql_table(spark, sf, "SELECT o_orderkey AS k, o_custkey % 8 AS n, 30 * (o_custkey % 3) AS mutation, 0 AS repairs, 0 AS rounds, false AS cleaned, 0 AS index FROM orders")
+    step = scoring.next_step(F.col("n") <= 1, F.lit(True), F.col("repairs"), F.col("mutation"), F.col("rounds"), F.lit(True), max_repairs=2, max_rounds=3)
+    route = F.when(F.col("index") > 0, scoring.after_class(F.col("index"), F.lit(1))).otherwise(step)
+    done = routing.run_graph(o, route, {
+        "test_repair_node": lambda d: d.withColumns({"n": F.col("n") - 2, "repairs": F.col("repairs") + 1}),
+        "faulty_test_cleanup_node": lambda d: d.withColumns({"n": F.lit(0).cast("long"), "cleaned": F.lit(True)}),
+        "mutation_test_writer_node": lambda d: d.withColumns({"mutation": F.col("mutation") + 40, "rounds": F.col("rounds") + 1}),
+        "class_advancer_node": lambda d: d.withColumn("index", F.col("index") + 1),
+    })
+    return done.select("k", F.col("repairs").cast("long"), "cleaned", F.col("rounds").cast("long"), "mutation", F.col("steps").cast("long"))
+
+
 @query("SELECT 'p' || l_suppkey % 10 AS project, l_orderkey AS class_key, l_linenumber AS n, l_partkey, row_number() OVER (ORDER BY 'p' || l_suppkey % 10, l_orderkey, l_linenumber, l_partkey) - 1 AS place FROM lineitem")
 def q_report_order(spark, sf):
     """Rows of a report in the order of project and class, whoever ended first."""
