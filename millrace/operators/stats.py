@@ -64,11 +64,18 @@ def at_ranks(rows: DataFrame, value: str, ranks: dict[str, Callable[[Column], Co
     Equal values are counted first. While a rank lies among more than ORDERED different values, their range
     is cut to BUCKETS, which are counted in a shuffle of their own, and the bucket that holds the rank is
     the new range, from its least to its greatest value; so no task orders more than ORDERED values or holds
-    a group. Null values don't count, NaN is the greatest; a group without values gives no row.
+    a group. Null values don't count, NaN is the greatest; a group without values gives no row. Where no
+    group has more than ORDERED values to begin with, nothing is written.
     """
     by = by or []
+    own = rows.where(F.col(value).isNotNull())
+    if _largest(own, by) <= ORDERED:
+        counts = own.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+        w = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_v"))).withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
+        at = lambda rank: (F.col("_upto") - F.col("_n") <= rank(F.col("_total"))) & (rank(F.col("_total")) < F.col("_upto"))
+        return w.groupBy(*by).agg(F.count("*").alias("_some"), *[F.max(F.when(at(rank), F.col("_v"))).alias(k) for k, rank in ranks.items()]).where("_some > 0").drop("_some")
     g = F.struct(F.lit(1).alias("_"), *by).alias("g")
-    counts = saved(rows.where(F.col(value).isNotNull()).select(g, F.col(value).alias("v")).groupBy("g", "v").agg(F.count("*").alias("n")), "value-counts")
+    counts = saved(own.select(g, F.col(value).alias("v")).groupBy("g", "v").agg(F.count("*").alias("n")), "value-counts")
     whole = counts.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("values"), F.min("v").alias("low"), F.max("v").alias("high"))
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), rank(F.col("total")).cast("long").alias("rank")) for k, rank in ranks.items()])).alias("r")
     state = saved(whole.select("g", "values", "low", "high", wanted).select("g", "r.name", "r.rank", "values", "low", "high"), "ranks")
@@ -88,9 +95,21 @@ def at_ranks(rows: DataFrame, value: str, ranks: dict[str, Callable[[Column], Co
     return found.groupBy("g").agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ranks]).select(*[F.col("g")[c].alias(c) for c in by], *ranks)
 
 
+def _largest(rows: DataFrame, by: list[str]) -> int:
+    """The number of rows in the largest group."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n_")).agg(F.max("n_")).first()[0] or 0
+
+
 def medians(rows: DataFrame, values: dict[str, Column], by: list[str] | None = None) -> DataFrame:
-    """The exact medians of several columns by group, as doubles: of an even number of values the mean of the middle two, null where there is none."""
+    """The exact medians of several columns by group, as doubles: of an even number of values the mean of the middle two, null where there is none.
+
+    A group without any value gives no row. Where no group has more than ORDERED rows, each is ordered
+    within an aggregation; else ranks are found as at_ranks() does.
+    """
     by = by or []
+    if _largest(rows, by) <= ORDERED:
+        found = rows.groupBy(*by).agg(*[F.median(x.cast("double")).alias(k) for k, x in values.items()])
+        return found.where(F.coalesce(*values).isNotNull())
     each = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("_name"), x.cast("double").alias("_value")) for k, x in values.items()])).alias("_r")).select(*by, "_r.*")
     two = at_ranks(each, "_value", {"_a": lambda n: F.floor((n - 1) / 2), "_b": lambda n: F.floor(n / 2)}, [*by, "_name"])
     found = two.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == k, (F.col("_a") + F.col("_b")) / 2)).alias(k) for k in values])
