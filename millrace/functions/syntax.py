@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession, functions as F
 
 from . import text
-from .java import vectorized
+from ..shared import ship
 
 #: Words that may stand before a declaration.
 MODIFIERS = set("public protected private static final abstract native synchronized transient volatile strictfp default sealed non-sealed".split())
@@ -35,12 +36,18 @@ _CLOSE = {"(": ")", "[": "]", "{": "}"}
 _PRIMITIVE = set("boolean byte char double float int long short".split())
 
 
+@lru_cache(1 << 16)
+def _named(word: str) -> bool:
+    return bool(_NAME.match(word)) and word not in _RESERVED
+
+
 class Reader:
     """Tokens of one source, comments left out, and what is read from them."""
 
     def __init__(self, source: str):
-        found = [(m[0], m.start()) for m in _TOKEN.finditer(source) if not m[0].startswith(("//", "/*"))]
+        found = [(m[0], m.start()) for m in _TOKEN.finditer(source) if m[0][:2] not in ("//", "/*")]
         self.source, self.words, self.at = source, [w for w, _ in found] + [""], [a for _, a in found] + [len(source)]
+        self.named = [_named(w) for w in self.words]  # told once, as each token is asked for several times
         self.decls: list[dict] = []
         self.marks: list[tuple[int, int, str, int]] = []  # regions of tokens: first, end, kind, declaration
         self.match = self._brackets()
@@ -64,7 +71,7 @@ class Reader:
         return self.at[i] + len(self.words[i]) if i >= 0 else 0
 
     def name(self, i: int) -> bool:
-        return bool(_NAME.match(self.words[i])) and self.words[i] not in _RESERVED
+        return self.named[i]
 
     def angles(self, i: int, stop: int) -> int:
         """Behind the type arguments that open at i, or i if they don't close as such."""
@@ -258,8 +265,10 @@ class Reader:
             return names, j + 1 if w[j] == "..." else j
 
         for i in range(len(w) - 1):
+            if not self.named[i]:
+                continue
             before = w[i - 1] if i else ""
-            if not self.name(i) or before in (".", "@", "::", "class", "interface", "enum", "@interface") or (before == "record" and w[i + 1] in ("(", "<")):
+            if before in (".", "@", "::", "class", "interface", "enum", "@interface") or (before == "record" and w[i + 1] in ("(", "<")):
                 continue
             names, j = chain(i)
             if not names or (w[i] == "record" and self.type_at(i, len(w))):
@@ -288,19 +297,27 @@ class Reader:
     def names(self) -> list[dict]:
         types, out, spans = self.types_at(), [], sorted(self.marks, key=lambda m: (m[0], -m[1]))
         stack: list[tuple[int, int, str, int]] = []
-        k = 0
+        k, ends = 0, len(self.words)  # ends: the first end in the stack, till which nothing leaves it
+        imported, up, region, block = False, -1, "", False
         for i in range(len(self.words) - 1):
-            while k < len(spans) and spans[k][0] <= i:
-                stack.append(spans[k])
-                k += 1
-            stack = [m for m in stack if m[1] >= i]
-            if not self.name(i) or any(m[2] == "import" for m in stack) or self.words[i] in ("sealed", "permits", "non-sealed") and self.name(i + 1) or self.words[i] == "record" and self.type_at(i, len(self.words)):
+            if not self.named[i]:
+                continue
+            if i > ends or k < len(spans) and spans[k][0] <= i:
+                while k < len(spans) and spans[k][0] <= i:
+                    stack.append(spans[k])
+                    k += 1
+                stack = [m for m in stack if m[1] >= i]
+                ends = min((m[1] for m in stack), default=len(self.words))
+                imported, block = any(m[2] == "import" for m in stack), any(m[2] == "block" for m in stack)
+                up = next((m[3] for m in reversed(stack) if m[2] == "decl"), -1)
+                region = next((m[2] for m in reversed(stack) if m[2] in ("block", "supers", "params")), "")
+            word = self.words[i]
+            if imported or word in ("sealed", "permits", "non-sealed") and self.named[i + 1] or word == "record" and self.type_at(i, len(self.words)):
                 continue
             kind = "type" if i in types else "name"
-            first = self.words[i][:1].isupper() and kind == "name" and (not i or self.words[i - 1] != ".")
+            first = kind == "name" and word[:1].isupper() and (not i or self.words[i - 1] != ".")
             use = "." if first and self.words[i + 1] == "." else "::" if first and self.words[i + 1] == "::" else ""
-            owners = [m[3] for m in stack if m[2] == "decl"]
-            out.append({"kind": kind, "name": self.words[i], "use": use, "begin": self.at[i], "up": owners[-1] if owners else -1, "region": next((m[2] for m in reversed(stack) if m[2] in ("block", "supers", "params")), "")} | {"block": any(m[2] == "block" for m in stack)})
+            out.append({"kind": kind, "name": word, "use": use, "begin": self.at[i], "up": up, "region": region, "block": block})
         return out
 
 
@@ -314,12 +331,33 @@ def nodes_of(source: str) -> dict:
     return {"decls": r.decls, "names": r.names()}
 
 
-@vectorized(f"struct<decls:array<{DECL}>,names:array<{NAME}>>")
-def tree(source: pd.Series) -> pd.DataFrame:
+_S, _I, _B = pa.string(), pa.int32(), pa.bool_()
+_DECLS = pa.list_(pa.struct([("kind", _S), ("name", _S), ("begin", _I), ("end", _I), ("body", _I), ("up", _I), ("depth", _I), ("mods", pa.list_(_S)), ("visibility", _S), ("hidden", _B), ("within", pa.list_(_I)), ("params", pa.list_(_S)), ("returns", _S)]))
+_NAMES = pa.list_(pa.struct([("kind", _S), ("name", _S), ("use", _S), ("begin", _I), ("up", _I), ("region", _S), ("block", _B)]))
+
+#: Sources whose nodes are Python objects at a time.
+SLICE = 256
+
+
+def trees(sources: pa.Array) -> pa.Array:
+    """tree() of an Arrow array. Lists become arrays at once; by way of pandas each node would be converted in Python."""
+    parts = []
+    for at in range(0, max(len(sources), 1), SLICE):
+        each = [nodes_of(s) if s is not None else {"decls": [], "names": []} for s in sources.slice(at, SLICE).to_pylist()]
+        parts.append(pa.StructArray.from_arrays([pa.array([e["decls"] for e in each], _DECLS), pa.array([e["names"] for e in each], _NAMES)], ["decls", "names"]))
+    return pa.concat_arrays(parts)
+
+
+_made: list = []
+
+
+def tree(source: Column) -> Column:
     """A source's nodes: declarations (types, members, enum constants) in their order, and names. Intervals
     are in code points, `up` is the place of the declaration around, `within` all of them from the outermost. Null gives none."""
-    each = [nodes_of(s) if s is not None else {"decls": [], "names": []} for s in source]
-    return pd.DataFrame({"decls": [e["decls"] for e in each], "names": [e["names"] for e in each]})
+    if not _made:
+        _made.append(F.arrow_udf(trees, returnType=f"struct<decls:array<{DECL}>,names:array<{NAME}>>"))
+    ship(SparkSession.active())
+    return _made[0](source)
 
 
 # extractors

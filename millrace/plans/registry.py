@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scoring, text
 from ..operators import attribution, audit, graph, logs, reports, routing, search, stats
+from ..shared import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,11 +38,11 @@ def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def sql_table(spark: SparkSession, sf: str, sql: str) -> DataFrame:
-    """A table made by SQL that both engines read alike, over the tables of sf."""
+def sql_table(spark: SparkSession, sf: str, sql: str, dealt: bool = False) -> DataFrame:
+    """A table made by SQL that both engines read alike, over the tables of sf; dealt: their rows are spread() first, for dear work on each."""
     names = sorted(set(re.findall(r"\b(?:FROM|JOIN) (part|orders|lineitem|supplier|customer|nation|events|documents|conversations|labels|pages|benchmark)\b", sql)))
     text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(names)})\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))
-    return spark.sql(text, **{n: table(spark, sf, n) for n in names})
+    return spark.sql(text, **{n: spread(table(spark, sf, n)) if dealt else table(spark, sf, n) for n in names})
 
 
 # Lines as rollouts: what a score row has, told from a line's columns.

@@ -16,7 +16,7 @@ _JOIN = lambda names: f"array_to_string(list_sort(list_distinct([{names}])), ','
 
 
 def _sources(spark, sf):
-    rows = sql_table(spark, sf, _SOURCES)
+    rows = sql_table(spark, sf, _SOURCES, dealt=True)
     return rows.withColumn("tree", syntax.tree(F.col("source")))
 
 
@@ -79,4 +79,4 @@ SELECT k, d.kind, d.name, CAST(d.depth AS INTEGER) AS depth, d.visibility, CAST(
 def q_declarations(spark, sf):
     """Every declaration of every source, by a table function."""
     table_functions.register(spark)
-    return spark.sql("SELECT k, d.kind, d.name, d.depth, d.visibility, d.first AS first_line, d.returns FROM {s}, LATERAL java_declarations(source) d", s=sql_table(spark, sf, _SOURCES))
+    return spark.sql("SELECT k, d.kind, d.name, d.depth, d.visibility, d.first AS first_line, d.returns FROM {s}, LATERAL java_declarations(source) d", s=sql_table(spark, sf, _SOURCES, dealt=True))

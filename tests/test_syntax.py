@@ -136,3 +136,24 @@ def test_strategies_by_name(spark):
     with pytest.raises(ValueError, match="v9"):
         strategies.retrieved(None, "v9")
     assert set(strategies.STRATEGIES) == {"v1", "v2", "v4", "v5", "v6"} and strategies.DEFAULT in strategies.STRATEGIES
+
+
+def test_dear_rows_are_dealt(spark, tmp_path):
+    """A table in one file of one row group is one task; sources are read in more."""
+    from millrace.plans import sources
+
+    spark.range(40).selectExpr("id AS p_partkey", "cast(id % 9 AS int) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rows = sources._sources(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert sources.q_declarations(spark, str(tmp_path)).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert rows.select("k").distinct().count() == 40
+
+
+def test_trees_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"class A{i} {{ int f{i}; }}" if i % 3 else None for i in range(7)]
+    whole = syntax.trees(pa.array(texts, pa.string()))
+    monkeypatch.setattr(syntax, "SLICE", 2)
+    assert syntax.trees(pa.array(texts, pa.string())).to_pylist() == whole.to_pylist() and whole[1].as_py()["decls"][1]["name"] == "f1" and whole[0].as_py()["names"] == []
+    assert len(syntax.trees(pa.array([], pa.string()))) == 0
