@@ -64,11 +64,17 @@ def resolve_class(listing: DataFrame, wanted: str) -> DataFrame:
 
 def nearby(files: DataFrame, targets: DataFrame, most: int = 2) -> DataFrame:
     """For each target (root, path) up to `most` other test files below its root, those of its own folder first."""
+    # all that a target can show are the first files of its folder, itself perhaps among them, and the first of the root's
+    # other folders; of these each folder gives `most` at most, so of twice as many some `most` are of other folders
     folder = lambda c: F.regexp_extract(c, r"^(.*)[/\\][^/\\]*$", 1)
-    t = targets.select("root", F.col("path").alias("target")).distinct()
-    rows = t.join(files.select("root", "path").distinct(), "root").where(F.col("path") != F.col("target"))
-    far = (folder(F.col("path")) != folder(F.col("target"))).cast("int")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("root", "target").orderBy(far, "path"))).where(F.col("place") <= most)
+    first = lambda rows, n, *key: rows.withColumn("n_", F.row_number().over(Window.partitionBy(*key).orderBy("path"))).where(F.col("n_") <= n).drop("n_")
+    t = targets.select("root", F.col("path").alias("target")).where("root IS NOT NULL AND target IS NOT NULL").distinct().withColumn("folder", folder(F.col("target")))
+    own = first(files.select("root", "path").where("root IS NOT NULL AND path IS NOT NULL").distinct().withColumn("folder", folder(F.col("path"))), most + 1, "root", "folder")
+    other = first(first(own, most, "root", "folder"), 2 * most, "root").withColumnRenamed("folder", "its_folder")
+    near = t.join(own, ["root", "folder"]).where("path <> target").select("root", "target", "path", F.lit(0).alias("far"))
+    far = t.join(other, "root").where("its_folder <> folder").select("root", "target", "path", F.lit(1).alias("far"))
+    rows = near.union(far).withColumn("place", F.row_number().over(Window.partitionBy("root", "target").orderBy("far", "path")))
+    return rows.where(F.col("place") <= most).drop("far")
 
 
 def line_starts(files: DataFrame) -> DataFrame:

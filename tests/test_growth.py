@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from millrace.operators import graph
+from millrace.operators import graph, logs
 
 
 def plan(df) -> str:
@@ -31,3 +31,20 @@ def test_producers_are_told_once_for_all_targets(spark):
     out = graph.producers(spark.createDataFrame(news, "class string, member string, target string"), spark.createDataFrame(calls, "caller string, member string, owner string, name string"), spark.createDataFrame(members, "class string, member string, visibility string, decl string"), spark.createDataFrame(lineage, "class string, of string"), 3)
     assert {(r["target"], r["class"]): r["entries"] for r in out.collect()} == {k: sorted(v)[:3] for k, v in want.items()}
     assert not [x for x in plan(out).split("\n") if "target#" in x and "caller#" in x]
+
+
+def test_nearby_looks_at_few_files(spark):
+    rng = random.Random(5)
+    files = [(rng.choice("ab"), f"/r/d{rng.randrange(4)}/T{rng.randrange(30)}") for _ in range(70)] + [("a", "flat"), ("a", "/r/d0/T1"), (None, "/r/x"), ("a", None), ("c", "/r/d1/alone"), ("d", "/r/d1/T1"), ("d", "/r/d1/T2")]
+    targets = files[::3] + [("a", "flat"), ("a", "/r/none/T"), ("d", "/r/d1/T1"), ("zz", "/r/d1/T1")]
+    for most in (1, 2, 4):
+        want = set()
+        for root, target in set(targets) - {(None, "/r/x"), ("a", None)}:
+            folder = lambda p: p.rpartition("/")[0]
+            found = sorted({(folder(p) != folder(target), p) for r, p in files if r == root and p is not None and p != target})
+            want |= {(root, target, p, i) for i, (_, p) in enumerate(found[:most], 1)}
+        out = logs.nearby(spark.createDataFrame(files, "root string, path string"), spark.createDataFrame(targets, "root string, path string"), most)
+        assert {tuple(r) for r in out.select("root", "target", "path", "place").collect()} == want and out.columns == ["root", "target", "path", "place"]
+    # each join with the files of a root or folder stands above the limit of how many there are
+    joins = [x for x in plan(out).split("\n") if "Join Inner" in x]
+    assert len(joins) == 2 and plan(out).count("WindowGroupLimit") >= 3
