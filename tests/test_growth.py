@@ -48,3 +48,15 @@ def test_nearby_looks_at_few_files(spark):
     # each join with the files of a root or folder stands above the limit of how many there are
     joins = [x for x in plan(out).split("\n") if "Join Inner" in x]
     assert len(joins) == 2 and plan(out).count("WindowGroupLimit") >= 3
+
+
+def test_walk_over_known_types(spark):
+    index = spark.createDataFrame(
+        [("A", "class", [], [], ["X", "B"], ["Y", "C"], None, ["Z"], ["B", "Q"], {"B": 1}, ["X"], ["B"]), ("B", "interface", [], [], ["A"], ["C"], ["X", "A"], None, [], {}, [], []), ("C", "class", ["A"], ["B"], ["W"], [], ["C", "V"], [], ["A"], {"V": 2}, ["B"], ["V", "B"])],
+        "class string, kind string, extends array<string>, implements array<string>, ctor_params array<string>, method_params array<string>, returns array<string>, throws array<string>, fields array<string>, calls map<string,int>, instantiates array<string>, references array<string>",
+    )
+    known = graph.known_types(index)
+    assert {r["class"]: (r["ctor_params"], r["method_params"], r["returns"], r["throws"], r["fields"]) for r in known.collect()} == {"A": (["B"], ["C"], [], [], ["B"]), "B": (["A"], ["C"], ["A"], [], []), "C": ([], [], ["C"], [], ["A"])}
+    reach = graph.closure(graph.supertypes(index))
+    walk = lambda i: sorted(map(str, graph.class_walk(i, reach, graph.inversions(i, reach), graph.inherited_api(i, reach)).collect()))
+    assert walk(known) == walk(index) and len(walk(index)) > 4
