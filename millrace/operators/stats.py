@@ -50,7 +50,7 @@ def rollout_stats(rows: DataFrame, by: list[str] | None = None, prompt: str = "c
 
 def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     if not by:
-        return a.join(b)  # one row each
+        return a.join(b, F.lit(True), "left")  # a has one row, b one or, of medians without any value, none
     right = b.withColumnsRenamed({c: f"{c}__b" for c in by})
     same = F.lit(True)
     for c in by:
