@@ -17,6 +17,7 @@ TEST_ANNOTATION = r"@\s*(?:[\w.]+\.)?(?:Test|ParameterizedTest|RepeatedTest|Test
 DECLARATION = r"(?m)^[ \t]*(?:@(?!interface\b)[A-Za-z_$][\w$]*(?:\s*\([^)]*\))?\s*)*(?:(?:public|protected|private|abstract|final|static|strictfp|sealed|non-sealed)\s+)*(?:@interface|class|interface|enum|record)\s+([A-Za-z_$][\w$]*)\b"
 CONCRETE = r"(?:public|protected|private)\s*(?:final\s+)?(?!abstract\s+)class\s+(\w+)"
 COMPILER_ERROR = r"\[ERROR\]\s+(\S+\.java):\[(\d+),(\d+)\]\s*(.*)"
+_ERROR_LINE = r"\A.*?\[ERROR\]\s+(\S+\.java):\[0*(\d+),0*(\d+)\]\s*(.*)\z"
 DOC_LINK = r"(?:\{@link(?:plain)?\s+|@see\s+)([A-Z]\w*)"
 SPACE_END, SPACE_START = r"(?U)\s+\z", r"(?U)\A\s+"
 
@@ -250,18 +251,20 @@ def misused_types(output: Column) -> Column:
     the one that lacks it (told in the two lines below), of other errors the first of MISUSED."""
     ls = lines(output)
     message = r"\[ERROR\] \S+?\.java:\[\d+,\d+\] (?:error: )?(.*)"
+    # each error with the two lines below it: lines are told once, not anew for each of them
+    with_next = F.filter(F.arrays_zip(ls.alias("s"), F.slice(ls, F.lit(2), F.size(ls)).alias("b"), F.slice(ls, F.lit(3), F.size(ls)).alias("c")), lambda z: z["s"].rlike(message))
+    told = F.transform(with_next, lambda z: F.struct(F.regexp_extract(z["s"], message, 1).alias("m"), F.concat_ws("\n", z["b"], z["c"]).alias("below")))
 
-    def about(s: Column, i: Column) -> Column:
-        m = F.regexp_extract(s, message, 1)
-        below = F.array_join(F.slice(ls, i + 2, F.lit(2)), "\n")
+    def about(z: Column) -> Column:
+        m, below = z["m"], z["below"]
         symbol = F.regexp_extract(below, r"symbol:\s+(?:class|variable)\s+([A-Z][\w$]*)", 1)
         place = F.regexp_extract(below, r"location:\s+(?:class|interface|variable \w+ of type)\s+([\w.$<>]+)", 1)
         place = F.when(place.endswith("Test"), "").otherwise(F.substring_index(place, "<", 1))
         others = F.coalesce(*[F.nullif(F.regexp_extract(m, p, 1), F.lit("")) for p in MISUSED], F.lit(""))
         missing = F.when(symbol != "", symbol).otherwise(place)
-        return F.when(s.rlike(message), F.when(m.startswith("cannot find symbol"), missing).otherwise(F.substring_index(others, "<", 1))).otherwise("")
+        return F.when(m.startswith("cannot find symbol"), missing).otherwise(F.substring_index(others, "<", 1))
 
-    return F.array_sort(F.array_distinct(F.filter(F.transform(ls, about), lambda t: t != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(told, about), lambda t: t != "")))
 
 
 #: A compiler stops after so many errors.
@@ -270,13 +273,15 @@ ERROR_CAP = 100
 
 def javac_errors(output: Column) -> Column:
     """Errors of a compiler's output: array of (file, row, col, message), each once, in order."""
-    rows = F.transform(F.filter(lines(output), lambda s: s.rlike(COMPILER_ERROR)), lambda s: F.struct(F.regexp_extract(s, COMPILER_ERROR, 1).alias("file"), F.regexp_extract(s, COMPILER_ERROR, 2).cast("int").alias("row"), F.regexp_extract(s, COMPILER_ERROR, 3).cast("int").alias("col"), F.regexp_extract(s, COMPILER_ERROR, 4).alias("message")))
-    return F.array_distinct(rows)
+    # a line as one string of its parts, so that equal ones are told by hash and each is read once
+    parts = F.transform(F.filter(lines(output), lambda s: s.rlike(COMPILER_ERROR)), lambda s: F.regexp_replace(s, _ERROR_LINE, "$1\x01$2\x01$3\x01$4"))
+    part = lambda x, i: F.split(x, "\x01", 4)[i]
+    return F.transform(F.array_distinct(parts), lambda x: F.struct(part(x, 0).alias("file"), part(x, 1).cast("int").alias("row"), part(x, 2).cast("int").alias("col"), part(x, 3).alias("message")))
 
 
-def own_errors(output: Column, file_name: Column) -> Column:
-    """(errors, truncated): the errors in files of one name, and whether the compiler stopped at its cap."""
-    errors = javac_errors(output)
+def own_errors(output: Column, file_name: Column, errors: Column | None = None) -> Column:
+    """(errors, truncated): the errors in files of one name, and whether the compiler stopped at its cap. errors: the output's, if they are told already."""
+    errors = javac_errors(output) if errors is None else errors
     told = F.regexp_extract(output, r"(?m)^\[INFO\]\s+(\d+) errors?\s*$", 1)
     return F.struct(F.filter(errors, lambda e: F.regexp_extract(e["file"], r"([^/\\\\]+)$", 1) == file_name).alias("errors"), F.coalesce(F.try_to_number(told, F.lit("999999")) >= ERROR_CAP, F.lit(False)).alias("truncated"))
 

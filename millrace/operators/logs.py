@@ -93,10 +93,11 @@ def lines_of_bytes(points: DataFrame, starts: DataFrame) -> DataFrame:
 
 def failing_lines(outputs: DataFrame, own: str = "file_name") -> DataFrame:
     """outputs (…, output, file_name) with `lines`: the sorted lines of a file's compiler errors, or null
-    if any error names another file."""
-    errors = text.javac_errors(F.col("output"))
-    foreign = F.exists(errors, lambda e: ~e["file"].endswith(F.col(own)))
-    return outputs.withColumn("lines", F.when(~foreign, F.array_sort(F.array_distinct(F.transform(errors, lambda e: e["row"])))))
+    if any error names another file. A column `errors` (text.javac_errors()) is taken as it is; else they are told here."""
+    rows = outputs if "errors" in outputs.columns else outputs.withColumn("errors", text.javac_errors(F.col("output")))
+    foreign = F.exists("errors", lambda e: ~e["file"].endswith(F.col(own)))
+    rows = rows.withColumn("lines", F.when(~foreign, F.array_sort(F.array_distinct(F.transform("errors", lambda e: e["row"])))))
+    return rows if "errors" in outputs.columns else rows.drop("errors")
 
 
 def trim_plan(by_name: DataFrame, by_line: DataFrame, compiled: DataFrame, key: str = "suite") -> DataFrame:

@@ -99,5 +99,6 @@ def q_compiler_output(spark, sf):
     out = out.withColumn("output", F.concat("o", F.lit("\n"), "o", F.lit("\n[INFO] "), F.col("n").cast("string"), F.lit(" errors")))  # the build prints its errors twice
     from ..operators import logs
 
-    rows = logs.failing_lines(out.withColumn("file_name", F.lit("Own.java"))).withColumn("own", text.own_errors(F.col("output"), F.lit("Own.java")))
-    return rows.select("user_id", F.size(text.javac_errors(F.col("output"))).cast("long").alias("n_errors"), F.size("own.errors").cast("long").alias("n_own"), F.col("own.truncated").alias("truncated"), F.array_join(F.array_sort(F.transform("lines", lambda x: x.cast("string"))), ",").alias("lines"), F.array_join(text.misused_types(F.col("output")), ",").alias("types"))
+    told = out.withColumn("file_name", F.lit("Own.java")).withColumn("errors", text.javac_errors(F.col("output")))
+    rows = logs.failing_lines(told).withColumn("own", text.own_errors(F.col("output"), F.lit("Own.java"), F.col("errors")))
+    return rows.select("user_id", F.size("errors").cast("long").alias("n_errors"), F.size("own.errors").cast("long").alias("n_own"), F.col("own.truncated").alias("truncated"), F.array_join(F.array_sort(F.transform("lines", lambda x: x.cast("string"))), ",").alias("lines"), F.array_join(text.misused_types(F.col("output")), ",").alias("types"))

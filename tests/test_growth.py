@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from millrace.operators import graph, logs
 
 
@@ -60,3 +62,16 @@ def test_walk_over_known_types(spark):
     reach = graph.closure(graph.supertypes(index))
     walk = lambda i: sorted(map(str, graph.class_walk(i, reach, graph.inversions(i, reach), graph.inherited_api(i, reach)).collect()))
     assert walk(known) == walk(index) and len(walk(index)) > 4
+
+
+def test_misused_types_tell_lines_once(spark):
+    from millrace.functions import text
+
+    out = "[ERROR] /w/A.java:[1,07] cannot find symbol\n  symbol:   class T1\n  location: class Own\n[ERROR] /w/B.java:[02,7]  x has private access in Y\n[ERROR] /w/A.java:[1,7] cannot find symbol\n[ERROR] no place\n"
+    df = spark.createDataFrame([(out,), ("",), (None,), ("[ERROR] /w/A.java:[1,7] cannot find symbol",)], "o string").select(text.misused_types(F.col("o")).alias("t"), text.javac_errors(F.col("o")).alias("e"))
+    told = [(r["t"], None if r["e"] is None else [tuple(e) for e in r["e"]]) for r in df.collect()]
+    assert told[0] == (["T1", "Y"], [("/w/A.java", 1, 7, "cannot find symbol"), ("/w/B.java", 2, 7, "x has private access in Y")])
+    assert told[1:] == [([], []), (None, None), ([], [("/w/A.java", 1, 7, "cannot find symbol")])]
+    # no lambda splits the text again
+    one = plan(df.select("t"))
+    assert one.rindex("split(") < one.index("lambdafunction(")
