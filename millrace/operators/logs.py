@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
+from ..sources import tables
 from . import stats
 
 #: Fixed value: characters a token where no call says otherwise.
@@ -49,9 +50,9 @@ def flat_calls(calls: DataFrame) -> DataFrame:
 
 
 def class_listing(files: DataFrame) -> DataFrame:
-    """Concrete implementation classes with their index in path order. Paths, not contents, are ordered."""
+    """Concrete implementation classes with their index in path order. Paths, not contents, are ordered, and no task orders them all."""
     rows = files.where(text.is_implementation(F.col("path")) & text.is_concrete(F.col("path"), F.col("content"))).select("path", text.class_key(F.col("path")).alias("class_key"))
-    return rows.withColumn("idx", F.row_number().over(Window.orderBy("path")) - 1)
+    return tables.with_places(rows, "path", "idx")
 
 
 def resolve_class(listing: DataFrame, wanted: str) -> DataFrame:

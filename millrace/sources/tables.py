@@ -66,15 +66,18 @@ def doubled(content: Column) -> Column:
 
 
 def in_path_order(files: DataFrame) -> DataFrame:
-    """files with `place` from 0 in path order. Paths alone are ranked: by partial sums over ranges of paths, no task orders them all."""
+    """files with `place` from 0 in path order. Paths alone are ranked."""
+    return files.join(with_places(files.select("path"), "path"), "path")
+
+
+def with_places(rows: DataFrame, by: str, out: str = "place") -> DataFrame:
+    """rows with their places from 0 in the order of a column, equal ones in any order: by partial sums over ranges, no task orders them all."""
     # written, as ranges found anew could be others
-    paths = saved(files.select("path").repartitionByRange("path").withColumn("part_", F.spark_partition_id()), "paths")
-    first = Window.partitionBy("part_").orderBy("path")
-    ranked = paths.withColumn("place_", F.row_number().over(first))
-    counts = ranked.groupBy("part_").agg(F.count("*").alias("n_"))  # a row for each range
+    dealt = saved(rows.repartitionByRange(by).withColumn("part_", F.spark_partition_id()), "ranges")
+    ranked = dealt.withColumn("place_", F.row_number().over(Window.partitionBy("part_").orderBy(by)))
+    counts = dealt.groupBy("part_").agg(F.count("*").alias("n_"))  # a row for each range
     before = counts.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
-    places = ranked.join(before, "part_").select("path", (F.col("before_") + F.col("place_") - 1).cast("int").alias("place"))
-    return files.join(places, "path")
+    return ranked.join(F.broadcast(before), "part_").withColumn(out, (F.col("before_") + F.col("place_") - 1).cast("int")).drop("part_", "place_", "before_")
 
 
 def read_implementation(spark: SparkSession, root: str) -> DataFrame:
