@@ -96,9 +96,11 @@ def retrieval_summary(files: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def engagement(errors: DataFrame, used: DataFrame, prompt: DataFrame, key: list[str], own: str = "cut", by: tuple[str, ...] = ()) -> DataFrame:
     """Types that errors or uses are about, by class (and by columns of the key): in the prompt, not in it, or the class itself, with counts."""
-    each = errors.select(*key, "type", F.lit(1).alias("e"), F.lit(0).alias("u")).union(used.select(*key, "type", F.lit(0), F.lit(1))).groupBy(*key, "type").agg(F.max("e").alias("error"), F.max("u").alias("used"))
-    rows = each.join(prompt.select(*key, "type", F.lit(True).alias("shown")).distinct(), [*key, "type"], "left")
-    place = F.when(F.col("type") == F.col(own), "class under test").when(F.coalesce("shown", F.lit(False)), "in prompt").otherwise("NOT in prompt")
+    # one aggregate over all three: no join, and rows told twice count once
+    flagged = lambda rows, e, u, p: rows.select(*key, "type", F.lit(e).alias("error"), F.lit(u).alias("used"), F.lit(p).alias("shown"))
+    each = flagged(errors, 1, 0, False).union(flagged(used, 0, 1, False)).union(flagged(prompt, 0, 0, True)).groupBy(*key, "type").agg(F.max("error").alias("error"), F.max("used").alias("used"), F.max("shown").alias("shown"))
+    rows = each.where("error + used > 0")
+    place = F.when(F.col("type") == F.col(own), "class under test").when(F.col("shown"), "in prompt").otherwise("NOT in prompt")
     never = F.when((F.col("error") == 1) & (F.col("used") == 0), 1)
     return rows.groupBy(*by, place.alias("place")).agg(F.count("*").alias("n"), F.sum("error").alias("n_error"), F.sum("used").alias("n_used"), F.count(never).alias("n_never_fixed"), F.round(F.avg("error"), 6).alias("error_rate"))
 

@@ -72,7 +72,8 @@ _PROMPT = "SELECT DISTINCT l_returnflag AS model, l_orderkey AS cut, l_partkey %
 FROM a LEFT JOIN e USING (model, cut, type) LEFT JOIN u USING (model, cut, type) LEFT JOIN p USING (model, cut, type)) SELECT model, place, count(*) AS n, CAST(sum(x) AS BIGINT) AS n_error, CAST(sum(y) AS BIGINT) AS n_used, count(*) FILTER (x = 1 AND y = 0) AS n_never_fixed, round(avg(x), 6) AS error_rate FROM r GROUP BY 1, 2""")
 def q_engagement(spark, sf):
     """Types that errors and uses are about, by model and by whether the prompt showed them."""
-    return audit.engagement(sql_table(spark, sf, _ERR), sql_table(spark, sf, _USED), sql_table(spark, sf, _PROMPT), ["model", "cut"], by=("model",))
+    every = lambda sql: sql_table(spark, sf, sql.replace("SELECT DISTINCT", "SELECT"))  # noqa: E731 - the operator counts equal rows once
+    return audit.engagement(every(_ERR), every(_USED), every(_PROMPT), ["model", "cut"], by=("model",))
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, list(DISTINCT 'v' || o_orderkey % 7) AS s FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, list(DISTINCT 'v' || o_orderkey % 5) AS s FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, logs
+from millrace.operators import audit, graph, logs
 
 
 def plan(df) -> str:
@@ -86,3 +86,18 @@ def test_class_listing_is_ordered_by_ranges(spark):
     # the one window over all has a row for each range
     ordered = [x for x in plan(out).split("\n") if "Window " in x and "row_number" in x]
     assert ordered and all("[part_" in x for x in ordered)
+
+
+def test_engagement_is_one_aggregate(spark):
+    rng = random.Random(9)
+    made = lambda n: [(rng.choice("ab"), rng.randrange(4), rng.randrange(6)) for _ in range(n)]
+    errors, used, prompt = made(30), made(30), made(40)  # with equal rows
+    want: dict = {}
+    for x in set(errors) | set(used):
+        place = "class under test" if x[2] == x[1] else "in prompt" if x in prompt else "NOT in prompt"
+        n, e, u, never = want.get((x[0], place), (0, 0, 0, 0))
+        want[x[0], place] = (n + 1, e + (x in errors), u + (x in used), never + (x in errors and x not in used))
+    rows = lambda r: spark.createDataFrame(r, "model string, cut int, type int")
+    out = audit.engagement(rows(errors), rows(used), rows(prompt), ["model", "cut"], by=("model",))
+    assert {(r["model"], r["place"]): (r["n"], r["n_error"], r["n_used"], r["n_never_fixed"]) for r in out.collect()} == want
+    assert "Join" not in plan(out) and plan(out).count("Aggregate") == 2
