@@ -1,17 +1,17 @@
-"""Exact token counts: a tokenizer's distinct segments are encoded once each."""
+"""Exact token counts: each task encodes the segments that it meets once."""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..shared import saved, ship
+from ..shared import ship, spread
 
-#: Segments that every task knows by heart: as many of the most frequent ones, of so many characters at most (so a few MB).
-KNOWN, KNOWN_CHARS = 1 << 15, 32
+#: Segments that a task keeps with their counts: as many, of so many characters at most (so some 20 MB).
+KNOWN, KNOWN_CHARS = 1 << 17, 32
 
 
 def _tokenizer(path: str):
@@ -34,65 +34,35 @@ class _Segments:
         return Counter(s for s, _ in self.whole.pre_tokenizer.pre_tokenize_str(own)) if self.whole.pre_tokenizer else Counter([own] if own else [])
 
 
-def _counted(texts: DataFrame, path: str) -> DataFrame:
-    """(data string) -> (segment, n), of each batch once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = _Segments(path)
-        for batch in batches:
-            total: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                total.update(segments.of(text) or ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["segment", "n"])
-
-    return texts.mapInArrow(run, "segment string, n long")
-
-
-def _encoded(segments: DataFrame, path: str) -> DataFrame:
-    """(segment, n) -> (segment, n, tokens): each segment through the model once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _tokenizer(path).model
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(model.tokenize(s)) for s in batch.column(0).to_pylist()], pa.int64())], names=["segment", "n", "tokens"])
-
-    return segments.mapInArrow(run, "segment string, n long, tokens long")
-
-
 def token_counts(rows: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """rows with the number of tokens of each text, as the tokenizer file's library counts them without special tokens; null for a null text.
 
-    Texts are cut to segments by the tokenizer's own rules, but only distinct segments are encoded: they are
-    told by a shuffle of counts. The most frequent ones go to every task (a bounded table), so that what is
-    left of a text, its rarer segments, meets the table of all segments in a join without hot keys, and is
-    summed by the text's digest. A text that holds an added token is encoded whole.
+    Texts are cut to segments by the tokenizer's own rules, once each. A task keeps the counts of segments that it
+    has met, so frequent ones are encoded once, and what it keeps is bounded; nothing but rows is shuffled,
+    which are dealt to all cores first. A text that holds an added token is encoded whole.
     """
-    spark = rows.sparkSession
-    ship(spark)
-    digest = F.substring(F.unhex(F.sha2(F.col(f"`{text}`"), 256)), 1, 16)
-    texts = rows.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("data"), digest.alias("digest"))
-    table = saved(_encoded(_counted(texts.select("data"), path).groupBy("segment").agg(F.sum("n").alias("n")), path), "segments")
-    top = table.where(F.length("segment") <= KNOWN_CHARS).orderBy(F.desc("n"), "segment").limit(KNOWN).select("segment", "tokens").collect()  # a bounded table
-    known = spark.sparkContext.broadcast({r["segment"]: r["tokens"] for r in top})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, heart = _Segments(path), known.value
+    ship(rows.sparkSession)
+
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        segments = _Segments(path)
+        model, known = segments.whole.model, {}
+
+        def size(s: str) -> int:
+            n = known.get(s)
+            if n is None:
+                n = len(model.tokenize(s))
+                if len(s) <= KNOWN_CHARS and len(known) < KNOWN:
+                    known[s] = n
+            return n
+
+        def tokens(data: str | None) -> int | None:
+            if data is None:
+                return None
+            found = segments.of(data)
+            return len(segments.whole.encode(data, add_special_tokens=False).ids) if found is None else sum(size(s) * k for s, k in found.items())
+
         for batch in batches:
-            keys, rest, n = [], [], []
-            for data, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = segments.of(data)
-                sure = len(segments.whole.encode(data, add_special_tokens=False).ids) if found is None else sum(heart[s] * k for s, k in found.items() if s in heart)
-                more = [] if found is None else [(s, k) for s, k in found.items() if s not in heart]
-                keys += [key] * (1 + len(more))
-                rest += [None, *(s for s, _ in more)]
-                n += [sure, *(k for _, k in more)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(rest, pa.string()), pa.array(n, pa.int64())], names=["digest", "segment", "n"])
-
-    parts = saved(texts.mapInArrow(run, "digest binary, segment string, n long").distinct(), "rare-segments")  # equal texts once
-    rare = parts.where("segment IS NOT NULL").join(table.select("segment", "tokens"), "segment").select("digest", (F.col("n") * F.col("tokens")).alias("n"))
-    sums = saved(parts.where("segment IS NULL").select("digest", "n").unionByName(rare).groupBy("digest").agg(F.sum("n").alias(out)), "token-counts")
-    key = "digest_"
-    while key.lower() in {c.lower() for c in rows.columns}:
-        key += "_"
+            yield pd.Series([tokens(t) for t in batch], dtype="Int64")
+
     kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() != out.lower()]
-    return rows.withColumn(key, digest).join(sums.withColumnsRenamed({"digest": f"{key}d", out: f"{key}n"}), F.col(key) == F.col(f"{key}d"), "left").select(*kept, F.col(f"{key}n").alias(out))
+    return spread(rows).select(*kept, F.pandas_udf(counted, "long")(F.col(f"`{text}`")).alias(out))

@@ -101,3 +101,15 @@ def test_engagement_is_one_aggregate(spark):
     out = audit.engagement(rows(errors), rows(used), rows(prompt), ["model", "cut"], by=("model",))
     assert {(r["model"], r["place"]): (r["n"], r["n_error"], r["n_used"], r["n_never_fixed"]) for r in out.collect()} == want
     assert "Join" not in plan(out) and plan(out).count("Aggregate") == 2
+
+
+def test_tokens_are_counted_in_one_pass(spark):
+    import pytest
+
+    from millrace.operators import tokens
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    out = tokens.token_counts(spark.createDataFrame([(1, "a b"), (2, None), (3, "a b")], "doc_id long, text string").coalesce(1), path)
+    rows = {r["doc_id"]: r["n_tokens"] for r in out.collect()}
+    assert rows[2] is None and rows[1] == rows[3] == 2
+    assert not [x for x in ("Join", "Aggregate") if x in plan(out)] and "Repartition" in plan(out)  # dealt to all cores, counted once
