@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scoring, text
 from ..operators import attribution, audit, graph, logs, reports, routing, search, stats
-from ..shared import spread
+from ..shared import fit, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    fit(spark, f"{sf}/{name}.parquet")
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     return df.select(*columns) if columns else df
 

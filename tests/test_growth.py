@@ -113,3 +113,22 @@ def test_tokens_are_counted_in_one_pass(spark):
     rows = {r["doc_id"]: r["n_tokens"] for r in out.collect()}
     assert rows[2] is None and rows[1] == rows[3] == 2
     assert not [x for x in ("Join", "Aggregate") if x in plan(out)] and "Repartition" in plan(out)  # dealt to all cores, counted once
+
+
+def test_parts_in_proportion_to_files(spark, tmp_path, monkeypatch):
+    from millrace import shared
+
+    names = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    path = str(tmp_path / "t.parquet")
+    spark.range(20000).selectExpr("id", "uuid() AS u").repartition(1).write.parquet(path)
+    try:
+        shared.fit(spark, path)
+        assert {n: spark.conf.get(n, None) for n in names} == before  # small: nothing is changed
+        monkeypatch.setattr(shared, "PART", 1 << 15)
+        shared.fit(spark, path)
+        size = sum(f.stat().st_size for f in (tmp_path / "t.parquet").iterdir() if f.name[0] != ".")
+        assert int(spark.conf.get(names[0])) == -(-size // (1 << 15)) > 4 and [spark.conf.get(n) for n in names[1:]] == [str(1 << 15), str(1 << 18)]
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
