@@ -24,6 +24,8 @@ def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     k = 0
     while rounds is None or k < rounds:
         heads = reach.where(F.col("depth") == 1 << k).select("src", F.col("dst").alias("mid"))
+        if heads.isEmpty():
+            break
         tails = reach.select(F.col("src").alias("mid"), "dst", F.col("depth").alias("more"))
         longer = heads.join(tails, "mid").where("src <> dst").groupBy("src", "dst").agg((F.min("more") + (1 << k)).alias("depth"))
         new = saved(longer.join(reach.select("src", "dst"), ["src", "dst"], "left_anti"), "closure")
@@ -39,22 +41,23 @@ def discovered(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     breadth-first search finds it.
 
     A label is the places on the way; of labels of one depth the least is that of the first discovery, as
-    the queue holds nodes in the order of their parents, then in that of the parents' lists. So rounds carry
-    labels and take least ones, and order by depth and label is the order of discovery; nothing is numbered
-    on the way. A round writes only what is newly found.
+    the queue holds nodes in the order of their parents, then in that of the parents' lists. So order by depth
+    and label is the order of discovery; nothing is numbered on the way. Depths are doubled as in closure():
+    a shortest way up to twice as long as 2 ** k passes a node at a depth of just 2 ** k, and the least label
+    of such ways is a least one up to there and a least one from there. rounds: the greatest depth.
     """
-    own = saved(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("place").cast("int").alias("place")), "discovery-edges")
-    reach = frontier = saved(own.select("src", "dst", F.lit(1).alias("depth"), F.array("place").alias("label")), "discovered")
-    depth = 1
-    while rounds is None or depth < rounds:
-        step = frontier.select(F.col("src").alias("from"), F.col("dst").alias("mid"), "label").join(own, F.col("mid") == F.col("src")).where("from <> dst")
-        met = step.groupBy("from", "dst").agg(F.min(F.concat("label", F.array("place"))).alias("label")).withColumnRenamed("from", "src")
-        depth += 1
-        frontier = saved(met.join(reach.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(depth).alias("depth"), "label"), "discovered")
-        if frontier.isEmpty():
+    reach = saved(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("place").cast("int").alias("place")).select("src", "dst", F.lit(1).alias("depth"), F.array("place").alias("label")), "discovered")
+    k = 0
+    while rounds is None or 1 << k < rounds:
+        heads = reach.where(F.col("depth") == 1 << k).select("src", F.col("dst").alias("mid"), F.col("label").alias("head"))
+        if heads.isEmpty():
             break
-        reach = reach.unionByName(frontier)
-    return reach
+        tails = reach.select(F.col("src").alias("mid"), "dst", F.col("depth").alias("more"), F.col("label").alias("tail"))
+        longer = heads.join(tails, "mid").where("src <> dst").groupBy("src", "dst").agg(F.min(F.struct("more", F.concat("head", "tail").alias("label"))).alias("x"))
+        new = longer.join(reach.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", (F.col("x.more") + (1 << k)).alias("depth"), "x.label")
+        reach = reach.unionByName(saved(new, "discovered"))
+        k += 1
+    return reach if rounds is None else reach.where(F.col("depth") <= rounds)
 
 
 def inverted(edges: DataFrame, key: str, value: str, out: str) -> DataFrame:

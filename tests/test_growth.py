@@ -115,6 +115,15 @@ def test_tokens_are_counted_in_one_pass(spark):
     assert not [x for x in ("Join", "Aggregate") if x in plan(out)] and "Repartition" in plan(out)  # dealt to all cores, counted once
 
 
+def test_discovery_doubles_depths(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "saved", lambda df, tag, f=graph.saved: written.append(tag) or f(df, tag))
+    chain = spark.createDataFrame([(i, i + 1, 0) for i in range(20)], "src long, dst long, place int")
+    reach = graph.discovered(chain)
+    assert sorted((r["src"], r["dst"], r["depth"], len(r["label"])) for r in reach.collect()) == [(a, b, b - a, b - a) for a in range(21) for b in range(a + 1, 21)]
+    assert len(written) <= 7 and {r["depth"] for r in graph.discovered(chain, 3).collect()} == {1, 2, 3}
+
+
 def test_parts_in_proportion_to_files(spark, tmp_path, monkeypatch):
     from millrace import shared
 
