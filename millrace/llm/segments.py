@@ -21,11 +21,13 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u200
 SPACE = f"[{SPACES}]"
 SEGMENT = re.compile(f" ?[^{SPACES}]+|{SPACE}+(?![^{SPACES}])|{SPACE}+")
 _AFTER_SPACE = [" " + c for c in SPACES] + ["\x00"]
+_SPACE, _NONE = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+_ASCII_AFTER_SPACE = [x for x in _AFTER_SPACE if x.isascii()]
 
 
 def single_spaces(text: str) -> bool:
     """Whether all white space before a non-space is single spaces, so that each begins a segment."""
-    return text[-1:] != " " and not any(pair in text for pair in _AFTER_SPACE)
+    return text[-1:] != " " and not any(pair in text for pair in (_ASCII_AFTER_SPACE if text.isascii() else _AFTER_SPACE))
 
 
 def segments(text: str) -> list[str]:
@@ -41,12 +43,13 @@ def joined_ids(texts: list[str], known: Remembered) -> list[bytes]:
     words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
     begin = words.offsets.to_numpy()
     coded = words.values.dictionary_encode()
-    spaced = [" " + w for w in coded.dictionary.to_pylist()]
+    # strings are made at once; to_pylist() would make a scalar of each first
+    spaced = pc.binary_join_element_wise(_NONE, coded.dictionary, _SPACE).to_numpy(zero_copy_only=False).tolist()
     entries = list(map(known.__getitem__, spaced))
     at = coded.indices.to_numpy().astype(np.int64)
     # a text's first word has no space before it
     at[begin[:-1]] = len(entries) + np.arange(len(texts))
-    entries += [known[t.split(" ", 1)[0]] for t in texts]
+    entries += [known[t.partition(" ")[0]] for t in texts]
     flat = np.frombuffer(b"".join(entries), "<u4")
     length = np.fromiter(map(len, entries), np.int64, len(entries)) >> 2
     first = np.cumsum(length) - length

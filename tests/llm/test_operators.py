@@ -880,3 +880,16 @@ def test_running_and_cut(spark):
 def test_native_plans_have_no_python(spark, name):
     plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|ExistingRDD|CartesianProduct|NestedLoop", plan)
+
+
+def test_ascii_texts_are_held_against_ascii_spaces_only(monkeypatch):
+    from millrace.llm import segments
+
+    class Dear(list):
+        def __iter__(self):
+            raise AssertionError("all spaces looked for in an ASCII text")
+
+    for text, single in (("a b", True), ("a  b", False), ("a ", False), ("a \tb", False), ("a\x00b c", False), ("é b", True), ("é  b", False), ("é \x85", False)):
+        assert segments.single_spaces(text) is single, text
+    monkeypatch.setattr(segments, "_AFTER_SPACE", Dear(segments._AFTER_SPACE))
+    assert segments.single_spaces("a b") and not segments.single_spaces("a \tb")
