@@ -340,12 +340,19 @@ SLICE = 256
 
 
 def trees(sources: pa.Array) -> pa.Array:
-    """tree() of an Arrow array. Lists become arrays at once; by way of pandas each node would be converted in Python."""
+    """tree() of an Arrow array. Equal sources are read once. Lists become arrays at once; by way of pandas each node would be converted in Python."""
+    coded = sources.dictionary_encode()
+    each_once = coded.dictionary if 2 * len(coded.dictionary) <= len(sources) else sources
     parts = []
-    for at in range(0, max(len(sources), 1), SLICE):
-        each = [nodes_of(s) if s is not None else {"decls": [], "names": []} for s in sources.slice(at, SLICE).to_pylist()]
+    for at in range(0, max(len(each_once), 1), SLICE):
+        each = [nodes_of(s) if s is not None else {"decls": [], "names": []} for s in each_once.slice(at, SLICE).to_pylist()]
         parts.append(pa.StructArray.from_arrays([pa.array([e["decls"] for e in each], _DECLS), pa.array([e["names"] for e in each], _NAMES)], ["decls", "names"]))
-    return pa.concat_arrays(parts)
+    out = pa.concat_arrays(parts)
+    if each_once is sources:
+        return out
+    # a null is no word of the dictionary: it gets the nodes of an empty source
+    none = pa.StructArray.from_arrays([pa.array([[]], _DECLS), pa.array([[]], _NAMES)], ["decls", "names"])
+    return pa.concat_arrays([out.slice(0, len(each_once)), none]).take(coded.indices.fill_null(len(each_once)))
 
 
 _made: list = []

@@ -167,19 +167,19 @@ def tail(x: Column, n: int = 4_000) -> Column:
 
 
 def _is_comment(s: Column) -> Column:
-    return strip(s).rlike(r"\A(?://|/?\*)")
+    return s.rlike(r"(?U)\A\s*(?://|/?\*)")
 
 
 def without_comments(x: Column, marker: str = "####") -> Column:
     """Lines that carry the marker, whole; lines with code before a line comment, cut there; and lines
     that are no comments."""
-    rows = F.transform(lines(x), lambda s: F.when(s.contains(marker), s).when(s.contains("//") & ~strip(s).startswith("//"), F.substring_index(s, "//", 1)).when(~_is_comment(s), s))
+    rows = F.transform(lines(x), lambda s: F.when(s.contains(marker), s).when(s.contains("//") & ~s.rlike(r"(?U)\A\s*//"), F.substring_index(s, "//", 1)).when(~_is_comment(s), s))
     return F.array_join(F.filter(rows, lambda s: s.isNotNull()), "\n")
 
 
 def prompt_chars(x: Column, marker: str = "####") -> Column:
     """Characters, with line ends, of lines that carry the marker or are neither blank nor comments."""
-    kept = F.filter(lines(x), lambda s: s.contains(marker) | ((strip(s) != "") & ~_is_comment(s)))
+    kept = F.filter(lines(x), lambda s: s.contains(marker) | (s.rlike(r"(?U)\S") & ~_is_comment(s)))
     return F.aggregate(kept, F.lit(0), lambda a, s: a + F.length(s) + 1)
 
 

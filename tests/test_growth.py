@@ -141,3 +141,27 @@ def test_parts_in_proportion_to_files(spark, tmp_path, monkeypatch):
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_equal_sources_are_read_once(monkeypatch):
+    import pyarrow as pa
+
+    from millrace.functions import syntax
+
+    read = []
+    monkeypatch.setattr(syntax, "nodes_of", lambda s, f=syntax.nodes_of: read.append(s) or f(s))
+    some = ["class A { int b; }", None, "", "class A { int b; }", "x", "x", "x", None, ""]
+    got = syntax.trees(pa.array(some, pa.string())).to_pylist()
+    assert sorted(read) == ["", "class A { int b; }", "x"]
+    read.clear()
+    assert got == [syntax.trees(pa.array([s], pa.string())).to_pylist()[0] for s in some]
+    assert syntax.trees(pa.array([None, None], pa.string())).to_pylist() == [{"decls": [], "names": []}] * 2 and syntax.trees(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_comment_lines_are_told_without_stripping(spark):
+    from millrace.functions import text
+
+    t = "a // b\n\u3000// c\n \u00a0* d\n/* e\n \t\n#### // f\n x\u2003\n*"
+    df = spark.createDataFrame([(t,), ("",), (None,)], "t string").select(text.without_comments(F.col("t")).alias("c"), text.prompt_chars(F.col("t")).alias("n"))
+    assert [tuple(r) for r in df.collect()] == [("a \n \t\n#### // f\n x\u2003", len("a // b") + len("#### // f") + len(" x\u2003") + 3), ("", 0), (None, None)]
+    assert "\\s+" not in plan(df).replace("\\A\\s*", "")
