@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 from hashlib import sha256
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import is_implementation
-from ..shared import saved
+from ..shared import drop, saved, ship
 from . import schemas
 
 
@@ -168,24 +169,75 @@ def clear_reports(spark: SparkSession, paths: list[str]) -> int:
     return gone
 
 
+#: Bytes of a tree's files that one task of fingerprint() reads, but for one larger file.
+DIGEST_BYTES = 256 << 20
+
+
+def _openssl():
+    """The interpreter's own OpenSSL, whose SHA-256 can be stopped and gone on with elsewhere; null if it isn't reachable."""
+    try:
+        import _hashlib
+
+        lib = ctypes.CDLL(_hashlib.__file__)
+        return lib if all(hasattr(lib, f"SHA256_{x}") for x in ("Init", "Update", "Final")) else None
+    except (ImportError, OSError):
+        return None
+
+
+class Sha256:
+    """SHA-256 with a state of a few bytes that another task takes over."""
+
+    #: Longer than OpenSSL's SHA256_CTX (112 bytes).
+    SIZE = 256
+
+    def __init__(self, state: bytes | None = None):
+        if (lib := _openssl()) is None:
+            raise RuntimeError("this Python's hashlib isn't built on an OpenSSL with SHA256_Init, SHA256_Update and SHA256_Final")
+        self.lib, self.state = lib, ctypes.create_string_buffer(state or b"", self.SIZE)
+        if state is None:
+            self.lib.SHA256_Init(self.state)
+
+    def update(self, data: bytes) -> None:
+        self.lib.SHA256_Update(self.state, ctypes.c_char_p(data), ctypes.c_size_t(len(data)))
+
+    def hexdigest(self) -> str:
+        out, end = ctypes.create_string_buffer(32), ctypes.create_string_buffer(self.state.raw, self.SIZE)
+        self.lib.SHA256_Final(out, end)
+        return out.raw.hex()
+
+
 def fingerprint(files: DataFrame, root: str = "") -> DataFrame:
     """One digest of a tree of files (path, content): sha256 over each path below root and its content, in path order; 16 hex digits.
 
-    Such a digest is told byte by byte in one order, so one task reads all files, one after the
-    other; it holds one at a time. An empty tree has the digest of nothing.
+    Such a digest is told byte by byte in one order. The rows are written in ranges of paths of about
+    DIGEST_BYTES each; one task for each range, one after the other, goes on from the state of SHA-256 that the
+    one before has left (256 bytes, by way of the driver). An empty tree has the digest of nothing.
     """
+    spark = files.sparkSession
     rows = files.select(F.regexp_replace("path", F.lit("^" + re.escape(root) + "/?" if root else "^$"), F.lit("")).alias("path"), F.col("content").cast("binary").alias("content"))
-
-    def digest(batches):
-        total = sha256()
-        for batch in batches:
-            for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total.update(p.encode())
-                total.update(c or b"")
-        yield pa.RecordBatch.from_pydict({"fingerprint": [total.hexdigest()[:16]]})
-
-    told = rows.repartition(1).sortWithinPartitions("path").mapInArrow(digest, "fingerprint string")
-    return told.agg(F.coalesce(F.max("fingerprint"), F.lit(sha256().hexdigest()[:16])).alias("fingerprint"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("path") + F.coalesce(F.octet_length("content"), F.lit(0))), F.lit(0)).cast("long")).first()[0]
+    parts = max(1, -(-size // DIGEST_BYTES))
+    ship(spark)
+
+    def digest(state: bytes | None):
+        def run(batches):
+            total = Sha256(state)
+            for batch in batches:
+                for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    total.update(p.encode())
+                    total.update(c or b"")
+            yield pa.RecordBatch.from_pydict({"state": [total.state.raw]})
+
+        return run
+
+    ranged = rows.repartitionByRange(parts, "path") if parts > 1 else rows.repartition(1)
+    table = saved(ranged.withColumn("part", F.spark_partition_id()), "tree", "part")
+    state = None
+    for part in sorted(r["part"] for r in table.select("part").distinct().collect()):  # one for each range
+        one = table.where(F.col("part") == part).select("path", "content")
+        state = one.repartition(1).sortWithinPartitions("path").mapInArrow(digest(state), "state binary").collect()[0]["state"]
+    drop(table)
+    return spark.createDataFrame([(Sha256(None if state is None else bytes(state)).hexdigest()[:16],)], "fingerprint string")
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:

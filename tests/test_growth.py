@@ -165,3 +165,23 @@ def test_comment_lines_are_told_without_stripping(spark):
     df = spark.createDataFrame([(t,), ("",), (None,)], "t string").select(text.without_comments(F.col("t")).alias("c"), text.prompt_chars(F.col("t")).alias("n"))
     assert [tuple(r) for r in df.collect()] == [("a \n \t\n#### // f\n x\u2003", len("a // b") + len("#### // f") + len(" x\u2003") + 3), ("", 0), (None, None)]
     assert "\\s+" not in plan(df).replace("\\A\\s*", "")
+
+
+def test_fingerprint_goes_on_from_task_to_task(spark, monkeypatch):
+    from hashlib import sha256
+
+    from millrace.sources import tables
+
+    rng = random.Random(11)
+    files = [(f"r/{n:03d}", rng.choice([None, "", "x" * n, "\u00e9" * 70])) for n in rng.sample(range(300), 120)]
+    want = sha256(b"".join(p[2:].encode() + (c or "").encode() for p, c in sorted(files))).hexdigest()[:16]
+    states = []
+    monkeypatch.setattr(tables, "DIGEST_BYTES", 2000)
+    monkeypatch.setattr(tables, "saved", lambda df, tag, *by, f=tables.saved: states.append(df.select("part").distinct().count()) or f(df, tag, *by))
+    df = spark.createDataFrame(files, "path string, content string")
+    assert tables.fingerprint(df, "r").first()[0] == want and states[0] > 3
+    one = tables.Sha256()
+    one.update(b"a" * 100)
+    other = tables.Sha256(one.state.raw)
+    other.update(b"b\0c")
+    assert other.hexdigest() == other.hexdigest() == sha256(b"a" * 100 + b"b\0c").hexdigest()
