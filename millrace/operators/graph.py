@@ -12,6 +12,21 @@ PATTERNS = ("own_surface", "producers", "inherited_api", "supertype", "ctor_args
 CONCRETE = ("class", "enum", "record")
 
 
+#: Names that a join is told by a broadcast, at most.
+FEW = 65_536
+
+
+def _heads_and_tails(reach: DataFrame, depth: int) -> tuple[DataFrame, DataFrame] | None:
+    """The pairs of just that depth, and those that go on from where they end; null if there are none.
+
+    Far up are few nodes, so the pairs that go on are mostly picked by a broadcast of these, before they are shuffled.
+    """
+    heads = reach.where(F.col("depth") == depth)
+    mids = heads.select(F.col("dst").alias("src")).distinct()
+    n = mids.count()
+    return (heads, reach.join(F.broadcast(mids), "src", "left_semi") if n <= FEW else reach) if n else None
+
+
 def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(src, dst) -> (src, dst, depth): everything reachable, nearest depth, without src itself.
 
@@ -23,10 +38,10 @@ def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     reach = saved(edges.where("src <> dst").select("src", "dst").distinct().withColumn("depth", F.lit(1)), "closure")
     k = 0
     while rounds is None or k < rounds:
-        heads = reach.where(F.col("depth") == 1 << k).select("src", F.col("dst").alias("mid"))
-        if heads.isEmpty():
+        if not (both := _heads_and_tails(reach, 1 << k)):
             break
-        tails = reach.select(F.col("src").alias("mid"), "dst", F.col("depth").alias("more"))
+        heads = both[0].select("src", F.col("dst").alias("mid"))
+        tails = both[1].select(F.col("src").alias("mid"), "dst", F.col("depth").alias("more"))
         longer = heads.join(tails, "mid").where("src <> dst").groupBy("src", "dst").agg((F.min("more") + (1 << k)).alias("depth"))
         new = saved(longer.join(reach.select("src", "dst"), ["src", "dst"], "left_anti"), "closure")
         if new.isEmpty():
@@ -49,10 +64,10 @@ def discovered(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     reach = saved(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("place").cast("int").alias("place")).select("src", "dst", F.lit(1).alias("depth"), F.array("place").alias("label")), "discovered")
     k = 0
     while rounds is None or 1 << k < rounds:
-        heads = reach.where(F.col("depth") == 1 << k).select("src", F.col("dst").alias("mid"), F.col("label").alias("head"))
-        if heads.isEmpty():
+        if not (both := _heads_and_tails(reach, 1 << k)):
             break
-        tails = reach.select(F.col("src").alias("mid"), "dst", F.col("depth").alias("more"), F.col("label").alias("tail"))
+        heads = both[0].select("src", F.col("dst").alias("mid"), F.col("label").alias("head"))
+        tails = both[1].select(F.col("src").alias("mid"), "dst", F.col("depth").alias("more"), F.col("label").alias("tail"))
         longer = heads.join(tails, "mid").where("src <> dst").groupBy("src", "dst").agg(F.min(F.struct("more", F.concat("head", "tail").alias("label"))).alias("x"))
         new = longer.join(reach.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", (F.col("x.more") + (1 << k)).alias("depth"), "x.label")
         reach = reach.unionByName(saved(new, "discovered"))
@@ -161,11 +176,24 @@ def modules(files: DataFrame, root: str = "") -> DataFrame:
     return files.join(nearest, "path", "left")
 
 
+def to_descendants(reach: DataFrame, given: DataFrame, *more: str) -> DataFrame:
+    """reach (src, dst, more) with given (dst, ...: one row for each dst), in blocks: (block, src, dst, more, ...), rows of a block and so of a src in one partition.
+
+    Descendants are dealt to as many blocks as a shuffle has parts. What a dst gives goes once to each block that
+    has descendants of it, with their list, not once to each of them; what is grouped by block and src then isn't shuffled again.
+    """
+    spark = reach.sparkSession
+    n = int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    block = F.pmod(F.xxhash64("src"), F.lit(n)).cast("int").alias("block")
+    lists = reach.select(block, "dst", F.struct("src", *more).alias("s")).groupBy("block", "dst").agg(F.collect_list("s").alias("srcs"))  # of one block
+    dealt = lists.join(given, "dst").repartition(n, "block")  # a number that is given: narrow rows grow here, so parts mustn't be joined
+    return dealt.withColumn("s", F.explode("srcs")).select("block", "s.*", *[c for c in dealt.columns if c not in ("block", "srcs")])
+
+
 def inherited_api(index: DataFrame, ancestors: DataFrame, parts: tuple = ("method_params", "returns", "throws", "fields")) -> DataFrame:
     """By class, for each part, the sorted union over its ancestors without the class itself."""
-    api = index.select(F.col("class").alias("dst"), *parts)
-    rows = ancestors.join(api, "dst")
-    sums = rows.groupBy("src").agg(*[F.flatten(F.collect_set(F.coalesce(p, F.expr("cast(array() as array<string>)")))).alias(p) for p in parts])
+    api = index.select(F.col("class").alias("dst"), *[F.coalesce(p, F.expr("cast(array() as array<string>)")).alias(p) for p in parts])
+    sums = to_descendants(ancestors, api).groupBy("block", "src").agg(*[F.flatten(F.collect_set(p)).alias(p) for p in parts])
     return sums.select(F.col("src").alias("class"), *[F.array_sort(F.array_remove(F.array_distinct(p), F.col("src"))).alias(p) for p in parts])
 
 
@@ -173,8 +201,9 @@ def overrides(members: DataFrame, ancestors: DataFrame) -> DataFrame:
     """members (class, name, kind, visibility, static, params, declared_in) with `overrides`: the first
     ancestor by name that has a visible instance method of that name and those parameters."""
     method = (F.col("kind") == "method") & ~F.col("static") & (F.coalesce("declared_in", F.lit("")) == "")
-    theirs = members.where(method & (F.col("visibility") != "private")).select(F.col("class").alias("dst"), F.col("name").alias("n"), F.col("params").alias("p"))
-    found = ancestors.join(theirs, "dst").groupBy(F.col("src").alias("c"), "n", "p").agg(F.min("dst").alias("overrides"))
+    theirs = members.where(method & (F.col("visibility") != "private")).groupBy(F.col("class").alias("dst")).agg(F.collect_set(F.struct(F.col("name").alias("n"), F.col("params").alias("p"))).alias("has"))  # of one class
+    each = to_descendants(ancestors, theirs).select("block", F.col("src").alias("c"), "dst", F.explode("has").alias("m"))
+    found = each.groupBy("block", "c", F.col("m.n").alias("n"), F.col("m.p").alias("p")).agg(F.min("dst").alias("overrides")).drop("block")
     rows = members.join(found, (F.col("class") == F.col("c")) & (F.col("name") == F.col("n")) & (F.col("params") == F.col("p")), "left")
     return rows.withColumn("overrides", F.when(method, F.col("overrides"))).drop("c", "n", "p")
 
@@ -191,20 +220,26 @@ def not_overridden(members: DataFrame, reach: DataFrame) -> DataFrame:
     return met.join(members.select(F.col("class").alias("src"), "name", "params"), ["src", "name", "params"], "left_anti")
 
 
-def passed_on(members: DataFrame, reach: DataFrame, packages: DataFrame) -> DataFrame:
+def passed_on(members: DataFrame, reach: DataFrame, packages: DataFrame, shown: DataFrame | None = None) -> DataFrame:
     """(src, dst, same, signatures): for each class and ancestor whether their package is the same, and the ancestor's methods that
     the class sees, doesn't define, and doesn't have from an ancestor found before.
 
-    members (class, name, kind, visibility, params), packages (class, package).
+    members (class, name, kind, visibility, params), packages (class, package). shown (dst): if given, pairs without
+    signatures are told of these ancestors only.
     """
     own = members.where("kind = 'method'")
     pack = lambda c, p: packages.select(F.col("class").alias(c), F.col("package").alias(p))
-    pairs = reach.join(pack("src", "p"), "src").join(pack("dst", "q"), "dst").withColumn("same", F.col("p") == F.col("q"))
+    paired = lambda r: r.join(pack("src", "p"), "src").join(pack("dst", "q"), "dst").withColumn("same", F.col("p") == F.col("q"))
+    pairs = paired(reach)
     theirs = own.select(F.col("class").alias("dst"), "name", "params", F.col("visibility").alias("v"))
     seen = pairs.join(theirs, "dst").where("v = 'public' OR (v <> 'private' AND same)")
-    first = seen.groupBy("src", "name", "params").agg(F.min_by("dst", _nearest(reach)).alias("dst")).join(own.select(F.col("class").alias("src"), "name", "params"), ["src", "name", "params"], "left_anti")
-    signatures = first.groupBy("src", "dst").agg(F.array_sort(F.collect_set(text.signature(F.col("name"), F.col("params")))).alias("signatures"))  # of one class's members
-    return pairs.select("src", "dst", "same").join(signatures, ["src", "dst"], "left").withColumn("signatures", F.coalesce("signatures", F.expr("cast(array() as array<string>)")))
+    first = seen.groupBy("src", "name", "params").agg(F.min_by(F.struct("dst", "same"), _nearest(reach)).alias("x")).join(own.select(F.col("class").alias("src"), "name", "params"), ["src", "name", "params"], "left_anti")
+    signatures = first.groupBy("src", "x.dst").agg(F.any_value("x.same").alias("same"), F.array_sort(F.collect_set(text.signature(F.col("name"), F.col("params")))).alias("signatures"))  # of one class's members
+    none = F.expr("cast(array() as array<string>)")
+    if shown is not None:
+        rest = paired(reach.select("src", "dst").join(shown.select("dst").distinct(), "dst", "left_semi")).join(signatures, ["src", "dst"], "left_anti")
+        return signatures.unionByName(rest.select("src", "dst", "same", none.alias("signatures")))
+    return pairs.select("src", "dst", "same").join(signatures.drop("same"), ["src", "dst"], "left").withColumn("signatures", F.coalesce("signatures", none))
 
 
 def resolved(uses: DataFrame, candidates: DataFrame, classes: DataFrame) -> DataFrame:

@@ -185,3 +185,34 @@ def test_fingerprint_goes_on_from_task_to_task(spark, monkeypatch):
     other = tables.Sha256(one.state.raw)
     other.update(b"b\0c")
     assert other.hexdigest() == other.hexdigest() == sha256(b"a" * 100 + b"b\0c").hexdigest()
+
+
+def test_what_ancestors_have_goes_to_blocks_of_descendants(spark, monkeypatch):
+    rng = random.Random(13)
+    index = spark.createDataFrame([(f"C{c}", [f"C{rng.randrange(40)}" for _ in range(3)] if c % 4 else None, [f"T{rng.randrange(9)}"] if c % 3 else []) for c in range(40)], "class string, fields array<string>, returns array<string>")
+    reach = sorted({(f"C{rng.randrange(40)}", f"C{rng.randrange(40)}") for _ in range(300)})
+    api = {r["class"]: r for r in index.collect()}
+    out = graph.inherited_api(index, spark.createDataFrame(reach, "src string, dst string"), ("fields", "returns"))
+    want = {s: tuple(sorted({t for a, d in reach if a == s for t in api[d][p] or []} - {s}) for p in ("fields", "returns")) for s, _ in reach}
+    assert {r["class"]: (r["fields"], r["returns"]) for r in out.collect()} == want
+    # the last shuffle before the sums deals lists to blocks, and carries no class by itself
+    physical = out._jdf.queryExecution().executedPlan().toString()
+    last = next(x for x in physical.split("\n") if "Exchange" in x)
+    assert "hashpartitioning(block" in last and "src" not in last
+
+    monkeypatch.setattr(graph, "FEW", 0)
+    chain = spark.createDataFrame([(i, i + 1, 0) for i in range(9)], "src long, dst long, place int")
+    many = sorted(map(tuple, graph.closure(chain).collect()))
+    monkeypatch.undo()
+    assert many == sorted(map(tuple, graph.closure(chain).collect())) == sorted((a, b, b - a) for a in range(10) for b in range(a + 1, 10))
+
+
+def test_passed_on_tells_pairs_without_signatures_of_shown_ancestors_only(spark):
+    members = spark.createDataFrame([("A", "f", "method", "public", ["int"]), ("B", "g", "method", "private", []), ("D", "f", "method", "public", ["int"])], "class string, name string, kind string, visibility string, params array<string>")
+    reach = spark.createDataFrame([("C", "A", 1), ("C", "B", 1), ("D", "A", 1), ("D", "B", 2)], "src string, dst string, depth int")
+    packages = spark.createDataFrame([(c, "p" if c < "D" else "q") for c in "ABCD"], "class string, package string")
+    whole = {(r["src"], r["dst"]): (r["same"], r["signatures"]) for r in graph.passed_on(members, reach, packages).collect()}
+    assert {k: len(v[1]) for k, v in whole.items()} == {("C", "A"): 1, ("C", "B"): 0, ("D", "A"): 0, ("D", "B"): 0} and whole["C", "A"][0] and not whole["D", "A"][0]
+    for shown in ([], ["B"], ["A", "B", "B"]):
+        got = {(r["src"], r["dst"]): (r["same"], r["signatures"]) for r in graph.passed_on(members, reach, packages, spark.createDataFrame([(x,) for x in shown], "dst string")).select("src", "dst", "same", "signatures").collect()}
+        assert got == {k: v for k, v in whole.items() if v[1] or k[1] in shown}
