@@ -82,16 +82,25 @@ def q_class_states(spark, sf):
     return routing.class_states(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "purchase", "event_id").select("user_id", "event_id", F.col("class_index").cast("long"), F.col("attempts").cast("long"), F.col("last_good"))
 
 
-def _arriving(spark, sf, files: int = 4):
-    """The events as files in the order in which they came: up to half an hour after their time."""
-    path = shared_dir(spark, "events-in")
+#: Rows to a file of the stream, about.
+_FILE_ROWS = 1_000_000
+
+
+def _arriving(spark, sf, parts: int = 4, file_rows: int = _FILE_ROWS):
+    """The events as files in the order in which they came, up to half an hour after their time: a batch reads one part of that time.
+
+    Each part has the same number of files, by which batches are told. If a file had no rows it wouldn't be there, so then each part is one file.
+    """
     e = table(spark, sf, "events", "user_id", "event_id", "ts", "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
     came = e.withColumn("came", F.unix_seconds("ts") + F.col("event_id") % 1800)
-    bounds = came.agg(F.min("came").alias("a"), F.max("came").alias("b")).first()
-    part = F.least(F.floor((F.col("came") - bounds["a"]) * files / (bounds["b"] - bounds["a"] + 1)), F.lit(files - 1))
-    for n in range(files):
-        came.where(part == n).drop("came").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    bounds = came.agg(F.min("came").alias("a"), F.max("came").alias("b"), F.count("*").alias("n")).first()
+    part = F.least(F.floor((F.col("came") - bounds["a"]) * parts / (bounds["b"] - bounds["a"] + 1)), F.lit(parts - 1))
+    for files in sorted({max(1, -(-bounds["n"] // (parts * file_rows))), 1}, reverse=True):
+        path = shared_dir(spark, "events-in")
+        for n in range(parts):
+            came.where(part == n).drop("came").repartition(files).write.mode("append").parquet(path)
+        if files == 1 or len(spark.read.schema(e.schema).parquet(path).inputFiles()) == parts * files:
+            return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _streamed(spark, stream, tag):

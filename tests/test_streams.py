@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from millrace.operators import routing
+from millrace.plans import stores
 from millrace.streaming import ingest, states
 
 
@@ -75,3 +76,28 @@ def test_states_as_the_batch_gives_them(spark, tmp_path):
     got = collected(states.class_states(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), "u", "ts", "id", bad, done), f"{tmp_path}/check")
     batch = routing.class_states(spark.createDataFrame(rows, EVENT), "u", ["ts", "id"], bad, done, "id").where("id < 900")
     assert sorted((x[0], x[1], *x[3:]) for x in got) == sorted(tuple(x) for x in batch.select("u", "id", "class_index", "attempts", "last_good").collect())
+
+
+def test_states_of_many_runs_lie_in_few_blocks(spark, tmp_path):
+    path = f"{tmp_path}/in"
+    rows = [(None if u == 7 else f"u{u}", 100 * n + u, T0 + timedelta(minutes=n), "done" if n == 2 else "error") for u in range(60) for n in range(4)]
+    put(spark, path, rows, EVENT)
+    put(spark, path, [("z", 9_999, T0 + timedelta(days=1), "ok")], EVENT)
+    bad, done = F.col("t") == "error", F.col("t") == "done"
+    got = []
+    stream = states.class_states(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(path), "u", "ts", "id", bad, done, blocks=3)
+    q = stream.writeStream.option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).foreachBatch(lambda df, n: got.extend(map(tuple, df.collect()))).start()
+    q.awaitTermination()
+    assert len(got) == 240 and sorted({(x[0], *x[3:5]) for x in got if x[0] in (None, "u1")}, key=str) == sorted({(u, *x) for u in (None, "u1") for x in ((0, 1), (0, 2), (1, 1))}, key=str)
+    assert 0 < max(p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress) < 20  # 3 blocks with their timers, not 60 runs
+
+
+def test_events_arrive_in_as_many_files_as_they_need(spark):
+    sf = "/root/testdata/sf0.001"
+    stream = stores._arriving(spark, sf, file_rows=40)
+    bad, done = F.col("event_type") == "error", F.col("event_type") == "purchase"
+    got = stores._streamed(spark, states.class_states(stream, "user_id", "ts", "event_id", bad, done), "test-states").select("run", "id", "class_index", "attempts", "last_good")
+    e = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    passed = e.where(F.col("ts") < e.agg(F.max("ts")).first()[0] - timedelta(hours=1))
+    batch = routing.class_states(passed, "user_id", ["ts", "event_id"], bad, done, "event_id").select("user_id", "event_id", "class_index", "attempts", "last_good")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)
