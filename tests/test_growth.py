@@ -7,6 +7,8 @@ import random
 from pyspark.sql import functions as F
 
 from millrace.operators import audit, graph, logs
+from millrace.plans import classes
+from millrace.shared import saved
 
 
 def plan(df) -> str:
@@ -216,3 +218,37 @@ def test_passed_on_tells_pairs_without_signatures_of_shown_ancestors_only(spark)
     for shown in ([], ["B"], ["A", "B", "B"]):
         got = {(r["src"], r["dst"]): (r["same"], r["signatures"]) for r in graph.passed_on(members, reach, packages, spark.createDataFrame([(x,) for x in shown], "dst string")).select("src", "dst", "same", "signatures").collect()}
         assert got == {k: v for k, v in whole.items() if v[1] or k[1] in shown}
+
+
+def test_closure_of_some_sources_finds_what_the_whole_one_does_with_fewer_pairs(spark, monkeypatch):
+    r = random.Random(3)
+    chain, tree, cyclic = [(i, i + 1) for i in range(18)], [(i, i // 2) for i in range(2, 200)] + [(i, i // 3) for i in range(3, 200)], [(r.randrange(40), r.randrange(40)) for _ in range(70)]
+    for few, edges in ((graph.FEW, tree), (0, chain), (0, cyclic)):
+        monkeypatch.setattr(graph, "FEW", few)
+        written = []
+        monkeypatch.setattr(graph, "saved", lambda df, tag, *by: written.append(out := saved(df, tag, *by)) or out)
+        own = {3, 17, 31, 150, 1000}
+        e = spark.createDataFrame(edges, "src long, dst long").coalesce(1)
+        got = sorted(map(tuple, graph.closure(e, sources=spark.createDataFrame([(s,) for s in own], "src long")).collect()))
+        some, n = sum(w.count() for w in written), len(written)
+        every = sorted(map(tuple, graph.closure(e).collect()))
+        assert got == [x for x in every if x[0] in own] and got
+        assert edges is cyclic or some < 0.7 * sum(w.count() for w in written[n:])
+
+
+def test_inaccessible_asks_only_for_ancestors_of_classes_that_miss_a_name(spark):
+    members = spark.createDataFrame(
+        [("Base", "p", "method", "protected", None), ("Base", "q", "method", "public", None), ("Base", "r", "method", "package", "In"), ("Base", "Base", "ctor", "protected", None), ("B", "p", "method", "public", "")],
+        "class string, name string, kind string, visibility string, declared_in string",
+    )
+    names = spark.createDataFrame([("A", "p"), ("A", "p"), ("A", "q"), ("B", "p"), ("C", "r"), ("C", "zzz"), ("D", "Base"), ("E", "p")], "class string, name string")
+    packages = spark.createDataFrame([("Base", "x"), ("A", "y"), ("B", "y"), ("C", "y"), ("D", "y"), ("E", "x")], "class string, package string")
+    reach = spark.createDataFrame([(c, d) for c in "ABCDE" for d in ("Base", "Base$In")], "src string, dst string")
+    needed = graph.missed(members, names)
+    assert sorted(map(tuple, needed.collect())) == [("A", "p"), ("C", "r"), ("E", "p")]
+    want = [("A", "Base", ["p"]), ("C", "Base.In", ["r"])]
+    assert sorted(map(tuple, graph.inaccessible(members, reach, packages, names).collect())) == sorted(map(tuple, graph.inaccessible(members, reach, packages, None, needed).collect())) == want
+
+
+def test_hierarchy_reads_no_lines(spark):
+    assert "lineitem" not in classes.hierarchy(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
