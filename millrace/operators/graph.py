@@ -275,26 +275,33 @@ def call_sites(calls: DataFrame, members: DataFrame) -> DataFrame:
     return calls.join(members.select(F.col("class").alias("owner"), "name", "visibility", "decl"), ["owner", "name"])
 
 
-def producers(news: DataFrame, calls: DataFrame, members: DataFrame, lineage: DataFrame, most: int = 8) -> DataFrame:
-    """(target, class, entries): public ways to get a target built.
+def _ways(calls: DataFrame, members: DataFrame, lineage: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(class, member, decl): public ways to a member's work: itself, or public callers of a hidden one within the class's lineage.
+    wanted (class, member): of these members only, if given."""
+    of = members if wanted is None else members.join(wanted, ["class", "member"], "left_semi")
+    hidden = of.where("visibility <> 'public'").select("class", "member").distinct()
+    public = members.where("visibility = 'public'").select("class", "member", "decl")
+    if wanted is not None:
+        lineage = lineage.join(hidden.select("class"), "class", "left_semi")
+    open_calls = calls.select("caller", F.col("member").alias("by"), "owner", F.col("name").alias("member")).join(public.toDF("caller", "by", "decl"), ["caller", "by"])
+    steps = lineage.select("class", F.col("of").alias("caller")).join(open_calls, "caller").join(hidden, ["class", "member"], "left_semi")
+    steps = steps.join(lineage.select("class", F.col("of").alias("owner")), ["class", "owner"], "left_semi")
+    return of.where("visibility = 'public'").select("class", "member", "decl").union(steps.select("class", "member", "decl"))
+
+
+def producers(news: DataFrame, calls: DataFrame, members: DataFrame, lineage: DataFrame, most: int | None = None) -> DataFrame:
+    """(target, class, entries): public ways to get a target built; the first `most` by name, if given.
 
     news (class, member, target), calls (caller, member, owner, name), members (class, member,
     visibility, decl), lineage (class, of: each class and its ancestors). A public member that builds
     the target is an entry; for another one, public callers within the class's lineage are.
-    Entries are told once for each member, not for each target that it builds, from public callers only,
-    and the first `most` of a member's are all that any target can show.
+    Entries are told once for each member, not for each target that it builds, from public callers only;
+    a target's are the union of the lists of its class's members, so nothing multiplies after that.
     """
-    hidden = members.where("visibility <> 'public'").select("class", "member").distinct()
-    public = members.where("visibility = 'public'").select("class", "member", "decl")
-    open_calls = calls.select("caller", F.col("member").alias("by"), "owner", F.col("name").alias("member")).join(public.toDF("caller", "by", "decl"), ["caller", "by"])
-    steps = lineage.select("class", F.col("of").alias("caller")).join(open_calls, "caller").join(hidden, ["class", "member"], "left_semi")
-    steps = steps.join(lineage.select("class", F.col("of").alias("owner")), ["class", "owner"], "left_semi")
-    # equal ones have one rank
-    first = lambda rows, *key: rows.withColumn("place", F.dense_rank().over(Window.partitionBy(*key).orderBy("decl"))).where(F.col("place") <= most)
-    ways = first(public.union(steps.select("class", "member", "decl")), "class", "member").groupBy("class", "member").agg(F.collect_set("decl").alias("decls"))
+    ways = _ways(calls, members, lineage).groupBy("class", "member").agg(F.collect_set("decl").alias("decls"))
     built = news.where(F.substring_index("class", "$", 1) != F.substring_index("target", "$", 1)).join(ways, ["class", "member"])
-    entries = first(built.select("target", "class", F.explode("decls").alias("decl")), "target", "class")
-    return entries.groupBy("target", "class").agg(F.array_sort(F.collect_set("decl")).alias("entries"))
+    entries = F.array_sort(F.array_distinct(F.flatten(F.collect_set("decls"))))  # of one class's members
+    return built.groupBy("target", "class").agg((entries if most is None else F.slice(entries, 1, most)).alias("entries"))
 
 
 def walked(steps: DataFrame, known: DataFrame) -> DataFrame:

@@ -37,6 +37,19 @@ def test_producers_are_told_once_for_all_targets(spark):
     assert not [x for x in plan(out).split("\n") if "target#" in x and "caller#" in x]
 
 
+def test_producers_tell_all_entries(spark):
+    callers = [f"B{i:02d}" for i in range(12)]
+    news = [("F", "hidden", "T"), ("F", "make", "T"), ("F", "make", "U")]
+    members = [("F", "hidden", "private", "F.hidden"), ("F", "make", "public", "F.make")] + [(c, "e", "public", f"{c}.e") for c in callers]
+    lineage = [("F", c) for c in ["F", *callers]]
+    out = graph.producers(
+        spark.createDataFrame(news, "class string, member string, target string"), spark.createDataFrame([(c, "e", "F", "hidden") for c in callers], "caller string, member string, owner string, name string"),
+        spark.createDataFrame(members, "class string, member string, visibility string, decl string"), spark.createDataFrame(lineage, "class string, of string"),
+    )
+    assert {r["target"]: r["entries"] for r in out.collect()} == {"T": [f"{c}.e" for c in callers] + ["F.make"], "U": ["F.make"]}
+    assert any(r["entries"].count(",") >= 3 for r in classes.q_producers(spark, "/root/testdata/sf0.001").collect())
+
+
 def test_nearby_looks_at_few_files(spark):
     rng = random.Random(5)
     files = [(rng.choice("ab"), f"/r/d{rng.randrange(4)}/T{rng.randrange(30)}") for _ in range(70)] + [("a", "flat"), ("a", "/r/d0/T1"), (None, "/r/x"), ("a", None), ("c", "/r/d1/alone"), ("d", "/r/d1/T1"), ("d", "/r/d1/T2")]
