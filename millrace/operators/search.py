@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import grams
-from ..shared import saved, ship
+from ..shared import saved, ship, spread
 
 #: Bytes of a gram. Needles are looked for by windows of LEAST bytes or 4, 16, ... times as many, up to MOST; shorter needles by themselves.
 GRAM, LEAST, MOST = 12, 16, 256
@@ -109,7 +109,9 @@ def containing_texts(docs: DataFrame, needles: DataFrame, key: str, doc_id: str
     own = saved(own.groupBy("k", "window", "gram").agg(F.min("at").alias("at")), "needle-grams")
     texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("data")).withColumn("t", F.xxhash64("data"))
     table = _filter(spark, own.select("gram").distinct())
-    found = saved(_named(texts.select(F.col("t").alias("k"), "data"), windows, table).withColumnsRenamed({"k": "t", "at": "place"}).distinct(), "text-grams")
+    # equal texts are read once
+    once = spread(texts.select(F.col("t").alias("k"), "data").distinct())
+    found = saved(_named(once, windows, table).withColumnsRenamed({"k": "t", "at": "place"}), "text-grams")
     # each needle by its rarest gram
     often = found.groupBy("window", "gram").agg(F.count("*").alias("n"))
     least = own.join(often, ["window", "gram"]).groupBy("k", "window").agg(F.min(F.struct("n", "gram", "at")).alias("r"))

@@ -93,7 +93,7 @@ def retrieved(project: Project, *names: str) -> DataFrame:
         raise ValueError(f"no strategy {', '.join(unknown)}: there are {', '.join(STRATEGIES)}")
     cuts, out = project.sources.select(F.col("class").alias("cut")).distinct(), None
     for name in names or (DEFAULT,):
-        rows = STRATEGIES[name](project).where("cut <> fqn").distinct().join(cuts, "cut", "left_semi").select(F.lit(name).alias("strategy"), "cut", "fqn")
+        rows = STRATEGIES[name](project).where("cut <> fqn").select("cut", "fqn").join(cuts, "cut", "left_semi").distinct().select(F.lit(name).alias("strategy"), "cut", "fqn")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -115,11 +115,11 @@ def _with_needed(sums: DataFrame, needed: DataFrame) -> DataFrame:
 
 def measured(project: Project, needed: DataFrame, *names: str) -> DataFrame:
     """compared() of retrieved() strategies; those of COUNTED give their numbers without their pairs."""
-    listed = [n for n in names if n not in COUNTED]
-    cuts = project.sources.select(F.col("class").alias("cut")).distinct()
-    sums = _summed(retrieved(project, *listed), needed) if listed else None
+    cuts, sums = project.sources.select(F.col("class").alias("cut")).distinct(), None
     for name in names:
         if name in COUNTED:
             rows = COUNTED[name](project, needed).join(cuts, "cut", "left_semi").select(F.lit(name).alias("strategy"), "cut", "n", "n_hit")
-            sums = rows if sums is None else sums.unionByName(rows)
+        else:
+            rows = _summed(retrieved(project, name), needed)  # one by one, so a pair that is told once lies where it is marked
+        sums = rows if sums is None else sums.unionByName(rows)
     return _with_needed(sums, needed)

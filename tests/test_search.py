@@ -54,3 +54,12 @@ def test_nothing(spark):
     assert f(docs, needles, "item_id").collect() == [(7, 1)]
     assert f(docs.where("false"), needles, "item_id").count() == f(docs, needles.where("false"), "item_id").count() == f(docs, needles.where("item_id = 9"), "item_id").count() == 0
     assert f(docs, needles, "item_id").columns == ["item_id", "doc_id"]
+
+
+def test_equal_texts_are_read_once(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(search, "_named", lambda rows, windows, table=None, f=search._named: (table is not None and read.append(rows.count())) or f(rows, windows, table))
+    docs = spark.createDataFrame([(1, "xx abc"), (2, "xx abc"), (3, "abd"), (4, None)], "doc_id long, text string")
+    needles = spark.createDataFrame([("a", "abc"), ("b", "ab"), ("c", "")], "key string, text string")
+    got = sorted(map(tuple, search.containing_texts(docs, needles, "key").collect()))
+    assert got == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3), ("c", 1), ("c", 2), ("c", 3)] and read == [2]
