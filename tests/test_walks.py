@@ -66,3 +66,10 @@ def test_builders_are_the_pairs_of_producers(spark):
     )
     pairs = lambda d: sorted(map(tuple, d.select("target", "class").collect()))
     assert pairs(graph.builders(*args)) == pairs(graph.producers(*args)) != []
+
+
+def test_walk_order_needs_no_window(spark):
+    from millrace.plans import classes
+
+    plan = classes.q_walk_order(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan
